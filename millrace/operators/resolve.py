@@ -290,3 +290,42 @@ def mapping_log(resolved: DataFrame, name_col: str) -> DataFrame:
 
 def log_by_method(log: DataFrame) -> DataFrame:
     return log.groupBy("method").agg(F.count("*").alias("n"), F.avg("confidence").alias("avg_confidence"))
+
+
+def match_exact(df: DataFrame, name_col: str, seeds: DataFrame) -> DataFrame:
+    """First tier alone: ``seed_exact``, null on a miss."""
+    keyed = df.withColumn("_key", exact_key(F.col(name_col)))
+    index = exact_index(seeds).withColumnRenamed("exact_key", "_key")
+    return keyed.join(index, "_key", "left").drop("_key")
+
+
+def match_normalized(df: DataFrame, name_col: str, seeds: DataFrame) -> DataFrame:
+    """Second tier alone: ``seed_norm``, null on a miss."""
+    keyed = df.withColumn("_key", normalized_key(F.col(name_col)))
+    index = normalized_index(seeds).select(F.col("norm_key").alias("_key"), "seed_norm")
+    return keyed.join(index, "_key", "left").drop("_key")
+
+
+def match_fuzzy(names: DataFrame, name_col: str, seeds: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """Third tier alone: ``(norm_key, canonical, score)`` of the best seed per distinct normalized key.
+
+    Equal scores go to the earlier seed; keys without a seed in reach have no row.
+    """
+    keys = names.select(normalized_key(F.col(name_col)).alias("norm_key")).filter("norm_key IS NOT NULL").distinct()
+    keys = keys.withColumn("ts", token_sorted(F.col("norm_key")))
+    left = keys.select("ts").distinct()
+    right = _seed_keys(normalized_index(seeds))
+    frequent = frequent_grams(left.unionByName(right.select("ts")), "ts", threshold)
+    sign = signature(F.col("ts"), threshold, frequent)
+    left, right = left.withColumn("ord", F.lit(0).cast("bigint")).withColumn("sig", sign), right.withColumn("sig", sign)
+    similar = similar_pairs(left, right, threshold).select(F.col("a").alias("ts"), "b", "score")
+    equal = left.select("ts", F.col("ts").alias("b"), F.lit(100.0).alias("score"))
+    places = right.select(F.col("ts").alias("b"), "ord", "canonical")
+    best = F.struct(-F.col("score"), F.col("ord"))
+    top = (
+        similar.unionByName(equal)
+        .join(places, "b")
+        .groupBy("ts")
+        .agg(F.min_by("canonical", best).alias("canonical"), F.max("score").alias("score"))
+    )
+    return keys.join(top, "ts").select("norm_key", "canonical", "score")
