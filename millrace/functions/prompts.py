@@ -10,7 +10,7 @@ from ..schemas import RECORD_TYPES, json_schema
 
 TEXT_OPEN, TEXT_CLOSE = "<<<TEXT\n", "\nTEXT>>>"
 
-_INSTRUCTIONS = (
+INSTRUCTIONS = (
     "Read the text below and fill in one record of the given type.\n"
     "Answer with a single JSON object that follows the schema, and with nothing around it.\n"
     "Use only what the text states: leave out a field, or set it to null, when the text is silent.\n"
@@ -26,7 +26,7 @@ def extraction_prompt(record_type: Column, text: Column, reference_time: Column,
     hint = F.when(F.coalesce(source_hint, F.lit("")) == "", "unknown").otherwise(source_hint)
     when = F.date_format(reference_time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
     return F.concat(
-        F.lit(_INSTRUCTIONS + "\nRecord type: "), record_type,
+        F.lit(INSTRUCTIONS + "\nRecord type: "), record_type,
         F.lit("\nReference time: "), when,
         F.lit("\nSource: "), hint,
         F.lit("\nSchema: "), schema,

@@ -227,3 +227,8 @@ def envelope(record_type: str, source_name: Column, source_url: Column, collecte
 
 def typed_content(content_json: Column, record_type: str) -> Column:
     return F.from_json(content_json, content_struct(record_type))
+
+
+def member_as_int(payload: Column, name: str) -> Column:
+    """One integral member of an object; null when absent or of another type."""
+    return _let(_member(payload, name), lambda v: _int(F.schema_of_variant(v), v))
