@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
-from .patterns import WORD_END, WORD_START, is_blank, strip
+from .patterns import WORD_END, WORD_START, let, strip
 
 EXACT, RELATIVE_EXACT, HEURISTIC, UNKNOWN = "exact", "relative_exact", "heuristic", "unknown"
 DEFAULT_WINDOW_HOURS = 24
@@ -48,49 +48,60 @@ _SHAPES = (
 )
 _RELATIVE = rf"^([0-9]+)[\s]*({'|'.join(sorted(UNIT_SECONDS, key=len, reverse=True))})s?[\s]+ago$"
 
+# Everything that needs no general parser, blank text included.
+_KNOWN = "|".join(["^(?:today|yesterday)?$", _RELATIVE, *(pattern for pattern, _ in _SHAPES)])
+
 _PARSED = T.StructType(
     [T.StructField("value", T.TimestampType()), T.StructField("shown", T.StringType())]
 )
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _shaped(lowered: Column) -> Column:
-    """The fields of a known shape as an array, null for any other text."""
+    """The fields of a known shape, parted by ``~``; a text without ``~`` has no known shape."""
     text = F.translate(lowered, "~", "?")
     for pattern, fields in _SHAPES:
         text = F.regexp_replace(text, pattern, fields)
-    return F.when(F.contains(text, F.lit("~")), F.split(text, "~", -1))
+    return text
+
+
+def _number(field: Column) -> Column:
+    """A field of digits; null when left out (a failing cast would cost far more than the test)."""
+    return F.when(field != "", field.cast("int"))
 
 
 def _month_number(field: Column) -> Column:
     abbreviations = "".join(m[:3] for m in MONTHS)
     word = F.floor((F.position(F.substring(field, 1, 3), F.lit(abbreviations)) + 2) / 3).cast("int")
-    return F.coalesce(field.try_cast("int"), word)
+    return F.when(field < "a", field.cast("int")).otherwise(word)
 
 
 def _build(fields: Column, ref: Column) -> Column:
     """A UTC timestamp from shape fields; null when a field is out of range."""
-    year = F.coalesce(fields[0].try_cast("int"), F.year(ref))
-    hour = F.coalesce(fields[3].try_cast("int"), F.hour(ref))
-    minute = F.coalesce(fields[4].try_cast("int"), F.minute(ref))
-    fraction = F.rpad(F.substring(fields[6], 1, 6), 6, "0")
-    second = F.coalesce(
-        F.concat(F.nullif(fields[5], F.lit("")), F.lit("."), fraction).try_cast("decimal(16,6)"),
-        F.extract(F.lit("SECOND"), ref).cast("decimal(16,6)"),
-    )
-    wall = F.when(
-        (year >= 1) & (second < 60),
-        F.try_make_timestamp(year, _month_number(fields[1]), fields[2].try_cast("int"), hour, minute, second),
+
+    def stamp(known: Column) -> Column:
+        zone, second = known["zone"], known["second"]
+        wall = F.when(
+            (known["year"] >= 1) & (second < 60),
+            F.try_make_timestamp(known["year"], known["month"], known["day"], known["hour"], known["minute"], second),
+        )
+        sign = F.when(zone.startswith("-"), -1).otherwise(1)
+        offset = sign * (F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, 4, 2).cast("int"))
+        moment = F.when(F.length(zone) == 5, wall - F.make_dt_interval(F.lit(0), F.lit(0), offset)).otherwise(wall)
+        return let(moment, lambda m: F.when(F.year(m).between(1, 9999), m))
+
+    seconds = F.concat(fields[5], F.lit("."), F.rpad(F.substring(fields[6], 1, 6), 6, "0"))
+    known = F.struct(
+        F.coalesce(_number(fields[0]), F.year(ref)).alias("year"),
+        _month_number(fields[1]).alias("month"),
+        fields[2].cast("int").alias("day"),
+        F.coalesce(_number(fields[3]), F.hour(ref)).alias("hour"),
+        F.coalesce(_number(fields[4]), F.minute(ref)).alias("minute"),
+        F.when(fields[5] != "", seconds.cast("decimal(16,6)"))
+        .otherwise(F.extract(F.lit("SECOND"), ref).cast("decimal(16,6)"))
+        .alias("second"),
+        F.translate(fields[7], " :", "").alias("zone"),
     )
-    zone = F.translate(fields[7], " :", "")
-    sign = F.when(zone.startswith("-"), -1).otherwise(1)
-    offset = F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")
-    moment = wall - F.make_dt_interval(F.lit(0), F.lit(0), sign * F.coalesce(offset, F.lit(0)))
-    return F.when(F.year(moment).between(1, 9999), moment)
+    return let(known, stamp)
 
 
 @F.pandas_udf(_PARSED)
@@ -128,63 +139,77 @@ def normalize_date(raw: Column, reference_time: Column | datetime, general: bool
     ref = reference_time if isinstance(reference_time, Column) else F.lit(reference_time)
     ref = ref.cast("timestamp")
     text = strip(raw.cast("string"))
-    lowered = F.lower(text)
+    seen = let(text, _recognise)
+    # Nulls stand for solved rows. The test is one plain pattern, as arguments of a
+    # Python function must not hold lambdas.
+    rest = F.when(~F.lower(text).rlike(_KNOWN), text)
+    parsed = _general_parse(rest, ref) if general else F.lit(None).cast(_PARSED)
+    return let(F.struct(seen.alias("seen"), ref.alias("ref"), parsed.alias("parsed")), _classify)
 
-    missing = is_blank(raw.cast("string"))
-    fields = _shaped(lowered)
-    if general:
-        rest = ~(missing | lowered.isin("today", "yesterday") | lowered.rlike(_RELATIVE) | fields.isNotNull())
-        parsed = _general_parse(F.when(rest, text), F.when(rest, ref))
-    else:
-        parsed = F.lit(None).cast(_PARSED)
 
-    known = F.struct(
-        missing.alias("missing"), text.alias("text"), lowered.alias("lowered"), ref.alias("ref"),
-        fields.alias("fields"), parsed.alias("parsed"),
-    )
-    return _let(known, _classify)
+def _recognise(text: Column) -> Column:
+    """What a text looks like: missing, a day word, an age, a known shape, or none of these."""
+    lowered = F.lower(text)
+    missing = text.isNull() | (text == "")
+    word = F.when(lowered.isin("today", "yesterday"), lowered)
+    # Most dates start with none of these: the cheap test spares the pattern.
+    age = F.when(lowered.endswith("ago"), F.regexp_extract(lowered, _RELATIVE, 1))
+
+    def label(found: Column) -> Column:
+        shaped = F.contains(found["shape"], F.lit("~"))
+        unit = F.when(found["age"] != "", F.regexp_extract(lowered, _RELATIVE, 2))
+        return F.struct(
+            text.alias("text"),
+            missing.alias("missing"),
+            word.alias("word"),
+            F.nullif(found["age"], F.lit("")).alias("amount"),
+            unit.alias("unit"),
+            F.when(shaped, F.split(found["shape"], "~", -1)).alias("fields"),
+        )
+
+    return let(F.struct(age.alias("age"), _shaped(lowered).alias("shape")), label)
 
 
 def _classify(row: Column) -> Column:
-    text, lowered, ref = row["text"], row["lowered"], row["ref"]
-    relative = lowered.rlike(_RELATIVE)
-    word = lowered.isin("today", "yesterday")
-    amount_text, unit = F.regexp_extract(lowered, _RELATIVE, 1), F.regexp_extract(lowered, _RELATIVE, 2)
+    seen, ref, parsed = row["seen"], row["ref"], row["parsed"]
+    text, word, unit = seen["text"], seen["word"], seen["unit"]
     units = F.create_map(*[F.lit(x) for item in UNIT_SECONDS.items() for x in item])
     # Amounts that lead before year 1 have no value.
-    amount = F.when(F.length(F.ltrim(amount_text, F.lit("0"))) <= 11, amount_text.try_cast("bigint"))
+    amount = F.when(F.length(F.ltrim(seen["amount"], F.lit("0"))) <= 11, seen["amount"].cast("bigint"))
     micros = F.unix_micros(ref) - amount * F.try_element_at(units, unit) * 1_000_000
     first_moment = F.unix_micros(F.lit("0001-01-01 00:00:00").cast("timestamp"))
+    relative = seen["amount"].isNotNull()
 
     value = (
-        F.when(row["missing"], F.lit(None).cast("timestamp"))
-        .when(lowered == "today", ref)
-        .when(lowered == "yesterday", ref - F.make_dt_interval(F.lit(1)))
+        F.when(seen["missing"], F.lit(None).cast("timestamp"))
+        .when(word == "today", ref)
+        .when(word == "yesterday", ref - F.make_dt_interval(F.lit(1)))
         .when(relative, F.when(micros >= first_moment, F.timestamp_micros(micros)))
-        .when(row["fields"].isNotNull(), _build(row["fields"], ref))
-        .otherwise(row["parsed"]["value"])
+        .when(seen["fields"].isNotNull(), _build(seen["fields"], ref))
+        .otherwise(parsed["value"])
     )
 
     def label(solved: Column) -> Column:
-        has_year = text.rlike(rf"{WORD_START}\p{{Nd}}{{4}}{WORD_END}")
+        moment, has_year = solved["value"], solved["has_year"]
         confidence = (
-            F.when(solved.isNull(), UNKNOWN)
-            .when(word | relative, RELATIVE_EXACT)
+            F.when(moment.isNull(), UNKNOWN)
+            .when(word.isNotNull() | relative, RELATIVE_EXACT)
             .when(has_year, EXACT)
             .otherwise(HEURISTIC)
         )
-        quoted = F.coalesce(row["parsed"]["shown"], F.concat(F.lit("'"), text, F.lit("'")))
+        quoted = F.coalesce(parsed["shown"], F.concat(F.lit("'"), text, F.lit("'")))
         reason = (
-            F.when(row["missing"], "missing_date_string")
-            .when(solved.isNull(), F.concat(F.lit("unparseable:"), quoted))
-            .when(word, F.concat(F.lit("relative:"), lowered))
-            .when(relative, F.concat(F.lit("relative:"), amount_text, F.lit("_"), unit, F.lit("_ago")))
+            F.when(seen["missing"], "missing_date_string")
+            .when(moment.isNull(), F.concat(F.lit("unparseable:"), quoted))
+            .when(word.isNotNull(), F.concat(F.lit("relative:"), word))
+            .when(relative, F.concat(F.lit("relative:"), seen["amount"], F.lit("_"), unit, F.lit("_ago")))
             .when(has_year, "absolute_parsed")
             .otherwise("absolute_parsed_year_inferred_from_reference_time")
         )
-        return F.struct(solved.alias("value"), confidence.alias("confidence"), reason.alias("reason"))
+        return F.struct(moment.alias("value"), confidence.alias("confidence"), reason.alias("reason"))
 
-    return _let(value, label)
+    has_year = text.rlike(rf"{WORD_START}\p{{Nd}}{{4}}{WORD_END}")
+    return let(F.struct(value.alias("value"), has_year.alias("has_year")), label)
 
 
 def in_window(value: Column, reference_time: Column | datetime, window_hours: int = DEFAULT_WINDOW_HOURS) -> Column:

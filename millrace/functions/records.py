@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..schemas import CONTENT_FIELDS, SCHEMA_VERSION, Field, content_struct, struct_of
+from .patterns import let
 from .text import strip_code_fences
 
 INVALID_JSON, NO_ENTITY = "invalid_json", "no_entity"
@@ -23,14 +24,10 @@ _NUMBER_TEXT = r"^[+-]?\d+(?:\.\d+)?$"
 _SECONDS_LIMIT = 20_000_000_000
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
 def parse_reply(reply: Column) -> Column:
     """VARIANT of the JSON object in a reply, null for anything else."""
     parsed = F.try_parse_json(strip_code_fences(reply))
-    return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
+    return let(parsed, lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
 
 
 def _member(obj: Column, name: str) -> Column:
@@ -39,18 +36,22 @@ def _member(obj: Column, name: str) -> Column:
 
 def is_skip(payload: Column) -> Column:
     """Truthiness of the skip marker as Python sees it: empty, zero, false and null are not."""
-    marker = _member(payload, SKIP_MARKER)
-    kind = F.coalesce(F.schema_of_variant(marker), F.lit("VOID"))
-    text = F.to_json(marker)
-    number = F.try_variant_get(marker, "$", "double")
-    return (
-        F.when(kind == "VOID", False)
-        .when(kind == "BOOLEAN", F.try_variant_get(marker, "$", "boolean"))
-        .when(kind == "STRING", F.try_variant_get(marker, "$", "string") != "")
-        .when(kind.startswith("ARRAY"), text != "[]")
-        .when(kind.startswith("OBJECT"), text != "{}")
-        .otherwise(number != 0)
-    )
+
+    def truthy(m: Column) -> Column:
+        marker, kind = m["marker"], m["kind"]
+        return (
+            F.when(kind == "BOOLEAN", F.try_variant_get(marker, "$", "boolean"))
+            .when(kind == "STRING", F.try_variant_get(marker, "$", "string") != "")
+            .when(kind.startswith("ARRAY"), F.to_json(marker) != "[]")
+            .when(kind.startswith("OBJECT"), F.to_json(marker) != "{}")
+            .otherwise(F.try_variant_get(marker, "$", "double") != 0)
+        )
+
+    def judge(marker: Column) -> Column:
+        kind = F.coalesce(F.schema_of_variant(marker), F.lit("VOID"))
+        return F.when(kind == "VOID", False).otherwise(let(F.struct(marker.alias("marker"), kind.alias("kind")), truthy))
+
+    return let(_member(payload, SKIP_MARKER), judge)
 
 
 def _int(kind: Column, value: Column) -> Column:
@@ -83,25 +84,35 @@ def _is_number(kind: Column) -> Column:
 
 def _iso_text(text: Column) -> Column:
     """ISO text with seconds and at most six fraction digits; null if no valid moment."""
-    day, clock = F.regexp_extract(text, _DATE_TEXT, 1), F.regexp_extract(text, _DATE_TEXT, 2)
-    second, fraction = F.regexp_extract(text, _DATE_TEXT, 3), F.regexp_extract(text, _DATE_TEXT, 4)
-    zone = F.upper(F.regexp_extract(text, _DATE_TEXT, 5))
-    clock = F.when(clock == "", "00:00").otherwise(clock)
-    second = F.when(second == "", "00").otherwise(second)
-    micros = F.rpad(F.substring(fraction, 1, 6), 6, "0")
-    micros = F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros))
-    zone = F.regexp_replace(zone, r"^([+-]\d{2})(\d{2})$", "$1:$2")
-    zone = F.when(zone.rlike(r"^[+-]00:00$"), "Z").otherwise(zone)
-    valid = (
-        text.rlike(_DATE_TEXT)
-        & day.try_cast("date").isNotNull()
-        & (F.substring(day, 1, 4) >= "0001")
-        & (F.substring(clock, 1, 2) < "24")
-        & (F.substring(clock, 4, 2) < "60")
-        & (second < "60")
-        & ((F.length(zone) < 6) | ((F.substring(zone, 2, 2) < "24") & (F.substring(zone, 5, 2) < "60")))
-    )
-    return F.when(valid, F.concat(day, F.lit("T"), clock, F.lit(":"), second, micros, zone))
+
+    def compose(p: Column) -> Column:
+        day, clock, second, micros, zone = (p[x] for x in ("day", "clock", "second", "micros", "zone"))
+        valid = (
+            day.try_cast("date").isNotNull()
+            & (F.substring(day, 1, 4) >= "0001")
+            & (F.substring(clock, 1, 2) < "24")
+            & (F.substring(clock, 4, 2) < "60")
+            & (second < "60")
+            & ((F.length(zone) < 6) | ((F.substring(zone, 2, 2) < "24") & (F.substring(zone, 5, 2) < "60")))
+        )
+        fraction = F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros))
+        zulu = F.when(zone.isin("+00:00", "-00:00"), "Z").otherwise(zone)
+        return F.when(valid, F.concat(day, F.lit("T"), clock, F.lit(":"), second, fraction, zulu))
+
+    def parts(fields: Column) -> Column:
+        zone = F.upper(fields[4])
+        return F.struct(
+            fields[0].alias("day"),
+            F.when(fields[1] == "", "00:00").otherwise(fields[1]).alias("clock"),
+            F.when(fields[2] == "", "00").otherwise(fields[2]).alias("second"),
+            F.rpad(F.substring(fields[3], 1, 6), 6, "0").alias("micros"),
+            F.when(F.length(zone) == 5, F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2)))
+            .otherwise(zone)
+            .alias("zone"),
+        )
+
+    fields = F.split(F.regexp_replace(text, _DATE_TEXT, "$1~$2~$3~$4~$5"), "~", -1)
+    return F.when(text.rlike(_DATE_TEXT), let(let(fields, parts), compose))
 
 
 def _epoch_text(number: Column) -> Column:
@@ -115,10 +126,11 @@ def _epoch_text(number: Column) -> Column:
 def _datetime(kind: Column, value: Column) -> Column:
     text = F.try_variant_get(value, "$", "string")
     number = F.try_variant_get(value, "$", "double")
-    return (
-        F.when(kind == "STRING", F.when(text.rlike(_NUMBER_TEXT), _epoch_text(text.try_cast("double"))).otherwise(_iso_text(text)))
-        .when(_is_number(kind), _epoch_text(number))
-    )
+
+    def of_text(t: Column) -> Column:
+        return F.when(t.rlike(_NUMBER_TEXT), let(t.cast("double"), _epoch_text)).otherwise(_iso_text(t))
+
+    return F.when(kind == "STRING", let(text, of_text)).when(_is_number(kind), let(number, _epoch_text))
 
 
 def _strings(kind: Column, value: Column) -> Column:
@@ -135,48 +147,63 @@ def _string(kind: Column, value: Column) -> Column:
 _READERS = {"int": _int, "bool": _bool, "datetime": _datetime, "strings": _strings, "string": _string, "enum": _string}
 
 
-def _check(obj: Column, f: Field, prefix: str) -> tuple[Column, Column]:
-    """(error array, value) of one field; null is fine for an optional scalar."""
-    member = _member(obj, f.name)
-    kind = F.coalesce(F.schema_of_variant(member), F.lit("MISSING"))
+def _check(obj: Column, f: Field, prefix: str) -> Column:
+    """``struct<error, value>`` of one field; null is fine for an optional scalar."""
     path = f"{prefix}{f.name}"
     no_error = F.array().cast("array<string>")
 
     def fail(problem: str) -> Column:
         return F.array(F.lit(f"{path}:{problem}"))
 
-    if f.kind == "object":
-        errors, values = zip(*[_check(member, sub, f"{path}.") for sub in f.fields])
-        inner = F.struct(*[v.alias(sub.name) for v, sub in zip(values, f.fields)])
-        empty = F.struct(*[F.lit(None).cast(t.dataType).alias(t.name) for t in struct_of(f.fields)])
-        is_object = kind.startswith("OBJECT")
-        error = F.when(is_object, F.concat(*errors)).when(kind == "MISSING", no_error).otherwise(fail("type"))
-        return error, F.when(is_object, inner).otherwise(empty)
-
-    value = _READERS[f.kind](kind, member)
-    if f.kind == "enum":
-        value = F.when(value.isin(*f.values), value)
-    bad = fail("value" if f.kind == "enum" else "type")
-    if f.kind == "strings":
-        value = F.when(kind == "MISSING", no_error).otherwise(value)
-        return F.when(value.isNull(), bad).otherwise(no_error), value
-    missing = fail("missing") if f.required else no_error
-    null = bad if f.required else no_error
-    error = (
-        F.when(kind == "MISSING", missing).when(kind == "VOID", null).when(value.isNull(), bad).otherwise(no_error)
+    def outcome(error: Column, value: Column) -> Column:
+        return F.struct(error.alias("error"), value.alias("value"))
+
+    def typed(m: Column) -> Column:
+        member, kind = m["member"], m["kind"]
+        if f.kind == "object":
+            empty = F.struct(*[F.lit(None).cast(t.dataType).alias(t.name) for t in struct_of(f.fields)])
+            error = F.when(kind == "MISSING", no_error).otherwise(fail("type"))
+            return F.when(kind.startswith("OBJECT"), _check_all(member, f.fields, f"{path}.")).otherwise(outcome(error, empty))
+
+        value = _READERS[f.kind](kind, member)
+        if f.kind == "enum":
+            value = F.when(value.isin(*f.values), value)
+        bad = fail("value" if f.kind == "enum" else "type")
+        if f.kind == "strings":
+            value = F.when(kind == "MISSING", no_error).otherwise(value)
+            return let(value, lambda v: outcome(F.when(v.isNull(), bad).otherwise(no_error), v))
+        missing = fail("missing") if f.required else no_error
+        null = bad if f.required else no_error
+        return let(
+            value,
+            lambda v: outcome(
+                F.when(kind == "MISSING", missing).when(kind == "VOID", null).when(v.isNull(), bad).otherwise(no_error), v
+            ),
+        )
+
+    def kinds(member: Column) -> Column:
+        kind = F.coalesce(F.schema_of_variant(member), F.lit("MISSING"))
+        return let(F.struct(member.alias("member"), kind.alias("kind")), typed)
+
+    return let(_member(obj, f.name), kinds)
+
+
+def _check_all(obj: Column, fields: tuple[Field, ...], prefix: str) -> Column:
+    """``struct<error, value>`` of an object: all errors, and a struct of the values."""
+    checked = F.struct(*[_check(obj, f, prefix).alias(f.name) for f in fields])
+    return let(
+        checked,
+        lambda c: F.struct(
+            F.concat(*[c[f.name]["error"] for f in fields]).alias("error"),
+            F.struct(*[c[f.name]["value"].alias(f.name) for f in fields]).alias("value"),
+        ),
     )
-    return error, value
 
 
 def validate_content(payload: Column, record_type: str) -> Column:
     """``struct<errors array<string>, content struct>``; unknown members are dropped."""
-
-    def body(obj: Column) -> Column:
-        checked = [_check(obj, f, "") for f in CONTENT_FIELDS[record_type]]
-        content = F.struct(*[v.alias(f.name) for (_, v), f in zip(checked, CONTENT_FIELDS[record_type])])
-        return F.struct(F.concat(*[e for e, _ in checked]).alias("errors"), content.alias("content"))
-
-    return _let(payload, body)
+    checked = let(payload, lambda obj: _check_all(obj, CONTENT_FIELDS[record_type], ""))
+    return let(checked, lambda c: F.struct(c["error"].alias("errors"), c["value"].alias("content")))
 
 
 def validate_reply(reply: Column, record_type: Column, types: tuple[str, ...] = tuple(CONTENT_FIELDS)) -> Column:
@@ -188,7 +215,7 @@ def validate_reply(reply: Column, record_type: Column, types: tuple[str, ...] =
         # A branch per type: only the branch of a row's own type is evaluated.
         result = F.lit(None).cast("struct<errors:array<string>,content:string>")
         for name in types:
-            checked = _let(
+            checked = let(
                 validate_content(payload, name),
                 lambda c: F.struct(
                     c["errors"].alias("errors"),
@@ -203,15 +230,18 @@ def validate_reply(reply: Column, record_type: Column, types: tuple[str, ...] =
                 .when(is_skip(payload), NO_ENTITY)
                 .when(r["errors"].isNull() | (F.size(r["errors"]) > 0), "schema")
             )
-            return F.struct(
-                reject.alias("reject"),
-                F.when(reject == "schema", r["errors"]).alias("errors"),
-                F.when(reject.isNull(), r["content"]).alias("content"),
+            return let(
+                reject,
+                lambda j: F.struct(
+                    j.alias("reject"),
+                    F.when(j == "schema", r["errors"]).alias("errors"),
+                    F.when(j.isNull(), r["content"]).alias("content"),
+                ),
             )
 
-        return _let(result, verdict)
+        return let(result, verdict)
 
-    return _let(parse_reply(reply), judge)
+    return let(parse_reply(reply), judge)
 
 
 def envelope(record_type: str, source_name: Column, source_url: Column, collected_at: Column, content: Column) -> Column:
@@ -231,4 +261,4 @@ def typed_content(content_json: Column, record_type: str) -> Column:
 
 def member_as_int(payload: Column, name: str) -> Column:
     """One integral member of an object; null when absent or of another type."""
-    return _let(_member(payload, name), lambda v: _int(F.schema_of_variant(v), v))
+    return let(_member(payload, name), lambda v: _int(F.schema_of_variant(v), v))

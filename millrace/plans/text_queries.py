@@ -129,13 +129,18 @@ def chunk_turns(spark, sf):
 def chunk_counts(spark, sf):
     """Boilerplate, packing and counts per page: no shuffle, chunks never leave their row."""
     pages = spread(table(spark, sf, "pages", "page_id html"))
-    chunks = pages.select("page_id", tx.chunk_array(F.expr(_PAGE_TEXT), 500).alias("c"))
-    tokens = F.transform("c", lambda c: tx.estimate_tokens(c).cast("bigint"))
-    return chunks.filter(F.size("c") > 0).select(
-        "page_id", F.size("c").cast("bigint").alias("n_chunks"),
-        F.aggregate(tokens, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_tokens"),
-        F.array_max(F.transform("c", lambda c: F.length(c))).cast("bigint").alias("longest"),
-    )
+
+    def summary(chunks):
+        tokens = F.transform(chunks, lambda c: tx.estimate_tokens(c).cast("bigint"))
+        return F.struct(
+            F.size(chunks).cast("bigint").alias("n_chunks"),
+            F.aggregate(tokens, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_tokens"),
+            F.array_max(F.transform(chunks, lambda c: F.length(c))).cast("bigint").alias("longest"),
+        )
+
+    # A filter on the chunks would be pushed below and pack every page twice.
+    counted = F.transform(F.array(tx.chunk_array(F.expr(_PAGE_TEXT), 500)), summary)
+    return pages.select("page_id", F.inline(F.filter(counted, lambda s: s["n_chunks"] > 0)))
 
 
 @query(
