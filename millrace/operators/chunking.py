@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.patterns import let
 from ..functions.text import DEFAULT_MAX_TOKENS, HARD_CHAR_CEILING, chunk_array, estimate_tokens
 
 
@@ -18,11 +19,18 @@ def chunk_documents(
     The text column is replaced by its chunks; a document with nothing left has no rows.
     """
     kept = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    names = [c for c in docs.columns if c != text_col]
-    chunks = docs.select(*kept, chunk_array(F.col(text_col), max_tokens, hard_char_ceiling).alias("_chunks"))
-    rows = chunks.select(
-        *names, F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_index", "chunk_text")
-    )
-    return rows.select(
-        *names, "chunk_index", "total_chunks", estimate_tokens(F.col("chunk_text")).alias("approx_tokens"), "chunk_text"
-    )
+
+    def numbered(chunks: Column) -> Column:
+        return F.transform(
+            chunks,
+            lambda text, place: F.struct(
+                place.alias("chunk_index"),
+                F.size(chunks).alias("total_chunks"),
+                estimate_tokens(text).alias("approx_tokens"),
+                text.alias("chunk_text"),
+            ),
+        )
+
+    # The generator takes the expression itself: over a column, the optimizer would
+    # add "not empty" filters below it and pack every document again for each.
+    return docs.select(*kept, F.inline(let(chunk_array(F.col(text_col), max_tokens, hard_char_ceiling), numbered)))

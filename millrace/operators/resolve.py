@@ -103,7 +103,7 @@ def _independent_set_losers(edges: DataFrame, work: Workspace) -> DataFrame | No
 
 
 def _expected_pairs(slice_: DataFrame) -> float:
-    counts = slice_.select(F.explode("sig.gram").alias("gram")).groupBy("gram").count()
+    counts = slice_.select(F.explode("sig.grams.gram").alias("gram")).groupBy("gram").count()
     n = F.col("count").cast("double")
     return counts.agg(F.sum(n * (n - 1) / 2)).first()[0] or 0.0
 

@@ -19,9 +19,9 @@ from pyspark.sql import types as T
 # The order of q-grams is "known frequent ones last".  Any order is correct, so the
 # list of frequent ones can be cut at a fixed size and shipped with the task.
 FREQUENT_GRAMS = 4096
-SIGNATURE = T.ArrayType(
-    T.StructType([T.StructField("gram", T.StringType()), T.StructField("pos", T.IntegerType())])
-)
+GRAM = T.StructType([T.StructField("gram", T.StringType()), T.StructField("pos", T.IntegerType())])
+SIGNATURE = T.StructType([T.StructField("bag", T.LongType()), T.StructField("grams", T.ArrayType(GRAM))])
+_BAG_BITS = 63
 
 
 def allowed_edits(total: int, threshold: float) -> int:
@@ -77,22 +77,32 @@ def frequent_grams(keys: DataFrame, key: str, threshold: float) -> list[str]:
     return [row["gram"] for row in reversed(rows)]
 
 
+def _bag(text: str) -> int:
+    """Bit set of the counted characters: one insertion or deletion flips at most one bit."""
+    counts: dict[str, int] = {}
+    bits = 0
+    for char in text:
+        counts[char] = counts.get(char, 0) + 1
+        bits |= 1 << ((ord(char) * 31 + counts[char] * 17) % _BAG_BITS)
+    return bits
+
+
 def signature(key: Column, threshold: float, frequent: list[str]) -> Column:
     """The rarest q-grams of a key with their positions: enough to meet any passing partner."""
     q = gram_size(threshold)
     rank = {gram: place for place, gram in enumerate(frequent, start=1)}
 
     @F.pandas_udf(SIGNATURE)
-    def rarest(keys: pd.Series) -> pd.Series:
-        out = []
+    def rarest(keys: pd.Series) -> pd.DataFrame:
+        bags, chosen = [], []
         for text in keys:
             lost = _lost_grams(len(text), threshold, q)
-            if lost is None:
-                out.append([])
-                continue
-            ordered = sorted((rank.get(g, 0), g, i) for i, g in enumerate(_grams(text, q)))
-            out.append([{"gram": g, "pos": i} for _, g, i in ordered[: lost + 1]])
-        return pd.Series(out)
+            ordered = []
+            if lost is not None:
+                ordered = sorted((rank.get(g, 0), g, i) for i, g in enumerate(_grams(text, q)))[: lost + 1]
+            bags.append(_bag(text))
+            chosen.append([{"gram": g, "pos": i} for _, g, i in ordered])
+        return pd.DataFrame({"bag": bags, "grams": chosen})
 
     return rarest(key)
 
@@ -131,8 +141,8 @@ def similar_pairs(
     """Unequal pairs ``(a, b, score)`` with a score of at least ``threshold``.
 
     Both sides bring distinct keys ``(ts, ord, sig)``.  ``ordered`` keeps pairs whose
-    left ordinal is the smaller one (self-join).  Candidates are checked for length,
-    position and edit distance inside the join, so what leaves it is close to the
+    left ordinal is the smaller one (self-join).  Candidates are checked for position,
+    characters and edit distance inside the join, so what leaves it is close to the
     result; the side to broadcast, if any, and the split of frequent grams are left
     to adaptive execution, which knows the sizes.
     """
@@ -140,15 +150,16 @@ def similar_pairs(
     def grams(side: DataFrame, key: str) -> DataFrame:
         return side.select(
             F.col("ts").alias(key), F.col("ord").alias(f"{key}_ord"), F.length("ts").alias(f"{key}_len"),
-            F.explode("sig").alias("s"),
-        ).select(key, f"{key}_ord", f"{key}_len", F.col("s.gram").alias(f"{key}_gram"), F.col("s.pos").alias(f"{key}_pos"))
+            F.col("sig.bag").alias(f"{key}_bag"), F.explode("sig.grams").alias("s"),
+        ).select(key, f"{key}_ord", f"{key}_len", f"{key}_bag", F.col("s.gram").alias(f"{key}_gram"), F.col("s.pos").alias(f"{key}_pos"))
 
     rate = (100.0 - threshold) / 100.0
     total = F.col("a_len") + F.col("b_len")
     edits = F.floor(total * F.lit(rate) + F.lit(1e-9)).cast("int")
     shift = F.col("b_pos") - F.col("a_pos")
     near = F.abs(shift) + F.abs(F.col("b_len") - F.col("a_len") - shift) <= edits
-    condition = (F.col("a_gram") == F.col("b_gram")) & near & (F.col("a") != F.col("b"))
+    alike = F.bit_count(F.col("a_bag").bitwiseXOR(F.col("b_bag"))) <= edits
+    condition = (F.col("a_gram") == F.col("b_gram")) & near & alike & (F.col("a") != F.col("b"))
     if ordered:
         condition = condition & (F.col("a_ord") < F.col("b_ord"))
     # Substitutions count once there and twice here: a lossless lower bound.
