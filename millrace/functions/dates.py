@@ -30,6 +30,8 @@ MONTHS = (
 )
 
 _MONTH_WORD = "(" + "|".join(["sept"] + [w for m in MONTHS for w in (m, m[:3])]) + r")\.?"
+# Years below 1000 have readings of their own and are left to the general parser.
+_YEAR = r"([1-9]\d{3})"
 _DAY = r"(0?[1-9]|[12]\d|3[01])"
 _CLOCK = r"(\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
 _ZONE = r"( ?utc| ?gmt|z| ?[+-](?:[01]\d|2[0-3]):?[0-5]\d)?"
@@ -38,13 +40,13 @@ _WEEKDAY = "(?:mon|tue|wed|thu|fri|sat|sun), "
 # Shapes of the lower-case text, each with its fields put in the order
 # year, month, day, hour, minute, second, fraction, zone ("~" parts them).
 _SHAPES = (
-    (r"^(\d{4})-(\d{2})-(\d{2})$", "$1~$2~$3~~~~~"),
-    (rf"^(\d{{4}})-(\d{{2}})-(\d{{2}})[t ]{_CLOCK}{_ZONE}$", "$1~$2~$3~$4~$5~$6~$7~$8"),
-    (rf"^{_MONTH_WORD} {_DAY}(?:,? (\d{{4}}))?$", "$3~$1~$2~~~~~"),
-    (rf"^{_DAY} {_MONTH_WORD}(?:,? (\d{{4}}))?$", "$3~$2~$1~~~~~"),
-    (rf"^(0?[1-9]|1[0-2])/{_DAY}/(\d{{4}})$", "$3~$1~$2~~~~~"),
-    (rf"^(1[3-9]|2\d|3[01])/{_DAY}/(\d{{4}})$", "$3~$2~$1~~~~~"),
-    (rf"^{_WEEKDAY}{_DAY} {_MONTH_WORD} (\d{{4}}) (\d{{2}}):(\d{{2}}):(\d{{2}}){_ZONE}$", "$3~$2~$1~$4~$5~$6~~$7"),
+    (rf"^{_YEAR}-(\d{{2}})-(\d{{2}})$", "$1~$2~$3~~~~~"),
+    (rf"^{_YEAR}-(\d{{2}})-(\d{{2}})[t ]{_CLOCK}{_ZONE}$", "$1~$2~$3~$4~$5~$6~$7~$8"),
+    (rf"^{_MONTH_WORD} {_DAY}(?:,? {_YEAR})?$", "$3~$1~$2~~~~~"),
+    (rf"^{_DAY} {_MONTH_WORD}(?:,? {_YEAR})?$", "$3~$2~$1~~~~~"),
+    (rf"^(0?[1-9]|1[0-2])/{_DAY}/{_YEAR}$", "$3~$1~$2~~~~~"),
+    (rf"^(1[3-9]|2\d|3[01])/{_DAY}/{_YEAR}$", "$3~$2~$1~~~~~"),
+    (rf"^{_WEEKDAY}{_DAY} {_MONTH_WORD} {_YEAR} (\d{{2}}):(\d{{2}}):(\d{{2}}){_ZONE}$", "$3~$2~$1~$4~$5~$6~~$7"),
 )
 _RELATIVE = rf"^([0-9]+)[\s]*({'|'.join(sorted(UNIT_SECONDS, key=len, reverse=True))})s?[\s]+ago$"
 
