@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.names import exact_key, normalized_key, token_sorted
 from ..functions.patterns import is_blank, strip
 from ..session import Workspace
-from .similarity import frequent_grams, signature, similar_pairs
+from .similarity import CHECKS_PER_TASK, frequent_grams, hot_grams, signature, similar_pairs
 
 DEFAULT_THRESHOLD = 90.0
 EXACT, NORMALIZED, FUZZY, NEW_ENTITY, SKIPPED = "exact", "normalized", "fuzzy", "new_entity", "skipped_empty"
@@ -35,6 +35,7 @@ class ElectionLimits:
     first_slice: int = 100_000
     pairs_per_slice: int = 200_000_000
     smallest_slice: int = 2_000
+    checks_per_task: int = CHECKS_PER_TASK
 
 
 def seed_index(seeds: DataFrame) -> DataFrame:
@@ -136,7 +137,8 @@ def elect_leaders(
             break
         end = _slice_end(remaining, rows, wanted, limits)
         taken = remaining if end is None else remaining.filter(F.col("ord") <= end)
-        edges = work.materialize(similar_pairs(taken, taken, threshold, ordered=True).select("a", "b"), "edges")
+        hot = hot_grams(taken, taken, work, limits.checks_per_task)
+        edges = work.materialize(similar_pairs(taken, taken, threshold, True, hot).select("a", "b"), "edges")
         losers = _independent_set_losers(edges, work)
         if losers is not None:
             taken = taken.join(losers.select(F.col("b").alias("ts")), "ts", "left_anti")
@@ -145,7 +147,8 @@ def elect_leaders(
         if end is None:
             break
         rest = remaining.filter(F.col("ord") > end)
-        absorbed = similar_pairs(rest, chosen, threshold).select(F.col("a").alias("ts")).distinct()
+        hot = hot_grams(rest, chosen, work, limits.checks_per_task)
+        absorbed = similar_pairs(rest, chosen, threshold, hot=hot).select(F.col("a").alias("ts")).distinct()
         remaining = work.materialize(rest.join(absorbed, "ts", "left_anti"), "remaining")
         wanted *= 2
     return reduce(DataFrame.unionByName, leaders) if leaders else candidates.limit(0)
@@ -223,19 +226,21 @@ def resolve(
 
     seed_places = seed_keys.select(F.col("ts").alias("b"), F.col("ord").alias("place"), "canonical")
     equal = keys.select("ts", F.col("ts").alias("b"), F.lit(100.0).alias("score"))
-    similar = similar_pairs(keys, seed_keys, threshold).select(F.col("a").alias("ts"), "b", "score")
+    hot = hot_grams(keys, seed_keys, work, limits.checks_per_task)
+    similar = similar_pairs(keys, seed_keys, threshold, hot=hot).select(F.col("a").alias("ts"), "b", "score")
     seed_matches = work.materialize(
         equal.unionByName(similar).join(seed_places, "b").select("ts", "score", F.lit(0).alias("tier"), "place", "canonical"),
         "seed-matches",
     )
 
-    candidates = keys.join(seed_matches.select("ts").distinct(), "ts", "left_anti")
+    candidates = work.materialize(keys.join(seed_matches.select("ts").distinct(), "ts", "left_anti"), "candidates")
     leaders = work.materialize(elect_leaders(candidates, threshold, work, limits), "all-leaders")
 
     followers = keys.join(leaders.select("ts"), "ts", "left_anti")
     leader_places = leaders.select(F.col("ts").alias("b"), F.col("ord").alias("place"), "head.canonical")
+    hot = hot_grams(followers, leaders, work, limits.checks_per_task)
     leader_matches = (
-        similar_pairs(followers, leaders, threshold)
+        similar_pairs(followers, leaders, threshold, hot=hot)
         .join(leader_places, "b")
         .select(F.col("a").alias("ts"), "score", F.lit(1).alias("tier"), "place", "canonical")
     )
@@ -317,8 +322,11 @@ def match_fuzzy(names: DataFrame, name_col: str, seeds: DataFrame, threshold: fl
     right = _seed_keys(normalized_index(seeds))
     frequent = frequent_grams(left.unionByName(right.select("ts")), "ts", threshold)
     sign = signature(F.col("ts"), threshold, frequent)
-    left, right = left.withColumn("ord", F.lit(0).cast("bigint")).withColumn("sig", sign), right.withColumn("sig", sign)
-    similar = similar_pairs(left, right, threshold).select(F.col("a").alias("ts"), "b", "score")
+    work = Workspace(names.sparkSession)
+    left = work.materialize(left.withColumn("ord", F.lit(0).cast("bigint")).withColumn("sig", sign), "keys")
+    right = work.materialize(right.withColumn("sig", sign), "seed-keys")
+    hot = hot_grams(left, right, work)
+    similar = similar_pairs(left, right, threshold, hot=hot).select(F.col("a").alias("ts"), "b", "score")
     equal = left.select("ts", F.col("ts").alias("b"), F.lit(100.0).alias("score"))
     places = right.select(F.col("ts").alias("b"), "ord", "canonical")
     best = F.struct(-F.col("score"), F.col("ord"))

@@ -16,9 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from ..session import Workspace
+
 # The order of q-grams is "known frequent ones last".  Any order is correct, so the
 # list of frequent ones can be cut at a fixed size and shipped with the task.
 FREQUENT_GRAMS = 4096
+# Candidate checks that one task may do for one gram: some seconds of work.
+CHECKS_PER_TASK = 20_000_000
 GRAM = T.StructType([T.StructField("gram", T.StringType()), T.StructField("pos", T.IntegerType())])
 SIGNATURE = T.StructType([T.StructField("bag", T.LongType()), T.StructField("grams", T.ArrayType(GRAM))])
 _BAG_BITS = 63
@@ -135,23 +139,51 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([score(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def _gram_counts(side: DataFrame, name: str) -> DataFrame:
+    return side.select(F.explode("sig.grams.gram").alias("gram")).groupBy("gram").agg(F.count("*").alias(name))
+
+
+def hot_grams(left: DataFrame, right: DataFrame, work: Workspace, limit: int = CHECKS_PER_TASK) -> DataFrame | None:
+    """``(gram, salts)`` for grams whose candidate checks are too many for one task.
+
+    Such a group can be small in bytes, so the engine's own skew handling would miss it.
+    None when the sides are too small to hold one.
+    """
+    if left.count() * right.count() <= limit:
+        return None
+    checks = F.col("n_left").cast("double") * F.col("n_right")
+    counts = _gram_counts(left, "n_left").join(_gram_counts(right, "n_right"), "gram")
+    hot = counts.filter(checks > limit).select("gram", F.ceil(checks / limit).cast("int").alias("salts"))
+    return work.materialize(hot, "hot-grams")
+
+
 def similar_pairs(
-    left: DataFrame, right: DataFrame, threshold: float, ordered: bool = False
+    left: DataFrame, right: DataFrame, threshold: float, ordered: bool = False, hot: DataFrame | None = None
 ) -> DataFrame:
     """Unequal pairs ``(a, b, score)`` with a score of at least ``threshold``.
 
     Both sides bring distinct keys ``(ts, ord, sig)``.  ``ordered`` keeps pairs whose
     left ordinal is the smaller one (self-join).  Candidates are checked for position,
     characters and edit distance inside the join, so what leaves it is close to the
-    result; the side to broadcast, if any, and the split of frequent grams are left
-    to adaptive execution, which knows the sizes.
+    result.  A gram listed in ``hot`` has its left keys dealt to several tasks and its
+    right keys copied to each.  Whether a side is broadcast is left to the engine,
+    which knows the sizes.
     """
 
     def grams(side: DataFrame, key: str) -> DataFrame:
-        return side.select(
+        rows = side.select(
             F.col("ts").alias(key), F.col("ord").alias(f"{key}_ord"), F.length("ts").alias(f"{key}_len"),
             F.col("sig.bag").alias(f"{key}_bag"), F.explode("sig.grams").alias("s"),
         ).select(key, f"{key}_ord", f"{key}_len", f"{key}_bag", F.col("s.gram").alias(f"{key}_gram"), F.col("s.pos").alias(f"{key}_pos"))
+        if hot is None:
+            return rows.withColumn(f"{key}_salt", F.lit(0))
+        rows = rows.join(hot.withColumnRenamed("gram", f"{key}_gram"), f"{key}_gram", "left")
+        salts = F.coalesce("salts", F.lit(1))
+        if key == "a":
+            salt = F.pmod(F.xxhash64(key), salts).cast("int")
+        else:
+            salt = F.explode(F.sequence(F.lit(0), salts - 1))
+        return rows.select(*[c for c in rows.columns if c != "salts"], salt.alias(f"{key}_salt"))
 
     rate = (100.0 - threshold) / 100.0
     total = F.col("a_len") + F.col("b_len")
@@ -159,7 +191,8 @@ def similar_pairs(
     shift = F.col("b_pos") - F.col("a_pos")
     near = F.abs(shift) + F.abs(F.col("b_len") - F.col("a_len") - shift) <= edits
     alike = F.bit_count(F.col("a_bag").bitwiseXOR(F.col("b_bag"))) <= edits
-    condition = (F.col("a_gram") == F.col("b_gram")) & near & alike & (F.col("a") != F.col("b"))
+    condition = (F.col("a_gram") == F.col("b_gram")) & (F.col("a_salt") == F.col("b_salt"))
+    condition = condition & near & alike & (F.col("a") != F.col("b"))
     if ordered:
         condition = condition & (F.col("a_ord") < F.col("b_ord"))
     # Substitutions count once there and twice here: a lossless lower bound.

@@ -53,7 +53,7 @@ SEEDS = [("Acme", "Acme"), ("Acme", "Acme Data"), ("North Star", "North Star"),
         (1, 90.0, rs.ElectionLimits()),
         (2, 80.0, rs.ElectionLimits()),
         (3, 62.0, rs.ElectionLimits()),
-        (4, 90.0, rs.ElectionLimits(first_slice=40, pairs_per_slice=50, smallest_slice=10)),
+        (4, 90.0, rs.ElectionLimits(first_slice=40, pairs_per_slice=50, smallest_slice=10, checks_per_task=30)),
         (5, 75.0, rs.ElectionLimits(first_slice=30)),
     ],
 )
