@@ -124,10 +124,7 @@ def _common_subsequence(a: str, b: str) -> int:
     return len(a) - free.bit_count()
 
 
-@F.pandas_udf(T.DoubleType())
-def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity (0 to 100) of two token-sorted keys."""
-
+def _scores(a: pd.Series, b: pd.Series) -> pd.Series:
     def score(x: str | None, y: str | None) -> float | None:
         if x is None or y is None:
             return None
@@ -139,6 +136,11 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([score(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def token_sort_ratio(a: Column, b: Column) -> Column:
+    """Similarity (0 to 100) of two token-sorted keys."""
+    return F.pandas_udf(_scores, T.DoubleType())(a, b)
+
+
 def _gram_counts(side: DataFrame, name: str) -> DataFrame:
     return side.select(F.explode("sig.grams.gram").alias("gram")).groupBy("gram").agg(F.count("*").alias(name))
 
@@ -197,6 +199,12 @@ def similar_pairs(
         condition = condition & (F.col("a_ord") < F.col("b_ord"))
     # Substitutions count once there and twice here: a lossless lower bound.
     close = F.expr(f"levenshtein(a, b, cast(floor((a_len + b_len) * {rate!r}D + 1e-9D) as int)) >= 0")
-    candidates = grams(left, "a").join(grams(right, "b"), condition & close).select("a", "b").distinct()
-    scored = candidates.withColumn("score", token_sort_ratio("a", "b"))
+    # Checks are heavy and keys are small: deal the keys to all tasks, whatever their bytes.
+    width = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.repartition(width, "ts")
+    candidates = grams(dealt, "a").join(grams(right, "b"), condition & close).select("a", "b").distinct()
+    # Marked as such, the score is computed once per pair: its filter would else be pushed
+    # below the distinct, where pairs still repeat, and the score computed again above.
+    once = F.pandas_udf(_scores, T.DoubleType()).asNondeterministic()
+    scored = candidates.withColumn("score", once("a", "b"))
     return scored.filter(F.col("score") >= threshold)

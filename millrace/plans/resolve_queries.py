@@ -159,7 +159,7 @@ _KEY = token_sorted_sql(normalized_sql("raw"))
 def token_sort_score(spark, sf):
     parts = table(spark, sf, "part")
     a, b = token_sorted(normalized_key(F.expr(PART_NAME))), token_sorted(F.lower("p_name"))
-    return parts.select("p_partkey", a.alias("a"), b.alias("b")).select("p_partkey", token_sort_ratio("a", "b").alias("score"))
+    return parts.select("p_partkey", a.alias("a"), b.alias("b")).select("p_partkey", token_sort_ratio(F.col("a"), F.col("b")).alias("score"))
 
 
 @query(
