@@ -16,6 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import exact_key, normalized_key, token_sorted
@@ -30,11 +31,19 @@ NORMALIZED_CONFIDENCE = 0.97
 
 @dataclass(frozen=True)
 class ElectionLimits:
-    """Sizes that steer the slices of the leader election; they never change its result."""
+    """Sizes that steer the slices of the leader election; they never change its result.
 
-    first_slice: int = 100_000
-    pairs_per_slice: int = 200_000_000
-    smallest_slice: int = 2_000
+    The first slice is small: its leaders absorb the bulk of near copies.  What is left
+    has few similar pairs per slice even when slices grow fourfold, so there are
+    logarithmically many of them.  The guards cover input that arrives sorted by likeness.
+    """
+
+    first_slice: int = 5_000
+    growth: int = 4
+    smallest_slice: int = 1_000
+    first_pairs_per_key: int = 2_000
+    pairs_per_core: int = 2_000_000
+    edges_in_one_task: int = 500_000
     checks_per_task: int = CHECKS_PER_TASK
 
 
@@ -88,10 +97,30 @@ def _seed_keys(norm_index: DataFrame) -> DataFrame:
     )
 
 
-def _independent_set_losers(edges: DataFrame, work: Workspace) -> DataFrame | None:
-    """Right ends ``b`` that are similar to an earlier leader, given edges earlier ``a`` - later ``b``."""
+def _finish_in_one_task(edges: pd.DataFrame) -> pd.DataFrame:
+    """The sequential rule on few edges: a key loses if an earlier neighbour did not."""
+    lost: set[int] = set()
+    for later, earlier in edges.sort_values("b").groupby("b", sort=True)["a"]:
+        if any(a not in lost for a in earlier):
+            lost.add(int(later))
+    return pd.DataFrame({"b": sorted(lost)}, dtype="int64")
+
+
+def _independent_set_losers(edges: DataFrame, work: Workspace, limits: ElectionLimits) -> DataFrame | None:
+    """Ordinals ``b`` of keys similar to an earlier leader, given edges earlier ``a`` - later ``b``.
+
+    Rounds in parallel while there are many edges.  Names that arrive sorted form long
+    chains and would need as many rounds, so a remainder of bounded size is settled by one task.
+    """
     losers: list[DataFrame] = []
-    while not edges.isEmpty():
+    while True:
+        n_edges = edges.count()
+        if n_edges == 0:
+            break
+        if n_edges <= limits.edges_in_one_task:
+            last = edges.groupBy().applyInPandas(_finish_in_one_task, "b bigint")
+            losers.append(work.materialize(last, "lost"))
+            break
         later = edges.select(F.col("b").alias("a")).distinct()
         roots = edges.select("a").distinct().join(later, "a", "left_anti")
         lost = work.materialize(edges.join(roots, "a", "left_semi").select("b").distinct(), "lost")
@@ -109,7 +138,7 @@ def _expected_pairs(slice_: DataFrame) -> float:
     return counts.agg(F.sum(n * (n - 1) / 2)).first()[0] or 0.0
 
 
-def _slice_end(remaining: DataFrame, rows: int, wanted: int, limits: ElectionLimits) -> int | None:
+def _slice_end(remaining: DataFrame, rows: int, wanted: int, budget: float, limits: ElectionLimits) -> int | None:
     """Last ordinal of the next slice, None for all that remains."""
     while True:
         end = None
@@ -120,10 +149,9 @@ def _slice_end(remaining: DataFrame, rows: int, wanted: int, limits: ElectionLim
         if size <= limits.smallest_slice:
             return end
         pairs = _expected_pairs(taken)
-        if pairs <= limits.pairs_per_slice:
+        if pairs <= budget:
             return end
-        shrink = (limits.pairs_per_slice / pairs) ** 0.5
-        wanted = max(limits.smallest_slice, int(size * min(shrink, 0.5)))
+        wanted = max(limits.smallest_slice, int(size * min((budget / pairs) ** 0.5, 0.5)))
 
 
 def elect_leaders(
@@ -131,17 +159,20 @@ def elect_leaders(
 ) -> DataFrame:
     """Keys ``(ts, ord, sig, ...)`` that a sequential pass would register as new entities."""
     remaining, wanted, leaders = candidates, limits.first_slice, []
+    cores = work.spark.sparkContext.defaultParallelism
+    budget = float(limits.first_pairs_per_key * limits.first_slice)
     while True:
         rows = remaining.count()
         if rows == 0:
             break
-        end = _slice_end(remaining, rows, wanted, limits)
+        end = _slice_end(remaining, rows, wanted, budget, limits)
         taken = remaining if end is None else remaining.filter(F.col("ord") <= end)
         hot = hot_grams(taken, taken, work, limits.checks_per_task)
-        edges = work.materialize(similar_pairs(taken, taken, threshold, True, hot).select("a", "b"), "edges")
-        losers = _independent_set_losers(edges, work)
+        pairs = similar_pairs(taken, taken, threshold, ordered=True, hot=hot)
+        edges = work.materialize(pairs.select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b")), "edges")
+        losers = _independent_set_losers(edges, work, limits)
         if losers is not None:
-            taken = taken.join(losers.select(F.col("b").alias("ts")), "ts", "left_anti")
+            taken = taken.join(losers.select(F.col("b").alias("ord")), "ord", "left_anti").select(*candidates.columns)
         chosen = work.materialize(taken, "leaders")
         leaders.append(chosen)
         if end is None:
@@ -150,7 +181,8 @@ def elect_leaders(
         hot = hot_grams(rest, chosen, work, limits.checks_per_task)
         absorbed = similar_pairs(rest, chosen, threshold, hot=hot).select(F.col("a").alias("ts")).distinct()
         remaining = work.materialize(rest.join(absorbed, "ts", "left_anti"), "remaining")
-        wanted *= 2
+        wanted *= limits.growth
+        budget = float(limits.pairs_per_core * cores)
     return reduce(DataFrame.unionByName, leaders) if leaders else candidates.limit(0)
 
 

@@ -22,7 +22,7 @@ from ..session import Workspace
 # list of frequent ones can be cut at a fixed size and shipped with the task.
 FREQUENT_GRAMS = 4096
 # Candidate checks that one task may do for one gram: some seconds of work.
-CHECKS_PER_TASK = 20_000_000
+CHECKS_PER_TASK = 4_000_000
 GRAM = T.StructType([T.StructField("gram", T.StringType()), T.StructField("pos", T.IntegerType())])
 SIGNATURE = T.StructType([T.StructField("bag", T.LongType()), T.StructField("grams", T.ArrayType(GRAM))])
 _BAG_BITS = 63
@@ -165,7 +165,7 @@ def similar_pairs(
     """Unequal pairs ``(a, b, score)`` with a score of at least ``threshold``.
 
     Both sides bring distinct keys ``(ts, ord, sig)``.  ``ordered`` keeps pairs whose
-    left ordinal is the smaller one (self-join).  Candidates are checked for position,
+    left ordinal is the smaller one (self-join) and adds both ordinals.  Candidates are checked for position,
     characters and edit distance inside the join, so what leaves it is close to the
     result.  A gram listed in ``hot`` has its left keys dealt to several tasks and its
     right keys copied to each.  Whether a side is broadcast is left to the engine,
@@ -199,10 +199,11 @@ def similar_pairs(
         condition = condition & (F.col("a_ord") < F.col("b_ord"))
     # Substitutions count once there and twice here: a lossless lower bound.
     close = F.expr(f"levenshtein(a, b, cast(floor((a_len + b_len) * {rate!r}D + 1e-9D) as int)) >= 0")
+    out = ["a", "b", "a_ord", "b_ord"] if ordered else ["a", "b"]
     # Checks are heavy and keys are small: deal the keys to all tasks, whatever their bytes.
     width = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = left.repartition(width, "ts")
-    candidates = grams(dealt, "a").join(grams(right, "b"), condition & close).select("a", "b").distinct()
+    candidates = grams(dealt, "a").join(grams(right, "b"), condition & close).select(*out).distinct()
     # Marked as such, the score is computed once per pair: its filter would else be pushed
     # below the distinct, where pairs still repeat, and the score computed again above.
     once = F.pandas_udf(_scores, T.DoubleType()).asNondeterministic()

@@ -259,4 +259,4 @@ _SUPPLIERS_SQL = "SELECT s_suppkey AS ord, s_name AS raw FROM supplier"
 def resolve_near_copies(spark, sf):
     """One leader absorbs a mass of near copies; slices keep their pairs from being formed."""
     names = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("ord"), F.col("s_name").alias("raw"))
-    return rs.resolve(names, "raw", "ord", part_seeds(spark, sf), limits=rs.ElectionLimits(smallest_slice=200, pairs_per_slice=1_000_000))
+    return rs.resolve(names, "raw", "ord", part_seeds(spark, sf), limits=rs.ElectionLimits(first_slice=500, smallest_slice=200))

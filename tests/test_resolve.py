@@ -51,9 +51,9 @@ SEEDS = [("Acme", "Acme"), ("Acme", "Acme Data"), ("North Star", "North Star"),
     "seed,threshold,limits",
     [
         (1, 90.0, rs.ElectionLimits()),
-        (2, 80.0, rs.ElectionLimits()),
+        (2, 80.0, rs.ElectionLimits(edges_in_one_task=20)),
         (3, 62.0, rs.ElectionLimits()),
-        (4, 90.0, rs.ElectionLimits(first_slice=40, pairs_per_slice=50, smallest_slice=10, checks_per_task=30)),
+        (4, 90.0, rs.ElectionLimits(first_slice=40, first_pairs_per_key=1, pairs_per_core=20, smallest_slice=10, checks_per_task=30, edges_in_one_task=3)),
         (5, 75.0, rs.ElectionLimits(first_slice=30)),
     ],
 )
