@@ -4,9 +4,9 @@ import pytest
 from check_oracle import compare, duck
 
 import __spark_entry__ as entry
+from millrace.plans.registered import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # Variants of a resolution or build that other entries cover; the checker script runs all.
 REPEATS = {"new_entities", "mapping_log", "build_startups", "build_products", "startup_edges", "extract_entities", "dead_letters"}
 
