@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import documents, prepare
 from millrace.llm.exact_dedup import ExactDedup
+from millrace.llm.graphs import small
 from millrace.llm.line_rules import apply_line_rules
 from millrace.llm.mixing import poisson_mix
 from millrace.llm.packing import pack
+from millrace.llm.signature_join import similar_components
 from millrace.session import Workspace
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,6 +35,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ExactDedup(docs).survivors().select(*COLUMNS)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id."""
+    prepare(spark)
+    found = similar_components(docs, n=5, percent=80).filter("component_id <> doc_id")
+    return docs.join(small(found.select("doc_id").distinct()), "doc_id", "left_anti").select(*COLUMNS)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources nearer to equal mass; a document can go or come several times."""
     prepare(spark)
@@ -48,6 +57,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("quality rules", quality_rules),
     ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", near_dedup),
     ("source mixing", mix_sources),
     ("best-fit packing", best_fit_packing),
 ]

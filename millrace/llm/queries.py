@@ -11,6 +11,7 @@ from .feistel import shuffle_shards
 from .line_rules import apply_line_rules
 from .mixing import poisson_mix
 from .packing import pack
+from .signature_join import similar_components
 
 SHARDS = 40
 SHUFFLE_KEY = 20_240_607
@@ -110,6 +111,11 @@ def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_signature_join")
+def signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(documents(spark, sf_dir), n=4, percent=85)
+
+
 @query("op9_best_fit")
 def best_fit_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters are the groups of equal texts."""
