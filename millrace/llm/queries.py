@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, query
+from ..session import Workspace
+from .common import BLANK, documents, query
+from .edit_counts import edit_counts, match_edits
 from .exact_dedup import ExactDedup
 from .feistel import shuffle_shards
+from .grammar_files import read_token_files, write_token_files
 from .line_rules import apply_line_rules
 from .mixing import poisson_mix
 from .packing import pack
 from .signature_join import similar_components
 
 SHARDS = 40
+END_ID = 2
+TOKENIZER = "byte_bpe_50k.json"
 SHUFFLE_KEY = 20_240_607
 
 LINE_RULES_SQL = r"""
@@ -86,6 +91,28 @@ SELECT doc_id, source, n_bytes, copies AS mix_copies, unnest(range(0, copies)) A
 """
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_edit_counts")
+def edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with a digit are masked and line breaks doubled; the counts follow without a second encoding."""
+    docs = documents(spark, sf_dir)
+    pattern = rf"\n|[^{BLANK}]*[0-9][^{BLANK}]*"
+    edits = match_edits(F.coalesce("text", F.lit("")), pattern, {"\n": "\n\n"}, "<num>")
+    return edit_counts(docs.select("doc_id", "text", edits.alias("edits")), tokenizer_path())
+
+
+@query("op2_grammar_files")
+def grammar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Workspace(spark).path("token-files")
+    write_token_files(documents(spark, sf_dir), path, tokenizer_path(), END_ID)
+    return read_token_files(spark, path)
+
+
 @query("op3_feistel_shards")
 def feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shuffle_shards(documents(spark, sf_dir), SHARDS, SHUFFLE_KEY)
