@@ -14,6 +14,7 @@ from .grammar_files import read_token_files, write_token_files
 from .line_rules import apply_line_rules
 from .mixing import poisson_mix
 from .packing import pack
+from .role_repair import repair_roles
 from .signature_join import similar_components
 
 SHARDS = 40
@@ -143,6 +144,11 @@ def signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(documents(spark, sf_dir), n=4, percent=85)
 
 
+@query("op8_role_repair")
+def role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_roles(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("place")
+
+
 @query("op9_best_fit")
 def best_fit_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters are the groups of equal texts."""
