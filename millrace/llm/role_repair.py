@@ -27,7 +27,7 @@ from .common import col
 from .graphs import small
 
 SEGMENT = 10_000
-MERGE, RELABEL, INSERT = 1, 3, 2
+MERGE, RELABEL, INSERT = 1, 4, 2
 # Role names and their spellings.
 ROLES = ("system", "user", "assistant")
 ALIASES = {"human": "user", "prompter": "user", "ai": "assistant", "bot": "assistant", "gpt": "assistant", "model": "assistant"}
