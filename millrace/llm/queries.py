@@ -15,6 +15,7 @@ from .line_rules import apply_line_rules
 from .mixing import poisson_mix
 from .packing import pack
 from .role_repair import repair_roles
+from .secret_scan import scan_secrets
 from .signature_join import similar_components
 
 SHARDS = 40
@@ -139,6 +140,11 @@ def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir))
+
+
 @query("op7_signature_join")
 def signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(documents(spark, sf_dir), n=4, percent=85)
