@@ -148,29 +148,36 @@ def describe_sets(texts: DataFrame, n: int, percent: int) -> DataFrame:
     return texts.mapInArrow(describe, schema)
 
 
+def bounded(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps do not exclude; pairs has a_size, a_bits, b_size, b_bits too."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.r_[batch.column("a_size").to_numpy(), batch.column("b_size").to_numpy()]
+            raw = b"".join(batch.column("a_bits").to_pylist() + batch.column("b_bits").to_pylist())
+            bits = np.frombuffer(raw, dtype=np.uint64).reshape(len(size), BITS // 64)
+            level = _levels(np.arange(len(size)), bits, size, np.arange(len(size)))[0]
+            n = len(batch)
+            ok = pa.array(_alive(level, np.arange(n), np.arange(n, 2 * n), percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
+
+    return pairs.mapInArrow(keep, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, space: Workspace) -> DataFrame:
-    """The pairs (a, b) whose full sets link.  Followers b stream past the set of their a.
+    """The pairs (a, b) whose full sets link.  The texts of followers b stream past the set of their a.
 
     An a with many followers is copied for groups of about FOLLOWERS of them, so no task holds them all.
     """
-    pairs = space.materialize(pairs, "pairs")
-    total = pairs.count()
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [own.tobytes() for own in shingle_sets(batch.column("text"), n)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "tokens"])
-
-    sets = texts.join(small(needed), "id", "left_semi").mapInArrow(full, "id long, tokens binary")
-    sets = space.materialize(sets, "full-sets")
+    pairs = space.materialize(pairs.distinct(), "pairs")
     degrees = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("__size"))
-    counted = join_groups(pairs, degrees, "a", total)
+    counted = join_groups(pairs, degrees, "a", pairs.count())
     salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("__size") / FOLLOWERS))
     salted = counted.select("a", "b", salt.alias("salt"))
     leaders = salted.select("a", "salt").distinct().select(F.col("a").alias("id"), "a", "salt", F.lit(0).alias("role"))
     followers = salted.select(F.col("b").alias("id"), "a", "salt", F.lit(1).alias("role"))
-    streams = sets.join(leaders.unionByName(followers), "id")
+    roles = space.materialize(leaders.unionByName(followers), "roles")
+    streams = texts.join(small(roles), "id")
     streams = streams.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,13 +185,12 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, space: Wo
         for batch in batches:
             found = []
             columns = [batch.column(c).to_pylist() for c in ("a", "salt", "role", "id")]
-            tokens = batch.column("tokens")
-            for i, (a, s, role, own_id) in enumerate(zip(*columns, strict=True)):
-                own = np.frombuffer(tokens[i].as_buffer(), dtype=np.uint64)
+            sets = shingle_sets(batch.column("text"), n)
+            for own, a, s, role, own_id in zip(sets, *columns, strict=True):
                 if (a, s) != group:
                     group, leading = (a, s), []
                 if role == 0:
-                    leading.append(own.copy())
+                    leading.append(own)
                     continue
                 for other in leading:
                     both = len(own) + len(other)
@@ -196,7 +202,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, space: Wo
                 [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"]
             )
 
-    return space.materialize(streams.mapInArrow(check, "a long, b long"), "links")
+    return space.materialize(streams.mapInArrow(check, "a long, b long").distinct(), "links")
 
 
 def _levels(tree: np.ndarray, bits: np.ndarray, size: np.ndarray, comp: np.ndarray) -> list[dict[str, np.ndarray]]:
@@ -342,16 +348,17 @@ def similar_components(
     equal = join_groups(keyed, classes.select("key", "rep", "__size"), "key", total).filter("id <> rep")
     equal = space.materialize(equal.select(F.col("rep").alias("a"), F.col("id").alias("b")), "equal")
     reps = linked.join(small(equal.select(F.col("b").alias("id")).distinct()), "id", "left_anti")
-    reps = space.materialize(reps.select("id", "size", "pivots", "prefix", "bits"), "representatives")
 
     # 3. Pivots.
-    ways = reps.select("id", F.posexplode("pivots").alias("way", "pivot"))
-    groups = ways.groupBy("way", "pivot").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("__size"))
-    groups = groups.filter("__size > 1").withColumn("key", F.xxhash64("way", "pivot")).select("key", "a", "__size")
+    ways = reps.select("id", F.posexplode("pivots").alias("way", "pivot")).select("id", F.xxhash64("way", "pivot").alias("key"))
+    groups = ways.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("__size")).filter("__size > 1")
     groups = space.materialize(groups, "pivot-groups")
     total = groups.agg(F.sum("__size").alias("n")).first()["n"] or 0
-    led = join_groups(ways.select("id", F.xxhash64("way", "pivot").alias("key")), groups, "key", total)
-    pivoted = verified(led.filter("id <> a").select("a", F.col("id").alias("b")).distinct(), texts, n, percent, space)
+    led = join_groups(ways, groups, "key", total).filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    led = space.materialize(led, "pivot-pairs")
+    sides = [reps.select(F.col("id").alias(k), F.col("size").alias(f"{k}_size"), F.col("bits").alias(f"{k}_bits")) for k in "ab"]
+    asked = sides[1].join(small(led), "b").join(sides[0].join(small(led.select("a").distinct()), "a", "left_semi"), "a")
+    pivoted = verified(bounded(asked, percent), texts, n, percent, space)
     first = space.materialize(components(pivoted, space), "pivot-components")
     tied = reps.join(small(first.select(F.col("node").alias("id"), "component")), "id", "left")
     tied = tied.select("id", "size", "prefix", "bits", F.coalesce("component", "id").alias("comp"))
