@@ -44,6 +44,7 @@ BITS = 1024
 FOLLOWERS = 256
 FOREST_ROWS = 20_000
 PAIR_CHUNK = 1 << 16
+BROADCAST_ROUTES = 2_000_000  # rows of two numbers, about 100 MB in memory
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -364,17 +365,19 @@ def similar_components(
     tied = tied.select("id", "size", "prefix", "bits", F.coalesce("component", "id").alias("comp"))
 
     # 4. Trees.
-    routes = tied.select(F.explode("prefix").alias("token"), "comp")
+    routes = tied.select(F.explode("prefix").alias("token"), "id", "comp", "size")
     mixed = routes.groupBy("token").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("__size")
-    )
-    mixed = space.materialize(mixed.filter("low <> high").select("token", "__size"), "mixed-routes")
-    total = mixed.agg(F.sum("__size").alias("n")).first()["n"] or 0
-    spread = tied.select(F.explode("prefix").alias("token"), "id", "comp", "size", "bits")
-    if mixed.count() <= 1_000_000:
-        routed = spread.join(F.broadcast(mixed), "token")
-    else:
-        routed = join_groups(spread, mixed, "token", total)
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("__size"),
+        F.min("size").alias("least"), F.max("size").alias("most"),
+    )
+    # Two sets alone on a route must at least have sizes that can link.
+    apart = (F.col("__size") == 2) & (F.col("least") * 100 < F.col("most") * percent)
+    mixed = space.materialize(mixed.filter((F.col("low") != F.col("high")) & ~apart).select("token", "__size"), "mixed-routes")
+    if mixed.count() <= BROADCAST_ROUTES:
+        routed = tied.select(F.explode("prefix").alias("token"), "id", "comp", "size", "bits").join(F.broadcast(mixed), "token")
+    else:  # narrow rows first, bitmaps for those that stay
+        total = mixed.agg(F.sum("__size").alias("n")).first()["n"]
+        routed = join_groups(routes, mixed, "token", total).join(tied.select("id", "bits"), "id")
     blocks = F.ceil(F.col("__size") / TILE)
     routed = routed.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id"), blocks)})
     routed = routed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
