@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import col
-from .encoding import ODD_SPACE, Encoder
+from .encoding import ODD_SPACE, Encoder, joined
 
 EDITS = "array<struct<start:int,stop:int,text:string>>"
 
@@ -105,7 +105,7 @@ def edit_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
-        for batch in batches:
+        for batch in joined(batches, "text"):
             texts = batch.column("text").cast(pa.large_string()).fill_null("")
             odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
             offsets, sizes, codes, ids = encoder.split(texts.filter(pa.array(~odd)))

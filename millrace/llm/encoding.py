@@ -8,15 +8,18 @@ distinct piece is encoded once in a while.  Any other text is encoded as a whole
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_PIECES = 200_000
+CACHED_PIECES = 300_000
 _SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
 # A space at an end of the text or next to other white space.
 ODD_SPACE = rf"(^|{_SPACE}) | ({_SPACE}|$)"
+_MARKS = (".", ",")
+BATCH_BYTES = 8 << 20
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -34,6 +37,19 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return flat[np.repeat(starts - ends + lengths, lengths) + np.arange(total)]
 
 
+def joined(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to about BATCH_BYTES of text: the fewer batches, the fewer distinct pieces in all."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= BATCH_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 class Encoder:
     """A tokenizer of the tokenizers library behind a two-generation cache."""
 
@@ -46,6 +62,7 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
         newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self._newline = newline[0] if len(newline) == 1 else None
+        self._marks = {m: self._encode([m])[0] for m in _MARKS}
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
@@ -74,20 +91,39 @@ class Encoder:
         return [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
 
     def pieces(self, keys: list[str]) -> list[bytes]:
-        """Ids of each piece; a piece is a space and what follows, or the head of a text."""
+        """Ids of each piece; a piece is a space and what follows, or the head of a text.
+
+        A closing mark behind a letter or digit is a token stretch of its own, so such a piece is put
+        together from two.
+        """
         if len(self._young) > CACHED_PIECES:
             self._young, self._old = {}, self._young
         young, old = self._young, self._old
         found = list(map(young.get, keys))
-        broken, missing = [], []
+        broken, missing, marked = [], {}, []
         for i, ids in enumerate(found):
-            if ids is None:
-                if (ids := old.get(keys[i])) is not None:
-                    found[i] = young[keys[i]] = ids
-                else:
-                    (broken if "\n" in keys[i] else missing).append(i)
-        for i, ids in zip(missing, self._encode_pieces([keys[i] for i in missing]), strict=True):
-            found[i] = young[keys[i]] = ids
+            if ids is not None:
+                continue
+            key = keys[i]
+            if "\n" in key:
+                broken.append(i)
+                continue
+            if key[-1:] in _MARKS and key[-2:-1].isalnum():
+                marked.append(i)
+                key = key[:-1]
+                if key in young:
+                    continue
+            if (ids := old.get(key)) is not None:
+                young[key] = ids
+            else:
+                missing[key] = None
+            if key is keys[i]:
+                found[i] = ids
+        young.update(zip(missing, self._encode_pieces(list(missing)), strict=True))
+        if missing:
+            found = [young.get(k) if f is None else f for f, k in zip(found, keys, strict=True)]
+        for i in marked:
+            found[i] = young[keys[i][:-1]] + self._marks[keys[i][-1]]
         if broken:
             self._break(keys, broken, found)
         return found

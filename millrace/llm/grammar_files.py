@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import col
-from .encoding import Encoder, flat_lists, gather
+from .encoding import Encoder, flat_lists, gather, joined
 
 BLOCK_TOKENS = 1 << 19
-ROUNDS = 12
-RULES_A_ROUND = 1024
+ROUNDS = 8
+RULES_A_ROUND = 1536
 LEAST_COUNT = 6
 BLOCK_SCHEMA = (
     "shard long, block long, block_start long, width int, first_rule long, doc_ids array<long>, doc_tokens binary, "
@@ -177,7 +177,7 @@ def write_token_files(
         parts: list[np.ndarray] = []
         size = 0
         end = np.array([end_id], dtype=np.uint32)
-        for batch in batches:
+        for batch in joined(batches, "text"):
             tokens, bounds = encoder.encode(batch.column("text"))
             for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 ids.append(doc_id)
