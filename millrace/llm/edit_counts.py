@@ -13,12 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import col
-from .encoding import ODD_SPACE, Encoder, joined
+from .encoding import Encoder, joined
 
 EDITS = "array<struct<start:int,stop:int,text:string>>"
 
@@ -96,7 +95,7 @@ def edit_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
 
     Edits are an array of (start, stop, text) over the code points of the old text; they are taken by start and
     cut to the text, and one that overlaps an earlier one is left out.  Null text is empty, null edits are none, a
-    null replacement is empty.  A text with white space next to a space is one segment.  Rows are independent of
+    null replacement is empty.  Rows are independent of
     each other; an empty table gives no rows.  Other columns are not read.
     """
     rows = docs.select(
@@ -107,42 +106,29 @@ def edit_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
         encoder = Encoder.of(tokenizer)
         for batch in joined(batches, "text"):
             texts = batch.column("text").cast(pa.large_string()).fill_null("")
-            odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
-            offsets, sizes, codes, ids = encoder.split(texts.filter(pa.array(~odd)))
-            counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))[codes] // encoder.dtype.itemsize
+            offsets, sizes, counts = encoder.counts(texts)
             before, segments, again, n_edits, trees = [], [], [], [], []
             redo: list[str] = []  # the stretches of the batch, each from its first segment on
             where: list[tuple[int, int, int]] = []
-            whole, plain = [], 0
             for row, edits in enumerate(batch.column("edits").to_pylist()):
-                text = texts[row].as_py() if edits or odd[row] else None
-                own = clean_edits(edits, len(text)) if edits else []
-                n_edits.append(len(own))
-                if odd[row]:
-                    tree = SegmentTree(np.zeros(1))
-                    whole.append((row, text, edited(text, own)))
-                    spans = []
-                    again.append(1 if own else 0)
-                else:
-                    part = slice(offsets[plain], offsets[plain + 1])
-                    plain += 1
-                    tree = SegmentTree(counts[part].copy())
-                    ends = np.cumsum(sizes[part])
-                    spans = stretches(ends, own) if own else []
-                    again.append(sum(j - i + 1 for i, j, _ in spans))
+                part = slice(offsets[row], offsets[row + 1])
+                tree = SegmentTree(counts[part].copy() if offsets[row] < offsets[row + 1] else np.zeros(1))
                 before.append(tree.total)
                 segments.append(len(tree.levels[0]))
                 trees.append(tree)
+                text = texts[row].as_py() if edits else ""
+                own = clean_edits(edits, len(text)) if edits else []
+                ends = np.cumsum(sizes[part]) if text else np.zeros(1, dtype=np.int64)
+                spans = stretches(ends, own) if own else []
+                n_edits.append(len(own))
+                again.append(sum(j - i + 1 for i, j, _ in spans))
                 for i, j, inside in spans:
                     start = int(ends[i - 1]) if i else 0
                     redo.append(edited(text[start : int(ends[j])], inside, start))
                     where.append((row, i, j))
-            if whole:
-                coded = encoder.tokenizer.encode_batch_fast([t for _, old, new in whole for t in (old, new)], add_special_tokens=False)
-                for (row, _, _), old, new in zip(whole, coded[::2], coded[1::2], strict=True):
-                    before[row] = len(old.ids)
-                    trees[row].update(np.zeros(1, dtype=np.int64), np.array([len(new.ids)]))
-            for (row, i, j), n in zip(where, encoder.lengths(redo), strict=True):
+            pieces, _, new = encoder.counts(pa.array(redo, pa.large_string()))
+            totals = np.diff(np.r_[0, np.cumsum(new)][pieces]).tolist()
+            for (row, i, j), n in zip(where, totals, strict=True):
                 trees[row].update(np.arange(i, j + 1), np.r_[n, np.zeros(j - i, dtype=np.int64)])
             columns = [before, [t.total for t in trees], n_edits, segments, again]
             names = ["doc_id", "n_tokens_before", "n_tokens", "n_edits", "n_segments", "n_encoded_again"]

@@ -1,27 +1,36 @@
-"""Token ids of whole texts, with a bounded cache of pieces.
+"""Token ids of whole texts: pieces between safe cuts, each distinct piece encoded once in a while.
 
-A byte-level pre-tokenizer always cuts before a single space between two other characters that are not
-white space, so a text whose spaces all stand like that is the sequence of its space-led pieces, and each
-distinct piece is encoded once in a while.  Any other text is encoded as a whole.
+A byte-level pre-tokenizer always cuts before a space whose neighbours are no white space, around a line
+break whose neighbours are none, and before a full stop or comma between a letter or digit and such a space, break
+or end.  So a text is the sequence of its pieces between these cuts (white space of any other kind stays inside a
+piece), and the tokens of a piece depend on the piece alone.  Pieces are found, hashed and looked up in
+numpy; the cache is an open table of 64-bit hashes with the ids of all pieces in one pool.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-CACHED_PIECES = 300_000
-_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
-# A space at an end of the text or next to other white space.
-ODD_SPACE = rf"(^|{_SPACE}) | ({_SPACE}|$)"
-_MARKS = (".", ",")
+from .shingles import BASE, mix, powers
+
+SLOTS = 1 << 21  # of the cache; about 30 MB, emptied when half full
 BATCH_BYTES = 8 << 20
+BLOCK = 1 << 20
 _ENCODERS: dict[str, Encoder] = {}
 
+_BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+_WHITE, _ALNUM, _LEAD, _MARK = np.zeros((4, 256), dtype=bool)
+_WHITE[[*range(9, 14), *range(28, 33)]] = True
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True  # first bytes of all white space beyond ASCII
+_MARK[[ord("."), ord(",")]] = True
+_CLEAN = re.compile(r" ?\S+")
+
 
 def flat_lists(lists: list[np.ndarray], dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """All items in one array, and where each list begins (one more than lists)."""
@@ -38,7 +47,7 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 
 def joined(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Batches put together up to about BATCH_BYTES of text: the fewer batches, the fewer distinct pieces in all."""
+    """Batches put together up to about BATCH_BYTES of text."""
     held, size = [], 0
     for batch in batches:
         held.append(batch)
@@ -50,8 +59,62 @@ def joined(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
         yield pa.concat_batches(held)
 
 
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of all texts and where each text begins (one more than texts); null counts as empty."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    if len(texts) == 0:
+        return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+    _, offsets, raw = texts.buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(raw, dtype=np.uint8)[bounds[0] : bounds[-1]] if raw else np.zeros(0, dtype=np.uint8)
+    return data, bounds - bounds[0]
+
+
+def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Positions where pieces begin."""
+    n = len(data)
+    if n == 0:
+        return np.zeros(0, dtype=np.int64)
+    first = np.zeros(n + 1, dtype=bool)
+    first[bounds] = True
+    cuts = np.flatnonzero((data == 32) | (data == 10) | _MARK[data])
+    before, after = data[np.maximum(cuts - 1, 0)], data[np.minimum(cuts + 1, n - 1)]
+    at_head, at_end = first[cuts], first[cuts + 1]
+    # White space before a cut: an ASCII one, or the last byte of another one.
+    wide = (data[np.maximum(cuts - 2, 0)] == 0xC2) | _LEAD[data[np.maximum(cuts - 3, 0)]]
+    blank_before = _WHITE[before] | ((before >= 0x80) & wide)
+    blank_after = _WHITE[after] | _LEAD[after]
+    alone = ~at_head & ~at_end & ~blank_before & ~blank_after
+    space, line, mark = data[cuts] == 32, data[cuts] == 10, _MARK[data[cuts]]
+    starts = first[:-1].copy()
+    starts[cuts[space & alone]] = True
+    starts[cuts[line & alone]] = True
+    starts[cuts[line & alone] + 1] = True
+    # A mark between a letter or digit and a cut or end.
+    cut_next = at_end | starts[np.minimum(cuts + 1, n - 1)] & ((after == 32) | (after == 10))
+    starts[cuts[mark & ~at_head & _ALNUM[before] & cut_next]] = True
+    return np.flatnonzero(starts)
+
+
+def piece_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the pieces, never 0; bytes are taken in blocks that end between pieces."""
+    ends = np.r_[starts[1:], len(data)]
+    out, i = [], 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, low + BLOCK, side="right")))
+        part = data[low : ends[j - 1]]
+        up, down = powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE_HASH[part] * up[: len(part)], out=sums[1:])
+        s, e = starts[i:j] - low, ends[i:j] - low
+        out.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)))
+        i = j
+    return np.maximum(np.concatenate(out), np.uint64(1)) if out else np.zeros(0, dtype=np.uint64)
+
+
 class Encoder:
-    """A tokenizer of the tokenizers library behind a two-generation cache."""
+    """A tokenizer of the tokenizers library behind a cache of pieces."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,9 +125,14 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
         newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self._newline = newline[0] if len(newline) == 1 else None
-        self._marks = {m: self._encode([m])[0] for m in _MARKS}
-        self._young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self._keys = np.zeros(SLOTS, dtype=np.uint64)
+        self._at = np.zeros(SLOTS, dtype=np.int64)
+        self._length = np.zeros(SLOTS, dtype=np.int32)
+        self._pool = np.zeros(1 << 20, dtype=self.dtype)
+        self._used = self._entries = 0
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -73,133 +141,109 @@ class Encoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in coded]
-
-    def _encode_pieces(self, keys: list[str]) -> list[bytes]:
-        """Pieces without line breaks, encoded as the lines of one text: a lone line break is a token of its own."""
-        if self._newline is None or len(keys) < 2:
-            return self._encode(keys)
-        (lines,) = self.tokenizer.encode_batch_fast(["\n".join(keys)], add_special_tokens=False)
-        ids = np.array(lines.ids, dtype=self.dtype)
-        cuts = np.flatnonzero(ids == self._newline)
-        if len(cuts) != len(keys) - 1:
-            return self._encode(keys)
-        raw, step = ids.tobytes(), self.dtype.itemsize
-        starts, ends = np.r_[0, cuts + 1] * step, np.r_[cuts, len(ids)] * step
-        return [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-
-    def pieces(self, keys: list[str]) -> list[bytes]:
-        """Ids of each piece; a piece is a space and what follows, or the head of a text.
-
-        A closing mark behind a letter or digit is a token stretch of its own, so such a piece is put
-        together from two.
-        """
-        if len(self._young) > CACHED_PIECES:
-            self._young, self._old = {}, self._young
-        young, old = self._young, self._old
-        found = list(map(young.get, keys))
-        broken, missing, marked = [], {}, []
-        for i, ids in enumerate(found):
-            if ids is not None:
-                continue
-            key = keys[i]
-            if "\n" in key:
-                broken.append(i)
-                continue
-            if key[-1:] in _MARKS and key[-2:-1].isalnum():
-                marked.append(i)
-                key = key[:-1]
-                if key in young:
-                    continue
-            if (ids := old.get(key)) is not None:
-                young[key] = ids
+        return [np.array(e.ids, dtype=self.dtype) for e in coded]
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and the count of each piece.  Pieces without white space inside go as the lines of one text."""
+        lines = [i for i, p in enumerate(pieces) if _CLEAN.fullmatch(p)] if self._newline is not None else []
+        parts: list[np.ndarray | None] = [None] * len(pieces)
+        if lines:
+            (coded,) = self.tokenizer.encode_batch_fast(["\n".join([pieces[i] for i in lines])], add_special_tokens=False)
+            ids = np.array(coded.ids, dtype=self.dtype)
+            cuts = np.flatnonzero(ids == self._newline)
+            if len(cuts) != len(lines) - 1:
+                lines = []
+            elif len(lines) == len(pieces):
+                return np.delete(ids, cuts), np.diff(np.r_[-1, cuts, len(ids)]) - 1
             else:
-                missing[key] = None
-            if key is keys[i]:
-                found[i] = ids
-        young.update(zip(missing, self._encode_pieces(list(missing)), strict=True))
-        if missing:
-            found = [young.get(k) if f is None else f for f, k in zip(found, keys, strict=True)]
-        for i in marked:
-            found[i] = young[keys[i][:-1]] + self._marks[keys[i][-1]]
-        if broken:
-            self._break(keys, broken, found)
-        return found
-
-    def _break(self, keys: list[str], at: list[int], found: list[bytes | None]) -> None:
-        """Pieces with line breaks between other characters: their lines, with the break's token in between."""
-        lines = {i: keys[i].split("\n") for i in at}
-        clean = [i for i in at if self._newline is not None and all(x and x != " " for x in lines[i])]
-        flat = self.pieces([x for i in clean for x in lines[i]])
-        separator, start = np.array([self._newline or 0], dtype=self.dtype).tobytes(), 0
-        for i in clean:
-            found[i] = separator.join(flat[start : start + len(lines[i])])
-            start += len(lines[i])
-        rest = sorted(set(at) - set(clean))
-        for i, ids in zip(rest, self._encode([keys[i] for i in rest]), strict=True):
-            found[i] = self._young[keys[i]] = ids
-
-    def split(self, texts: pa.Array, led: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Texts without odd spaces (and no nulls) as pieces.
-
-        Returns where each text's pieces begin, each piece's characters, its code, and the ids of codes.
-        With led, a space is understood before every text, and its first piece has it.
-        """
-        split = pc.split_pattern(texts, " ")
-        offsets = split.offsets.to_numpy()
-        offsets = offsets - offsets[0] if len(offsets) else np.zeros(1, dtype=np.int64)
-        table = split.flatten().dictionary_encode()
-        codes = table.indices.to_numpy().astype(np.int64)
-        sizes = pc.utf8_length(table.dictionary).to_numpy()[codes].astype(np.int64) + 1
-        names = table.dictionary.to_pylist()
-        ids = self.pieces([" " + name for name in names])
-        if not led:  # the head of a text has no space before it
-            heads = offsets[:-1]
-            sizes[heads] -= 1
-            ids += self.pieces([names[c] for c in codes[heads]])
-            codes[heads] = len(names) + np.arange(len(heads))
-        return offsets, sizes, codes, ids
+                for i, s, e in zip(lines, np.r_[0, cuts + 1].tolist(), np.r_[cuts, len(ids)].tolist(), strict=True):
+                    parts[i] = ids[s:e]
+        rest = [i for i, p in enumerate(parts) if p is None]
+        for i, ids in zip(rest, self._encode([pieces[i] for i in rest]), strict=True):
+            parts[i] = ids
+        flat, bounds = flat_lists(parts, self.dtype)
+        return flat, np.diff(bounds)
+
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, or -1."""
+        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        held = self._keys[slot]
+        out = np.where(held == hashes, slot, -1)
+        open_ = np.flatnonzero((held != hashes) & (held != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (SLOTS - 1)
+            held = self._keys[slot[open_]]
+            same = held == hashes[open_]
+            out[open_[same]] = slot[open_[same]]
+            open_ = open_[~same & (held != 0)]
+        return out
+
+    def _insert(self, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Distinct new hashes with their ids."""
+        if self._used + len(ids) > len(self._pool):
+            self._pool = np.concatenate([self._pool[: self._used], np.zeros(self._used + 2 * len(ids), dtype=self.dtype)])
+        self._pool[self._used : self._used + len(ids)] = ids
+        at = self._used + np.cumsum(counts) - counts
+        self._used += len(ids)
+        self._entries += len(hashes)
+        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        open_ = np.arange(len(hashes))
+        while len(open_):
+            free = self._keys[slot[open_]] == 0
+            self._keys[slot[open_[free]]] = hashes[open_[free]]
+            won = self._keys[slot[open_]] == hashes[open_]
+            done = open_[won]
+            self._at[slot[done]], self._length[slot[done]] = at[done], counts[done]
+            open_ = open_[~won]
+            slot[open_] = (slot[open_] + 1) & (SLOTS - 1)
+
+    def pieces(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each piece's ids are in the pool, and how many."""
+        hashes = piece_hashes(data, starts)
+        slots = self._slots(hashes)
+        lost = np.flatnonzero(slots < 0)
+        if len(lost):
+            if self._entries + len(lost) > SLOTS // 2:
+                self._clear()
+                lost = np.arange(len(hashes))
+            new, where = np.unique(hashes[lost], return_index=True)
+            if len(new) > SLOTS // 2:  # more than the cache holds: encode this batch by halves
+                half = len(starts) // 2
+                return self._halves(data, starts, half)
+            ends = np.r_[starts[1:], len(data)]
+            raw = data.tobytes()
+            spans = zip(starts[lost[where]].tolist(), ends[lost[where]].tolist(), strict=True)
+            self._insert(new, *self._encode_pieces([raw[s:e].decode() for s, e in spans]))
+            slots[lost] = self._slots(hashes[lost])
+        return self._at[slots], self._length[slots].astype(np.int64)
+
+    def _halves(self, data: np.ndarray, starts: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two passes whose ids are copied out of the cache into a pool of their own."""
+        cut = int(starts[half])
+        parts = []
+        for own, begin in ((data[:cut], starts[:half]), (data[cut:], starts[half:] - cut)):
+            at, counts = self.pieces(own, begin)
+            parts.append((gather(self._pool, at, counts), counts))
+        self._clear()
+        self._pool = np.concatenate([p for p, _ in parts])
+        self._used = len(self._pool)
+        counts = np.concatenate([c for _, c in parts])
+        return np.cumsum(counts) - counts, counts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in order, and where each text's ids begin; null counts as empty."""
-        texts = texts.cast(pa.large_string()).fill_null("")
-        odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
-        whole = np.flatnonzero(odd)
-        plain = texts.filter(pa.array(~odd))
-        offsets, _, codes, ids = self.split(plain)
-        flat = np.frombuffer(b"".join(ids), dtype=self.dtype)
-        bounds = np.r_[0, np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))] // self.dtype.itemsize
-        lengths = np.diff(bounds)[codes]
-        out = gather(flat, bounds[:-1][codes], lengths)
-        ends = np.r_[0, np.cumsum(lengths)][offsets]
-        if len(whole) == 0:
-            return out, ends
-        parts = [out[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
-        for at, own in zip(whole, self._encode([texts[int(i)].as_py() for i in whole]), strict=True):
-            parts.insert(int(at), np.frombuffer(own, dtype=self.dtype))
-        return flat_lists(parts, self.dtype)
-
-    def lengths(self, stretches: list[str]) -> list[int]:
-        """Number of ids of each stretch of text; a stretch may begin with a space."""
-        size = self.dtype.itemsize
-        led = [i for i, x in enumerate(stretches) if x[:1] == " "]
-        plain = [i for i, x in enumerate(stretches) if x[:1] != " "]
-        out = [0] * len(stretches)
-        for group, cut in ((led, 1), (plain, 0)):
-            texts = pa.array([stretches[i][cut:] for i in group], pa.large_string())
-            odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False) if group else np.zeros(0, dtype=bool)
-            if cut:  # white space right after the leading space
-                odd |= np.array([stretches[i][1:2].isspace() or len(stretches[i]) == 1 for i in group], dtype=bool)
-            whole = [group[i] for i in np.flatnonzero(odd)]
-            for i, ids in zip(whole, self._encode([stretches[i] for i in whole]), strict=True):
-                out[i] = len(ids) // size
-            good = np.flatnonzero(~odd)
-            if len(good):
-                offsets, _, codes, ids = self.split(texts.take(pa.array(good)), led=bool(cut))
-                counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))[codes] // size
-                sums = np.r_[0, np.cumsum(counts)][offsets]
-                for k, n in zip(good, np.diff(sums).tolist(), strict=True):
-                    out[group[k]] = n
-        return out
+        data, bounds = text_bytes(texts)
+        starts = piece_starts(data, bounds)
+        at, counts = self.pieces(data, starts)
+        ends = np.r_[0, np.cumsum(counts)]
+        return gather(self._pool, at, counts), ends[np.searchsorted(starts, bounds)]
+
+    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each text's pieces begin (one more than texts), each piece's code points, each piece's ids."""
+        data, bounds = text_bytes(texts)
+        starts = piece_starts(data, bounds)
+        _, counts = self.pieces(data, starts)
+        points = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+        return np.searchsorted(starts, bounds), np.diff(points[np.r_[starts, len(data)]]), counts

@@ -39,49 +39,56 @@ BLOCK_SCHEMA = (
 
 
 def build_grammar(
-    symbols: np.ndarray, last: np.ndarray, first_rule: int, most_rules: int
+    symbols: np.ndarray, ends: np.ndarray, first_rule: int, most_rules: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Left and right sides of the rules, the remaining symbols, and which of them end a document."""
-    symbols, last = symbols.astype(np.uint32), last.copy()
-    narrow = first_rule + most_rules <= 1 << 16
+    """Left and right sides of the rules, the remaining symbols, and the places of those that end a document."""
+    symbols, ends = symbols.astype(np.uint32), ends.astype(np.int64)
+    narrow = first_rule + most_rules < 1 << 16
     kind, shift = (np.uint32, np.uint32(16)) if narrow else (np.uint64, np.uint64(32))
+    none = kind(np.iinfo(kind).max)  # no pair: it reaches over an end
     lefts, rights, rules = [], [], 0
+    code_of_left, code_of_right = np.zeros((2, first_rule + most_rules), dtype=np.int32)
     for _ in range(ROUNDS):
         room = min(RULES_A_ROUND, most_rules - rules)
         if len(symbols) < 2 or room <= 0:
             break
         pairs = (symbols[:-1].astype(kind) << shift) | symbols[1:].astype(kind)
-        open_ = ~last[:-1]
-        ordered = np.sort(pairs[open_])
-        heads = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, dtype=np.int64)
-        counts = np.diff(np.r_[heads, len(ordered)])
-        often = counts >= LEAST_COUNT
+        closed = ends[ends < len(pairs)]
+        pairs[closed] = none
+        pairs.sort()
+        heads = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+        counts = np.diff(np.r_[heads, len(pairs)])
+        often = (counts >= LEAST_COUNT) & (pairs[heads] != none)
         if not often.any():
             break
-        distinct, counts = ordered[heads[often]], counts[often]
+        distinct, counts = pairs[heads[often]], counts[often]
         if len(distinct) > room:
             distinct = np.sort(distinct[np.argpartition(-counts, room - 1)[:room]])
         left, right = (distinct >> shift).astype(np.uint32), (distinct & kind((1 << int(shift)) - 1)).astype(np.uint32)
-        is_left, is_right = np.zeros((2, first_rule + most_rules), dtype=bool)
-        is_left[left], is_right[right] = True, True
-        at = np.flatnonzero(is_left[symbols[:-1]] & is_right[symbols[1:]] & open_)
-        rule = np.minimum(np.searchsorted(distinct, pairs[at]), len(distinct) - 1)
-        hit = distinct[rule] == pairs[at]
-        at, rule = at[hit], rule[hit]
-        run = np.r_[True, np.diff(at) != 1]
-        starts = np.flatnonzero(run)
+        # Small codes of the sides, 0 for symbols that are none, lead to the rule in one table.
+        (own_left, rows), (own_right, cols) = np.unique(left, return_inverse=True), np.unique(right, return_inverse=True)
+        code_of_left[own_left], code_of_right[own_right] = np.arange(1, len(own_left) + 1), np.arange(1, len(own_right) + 1)
+        width = np.int32(len(own_right) + 1)
+        table = np.full((len(own_left) + 1) * int(width), -1, dtype=np.int16)
+        table[(rows + 1) * width + cols + 1] = np.arange(len(distinct))
+        rule = table[code_of_left[symbols[:-1]] * width + code_of_right[symbols[1:]]]
+        rule[closed] = -1
+        code_of_left[own_left] = code_of_right[own_right] = 0
+        at = np.flatnonzero(rule >= 0)
+        # Of occurrences that overlap in a run, every second one is taken.
+        starts = np.flatnonzero(np.r_[True, np.diff(at) != 1])
         even = (np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)]))) % 2 == 0
-        at, rule = at[even], rule[even]
-        symbols[at] = (first_rule + rules + rule).astype(np.uint32)
-        last[at] = last[at + 1]
+        at = at[even]
+        symbols[at] = rule[at].astype(np.uint32) + np.uint32(first_rule + rules)
         stay = np.ones(len(symbols), dtype=bool)
         stay[at + 1] = False
-        symbols, last = symbols[stay], last[stay]
+        symbols = symbols[stay]
+        ends = ends - np.searchsorted(at + 1, ends, side="right")
         lefts.append(left)
         rights.append(right)
         rules += len(distinct)
-    none = np.zeros(0, dtype=np.uint32)
-    return np.concatenate(lefts or [none]), np.concatenate(rights or [none]), symbols, last
+    nothing = np.zeros(0, dtype=np.uint32)
+    return np.concatenate(lefts or [nothing]), np.concatenate(rights or [nothing]), symbols, ends
 
 
 def expansions(left: np.ndarray, right: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,17 +143,15 @@ class Block:
 
 def _block(shard: int, number: int, start: int, ids: list[int], parts: list[np.ndarray], vocabulary: int) -> dict:
     tokens, bounds = flat_lists(parts, np.uint32)
-    last = np.zeros(len(tokens), dtype=bool)
-    last[bounds[1:] - 1] = True
-    width = 2 if vocabulary < 1 << 16 else 4
-    most = min((1 << 8 * width) - vocabulary, ROUNDS * RULES_A_ROUND)
-    left, right, symbols, ends = build_grammar(tokens, last, vocabulary, most)
+    width = 2 if vocabulary < (1 << 16) - 1 else 4
+    most = min((1 << 8 * width) - 1 - vocabulary, ROUNDS * RULES_A_ROUND)
+    left, right, symbols, ends = build_grammar(tokens, bounds[1:] - 1, vocabulary, most)
     _, rules = expansions(left, right, vocabulary)
     kind = np.dtype(f"<u{width}")
     return {
         "shard": shard, "block": number, "block_start": start, "width": width, "first_rule": vocabulary, "doc_ids": ids,
         "doc_tokens": bounds.astype("<i8").tobytes(),
-        "doc_symbols": np.r_[0, np.flatnonzero(ends) + 1].astype("<i8").tobytes(),
+        "doc_symbols": np.r_[0, ends + 1].astype("<i8").tobytes(),
         "left": left.astype(kind).tobytes(), "right": right.astype(kind).tobytes(),
         "rule_lengths": np.diff(rules).astype("<i8").tobytes(), "symbols": symbols.astype(kind).tobytes(),
     }

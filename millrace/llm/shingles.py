@@ -33,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64))[_LOWER]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i modulo 2^64 for i below n."""
     if len(_POWERS.get("up", ())) < n:
         n = max(n, BLOCK + 4096)
@@ -55,7 +55,7 @@ def _block_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.nd
     after[cuts[(cuts > 0) & (cuts <= len(data))] - 1] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    up, down = _powers(len(data))
+    up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE_HASH[data] * up[: len(data)], out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * down[starts]
