@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
+# Schema version, record types and pricing models.
 SCHEMA_VERSION = "1.0"
 RECORD_TYPES = ("STARTUP", "PRODUCT", "RESEARCH_PAPER", "JOB", "NEWS")
 PRICING_MODELS = ("FREE", "FREEMIUM", "PAID", "ENTERPRISE")
