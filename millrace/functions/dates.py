@@ -7,6 +7,8 @@ reference time, so a bare date inherits its time of day.  Sessions must run in U
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 import warnings
 from datetime import datetime, timezone
 
@@ -14,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
-from .patterns import WORD_END, WORD_START, let, strip
+from .patterns import SPACE, WORD_END, WORD_START, let, strip
 
 EXACT, RELATIVE_EXACT, HEURISTIC, UNKNOWN = "exact", "relative_exact", "heuristic", "unknown"
 DEFAULT_WINDOW_HOURS = 24
@@ -48,10 +50,14 @@ _SHAPES = (
     (rf"^(1[3-9]|2\d|3[01])/{_DAY}/{_YEAR}$", "$3~$2~$1~~~~~"),
     (rf"^{_WEEKDAY}{_DAY} {_MONTH_WORD} {_YEAR} (\d{{2}}):(\d{{2}}):(\d{{2}}){_ZONE}$", "$3~$2~$1~$4~$5~$6~~$7"),
 )
-_RELATIVE = rf"^([0-9]+)[\s]*({'|'.join(sorted(UNIT_SECONDS, key=len, reverse=True))})s?[\s]+ago$"
+# The shape of an age; blanks and digits of any script count.
+_RELATIVE = rf"(?U)^(\p{{Nd}}+)[{SPACE}]*(second|minute|min|hour|hr|day|week)s?[{SPACE}]+ago$"
+# Decimal digits of every script, with their values.
+_DIGITS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Nd")
+_DIGIT_VALUES = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
 
-# Everything that needs no general parser, blank text included.
-_KNOWN = "|".join(["^(?:today|yesterday)?$", _RELATIVE, *(pattern for pattern, _ in _SHAPES)])
+# Everything but ages that needs no general parser, blank text included.
+_KNOWN = "|".join(["^(?:today|yesterday)?$", *(pattern for pattern, _ in _SHAPES)])
 
 _PARSED = T.StructType(
     [T.StructField("value", T.TimestampType()), T.StructField("shown", T.StringType())]
@@ -131,6 +137,15 @@ def _general_parse(text: pd.Series, ref: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"value": stamps, "shown": pd.Series(shown, dtype="object")})
 
 
+def utc_moment(reference_time: Column | datetime) -> Column:
+    """A reference time as a column; a naive one is UTC, whatever zone the driver runs in."""
+    if isinstance(reference_time, Column):
+        return reference_time
+    if reference_time.tzinfo is None:
+        reference_time = reference_time.replace(tzinfo=timezone.utc)
+    return F.lit(reference_time)
+
+
 def normalize_date(raw: Column, reference_time: Column | datetime, general: bool = True) -> Column:
     """``struct<value, confidence, reason>`` of a loose date string.
 
@@ -138,13 +153,14 @@ def normalize_date(raw: Column, reference_time: Column | datetime, general: bool
     response was received).  ``general=False`` leaves out the Python parser for inputs
     known to hold the common shapes only.
     """
-    ref = reference_time if isinstance(reference_time, Column) else F.lit(reference_time)
-    ref = ref.cast("timestamp")
+    ref = utc_moment(reference_time).cast("timestamp")
     text = strip(raw.cast("string"))
     seen = let(text, _recognise)
     # Nulls stand for solved rows. The test is one plain pattern, as arguments of a
     # Python function must not hold lambdas.
-    rest = F.when(~F.lower(text).rlike(_KNOWN), text)
+    lowered = F.lower(text)
+    known = F.when(lowered.endswith("ago"), lowered.rlike(_RELATIVE)).otherwise(lowered.rlike(_KNOWN))
+    rest = F.when(~known, text)
     parsed = _general_parse(rest, ref) if general else F.lit(None).cast(_PARSED)
     return let(F.struct(seen.alias("seen"), ref.alias("ref"), parsed.alias("parsed")), _classify)
 
@@ -154,8 +170,9 @@ def _recognise(text: Column) -> Column:
     lowered = F.lower(text)
     missing = text.isNull() | (text == "")
     word = F.when(lowered.isin("today", "yesterday"), lowered)
-    # Most dates start with none of these: the cheap test spares the pattern.
-    age = F.when(lowered.endswith("ago"), F.regexp_extract(lowered, _RELATIVE, 1))
+    # Only ages end like this, and no other shape does: the cheap test spares the patterns.
+    ago = lowered.endswith("ago")
+    age = F.when(ago, F.regexp_extract(lowered, _RELATIVE, 1))
 
     def label(found: Column) -> Column:
         shaped = F.contains(found["shape"], F.lit("~"))
@@ -169,7 +186,7 @@ def _recognise(text: Column) -> Column:
             F.when(shaped, F.split(found["shape"], "~", -1)).alias("fields"),
         )
 
-    return let(F.struct(age.alias("age"), _shaped(lowered).alias("shape")), label)
+    return let(F.struct(age.alias("age"), F.when(~ago, _shaped(lowered)).alias("shape")), label)
 
 
 def _classify(row: Column) -> Column:
@@ -177,7 +194,8 @@ def _classify(row: Column) -> Column:
     text, word, unit = seen["text"], seen["word"], seen["unit"]
     units = F.create_map(*[F.lit(x) for item in UNIT_SECONDS.items() for x in item])
     # Amounts that lead before year 1 have no value.
-    amount = F.when(F.length(F.ltrim(seen["amount"], F.lit("0"))) <= 11, seen["amount"].cast("bigint"))
+    digits = F.translate(seen["amount"], _DIGITS, _DIGIT_VALUES)
+    amount = F.when(F.length(F.ltrim(digits, F.lit("0"))) <= 11, digits.cast("bigint"))
     micros = F.unix_micros(ref) - amount * F.try_element_at(units, unit) * 1_000_000
     first_moment = F.unix_micros(F.lit("0001-01-01 00:00:00").cast("timestamp"))
     relative = seen["amount"].isNotNull()
@@ -216,7 +234,7 @@ def _classify(row: Column) -> Column:
 
 def in_window(value: Column, reference_time: Column | datetime, window_hours: int = DEFAULT_WINDOW_HOURS) -> Column:
     """The bare range predicate: both bounds reach a Parquet scan when used as a filter."""
-    ref = reference_time if isinstance(reference_time, Column) else F.lit(reference_time)
+    ref = utc_moment(reference_time)
     return value.between(ref - F.make_dt_interval(F.lit(0), F.lit(window_hours)), ref)
 
 

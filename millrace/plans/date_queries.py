@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates as d
-from .catalog import query, spread, table
+from .catalog import query, table
 from .outputs import freshness_counts
 
 # One batch time for all queries, with a time of day that date-only strings inherit.
@@ -36,7 +36,24 @@ _AGO = f"""CASE WHEN event_id % 3 = 0 THEN user_id || ' ' || {_UNIT} || 's ago'
         'relative:' || user_id || '_' || {_UNIT} || '_ago' AS reason FROM events""",
 )
 def relative_dates(spark, sf):
-    return _parsed(spread(table(spark, sf, "events", "event_id user_id")), "event_id", _AGO)
+    return _parsed(table(spark, sf, "events", "event_id user_id"), "event_id", _AGO)
+
+
+# Ages as scraped pages hold them: no-break and thin spaces, digits of another script.
+_SCRAPED = f"""CASE WHEN event_id % 3 = 0 THEN user_id || '\u00a0' || {_UNIT} || 's\u2009ago'
+    WHEN event_id % 3 = 1 THEN '\u2003' || translate(CAST(user_id AS STRING), '0123456789', '٠١٢٣٤٥٦٧٨٩') || ' ' || {_UNIT} || '\u00a0ago'
+    ELSE translate(CAST(user_id AS STRING), '0123456789', '０１２３４５６７８９') || {_UNIT} || '\u3000ago' END"""
+_SCRAPED_AMOUNT = """CASE event_id % 3 WHEN 0 THEN user_id::VARCHAR
+    WHEN 1 THEN translate(user_id::VARCHAR, '0123456789', '٠١٢٣٤٥٦٧٨٩') ELSE translate(user_id::VARCHAR, '0123456789', '０１２３４５６７８９') END"""
+
+
+@query(
+    "scraped_ages",
+    f"""SELECT event_id, epoch_us({REF_SQL}) - user_id * {_UNIT_SECONDS} * 1000000 AS value_us, 'relative_exact' AS confidence,
+        'relative:' || {_SCRAPED_AMOUNT} || '_' || {_UNIT} || '_ago' AS reason FROM events""",
+)
+def scraped_ages(spark, sf):
+    return _parsed(table(spark, sf, "events", "event_id user_id"), "event_id", _SCRAPED)
 
 
 _WORDS = """CASE event_id % 6 WHEN 0 THEN 'Today' WHEN 1 THEN ' yesterday ' WHEN 2 THEN '' WHEN 3 THEN '  ' WHEN 4 THEN NULL ELSE 'TODAY' END"""
@@ -118,7 +135,7 @@ _VALUE = _per_row(
         FROM t""",
 )
 def absolute_dates(spark, sf):
-    return _parsed(spread(table(spark, sf, "orders", "o_orderkey o_orderdate")), "o_orderkey", _formats(_spark_part))
+    return _parsed(table(spark, sf, "orders", "o_orderkey o_orderdate"), "o_orderkey", _formats(_spark_part))
 
 
 # Shapes without a native reader: they take the general parser.
@@ -143,7 +160,7 @@ _GENERAL = """CASE event_id % 5
             ELSE 'absolute_parsed_year_inferred_from_reference_time' END AS reason FROM t""",
 )
 def general_dates(spark, sf):
-    return _parsed(spread(table(spark, sf, "events", "event_id user_id")), "event_id", _GENERAL)
+    return _parsed(table(spark, sf, "events", "event_id user_id"), "event_id", _GENERAL)
 
 
 @query(
