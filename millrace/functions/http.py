@@ -58,11 +58,6 @@ def fetch_backoff(attempt: Column, base: float = 1.0) -> Column:
     return F.lit(float(base)) * F.pow(F.lit(2.0), attempt - 1)
 
 
-def with_jitter(delay: Column, fraction: float = 0.5, seed: int | None = None) -> Column:
-    draw = F.rand(seed) if seed is not None else F.rand()
-    return delay + delay * fraction * draw
-
-
 def reply_text(reply: Column, path: str) -> Column:
     """Text of a provider reply at a JSON path."""
     return F.get_json_object(reply, path)

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.http import CHALLENGE_MARKERS
 from ..functions.urls import netloc, owner_repo
+from ..session import Workspace
 
 _RESULT = T.StructType(
     [
@@ -28,8 +29,22 @@ _RESULT = T.StructType(
         T.StructField("elapsed_ms", T.DoubleType()),
         T.StructField("success", T.BooleanType()),
         T.StructField("http_attempts", T.IntegerType()),
+        T.StructField(
+            "attempts",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("strategy", T.StringType()),
+                        T.StructField("status", T.IntegerType()),
+                        T.StructField("elapsed_ms", T.DoubleType()),
+                    ]
+                )
+            ),
+        ),
     ]
 )
+# Pages per frame on their way back from a worker.
+_FRAME_PAGES = 50
 
 
 @dataclass(frozen=True)
@@ -44,20 +59,28 @@ class FetchConfig:
 def _timed(get: Callable[[str], tuple[int, str]], url: str) -> tuple[int, str, float]:
     start = time.monotonic()
     status, html = get(url)
-    return status, html, (time.monotonic() - start) * 1000
+    return status, html or "", (time.monotonic() - start) * 1000
 
 
 def _fetch_one(url: str, http, browser, config: FetchConfig) -> dict:
     attempts, status, html, elapsed = 0, 0, "", 0.0
+    log: list[dict] = []
+
+    def outcome(strategy: str, success: bool) -> dict:
+        return dict(
+            status=status, html=html, strategy=strategy, elapsed_ms=elapsed, success=success, http_attempts=attempts, attempts=log
+        )
+
     while attempts < config.max_retries:
         attempts += 1
         try:
             status, html, elapsed = _timed(http, url)
         except Exception:
             status, html, elapsed = 0, "", 0.0
+        log.append({"strategy": "http", "status": status, "elapsed_ms": elapsed})
         marked = any(m in html.lower() for m in CHALLENGE_MARKERS)
         if status == 200 and not marked:
-            return dict(status=status, html=html, strategy="http", elapsed_ms=elapsed, success=True, http_attempts=attempts)
+            return outcome("http", True)
         if status not in (429, 0):
             break
         delay = config.base_backoff_seconds
@@ -66,10 +89,13 @@ def _fetch_one(url: str, http, browser, config: FetchConfig) -> dict:
         if browser is None:
             raise RuntimeError("no browser")
         seen, page, took = _timed(browser, url)
-        return dict(status=seen, html=page, strategy="browser", elapsed_ms=took, success=seen == 200, http_attempts=attempts)
     except Exception:
-        strategy = "http" if attempts else "browser"
-        return dict(status=status, html=html, strategy=strategy, elapsed_ms=elapsed, success=False, http_attempts=attempts)
+        if browser is not None:
+            log.append({"strategy": "browser", "status": 0, "elapsed_ms": 0.0})
+        return outcome("http" if attempts else "browser", False)
+    status, html, elapsed = seen, page, took
+    log.append({"strategy": "browser", "status": status, "elapsed_ms": elapsed})
+    return outcome("browser", status == 200)
 
 
 def fetch_pages(
@@ -79,17 +105,30 @@ def fetch_pages(
     config: FetchConfig = FetchConfig(),
     url_col: str = "url",
 ) -> DataFrame:
-    """Add status, html, strategy, elapsed_ms, success and http_attempts to every URL row."""
+    """Add status, html, strategy, elapsed_ms, success, http_attempts and the log of attempts to every URL row.
+
+    The pages are written down before they are returned: reading the result twice does not fetch twice, and a
+    lost executor repeats no finished task.
+    """
+    schema = T.StructType([*urls.schema.fields, *_RESULT.fields])
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([_fetch_one(u, http, browser, config) for u in batch])
+            for start in range(0, len(batch), _FRAME_PAGES):
+                part = batch.iloc[start : start + _FRAME_PAGES].reset_index(drop=True)
+                pages = pd.DataFrame([_fetch_one(u, http, browser, config) for u in part[url_col]])
+                yield pd.concat([part, pages], axis=1)
 
-    fetch = F.pandas_udf(run, _RESULT).asNondeterministic()
     url = F.col(url_col)
     slots = urls.withColumn("_domain", netloc(url)).withColumn("_slot", F.pmod(F.xxhash64(url), F.lit(config.per_domain)))
-    spread = slots.repartition(config.concurrency, "_domain", "_slot").drop("_domain", "_slot")
-    return spread.withColumn("_fetched", fetch(url)).select(*urls.columns, "_fetched.*")
+    lanes = slots.repartition(config.concurrency, "_domain", "_slot").drop("_domain", "_slot")
+    return Workspace(urls.sparkSession).materialize(lanes.mapInPandas(run, schema), "fetched")
+
+
+def fetch_log(fetched: DataFrame, url_col: str = "url") -> DataFrame:
+    """One row per attempt, in order."""
+    attempts = fetched.select(url_col, F.posexplode("attempts").alias("_place", "a"))
+    return attempts.select(url_col, (F.col("_place") + 1).alias("attempt"), "a.*")
 
 
 def with_repository_key(papers: DataFrame, url_col: str, key: str = "_repo") -> DataFrame:

@@ -31,10 +31,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def table(spark: SparkSession, sf_dir: str, name: str, columns: str | None = None) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns.split()) if columns else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on text work when a table comes in fewer row groups than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores) if splits < cores else df

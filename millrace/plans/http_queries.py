@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import http as h
-from ..operators.fetch import FetchConfig, fetch_pages
+from ..operators.fetch import FetchConfig, fetch_log, fetch_pages
 from .catalog import query, table
 
 _STATUS = "CASE page_id % 9 WHEN 0 THEN 403 WHEN 1 THEN 503 WHEN 2 THEN 429 WHEN 3 THEN 0 WHEN 4 THEN 404 ELSE 200 END"
@@ -106,4 +106,20 @@ def _no_wait(_: float) -> None:
 )
 def fetch_adaptive(spark, sf):
     pages = table(spark, sf, "pages", "page_id url")
-    return fetch_pages(pages, _stub_http, _stub_browser, FetchConfig(sleep=_no_wait)).drop("elapsed_ms")
+    return fetch_pages(pages, _stub_http, _stub_browser, FetchConfig(sleep=_no_wait)).drop("elapsed_ms", "attempts")
+
+
+@query(
+    "fetch_attempts",
+    """WITH t AS (SELECT page_id, url, length(url) % 7 AS kind FROM pages),
+       tries AS (SELECT page_id, url, kind, unnest(range(1, CASE WHEN kind IN (0, 1) THEN 4 ELSE 2 END)) AS n FROM t),
+       steps AS (SELECT page_id, n::INTEGER AS attempt, 'http' AS strategy,
+           CASE kind WHEN 0 THEN 0 WHEN 1 THEN 429 WHEN 2 THEN 403 WHEN 3 THEN 404 ELSE 200 END::INTEGER AS status FROM tries
+         UNION ALL SELECT page_id, CASE WHEN kind IN (0, 1) THEN 4 ELSE 2 END::INTEGER, 'browser',
+           CASE WHEN kind = 3 THEN 0 ELSE 200 END::INTEGER FROM t WHERE kind NOT IN (5, 6))
+       SELECT * FROM steps""",
+)
+def fetch_attempts(spark, sf):
+    pages = table(spark, sf, "pages", "page_id url")
+    fetched = fetch_pages(pages, _stub_http, _stub_browser, FetchConfig(sleep=_no_wait))
+    return fetch_log(fetched, "page_id").drop("elapsed_ms")

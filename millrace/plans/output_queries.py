@@ -185,15 +185,22 @@ def csv_round_trip(spark, sf):
 
 @query(
     "rows_per_file",
-    "SELECT lang, count(*)::BIGINT AS n_rows FROM documents GROUP BY lang",
+    "SELECT count(*)::BIGINT AS n_rows FROM documents",
 )
 def rows_per_file(spark, sf):
-    """One folder of CSV files per language, counted file by file."""
-    path = Workspace(spark).path("by-lang")
-    docs = table(spark, sf, "documents", "doc_id lang source")
-    docs.write.partitionBy("lang").option("header", True).csv(path)
-    per_file = files.read_table(spark, path).select("lang", F.input_file_name().alias("file"))
-    return per_file.groupBy("lang", "file").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n_rows"))
+    """Documents as CSV files, counted file by file; how many files there are is up to the layout."""
+    path = Workspace(spark).path("csv-files")
+    table(spark, sf, "documents", "doc_id lang source").write.option("header", True).csv(path)
+    return files.rows_per_file(files.read_table(spark, path)).agg(F.sum("n_rows").alias("n_rows"))
+
+
+@query(
+    "json_preview",
+    """SELECT substr('{' || chr(10) || '  "doc_id" : ' || doc_id || ',' || chr(10) || '  "lang" : "' || lang || '",' || chr(10)
+         || '  "source" : "' || source || '"' || chr(10) || '}', 1, 40) AS preview FROM documents""",
+)
+def json_preview(spark, sf):
+    return files.json_preview(table(spark, sf, "documents", "doc_id lang source"), n_chars=40)
 
 
 # --- tracking, graph, second opinion: described by the reference in prose only ------

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import records as r
 from ..functions.prompts import TEXT_CLOSE, TEXT_OPEN, INSTRUCTIONS, extraction_prompt
 from ..operators import extract as ex
-from ..schemas import json_schema
 from ..sources.providers import PayloadTooLarge, Provider, RateLimited, TransportError, Unavailable
-from .catalog import query, spread, table
+from .catalog import query, table
 from .text_queries import packing_sql
 
 
@@ -109,7 +108,7 @@ _JOB = f"""'{{"company": "C' || o_custkey || '", "role_family": "' || o_orderpri
 )
 def validate_jobs(spark, sf):
     return _judged(
-        spread(table(spark, sf, "orders")), "o_orderkey", _JOB, "JOB",
+        table(spark, sf, "orders"), "o_orderkey", _JOB, "JOB",
         {"company": "company", "date": "date", "is_remote": "is_remote", "role_family": "role_family"},
     )
 
@@ -221,7 +220,7 @@ _LEAVES = (
 
 
 def _extraction(spark, sf):
-    docs = spread(table(spark, sf, "documents", "doc_id text source")).select(
+    docs = table(spark, sf, "documents", "doc_id text source").select(
         "doc_id", F.lit("NEWS").alias("record_type"), F.col("text").alias("raw_text"), F.col("source").alias("source_name"),
         F.concat(F.lit("https://example.com/"), "doc_id").alias("source_url"),
         F.lit("2024-01-30 12:00:00").cast("timestamp").alias("reference_time"),
@@ -292,11 +291,18 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# What a provider is told about a job, written out.
+_JOB_SCHEMA = """{"title": "JobContent", "type": "object", "properties": {"company": {"type": "string"}, \
+"date": {"anyOf": [{"type": "string", "format": "date-time"}, {"type": "null"}], "default": null}, \
+"is_remote": {"anyOf": [{"type": "boolean"}, {"type": "null"}], "default": null}, \
+"role_family": {"anyOf": [{"type": "string"}, {"type": "null"}], "default": null}}, "required": ["company"]}"""
+
+
 @query(
     "extraction_prompt",
     f"""SELECT doc_id, {_quoted(INSTRUCTIONS)} || chr(10) || 'Record type: JOB' || chr(10) || 'Reference time: 2024-01-30T12:00:00.000000+00:00'
         || chr(10) || 'Source: ' || CASE WHEN doc_id % 2 = 0 THEN source ELSE 'unknown' END || chr(10) || 'Schema: '
-        || {_quoted(json.dumps(json_schema("JOB")))} || chr(10) || {_quoted(TEXT_OPEN.strip())} || chr(10) || text || chr(10) || {_quoted(TEXT_CLOSE.strip())} AS prompt
+        || {_quoted(_JOB_SCHEMA)} || chr(10) || {_quoted(TEXT_OPEN.strip())} || chr(10) || text || chr(10) || {_quoted(TEXT_CLOSE.strip())} AS prompt
         FROM documents""",
 )
 def prompts(spark, sf):

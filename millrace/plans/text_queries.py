@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls as u
 from ..operators.chunking import chunk_documents
-from ..operators.fetch import enrich_stars
-from .catalog import query, spread, table
+from ..operators.fetch import enrich_stars, look_up_stars
+from ..session import Workspace
+from .catalog import query, table
 
 _STRIP = r"regexp_replace({0}, '^[\s\x1c-\x1f\p{{Z}}]+|[\s\x1c-\x1f\p{{Z}}]+$', '', 'g')"
 
@@ -72,7 +75,7 @@ _CHUNK_OUT = "chunk_index, total_chunks, greatest(1, length(chunk_text) // 4)::B
 
 @query("boilerplate_strip", f"SELECT page_id, {boilerplate_sql('html')} AS cleaned FROM pages")
 def boilerplate_strip(spark, sf):
-    pages = spread(table(spark, sf, "pages", "page_id html"))
+    pages = table(spark, sf, "pages", "page_id html")
     return pages.select("page_id", tx.strip_boilerplate(F.col("html")).alias("cleaned"))
 
 
@@ -88,13 +91,13 @@ _DOC_TEXT = "replace(text, chr(10), chr(10) || chr(10))"
 
 @query("chunk_pages", packing_sql("page_id", _PAGE_TEXT, "pages", 2000) + f"SELECT page_id, {_CHUNK_OUT}")
 def chunk_pages(spark, sf):
-    pages = spread(table(spark, sf, "pages", "page_id html")).select("page_id", F.expr(_PAGE_TEXT).alias("raw"))
+    pages = table(spark, sf, "pages", "page_id html").select("page_id", F.expr(_PAGE_TEXT).alias("raw"))
     return _chunk_rows(chunk_documents(pages, "raw", max_tokens=500), "page_id")
 
 
 @query("chunk_documents", packing_sql("doc_id", _DOC_TEXT, "documents", 400) + f"SELECT doc_id, {_CHUNK_OUT}")
 def chunk_docs(spark, sf):
-    docs = spread(table(spark, sf, "documents", "doc_id text")).select("doc_id", F.expr(_DOC_TEXT).alias("raw"))
+    docs = table(spark, sf, "documents", "doc_id text").select("doc_id", F.expr(_DOC_TEXT).alias("raw"))
     return _chunk_rows(chunk_documents(docs, "raw", max_tokens=100), "doc_id")
 
 
@@ -103,7 +106,7 @@ def chunk_docs(spark, sf):
     packing_sql("doc_id", "text", "documents", 24000) + f"SELECT doc_id, {_CHUNK_OUT}",
 )
 def chunk_default_limit(spark, sf):
-    docs = spread(table(spark, sf, "documents", "doc_id text"))
+    docs = table(spark, sf, "documents", "doc_id text")
     return _chunk_rows(chunk_documents(docs, "text"), "doc_id")
 
 
@@ -113,7 +116,7 @@ def chunk_default_limit(spark, sf):
     + f"SELECT id, {_CHUNK_OUT}",
 )
 def chunk_turns(spark, sf):
-    turns = spread(table(spark, sf, "conversations")).select(
+    turns = table(spark, sf, "conversations").select(
         F.concat_ws(":", "conv_id", "turn").alias("id"), F.expr(_DOC_TEXT).alias("raw")
     )
     return _chunk_rows(chunk_documents(turns, "raw", max_tokens=30), "id")
@@ -128,7 +131,7 @@ def chunk_turns(spark, sf):
 )
 def chunk_counts(spark, sf):
     """Boilerplate, packing and counts per page: no shuffle, chunks never leave their row."""
-    pages = spread(table(spark, sf, "pages", "page_id html"))
+    pages = table(spark, sf, "pages", "page_id html")
 
     def summary(chunks):
         tokens = F.transform(chunks, lambda c: tx.estimate_tokens(c).cast("bigint"))
@@ -232,6 +235,26 @@ def star_enrichment(spark, sf):
     return enrich_stars(docs.select("doc_id", F.expr(_REPO_URL).alias("github_url")), stars).select("doc_id", "github_stars")
 
 
+def _snapshot_stars(owner: str, repo: str) -> int | None:
+    """Offline stand-in for a repository service: every third repository is gone."""
+    number = int(re.search(r"\d+$", repo)[0])
+    if number % 3 == 0:
+        raise OSError("gone")
+    return number * 7 + len(owner)
+
+
+@query(
+    "star_lookup",
+    f"""SELECT doc_id, CASE WHEN n % 3 <> 0 THEN n * 7 + length(owner) END AS github_stars
+        FROM (SELECT *, nullif(regexp_extract(repo, '[0-9]+$'), '')::BIGINT AS n FROM ({_REPO_SQL}))""",
+)
+def star_lookup(spark, sf):
+    """Every distinct repository is looked up once, then joined."""
+    papers = table(spark, sf, "documents", "doc_id source lang").select("doc_id", F.expr(_REPO_URL).alias("github_url"))
+    stars = Workspace(spark).materialize(look_up_stars(papers, _snapshot_stars), "stars")
+    return enrich_stars(papers, stars).select("doc_id", "github_stars")
+
+
 _ARXIV = "'https://arxiv.org/abs/' || lpad('' || (o_orderkey % 30), 2, '0') || lpad('' || (o_custkey % 12 + 1), 2, '0') || '.' || o_orderkey"
 
 

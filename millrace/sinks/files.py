@@ -40,7 +40,7 @@ def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
 def rows_per_file(df: DataFrame) -> DataFrame:
     """Row count per input file, by file name."""
     name = F.substring_index(F.input_file_name(), "/", -1)
-    return df.select(name.alias("file")).groupBy("file").agg(F.count("*").alias("n_rows"))
+    return df.withColumn("file", name).groupBy("file").agg(F.count("*").alias("n_rows"))
 
 
 def json_preview(df: DataFrame, n_chars: int = 500) -> DataFrame:

@@ -68,5 +68,5 @@ def test_urls_and_stars(spark):
     stars = look_up_stars(df, lambda owner, repo: 7 if owner == "o" else None)
     rows = enrich_stars(df, stars).orderBy("i").collect()
     assert [r.github_stars for r in rows] == [None, 7, 7, None, None, None, None]
-    one = spark.createDataFrame([("https://u:p@E.x:81/p?q#f", "https://arxiv.org/abs/2608.19880")], "u string, p string")
-    assert tuple(one.select(netloc(F.col("u")), arxiv_month_start(F.col("p"))).first()) == ("u:p@E.x:81", "2026-08-01T00:00:00")
+    one = spark.createDataFrame([("https://u:p@E.x:81/p?q#f", "https://arxiv.org/abs/1907.04321")], "u string, p string")
+    assert tuple(one.select(netloc(F.col("u")), arxiv_month_start(F.col("p"))).first()) == ("u:p@E.x:81", "2019-07-01T00:00:00")
