@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import is_fresh, normalize_date
+from ..functions.dates import is_fresh, normalize_date, utc_moment
 from ..functions.urls import arxiv_month_start
 from ..operators.resolve import DEFAULT_THRESHOLD, mapping_log, resolve
 from ..schemas import OUTPUT_COLUMNS, SCHEMA_VERSION
@@ -140,24 +140,24 @@ def build_tables(
     in one pass, startups first, and a startup's resolution serves its product row too.
     """
     work = Workspace(startups.sparkSession)
-    at = F.lit(reference_time).cast("timestamp")
-    fresh_jobs = fresh_only(jobs, "date", reference_time, window_hours)
+    at = utc_moment(reference_time).cast("timestamp")
+    fresh_jobs = work.materialize(fresh_only(jobs, "date", reference_time, window_hours), "fresh-jobs")
 
     def named(df: DataFrame, rank: int, name: str) -> DataFrame:
-        other = [
-            F.struct(*[F.col(c) for c in side.columns]).alias(label)
-            if side is df
-            else F.lit(None).cast(T.StructType(side.schema.fields)).alias(label)
-            for label, side in (("startup", startups), ("job", fresh_jobs))
-        ]
-        return df.select((F.col("ordinal") + rank * _TABLE_STRIDE).alias("_ordinal"), F.col(name).alias("_raw"), *other)
+        return df.select((F.col("ordinal") + rank * _TABLE_STRIDE).alias("_ordinal"), F.col(name).alias("_raw"))
 
     rows = named(startups, 0, "entityName").unionByName(named(fresh_jobs, 1, "company"))
+    # Only names go through the resolution; whole records are joined once, by ordinal.
     rows = work.materialize(rows, "named")
     resolved = work.materialize(resolve(rows, "_raw", "_ordinal", seeds, threshold), "resolved")
     name = F.col("canonical_name")
-    of_startups = resolved.filter(F.col("startup").isNotNull()).select("canonical_name", "startup.*")
-    of_jobs = resolved.filter(F.col("job").isNotNull()).select("canonical_name", "job.*")
+
+    def of(df: DataFrame, rank: int) -> DataFrame:
+        own = (F.col("_ordinal") >= rank * _TABLE_STRIDE) & (F.col("_ordinal") < (rank + 1) * _TABLE_STRIDE)
+        names = resolved.filter(own).select((F.col("_ordinal") - rank * _TABLE_STRIDE).alias("ordinal"), "canonical_name")
+        return df.join(names, "ordinal")
+
+    of_startups, of_jobs = of(startups, 0), of(fresh_jobs, 1)
     source = F.lit(startup_source)
     return {
         "startups": startups_table(of_startups, name, source, at),

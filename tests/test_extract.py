@@ -15,8 +15,8 @@ from millrace.sources.providers import PayloadTooLarge, Provider, RateLimited, T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 REF = datetime(2026, 9, 12, 12)
-JOB = json.dumps({"company": "Orbit", "date": "2026-09-11T00:00:00", "is_remote": True, "role_family": "Engineering"})
-PAPER = json.dumps({"title": "T", "authors": ["A"], "paper_url": "u", "github_stars": 1234})
+JOB = json.dumps({"company": "Orbit", "date": "2026-08-30T06:00:00", "is_remote": False, "role_family": "Milling"})
+PAPER = json.dumps({"title": "T", "authors": ["A"], "paper_url": "u", "github_stars": 77})
 STARTUP = json.dumps({"entityName": "Orbit", "data": {"employeeCount": 10}})
 
 
@@ -54,7 +54,7 @@ def test_rate_limit_falls_through_after_all_retries(spark):
         [Provider("one", failing(RateLimited)), Provider("two", lambda p: PAPER), Provider("three", lambda p: PAPER)],
     )
     row = result.entities("RESEARCH_PAPER").first()
-    assert row.content.github_stars == 1234 and row.source.url == "https://e.x/0" and row.schemaVersion == "1.0"
+    assert row.content.github_stars == 77 and row.source.url == "https://e.x/0" and row.schemaVersion == "1.0"
     assert sorted((a.provider, a.attempt, a.outcome) for a in attempts) == [
         ("one", 1, "rate_limited"), ("one", 2, "rate_limited"), ("one", 3, "rate_limited"), ("two", 1, "ok"),
     ]
@@ -68,7 +68,7 @@ def test_too_large_is_halved_and_restarts_at_first_provider(spark):
             raise PayloadTooLarge("mock")
         return JOB
 
-    result, attempts = run(spark, "JOB", ["Job posting text. " * 500], [Provider("one", small_only), Provider("two", lambda p: JOB)])
+    result, attempts = run(spark, "JOB", ["We look for a miller at the river. " * 260], [Provider("one", small_only), Provider("two", lambda p: JOB)])
     rows = result.outcomes.collect()
     assert [(r.status, r.sub_index, r.provider) for r in rows] == [("entity", 0, "one")]
     assert sorted((a.provider, tuple(a.path)) for a in attempts) == [("one", ()), ("one", (0,)), ("one", (1,))]
@@ -92,7 +92,7 @@ def test_splits_end_and_every_chunk_has_one_outcome(spark):
 
 @pytest.mark.parametrize(
     "first",
-    [lambda p: "not valid json {{{", failing(Unavailable), failing(TransportError), lambda p: '{"entityName": 5}', lambda p: "[]", failing(KeyError)],
+    [lambda p: "{\"company\": ", failing(Unavailable), failing(TransportError), lambda p: '{"entityName": 5}', lambda p: "[]", failing(KeyError)],
     ids=["bad-json", "unavailable", "transport", "schema", "array", "unexpected"],
 )
 def test_bad_reply_goes_to_next_provider(spark, first):

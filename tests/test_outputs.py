@@ -9,7 +9,7 @@ from millrace.schemas import OUTPUT_COLUMNS, RECORD_TYPES, content_struct, entit
 from millrace.sinks import files
 from millrace.sources.seeds import read_seed_file, seed_aliases
 
-REF = datetime(2026, 9, 12, 12, 26, 11, 993726)
+REF = datetime(2026, 9, 12, 12, 30, 5, 250000)
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +40,7 @@ def test_build(tables):
     assert [r["content.title"] for r in tables["news"].collect()] == ["new"]
     paper = tables["research_papers"].first()
     assert (paper["source.url"], paper["content.authors"], paper["content.published_date"]) == ("https://arxiv.org/abs/2608.1", "", "2026-08-01T00:00:00")
-    assert paper["collectedAt"] == "2026-09-12T12:26:11.993726+00:00"
+    assert paper["collectedAt"] == "2026-09-12T12:30:05.250000+00:00"
 
 
 def test_csv_and_parquet(spark, tables, tmp_path):
