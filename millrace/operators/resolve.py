@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.names import exact_key, normalized_key, token_sorted
 from ..functions.patterns import is_blank, strip
 from ..session import Workspace
-from .similarity import CHECKS_PER_TASK, frequent_grams, hot_grams, signature, similar_pairs
+from .components import components
+from .similarity import CHECKS_PER_TASK, frequent_grams, hot_cells, signature, similar_pairs
 
 DEFAULT_THRESHOLD = 90.0
 EXACT, NORMALIZED, FUZZY, NEW_ENTITY, SKIPPED = "exact", "normalized", "fuzzy", "new_entity", "skipped_empty"
@@ -43,7 +44,7 @@ class ElectionLimits:
     smallest_slice: int = 1_000
     first_pairs_per_key: int = 2_000
     pairs_per_core: int = 2_000_000
-    edges_in_one_task: int = 500_000
+    parallel_rounds: int = 4
     checks_per_task: int = CHECKS_PER_TASK
 
 
@@ -97,7 +98,7 @@ def _seed_keys(norm_index: DataFrame) -> DataFrame:
     )
 
 
-def _finish_in_one_task(edges: pd.DataFrame) -> pd.DataFrame:
+def _finish_component(edges: pd.DataFrame) -> pd.DataFrame:
     """The sequential rule on few edges: a key loses if an earlier neighbour did not."""
     lost: set[int] = set()
     for later, earlier in edges.sort_values("b").groupby("b", sort=True)["a"]:
@@ -109,17 +110,17 @@ def _finish_in_one_task(edges: pd.DataFrame) -> pd.DataFrame:
 def _independent_set_losers(edges: DataFrame, work: Workspace, limits: ElectionLimits) -> DataFrame | None:
     """Ordinals ``b`` of keys similar to an earlier leader, given edges earlier ``a`` - later ``b``.
 
-    Rounds in parallel while there are many edges.  Names that arrive sorted form long
-    chains and would need as many rounds, so a remainder of bounded size is settled by one task.
+    A few rounds settle all but long chains, which names that arrive sorted can form.  What is left then falls
+    apart into connected components, and these are settled side by side, each in order.
     """
     losers: list[DataFrame] = []
-    while True:
-        n_edges = edges.count()
-        if n_edges == 0:
+    for done in range(limits.parallel_rounds + 1):
+        if edges.isEmpty():
             break
-        if n_edges <= limits.edges_in_one_task:
-            last = edges.groupBy().applyInPandas(_finish_in_one_task, "b bigint")
-            losers.append(work.materialize(last, "lost"))
+        if done == limits.parallel_rounds:
+            owned = edges.join(components(edges, work).withColumnRenamed("node", "a"), "a")
+            settled = owned.groupBy("component").applyInPandas(_finish_component, "b bigint")
+            losers.append(work.materialize(settled, "lost"))
             break
         later = edges.select(F.col("b").alias("a")).distinct()
         roots = edges.select("a").distinct().join(later, "a", "left_anti")
@@ -167,8 +168,8 @@ def elect_leaders(
             break
         end = _slice_end(remaining, rows, wanted, budget, limits)
         taken = remaining if end is None else remaining.filter(F.col("ord") <= end)
-        hot = hot_grams(taken, taken, work, limits.checks_per_task)
-        pairs = similar_pairs(taken, taken, threshold, ordered=True, hot=hot)
+        hot = hot_cells(taken, taken, threshold, work, limits.checks_per_task)
+        pairs = similar_pairs(taken, taken.select("ts", "ord", "sig"), threshold, ordered=True, hot=hot)
         edges = work.materialize(pairs.select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b")), "edges")
         losers = _independent_set_losers(edges, work, limits)
         if losers is not None:
@@ -178,15 +179,22 @@ def elect_leaders(
         if end is None:
             break
         rest = remaining.filter(F.col("ord") > end)
-        hot = hot_grams(rest, chosen, work, limits.checks_per_task)
-        absorbed = similar_pairs(rest, chosen, threshold, hot=hot).select(F.col("a").alias("ts")).distinct()
+        hot = hot_cells(rest, chosen, threshold, work, limits.checks_per_task)
+        absorbed = similar_pairs(rest, chosen.select("ts", "ord", "sig"), threshold, hot=hot).select(F.col("a").alias("ts")).distinct()
         remaining = work.materialize(rest.join(absorbed, "ts", "left_anti"), "remaining")
         wanted *= limits.growth
         budget = float(limits.pairs_per_core * cores)
     return reduce(DataFrame.unionByName, leaders) if leaders else candidates.limit(0)
 
 
-def _rivals(matches: DataFrame) -> DataFrame:
+def _earliest(matches: DataFrame) -> DataFrame:
+    """Of a key's matches with one score and tier the entry with the first place."""
+    return matches.groupBy("ts", "score", "tier").agg(
+        F.min("place").alias("place"), F.min_by("canonical", "place").alias("canonical")
+    )
+
+
+def _rivals(seed_matches: DataFrame, leader_matches: DataFrame) -> DataFrame:
     """Fuzzy matches of a key as one short array.
 
     Of equal scores only the earliest index entry can win.  Scores of one key are
@@ -195,7 +203,8 @@ def _rivals(matches: DataFrame) -> DataFrame:
     """
     entry = F.struct("tier", "place")
     return (
-        matches.groupBy("ts", "score")
+        seed_matches.unionByName(leader_matches)
+        .groupBy("ts", "score")
         .agg(F.min(entry).alias("entry"), F.min_by("canonical", entry).alias("canonical"))
         .groupBy("ts")
         .agg(F.collect_list(F.struct("score", "entry", "canonical")).alias("rivals"))
@@ -256,27 +265,24 @@ def resolve(
     keys = work.materialize(keys.withColumn("sig", sign), "keys")
     seed_keys = work.materialize(seed_keys.withColumn("sig", sign), "seed-keys")
 
-    seed_places = seed_keys.select(F.col("ts").alias("b"), F.col("ord").alias("place"), "canonical")
-    equal = keys.select("ts", F.col("ts").alias("b"), F.lit(100.0).alias("score"))
-    hot = hot_grams(keys, seed_keys, work, limits.checks_per_task)
-    similar = similar_pairs(keys, seed_keys, threshold, hot=hot).select(F.col("a").alias("ts"), "b", "score")
-    seed_matches = work.materialize(
-        equal.unionByName(similar).join(seed_places, "b").select("ts", "score", F.lit(0).alias("tier"), "place", "canonical"),
-        "seed-matches",
-    )
+    seed_places = seed_keys.select("ts", F.col("ord").alias("place"), "canonical")
+    equal = keys.select("ts").join(seed_places, "ts").withColumn("score", F.lit(100.0))
+    hot = hot_cells(keys, seed_keys, threshold, work, limits.checks_per_task)
+    similar = similar_pairs(keys, seed_keys, threshold, hot=hot)
+    similar = similar.select(F.col("a").alias("ts"), F.col("b_ord").alias("place"), F.col("b_canonical").alias("canonical"), "score")
+    # One row per key and score: near copies among the seeds do not multiply.
+    seed_matches = work.materialize(_earliest(equal.unionByName(similar).withColumn("tier", F.lit(0))), "seed-matches")
 
     candidates = work.materialize(keys.join(seed_matches.select("ts").distinct(), "ts", "left_anti"), "candidates")
     leaders = work.materialize(elect_leaders(candidates, threshold, work, limits), "all-leaders")
 
     followers = keys.join(leaders.select("ts"), "ts", "left_anti")
-    leader_places = leaders.select(F.col("ts").alias("b"), F.col("ord").alias("place"), "head.canonical")
-    hot = hot_grams(followers, leaders, work, limits.checks_per_task)
-    leader_matches = (
-        similar_pairs(followers, leaders, threshold, hot=hot)
-        .join(leader_places, "b")
-        .select(F.col("a").alias("ts"), "score", F.lit(1).alias("tier"), "place", "canonical")
+    heads = leaders.select("ts", "ord", "sig", "head.canonical")
+    hot = hot_cells(followers, heads, threshold, work, limits.checks_per_task)
+    leader_matches = similar_pairs(followers, heads, threshold, hot=hot).select(
+        F.col("a").alias("ts"), "score", F.lit(1).alias("tier"), F.col("b_ord").alias("place"), F.col("b_canonical").alias("canonical")
     )
-    rivals = _rivals(seed_matches.unionByName(leader_matches))
+    rivals = _rivals(seed_matches, leader_matches)
 
     resolved = names.join(rivals, "ts", "left").join(
         leaders.select(
@@ -357,14 +363,13 @@ def match_fuzzy(names: DataFrame, name_col: str, seeds: DataFrame, threshold: fl
     work = Workspace(names.sparkSession)
     left = work.materialize(left.withColumn("ord", F.lit(0).cast("bigint")).withColumn("sig", sign), "keys")
     right = work.materialize(right.withColumn("sig", sign), "seed-keys")
-    hot = hot_grams(left, right, work)
-    similar = similar_pairs(left, right, threshold, hot=hot).select(F.col("a").alias("ts"), "b", "score")
-    equal = left.select("ts", F.col("ts").alias("b"), F.lit(100.0).alias("score"))
-    places = right.select(F.col("ts").alias("b"), "ord", "canonical")
+    hot = hot_cells(left, right, threshold, work)
+    similar = similar_pairs(left, right, threshold, hot=hot)
+    similar = similar.select(F.col("a").alias("ts"), F.col("b_ord").alias("ord"), F.col("b_canonical").alias("canonical"), "score")
+    equal = left.select("ts").join(right.select("ts", "ord", "canonical"), "ts").withColumn("score", F.lit(100.0))
     best = F.struct(-F.col("score"), F.col("ord"))
     top = (
         similar.unionByName(equal)
-        .join(places, "b")
         .groupBy("ts")
         .agg(F.min_by("canonical", best).alias("canonical"), F.max("score").alias("score"))
     )

@@ -10,6 +10,7 @@ the filters below lose no pair.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import pandas as pd
@@ -21,6 +22,8 @@ from ..session import Workspace
 # The order of q-grams is "known frequent ones last".  Any order is correct, so the
 # list of frequent ones can be cut at a fixed size and shipped with the task.
 FREQUENT_GRAMS = 4096
+# Characters of a key whose grams share a join cell.
+POSITION_BUCKET = 16
 # Candidate checks that one task may do for one gram: some seconds of work.
 CHECKS_PER_TASK = 4_000_000
 GRAM = T.StructType([T.StructField("gram", T.StringType()), T.StructField("pos", T.IntegerType())])
@@ -141,51 +144,97 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
     return F.pandas_udf(_scores, T.DoubleType())(a, b)
 
 
-def _gram_counts(side: DataFrame, name: str) -> DataFrame:
-    return side.select(F.explode("sig.grams.gram").alias("gram")).groupBy("gram").agg(F.count("*").alias(name))
+def _spans(threshold: float) -> tuple[float, int]:
+    """Width factor of length bands, and characters that a position bucket holds."""
+    rate = (100.0 - threshold) / 100.0
+    return (1 + rate) / (1 - rate) * (1 + 1e-6), POSITION_BUCKET
+
+
+def _routes(side: DataFrame, key: str, threshold: float, reach: bool) -> DataFrame:
+    """Grams of one side with their join cell: (gram, length band, position bucket).
+
+    A passing pair's lengths differ by one band at most and its gram positions by no more than the edits
+    that its lengths allow, so the reaching side is copied to the neighbouring cells and no pair is lost.
+    """
+    factor, bucket = _spans(threshold)
+    rate = (100.0 - threshold) / 100.0
+    length = F.length("ts")
+    band = F.floor(F.log(F.greatest(length, F.lit(1)).cast("double")) / F.lit(math.log(factor)))
+    rows = side.select("*", length.alias("_len"), band.alias("_band"), F.explode("sig.grams").alias("_s"))
+    rows = rows.withColumns({"gram": F.col("_s.gram"), "pos": F.col("_s.pos")})
+    place = F.floor(F.col("pos") / bucket)
+    if reach:
+        # The longest partner is factor times as long.
+        edits = F.floor((F.col("_len") * (1 + factor) + 1) * rate) + 1
+        rows = rows.withColumn("band", F.explode(F.sequence(F.col("_band") - 1, F.col("_band") + 1)))
+        low = F.floor(F.greatest(F.col("pos") - edits, F.lit(0)) / bucket)
+        rows = rows.withColumn("cell", F.explode(F.sequence(low, F.floor((F.col("pos") + edits) / bucket))))
+    else:
+        rows = rows.withColumns({"band": F.col("_band"), "cell": place})
+    return rows.select("gram", "band", "cell", *[F.col(c).alias(f"{key}_{c}") for c in ("ts", "ord", "pos", *_payload(side))], F.col("_len").alias(f"{key}_len"), F.col("sig.bag").alias(f"{key}_bag"))
 
 
-def hot_grams(left: DataFrame, right: DataFrame, work: Workspace, limit: int = CHECKS_PER_TASK) -> DataFrame | None:
-    """``(gram, salts)`` for grams whose candidate checks are too many for one task.
+def _payload(side: DataFrame) -> list[str]:
+    return [c for c in side.columns if c not in ("ts", "ord", "sig")]
 
-    Such a group can be small in bytes, so the engine's own skew handling would miss it.
-    None when the sides are too small to hold one.
+
+_CELL = ("gram", "band", "cell")
+
+
+def hot_cells(left: DataFrame, right: DataFrame, threshold: float, work: Workspace, limit: int = CHECKS_PER_TASK) -> DataFrame | None:
+    """``(gram, band, cell, rows, cols)`` of join cells with more than ``limit`` candidate checks.
+
+    Such a cell becomes a grid: each side is dealt to blocks of about the root of the limit and copied along
+    the other side's blocks only.  It can be small in bytes, so the engine's own skew handling would miss it.
+    None when there is no such cell.
     """
-    if left.count() * right.count() <= limit:
-        return None
-    checks = F.col("n_left").cast("double") * F.col("n_right")
-    counts = _gram_counts(left, "n_left").join(_gram_counts(right, "n_right"), "gram")
-    hot = counts.filter(checks > limit).select("gram", F.ceil(checks / limit).cast("int").alias("salts"))
-    return work.materialize(hot, "hot-grams")
+    n_left = _routes(left, "a", threshold, reach=False).groupBy(*_CELL).agg(F.count("*").alias("n_left"))
+    n_right = _routes(right, "b", threshold, reach=True).groupBy(*_CELL).agg(F.count("*").alias("n_right"))
+    counts = n_left.join(n_right, list(_CELL)).filter(F.col("n_left").cast("double") * F.col("n_right") > limit)
+    hot = work.materialize(counts.select(*_CELL, *grid(limit)), "hot-cells")
+    return None if hot.isEmpty() else hot
+
+
+def grid(limit: int) -> tuple[Column, Column]:
+    """Blocks of either side for counts ``n_left`` and ``n_right``: copies stay near the larger side's size."""
+    side = float(limit) ** 0.5
+    short = F.least(F.col("n_left"), F.col("n_right")).cast("double")
+    # A short side is one block, and the other side's blocks take what it leaves of the limit.
+    rows = F.when(F.col("n_left") <= side, 1.0).otherwise(F.col("n_left") / F.when(short <= side, limit / short).otherwise(side))
+    cols = F.when(F.col("n_right") <= side, 1.0).otherwise(F.col("n_right") / F.when(short <= side, limit / short).otherwise(side))
+    return F.ceil(rows).cast("int").alias("rows"), F.ceil(cols).cast("int").alias("cols")
+
+
+def _dealt(side: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Adds the block numbers of the grid; rows of a cell that is not hot have (0, 0)."""
+    rows = side.join(hot, list(_CELL), "left")
+    n_rows, n_cols = F.coalesce("rows", F.lit(1)), F.coalesce("cols", F.lit(1))
+    own = F.xxhash64(f"{key}_ts")
+    if key == "a":
+        rows = rows.withColumns({"row": F.pmod(own, n_rows).cast("int"), "col": F.explode(F.sequence(F.lit(0), n_cols - 1))})
+    else:
+        rows = rows.withColumns({"col": F.pmod(own, n_cols).cast("int"), "row": F.explode(F.sequence(F.lit(0), n_rows - 1))})
+    return rows.drop("rows", "cols")
 
 
 def similar_pairs(
     left: DataFrame, right: DataFrame, threshold: float, ordered: bool = False, hot: DataFrame | None = None
 ) -> DataFrame:
-    """Unequal pairs ``(a, b, score)`` with a score of at least ``threshold``.
-
-    Both sides bring distinct keys ``(ts, ord, sig)``.  ``ordered`` keeps pairs whose
-    left ordinal is the smaller one (self-join) and adds both ordinals.  Candidates are checked for position,
-    characters and edit distance inside the join, so what leaves it is close to the
-    result.  A gram listed in ``hot`` has its left keys dealt to several tasks and its
-    right keys copied to each.  Whether a side is broadcast is left to the engine,
-    which knows the sizes.
-    """
+    """Unequal pairs ``(a, b, a_ord, b_ord, score)`` with a score of at least ``threshold``.
 
-    def grams(side: DataFrame, key: str) -> DataFrame:
-        rows = side.select(
-            F.col("ts").alias(key), F.col("ord").alias(f"{key}_ord"), F.length("ts").alias(f"{key}_len"),
-            F.col("sig.bag").alias(f"{key}_bag"), F.explode("sig.grams").alias("s"),
-        ).select(key, f"{key}_ord", f"{key}_len", f"{key}_bag", F.col("s.gram").alias(f"{key}_gram"), F.col("s.pos").alias(f"{key}_pos"))
-        if hot is None:
-            return rows.withColumn(f"{key}_salt", F.lit(0))
-        rows = rows.join(hot.withColumnRenamed("gram", f"{key}_gram"), f"{key}_gram", "left")
-        salts = F.coalesce("salts", F.lit(1))
-        if key == "a":
-            salt = F.pmod(F.xxhash64(key), salts).cast("int")
-        else:
-            salt = F.explode(F.sequence(F.lit(0), salts - 1))
-        return rows.select(*[c for c in rows.columns if c != "salts"], salt.alias(f"{key}_salt"))
+    Both sides bring distinct keys ``(ts, ord, sig)``; the right side's further columns are carried along as
+    ``b_<name>``.  ``ordered`` keeps pairs whose left ordinal is the smaller one (self-join).  The join key is
+    (gram, length band, position bucket); candidates are checked for position, characters and edit distance inside
+    the join, so what leaves it is close to the result.  Cells in ``hot`` are dealt to a grid of tasks.  Whether a
+    side is broadcast is left to the engine, which knows the sizes.
+    """
+    one = _routes(left.select("ts", "ord", "sig"), "a", threshold, reach=False)
+    two = _routes(right, "b", threshold, reach=True)
+    keys = list(_CELL)
+    if hot is not None:
+        one, two = _dealt(one, "a", hot), _dealt(two, "b", hot)
+        keys += ["row", "col"]
+    one, two = one.withColumnRenamed("a_ts", "a"), two.withColumnRenamed("b_ts", "b")
 
     rate = (100.0 - threshold) / 100.0
     total = F.col("a_len") + F.col("b_len")
@@ -193,17 +242,15 @@ def similar_pairs(
     shift = F.col("b_pos") - F.col("a_pos")
     near = F.abs(shift) + F.abs(F.col("b_len") - F.col("a_len") - shift) <= edits
     alike = F.bit_count(F.col("a_bag").bitwiseXOR(F.col("b_bag"))) <= edits
-    condition = (F.col("a_gram") == F.col("b_gram")) & (F.col("a_salt") == F.col("b_salt"))
-    condition = condition & near & alike & (F.col("a") != F.col("b"))
+    condition = near & alike & (F.col("a") != F.col("b"))
+    for key in keys:
+        condition = condition & (F.col(f"x.{key}") == F.col(f"y.{key}"))
     if ordered:
         condition = condition & (F.col("a_ord") < F.col("b_ord"))
     # Substitutions count once there and twice here: a lossless lower bound.
     close = F.expr(f"levenshtein(a, b, cast(floor((a_len + b_len) * {rate!r}D + 1e-9D) as int)) >= 0")
-    out = ["a", "b", "a_ord", "b_ord"] if ordered else ["a", "b"]
-    # Checks are heavy and keys are small: deal the keys to all tasks, whatever their bytes.
-    width = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = left.repartition(width, "ts")
-    candidates = grams(dealt, "a").join(grams(right, "b"), condition & close).select(*out).distinct()
+    out = ["a", "b", "a_ord", "b_ord", *[f"b_{c}" for c in _payload(right)]]
+    candidates = one.alias("x").join(two.alias("y"), condition & close).select(*out).dropDuplicates(["a", "b"])
     # Marked as such, the score is computed once per pair: its filter would else be pushed
     # below the distinct, where pairs still repeat, and the score computed again above.
     once = F.pandas_udf(_scores, T.DoubleType()).asNondeterministic()

@@ -251,6 +251,13 @@ def log_by_method(spark, sf):
     return log.withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
+@query("resolve_sliced", resolution_sql(NAMES_SQL, SEEDS_SQL, "SELECT * FROM resolved"))
+def resolve_sliced(spark, sf):
+    """Limits so tight that slices, one parallel round, components and the grid of hot cells are all used."""
+    limits = rs.ElectionLimits(first_slice=200, smallest_slice=100, first_pairs_per_key=5, pairs_per_core=500, checks_per_task=100, parallel_rounds=1)
+    return rs.resolve(part_names(spark, sf), "raw", "ord", part_seeds(spark, sf), limits=limits)
+
+
 # Supplier names differ in digits only: nearly every pair is a near copy.
 _SUPPLIERS_SQL = "SELECT s_suppkey AS ord, s_name AS raw FROM supplier"
 

@@ -25,32 +25,26 @@ def ratio(a, b):
     return (1.0 - (total - 2 * row[-1]) / total) * 100.0
 
 
+def decide(raw, known, threshold):
+    """Outcome of one name, given the entries (exact key, normalized key, canonical) known before it."""
+    if not (raw or "").strip():
+        return raw, "skipped_empty", 0.0
+    key, norm = raw.lower().strip(), normalize(raw)
+    for column, wanted, method, confidence in ((0, key, "exact", 1.0), (1, norm, "normalized", 0.97)):
+        hits = [entry[2] for entry in known if entry[column] == wanted]
+        if hits:
+            return hits[-1], method, confidence
+    # An entry's place is where its normalized key came first, its name the one written last.
+    places = {n: -i for i, (_, n, _) in reversed(list(enumerate(known)))}
+    owners = {n: owner for _, n, owner in known}
+    score, _, owner = max(((ratio(norm, n), place, owners[n]) for n, place in places.items()), default=(0.0, 0, None))
+    return (owner, "fuzzy", score / 100.0) if score >= threshold else (raw.strip(), "new_entity", 1.0)
+
+
 def sequential(names, seeds, threshold):
-    exact, norm = {}, {}
-    for canonical, alias in seeds:
-        exact[alias.lower().strip()] = canonical
-        norm[normalize(alias)] = canonical
+    known = [(alias.lower().strip(), normalize(alias), canonical) for canonical, alias in seeds]
     out = []
     for raw in names:
-        if raw is None or not raw.strip():
-            out.append((raw, "skipped_empty", 0.0))
-            continue
-        key, nkey = raw.lower().strip(), normalize(raw)
-        if key in exact:
-            out.append((exact[key], "exact", 1.0))
-        elif nkey in norm:
-            out.append((norm[nkey], "normalized", 0.97))
-        else:
-            best, score = None, 0.0
-            for other, canonical in norm.items():
-                s = ratio(nkey, other)
-                if s > score:
-                    best, score = canonical, s
-            if best and score >= threshold:
-                out.append((best, "fuzzy", score / 100.0))
-            else:
-                name = raw.strip()
-                exact[key] = name
-                norm[nkey] = name
-                out.append((name, "new_entity", 1.0))
+        out.append(decide(raw, known, threshold))
+        known += [(raw.lower().strip(), normalize(raw), out[-1][0])] if out[-1][1] == "new_entity" else []
     return out
