@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import documents, prepare
 from millrace.llm.exact_dedup import ExactDedup
-from millrace.llm.graphs import small
+from millrace.operators.components import small
 from millrace.llm.line_rules import apply_line_rules
 from millrace.llm.mixing import poisson_mix
 from millrace.llm.packing import pack

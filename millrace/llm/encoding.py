@@ -19,7 +19,7 @@ import pyarrow as pa
 from .shingles import BASE, mix, powers
 
 SLOTS = 1 << 21  # of the cache; about 30 MB, emptied when half full
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 5 << 20
 BLOCK = 1 << 20
 _ENCODERS: dict[str, Encoder] = {}
 

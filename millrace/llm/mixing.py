@@ -77,7 +77,7 @@ def source_rates(
     if weights is None:
         weighted = stats.withColumn("__weight", F.pow("__mass", F.lit(temperature)))
     else:
-        given = docs.sparkSession.createDataFrame(list(weights.items()), "__name string, __weight double")
+        given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "__name string, __weight double")
         weighted = stats.join(given, F.col("__source").eqNullSafe(F.col("__name")), "left").drop("__name")
         weighted = weighted.fillna(0.0, ["__weight"])
     sums = weighted.agg(F.sum("__mass").alias("mass"), F.sum("__weight").alias("weight")).first()

@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import small
 from ..session import Workspace
 from .common import col
-from .graphs import small
 
 SEGMENT = 10_000
 MERGE, RELABEL, INSERT = 1, 4, 2

@@ -15,7 +15,8 @@ Two documents link when 100 * |A and B| >= percent * |A or B| over their distinc
    of nodes goes when its sizes exclude a link, when the largest possible overlap, common bits plus the
    fewest tokens hidden behind shared bits, is too small, or when both hold one component only.
    Trees over TILE sets are cut into blocks that meet pair by pair in different tasks.
-5. Pairs of sets that survive are checked by their full sets; components follow from the verified links.
+5. Pairs of sets that survive are bounded once more by bitmaps that grow with the sets, then checked by their
+   full sets; components follow from the verified links.
 
 Pairs already known to be connected are not checked again, so that a group of copies costs no square of its size; no
 link between different components is lost.
@@ -30,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components, join_groups, small
 from ..session import Workspace
 from .common import col
-from .graphs import components, join_groups, small
 from .shingles import mix, shingle_sets
 
 HOT_SHINGLES = 1 << 17
@@ -112,21 +113,34 @@ def _prefix(own: np.ndarray, percent: int, hot: np.ndarray, counts: np.ndarray)
     return np.concatenate([rare, more[np.lexsort((more, often))][: length - len(rare)]])
 
 
-def _bitmap(own: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, dtype=bool)
-    bits[(own >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = True
+def _bitmap(own: np.ndarray, width: int = BITS) -> bytes:
+    """Bits at the top bits of the hashes; width is a power of two."""
+    bits = np.zeros(width, dtype=bool)
+    bits[(own >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
+def _wide(own: np.ndarray) -> bytes:
+    """A bitmap of two bits or more for each shingle."""
+    return _bitmap(own, max(BITS, 1 << (2 * len(own) - 1).bit_length()))
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap of half the width, and so on down to the size: neighbouring bits are OR-combined."""
+    while len(bits) > size:
+        bits = np.packbits(np.unpackbits(bits).reshape(-1, 2).any(axis=1))
+    return bits
+
+
 def describe_sets(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """id, size, key1, key2, pivots, prefix, bits of each text's shingle set."""
+    """id, size, key1, key2, pivots, prefix, bits, wide of each text's shingle set."""
     hot = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts, n))
     salts = mix(np.arange(1, PIVOTS + 1, dtype=np.uint64))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = hot.value
         for batch in batches:
-            sizes, sums, xors, pivots, prefixes, bits = [], [], [], [], [], []
+            sizes, sums, xors, pivots, prefixes, bits, wide = [], [], [], [], [], [], []
             for own in shingle_sets(batch.column("text"), n):
                 sizes.append(len(own))
                 mixed = mix(own ^ salts[0])
@@ -136,33 +150,45 @@ def describe_sets(texts: DataFrame, n: int, percent: int) -> DataFrame:
                 pivots.append(np.array([w.min() for w in ways], dtype=np.uint64) if len(own) else own)
                 prefixes.append(_prefix(own, percent, frequent, counts) if len(own) else own)
                 bits.append(_bitmap(own))
+                wide.append(_wide(own))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"), pa.array(sizes, pa.int64()),
                     _signed(np.array(sums, dtype=np.uint64)), _signed(np.array(xors, dtype=np.uint64)),
                     _lists(pivots), _lists(prefixes), pa.array(bits, pa.binary()),
+                    pa.array(wide, pa.binary()),
                 ],
-                ["id", "size", "key1", "key2", "pivots", "prefix", "bits"],
+                ["id", "size", "key1", "key2", "pivots", "prefix", "bits", "wide"],
             )
 
-    schema = "id long, size long, key1 long, key2 long, pivots array<long>, prefix array<long>, bits binary"
+    schema = "id long, size long, key1 long, key2 long, pivots array<long>, prefix array<long>, bits binary, wide binary"
     return texts.mapInArrow(describe, schema)
 
 
-def bounded(pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and bitmaps do not exclude; pairs has a_size, a_bits, b_size, b_bits too."""
+def bounded(pairs: DataFrame, sets: DataFrame, percent: int, space: Workspace) -> DataFrame:
+    """The pairs (a, b) that sizes and wide bitmaps do not exclude; long texts are told apart without being sent."""
+    pairs = space.materialize(pairs.distinct(), "asked-pairs")
+    one = sets.select(F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("wide").alias("a_bits"))
+    two = sets.select(F.col("id").alias("b"), F.col("size").alias("b_size"), F.col("wide").alias("b_bits"))
+    leaders = one.join(small(pairs.select("a").distinct()), "a", "left_semi")
+    asked = two.join(small(pairs), "b")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = np.r_[batch.column("a_size").to_numpy(), batch.column("b_size").to_numpy()]
-            raw = b"".join(batch.column("a_bits").to_pylist() + batch.column("b_bits").to_pylist())
-            bits = np.frombuffer(raw, dtype=np.uint64).reshape(len(size), BITS // 64)
-            level = _levels(np.arange(len(size)), bits, size, np.arange(len(size)))[0]
-            n = len(batch)
-            ok = pa.array(_alive(level, np.arange(n), np.arange(n, 2 * n), percent))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
+            columns = [batch.column(c).to_pylist() for c in ("a", "b", "a_size", "b_size", "a_bits", "b_bits")]
+            found = []
+            for a, b, m, n, x, y in zip(*columns, strict=True):
+                if m * 100 < percent * n or n * 100 < percent * m:
+                    continue
+                width = min(len(x), len(y))
+                p, q = (_folded(np.frombuffer(z, dtype=np.uint8), width).view(np.uint64) for z in (x, y))
+                most = int(np.bitwise_count(p & q).sum())
+                most += min(m - int(np.bitwise_count(p).sum()), n - int(np.bitwise_count(q).sum()))
+                if most * (100 + percent) >= percent * (m + n):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return pairs.mapInArrow(keep, "a long, b long")
+    return asked.join(leaders, "a").mapInArrow(keep, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, space: Workspace) -> DataFrame:
@@ -356,10 +382,7 @@ def similar_components(
     groups = space.materialize(groups, "pivot-groups")
     total = groups.agg(F.sum("__size").alias("n")).first()["n"] or 0
     led = join_groups(ways, groups, "key", total).filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    led = space.materialize(led, "pivot-pairs")
-    sides = [reps.select(F.col("id").alias(k), F.col("size").alias(f"{k}_size"), F.col("bits").alias(f"{k}_bits")) for k in "ab"]
-    asked = sides[1].join(small(led), "b").join(sides[0].join(small(led.select("a").distinct()), "a", "left_semi"), "a")
-    pivoted = verified(bounded(asked, percent), texts, n, percent, space)
+    pivoted = verified(bounded(led, reps, percent, space), texts, n, percent, space)
     first = space.materialize(components(pivoted, space), "pivot-components")
     tied = reps.join(small(first.select(F.col("node").alias("id"), "component")), "id", "left")
     tied = tied.select("id", "size", "prefix", "bits", F.coalesce("component", "id").alias("comp"))
@@ -385,7 +408,7 @@ def similar_components(
         "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         "block", "id", "comp", "size", "bits",
     )
-    links = verified(tree_pairs(routed, percent), texts, n, percent, space)
+    links = verified(bounded(tree_pairs(routed, percent), reps, percent, space), texts, n, percent, space)
 
     # 5. Components of all links.
     found = components(equal.unionByName(pivoted).unionByName(links), space)

@@ -11,7 +11,7 @@ import pytest
 from brute import LOWER, WORD
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, feistel, mixing
+from millrace.llm import exact_dedup, mixing
 from millrace.llm.common import prepare
 from millrace.llm.exact_dedup import ExactDedup, filter_blocks
 from millrace.llm.feistel import Feistel, shuffle_shards
@@ -62,15 +62,15 @@ def test_base_counts(spark):
 
 
 def test_lines_that_go(spark):
-    good = "This is a plain line of ten words or so, indeed."
-    bad = ["Home | About | Contact | Help", "ALL OF THIS LINE IS SHOUTED AT YOU!", "Please log in to read the whole of this article here.", "no mark", "a b " * 30, "$$$ *** ### money now"]
-    rows = [(1, "\n\n".join([good + str(i) for i in range(9)] + bad) + "\n" + good + "0", "s"), (2, "\n".join(bad * 3), "s"), (3, good * 3, "s")]
+    good = [" ".join(f"w{i}x{k}" for k in range(10)) + "." for i in range(9)]
+    bad = ["Home | About | Contact | Help", "ALL OF THIS LINE IS SHOUTED AT YOU!", "Please log in to read the whole of this article here.", "no mark", "a b " * 6, "$$$ *** ### money now"]
+    rows = [(1, "\n\n".join(good + bad) + "\n" + good[0], "s"), (2, "\n".join(bad * 3), "s"), (3, " ".join(good), "s")]
     got = {r["doc_id"]: r for r in apply_line_rules(table(spark, rows)).collect()}
-    # Closing digits are no marks, but the lines are long enough; the repeated good line goes.
-    assert got[1]["cleaned_text"] == "\n".join(good + str(i) for i in range(9)) and got[1]["kept"]
+    # The repeated good line goes too.
+    assert got[1]["cleaned_text"] == "\n".join(good) and got[1]["kept"]
     assert got[1]["n_failed_lines"] == len(bad) + 1
     assert not got[2]["kept"] and got[2]["cleaned_text"] == ""
-    assert got[3]["cleaned_text"] == good * 3
+    assert got[3]["cleaned_text"] == " ".join(good) and got[3]["kept"]
     assert apply_line_rules(table(spark, rows).limit(0)).filter("kept").count() == 0
 
 
@@ -210,7 +210,7 @@ def test_packing(spark):
     sizes = Counter()
     for doc_id, text, _ in rows:
         sizes[doc_id] += len(WORD.findall(text or ""))
-    words, used, ends = Counter(), defaultdict(list), defaultdict(list)
+    words, used = Counter(), defaultdict(list)
     source = {i: s for i, _, s in rows}
     for r in placed:
         words[r["doc_id"]] += r["length"]
@@ -228,5 +228,3 @@ def test_packing(spark):
         assert len(named) == len(set(named))
     assert len({r["pack_group"] for r in placed if r["bin"] is not None}) > 3
     assert pack(table(spark, rows).limit(0)).count() == 0
-    assert ends == {}
-    assert feistel.ROUNDS >= 4
