@@ -15,7 +15,7 @@ BROADCAST_ROWS = 1_000_000  # narrow rows: a few tens of megabytes
 
 def small(df: DataFrame) -> DataFrame:
     """Marks a narrow table for broadcast where it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def join_groups(left: DataFrame, groups: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
@@ -38,8 +38,8 @@ def _star(edges: DataFrame, space: Workspace, large: bool) -> DataFrame:
     if large:
         edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = F.least(F.min("v"), F.col("u")) if large else F.min("v")
-    mins = edges.groupBy("u").agg(F.min("v").alias("__v"), F.count(F.lit(1)).alias("__size"))
-    mins = space.materialize(mins.withColumn("__m", F.least("__v", "u")).drop("__v"), "star-mins") if large else space.materialize(mins.withColumnRenamed("__v", "__m"), "star-mins")
+    mins = edges.groupBy("u").agg(least.alias("__m"), F.count(F.lit(1)).alias("__size"))
+    mins = space.materialize(mins, "star-mins")
     total = mins.agg(F.sum("__size").alias("n")).first()["n"] or 0
     joined = join_groups(edges, mins, "u", total)
     if large:
