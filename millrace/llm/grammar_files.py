@@ -29,7 +29,6 @@ from .common import col
 from .encoding import Encoder, flat_lists, gather, joined
 
 BLOCK_TOKENS = 1 << 19
-ROUNDS = 8
 RULES_A_ROUND = 1536
 LEAST_COUNT = 6
 BLOCK_SCHEMA = (
@@ -48,7 +47,7 @@ def build_grammar(
     none = kind(np.iinfo(kind).max)  # no pair: it reaches over an end
     lefts, rights, rules = [], [], 0
     code_of_left, code_of_right = np.zeros((2, first_rule + most_rules), dtype=np.int32)
-    for _ in range(ROUNDS):
+    while True:
         room = min(RULES_A_ROUND, most_rules - rules)
         if len(symbols) < 2 or room <= 0:
             break
@@ -79,14 +78,17 @@ def build_grammar(
         starts = np.flatnonzero(np.r_[True, np.diff(at) != 1])
         even = (np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)]))) % 2 == 0
         at = at[even]
-        symbols[at] = rule[at].astype(np.uint32) + np.uint32(first_rule + rules)
+        # Pairs of which others took every occurrence get no rule, so there are no more rules than symbols replaced.
+        used, numbers = np.unique(rule[at], return_inverse=True)
+        left, right = left[used], right[used]
+        symbols[at] = numbers.astype(np.uint32) + np.uint32(first_rule + rules)
         stay = np.ones(len(symbols), dtype=bool)
         stay[at + 1] = False
         symbols = symbols[stay]
         ends = ends - np.searchsorted(at + 1, ends, side="right")
         lefts.append(left)
         rights.append(right)
-        rules += len(distinct)
+        rules += len(used)
     nothing = np.zeros(0, dtype=np.uint32)
     return np.concatenate(lefts or [nothing]), np.concatenate(rights or [nothing]), symbols, ends
 
@@ -144,7 +146,7 @@ class Block:
 def _block(shard: int, number: int, start: int, ids: list[int], parts: list[np.ndarray], vocabulary: int) -> dict:
     tokens, bounds = flat_lists(parts, np.uint32)
     width = 2 if vocabulary < (1 << 16) - 1 else 4
-    most = min((1 << 8 * width) - 1 - vocabulary, ROUNDS * RULES_A_ROUND)
+    most = min((1 << 8 * width) - 1 - vocabulary, len(tokens))
     left, right, symbols, ends = build_grammar(tokens, bounds[1:] - 1, vocabulary, most)
     _, rules = expansions(left, right, vocabulary)
     kind = np.dtype(f"<u{width}")

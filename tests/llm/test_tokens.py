@@ -49,6 +49,18 @@ def test_grammar_round_trip(alphabet):
     assert (np.cumsum(sizes)[ends] - 1).tolist() == [10, 11, 2500, 4999]
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    # Forty copies of a passage of 3,000 ids: far more than 8 doublings reach.
+    passage = np.random.default_rng(1).integers(0, 300, 3000)
+    tokens = np.tile(np.r_[passage, 299], 40)
+    ends = np.arange(1, 41) * 3001 - 1
+    left, right, symbols, ends = build_grammar(tokens, ends, 300, 60_000)
+    assert len(symbols) == 40 and (ends == np.arange(40)).all()
+    flat, bounds = expansions(left, right, 300)
+    out = np.concatenate([flat[bounds[s - 300] : bounds[s - 299]] for s in symbols])
+    assert (out == tokens).all()
+
+
 def test_files_round_trip(spark, tmp_path, monkeypatch):
     prepare(spark)
     monkeypatch.setattr(grammar_files, "BLOCK_TOKENS", 300)
