@@ -373,8 +373,11 @@ def similar_components(
     keyed = linked.select("id", F.xxhash64(*keys).alias("key"))
     total = classes.agg(F.sum("__size").alias("n")).first()["n"] or 0
     equal = join_groups(keyed, classes.select("key", "rep", "__size"), "key", total).filter("id <> rep")
-    equal = space.materialize(equal.select(F.col("rep").alias("a"), F.col("id").alias("b")), "equal")
-    reps = linked.join(small(equal.select(F.col("b").alias("id")).distinct()), "id", "left_anti")
+    equal = space.materialize(equal.select(F.col("rep").alias("a"), F.col("id").alias("b"), "key"), "equal")
+    # Of an id that repeats with other texts only the rows of this set go.
+    gone = small(equal.select(F.col("b").alias("id"), "key").distinct())
+    reps = linked.withColumn("key", F.xxhash64(*keys)).join(gone, ["id", "key"], "left_anti").drop("key")
+    equal = equal.select("a", "b").distinct()
 
     # 3. Pivots.
     ways = reps.select("id", F.posexplode("pivots").alias("way", "pivot")).select("id", F.xxhash64("way", "pivot").alias("key"))

@@ -49,6 +49,14 @@ def test_edges_of_the_input(spark):
     assert similar_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_one_id_with_two_texts(spark):
+    # Row 5 repeats: one text equals that of 3, the other is a near copy of that of 7.
+    x, y = " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
+    near = y.replace("y39", "other")
+    rows = [(3, x), (5, x), (5, y), (7, near), (9, " ".join(f"z{i}" for i in range(40)))]
+    assert {i: c for i, (_, c) in run(spark, rows, 4, 85).items()} == {3: 3, 5: 3, 7: 3, 9: 9}
+
+
 def test_whole_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in df.collect()]
