@@ -45,6 +45,7 @@ class ElectionLimits:
     first_pairs_per_key: int = 2_000
     pairs_per_core: int = 2_000_000
     parallel_rounds: int = 4
+    edges_per_task: int = 500_000
     checks_per_task: int = CHECKS_PER_TASK
 
 
@@ -111,28 +112,53 @@ def _independent_set_losers(edges: DataFrame, work: Workspace, limits: ElectionL
     """Ordinals ``b`` of keys similar to an earlier leader, given edges earlier ``a`` - later ``b``.
 
     A few rounds settle all but long chains, which names that arrive sorted can form.  What is left then falls
-    apart into connected components, and these are settled side by side, each in order.
+    apart into connected components, and these are settled side by side, each in order.  Of a component with more
+    than edges_per_task edges only the earliest of about that many are settled at a time: they depend on no later one.
     """
     losers: list[DataFrame] = []
-    for done in range(limits.parallel_rounds + 1):
-        if edges.isEmpty():
+    done = 0
+    while not edges.isEmpty():
+        if done < limits.parallel_rounds:
+            later = edges.select(F.col("b").alias("a")).distinct()
+            roots = edges.select("a").distinct().join(later, "a", "left_anti")
+            lost = work.materialize(edges.join(roots, "a", "left_semi").select("b").distinct(), "lost")
+            losers.append(lost)
+            edges = work.materialize(_still_open(edges, lost), "edges")
+            done += 1
+            continue
+        owned = work.materialize(edges.join(components(edges, work).withColumnRenamed("node", "a"), "a"), "owned-edges")
+        sizes = owned.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        large = work.materialize(sizes.filter(F.col("n") > limits.edges_per_task), "large-components")
+        if large.isEmpty():
+            losers.append(work.materialize(owned.groupBy("component").applyInPandas(_finish_component, "b bigint"), "lost"))
             break
-        if done == limits.parallel_rounds:
-            owned = edges.join(components(edges, work).withColumnRenamed("node", "a"), "a")
-            settled = owned.groupBy("component").applyInPandas(_finish_component, "b bigint")
-            losers.append(work.materialize(settled, "lost"))
-            break
-        later = edges.select(F.col("b").alias("a")).distinct()
-        roots = edges.select("a").distinct().join(later, "a", "left_anti")
-        lost = work.materialize(edges.join(roots, "a", "left_semi").select("b").distinct(), "lost")
-        losers.append(lost)
-        edges = work.materialize(
-            edges.join(lost, "b", "left_anti").join(lost.select(F.col("b").alias("a")), "a", "left_anti"),
-            "edges",
-        )
+        cuts = work.materialize(_cuts(owned, large, limits), "cuts")
+        cut = owned.join(cuts, "component", "left").withColumn("settled", F.coalesce(F.col("b") <= F.col("cut"), F.lit(True)))
+        cut = work.materialize(cut, "cut-edges")
+        head = cut.filter("settled").select("a", "b", "component")
+        lost = work.materialize(head.groupBy("component").applyInPandas(_finish_component, "b bigint"), "lost")
+        # Of the others, those next to a key that is settled and did not lose are lost as well.
+        rest = cut.filter("NOT settled").join(lost.select(F.col("b").alias("a")), "a", "left_anti")
+        more = work.materialize(rest.filter("a <= cut").select("b").distinct(), "lost")
+        losers += [lost, more]
+        edges = work.materialize(_still_open(rest.select("a", "b"), more), "edges")
     return reduce(DataFrame.unionByName, losers) if losers else None
 
 
+def _still_open(edges: DataFrame, lost: DataFrame) -> DataFrame:
+    return edges.join(lost, "b", "left_anti").join(lost.select(F.col("b").alias("a")), "a", "left_anti")
+
+
+def _cuts(owned: DataFrame, large: DataFrame, limits: ElectionLimits) -> DataFrame:
+    """The ordinal up to which about edges_per_task edges of each large component are."""
+    counts = owned.join(large.select("component", "n"), "component")
+    # The share of a component differs from others', so it is found among a thousand quantiles.
+    quantiles = [i / 1000 for i in range(1, 1001)]
+    found = counts.groupBy("component").agg(F.percentile_approx("b", quantiles, F.lit(10_000)).alias("at"), F.first("n").alias("n"))
+    place = F.greatest(F.lit(1), F.floor(F.lit(1000 * limits.edges_per_task) / F.col("n"))).cast("int")
+    return found.select("component", F.element_at("at", place).alias("cut"))
+
+
 def _expected_pairs(slice_: DataFrame) -> float:
     counts = slice_.select(F.explode("sig.grams.gram").alias("gram")).groupBy("gram").count()
     n = F.col("count").cast("double")

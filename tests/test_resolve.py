@@ -125,3 +125,27 @@ def test_grid_copies_little(spark):
         assert checks <= 4_000 * 1.1 + r.n_left + r.n_right
         assert min(r.n_left, r.n_right) > 100 or copies < 2 * (r.n_left + r.n_right)
     assert counts.select(F.max("n_left")).first()[0] == 200_000
+
+
+def test_large_components_are_settled_in_bounded_parts(spark, monkeypatch):
+    import random
+
+    import millrace.operators.resolve as R
+
+    rng = random.Random(4)
+    edges = {(i, i + d) for i in range(40) for d in (1, rng.randint(1, 5))} | {(1000 + i, 1001 + i) for i in range(5)}
+    lost = set()
+    for a, b in sorted(edges, key=lambda e: e[1]):
+        if a not in lost:
+            lost.add(b)
+    finish = R._finish_component
+
+    def bounded(part):
+        assert len(part) <= 50, len(part)
+        return finish(part)
+
+    monkeypatch.setattr(R, "_finish_component", bounded)
+    limits = R.ElectionLimits(parallel_rounds=1, edges_per_task=40)
+    df = spark.createDataFrame(sorted(edges), "a bigint, b bigint")
+    got = R._independent_set_losers(df, R.Workspace(spark), limits)
+    assert {r["b"] for r in got.collect()} == lost
