@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Workspace
-from .common import BLANK, documents, query
+from .common import BLANK, documents, query, words
 from .edit_counts import edit_counts, match_edits
 from .exact_dedup import ExactDedup
 from .feistel import shuffle_shards
@@ -14,9 +14,11 @@ from .grammar_files import read_token_files, write_token_files
 from .line_rules import apply_line_rules
 from .mixing import poisson_mix
 from .packing import pack
+from .periodic_runs import periodic_runs
 from .role_repair import repair_roles
 from .secret_scan import scan_secrets
 from .signature_join import similar_components
+from .spelling import spelling_variants
 
 SHARDS = 40
 END_ID = 2
@@ -165,3 +167,43 @@ def best_fit_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_exact_dedup", EXACT_SQL)
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ExactDedup(documents(spark, sf_dir)).decisions()
+
+
+def with_period(docs: DataFrame) -> DataFrame:
+    """The rows whose crc32 ends in 0 go on periodically from a word that it names, as the contract of op11 says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    w = words(F.col("text"))
+    g = F.floor(F.col("h") / 10)
+    a = F.pmod(F.col("g"), F.col("n")).cast("int")
+    p = (1 + F.floor((F.col("n") - a) / (3 + F.pmod(F.col("g"), F.lit(8))))).cast("int")
+    rest = (F.col("n") - a).cast("int")
+    again = F.flatten(F.array_repeat(F.slice("w", a + 1, p), F.ceil(rest / p).cast("int")))
+    text = F.concat_ws(" ", F.slice("w", F.lit(1), a), F.slice(again, F.lit(1), rest))
+    chosen = F.pmod(h, F.lit(10)) == 0
+    docs = docs.select("doc_id", "text", h.alias("h"), F.when(chosen, w).alias("w"))
+    docs = docs.withColumns({"g": g, "n": F.size("w")})
+    return docs.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def repeated_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the documents, some of them made periodic; digests are taken from the runs and the collapsed texts."""
+    found = periodic_runs(with_period(documents(spark, sf_dir)))
+    best = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p")))
+    )
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumns({"best": best, "listed": F.concat_ws("", lines)})
+    period = -F.col("best.p")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"),
+        F.col("best.length").alias("length"), period.alias("period"),
+        F.expr("(1000 * best.length) div -best.p").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op12_spelling_variants")
+def variant_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the whole corpus, some of them damaged as the contract says, with their forms and roots."""
+    return spelling_variants(documents(spark, sf_dir), damage=199)

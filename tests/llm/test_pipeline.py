@@ -6,7 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline as pipeline
-from brute import LOWER, WORD, jaccard_components
+from contracts import LOWER, WORD, jaccard_components
 
 from millrace.llm import line_rules as rules
 

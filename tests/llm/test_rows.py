@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from brute import LOWER, WORD
+from contracts import LOWER, WORD
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, mixing

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from brute import jaccard_components
+from contracts import jaccard_components
 
 from millrace.llm import signature_join
 from millrace.llm.common import prepare
