@@ -4,7 +4,8 @@ A byte-level pre-tokenizer always cuts before a space whose neighbours are no wh
 break whose neighbours are none, and before a full stop or comma between a letter or digit and such a space, break
 or end.  So a text is the sequence of its pieces between these cuts (white space of any other kind stays inside a
 piece), and the tokens of a piece depend on the piece alone.  Pieces are found, hashed and looked up in
-numpy; the cache is an open table of 64-bit hashes with the ids of all pieces in one pool.
+numpy; the cache is an open table of 64-bit hashes with the ids of all pieces in one pool and their bytes in
+another.  A hit counts only if the bytes are the same; a piece whose hash belongs to another piece is encoded by itself.
 """
 
 from __future__ import annotations
@@ -16,14 +17,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .shingles import BASE, mix, powers
+from .shingles import span_hashes
 
 SLOTS = 1 << 21  # of the cache; about 30 MB, emptied when half full
+HELD_BYTES = 1 << 25  # of the cached pieces
 BATCH_BYTES = 5 << 20
-BLOCK = 1 << 20
 _ENCODERS: dict[str, Encoder] = {}
 
-_BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 _WHITE, _ALNUM, _LEAD, _MARK = np.zeros((4, 256), dtype=bool)
 _WHITE[[*range(9, 14), *range(28, 33)]] = True
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -97,20 +97,8 @@ def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def piece_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the pieces, never 0; bytes are taken in blocks that end between pieces."""
-    ends = np.r_[starts[1:], len(data)]
-    out, i = [], 0
-    while i < len(starts):
-        low = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, low + BLOCK, side="right")))
-        part = data[low : ends[j - 1]]
-        up, down = powers(len(part) + 1)
-        sums = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_HASH[part] * up[: len(part)], out=sums[1:])
-        s, e = starts[i:j] - low, ends[i:j] - low
-        out.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)))
-        i = j
-    return np.maximum(np.concatenate(out), np.uint64(1)) if out else np.zeros(0, dtype=np.uint64)
+    """64-bit hashes of the pieces, never 0."""
+    return np.maximum(span_hashes(data, starts, np.diff(np.r_[starts, len(data)])), np.uint64(1))
 
 
 class Encoder:
@@ -132,7 +120,10 @@ class Encoder:
         self._at = np.zeros(SLOTS, dtype=np.int64)
         self._length = np.zeros(SLOTS, dtype=np.int32)
         self._pool = np.zeros(1 << 20, dtype=self.dtype)
-        self._used = self._entries = 0
+        self._spot = np.zeros(SLOTS, dtype=np.int64)
+        self._size = np.zeros(SLOTS, dtype=np.int32)
+        self._bytes = np.zeros(1 << 20, dtype=np.uint8)
+        self._used = self._entries = self._held = 0
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -180,13 +171,25 @@ class Encoder:
             open_ = open_[~same & (held != 0)]
         return out
 
-    def _insert(self, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        """Distinct new hashes with their ids."""
+    def _append(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Puts ids into the pool; where each piece's ids begin."""
         if self._used + len(ids) > len(self._pool):
             self._pool = np.concatenate([self._pool[: self._used], np.zeros(self._used + 2 * len(ids), dtype=self.dtype)])
         self._pool[self._used : self._used + len(ids)] = ids
         at = self._used + np.cumsum(counts) - counts
         self._used += len(ids)
+        return at
+
+    def _insert(self, hashes: np.ndarray, spans: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Distinct new hashes with their pieces and ids."""
+        at = self._append(ids, counts)
+        raw = np.frombuffer(b"".join(spans), dtype=np.uint8)
+        sizes = np.array([len(s) for s in spans], dtype=np.int64)
+        if self._held + len(raw) > len(self._bytes):
+            self._bytes = np.concatenate([self._bytes[: self._held], np.zeros(self._held + 2 * len(raw), dtype=np.uint8)])
+        self._bytes[self._held : self._held + len(raw)] = raw
+        spots = self._held + np.cumsum(sizes) - sizes
+        self._held += len(raw)
         self._entries += len(hashes)
         slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
         open_ = np.arange(len(hashes))
@@ -196,6 +199,7 @@ class Encoder:
             won = self._keys[slot[open_]] == hashes[open_]
             done = open_[won]
             self._at[slot[done]], self._length[slot[done]] = at[done], counts[done]
+            self._spot[slot[done]], self._size[slot[done]] = spots[done], sizes[done]
             open_ = open_[~won]
             slot[open_] = (slot[open_] + 1) & (SLOTS - 1)
 
@@ -204,20 +208,46 @@ class Encoder:
         hashes = piece_hashes(data, starts)
         slots = self._slots(hashes)
         lost = np.flatnonzero(slots < 0)
+        sizes = np.diff(np.r_[starts, len(data)])
+
+        def spans(places: np.ndarray) -> list[bytes]:
+            return [raw[s : s + n] for s, n in zip(starts[places].tolist(), sizes[places].tolist(), strict=True)]
+
         if len(lost):
-            if self._entries + len(lost) > SLOTS // 2:
+            if self._entries + len(lost) > SLOTS // 2 or self._held > HELD_BYTES:
                 self._clear()
                 lost = np.arange(len(hashes))
             new, where = np.unique(hashes[lost], return_index=True)
             if len(new) > SLOTS // 2:  # more than the cache holds: encode this batch by halves
                 half = len(starts) // 2
                 return self._halves(data, starts, half)
-            ends = np.r_[starts[1:], len(data)]
             raw = data.tobytes()
-            spans = zip(starts[lost[where]].tolist(), ends[lost[where]].tolist(), strict=True)
-            self._insert(new, *self._encode_pieces([raw[s:e].decode() for s, e in spans]))
+            own = spans(lost[where])
+            self._insert(new, own, *self._encode_pieces([p.decode() for p in own]))
             slots[lost] = self._slots(hashes[lost])
-        return self._at[slots], self._length[slots].astype(np.int64)
+        at, length = self._at[slots], self._length[slots].astype(np.int64)
+        other = self._strangers(data, starts, sizes, slots)
+        if len(other):
+            raw = data.tobytes()
+            ids, counts = self._encode_pieces([p.decode() for p in spans(other)])
+            at[other], length[other] = self._append(ids, counts), counts
+        return at, length
+
+    def _strangers(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Pieces that differ from the piece that holds their slot."""
+        differ = self._size[slots] != sizes
+        same = np.flatnonzero(~differ)
+        ends, i = np.cumsum(sizes[same]), 0
+        while i < len(same):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BATCH_BYTES, side="right")))
+            own = same[i:j]
+            ours, held = gather(data, starts[own], sizes[own]), gather(self._bytes, self._spot[slots[own]], sizes[own])
+            if not np.array_equal(ours, held):
+                wrong = np.flatnonzero(ours != held)
+                first = ends[i - 1] if i else 0
+                differ[own[np.unique(np.searchsorted(ends[i:j] - first, wrong, side="right"))]] = True
+            i = j
+        return np.flatnonzero(differ)
 
     def _halves(self, data: np.ndarray, starts: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
         """Two passes whose ids are copied out of the cache into a pool of their own."""

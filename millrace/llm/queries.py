@@ -12,6 +12,7 @@ from .exact_dedup import ExactDedup
 from .feistel import shuffle_shards
 from .grammar_files import read_token_files, write_token_files
 from .line_rules import apply_line_rules
+from .minhash import near_copies
 from .mixing import poisson_mix
 from .packing import pack
 from .periodic_runs import periodic_runs
@@ -207,3 +208,9 @@ def repeated_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 def variant_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the whole corpus, some of them damaged as the contract says, with their forms and roots."""
     return spelling_variants(documents(spark, sf_dir), damage=199)
+
+
+@query("op13_minhash_dedup")
+def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of three-word shingle sets of 85 percent similarity or more."""
+    return near_copies(documents(spark, sf_dir), n=3, percent=85)

@@ -1,13 +1,15 @@
 """Word shingles of whole texts as sorted arrays of 64-bit hashes, in numpy over Arrow buffers.
 
 A-Z is lower-cased, words are runs of bytes other than blanks (0x09-0x0D and 0x20, which occur in
-UTF-8 as themselves only).  A word's hash is a polynomial of its bytes modulo 2^64; a shingle's hash
+UTF-8 as themselves only).  A word's hash is the sum of one random number for each byte at its place
+(tabulation; words of more than PLACES bytes go through BLAKE2b); a shingle's hash
 combines the hashes of its words.  Bytes are taken in blocks that end between words, so memory stays
 small however long a text is: only 8 bytes a word are kept.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,14 +17,12 @@ import pyarrow as pa
 
 BLOCK = 1 << 20
 BASE = 0x9E3779B97F4A7C15
+PLACES = 256
 
 _BLANKS = np.zeros(256, dtype=bool)
 _BLANKS[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS: dict[str, np.ndarray] = {}
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (xor-shift and multiply)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -30,18 +30,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64))[_LOWER]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i modulo 2^64 for i below n."""
-    if len(_POWERS.get("up", ())) < n:
-        n = max(n, BLOCK + 4096)
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            factors = np.full(n, base, dtype=np.uint64)
-            factors[0] = 1
-            _POWERS[name] = np.multiply.accumulate(factors)
-    return _POWERS["up"], _POWERS["down"]
+_TABLE = mix(mix(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * np.uint64(BASE)))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start : start + length]; no span is empty."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    ends = np.cumsum(lengths)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BLOCK, side="right")))
+        own, first = lengths[i:j], starts[i:j]
+        short = np.flatnonzero(own <= PLACES)
+        own, first = own[short].astype(np.int32), first[short]
+        if len(own):
+            at = np.cumsum(own, dtype=np.int32) - own
+            place = np.arange(at[-1] + own[-1], dtype=np.int32) - np.repeat(at, own)
+            spots = place + np.repeat((first - first[0]).astype(np.int32), own)
+            values = _TABLE[(place << 8) | data[first[0] :][spots]]
+            out[i + short] = mix(np.add.reduceat(values, at) + own.astype(np.uint64))
+        i = j
+    for k in np.flatnonzero(lengths > PLACES).tolist():
+        span = data[starts[k] : starts[k] + lengths[k]].tobytes()
+        out[k] = int.from_bytes(hashlib.blake2b(span, digest_size=8).digest(), "little")
+    return out
 
 
 def _block_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,11 +67,7 @@ def _block_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.nd
     after[cuts[(cuts > 0) & (cuts <= len(data))] - 1] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    up, down = powers(len(data))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_HASH[data] * up[: len(data)], out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * down[starts]
-    return mix(hashes + (ends - starts).astype(np.uint64)), starts
+    return span_hashes(_LOWER[data], starts, ends - starts), starts
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

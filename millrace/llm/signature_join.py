@@ -7,19 +7,20 @@ Two documents link when 100 * |A and B| >= percent * |A or B| over their distinc
    sets keep, so a set goes to one tree for each of these.  Frequent shingles come last in the order: each task
    reports what repeats within a window of its texts, and the most frequent HOT_SHINGLES of the sums are
    sent out.  The list steers cost only.
-3. Pivots.  Sets with an equal minimum of a random order are compared with the smallest id among them.
-   That ties masses of near copies together in linear time.
+3. Pivots.  Sets with an equal minimum of a random order are compared, by sizes and bitmaps, with the smallest id
+   among them.  That ties masses of near copies together in linear time.
 4. Trees.  Routing shingles whose sets are all tied already are dropped by a combined (min, max) aggregate.
    The others get a signature tree each: leaves are sets by size, a node holds the OR of the bitmaps below and
    their range of sizes.  A tree is traversed against itself level by level, all trees of a batch at once; a pair
    of nodes goes when its sizes exclude a link, when the largest possible overlap, common bits plus the
-   fewest tokens hidden behind shared bits, is too small, or when both hold one component only.
-   Trees over TILE sets are cut into blocks that meet pair by pair in different tasks.
-5. Pairs of sets that survive are bounded once more by bitmaps that grow with the sets, then checked by their
-   full sets; components follow from the verified links.
-
-Pairs already known to be connected are not checked again, so that a group of copies costs no square of its size; no
-link between different components is lost.
+   fewest tokens hidden behind shared bits, is too small, or when both hold one component only.  Pairs of leaves are
+   bounded once more by bitmaps that grow with the sets.  Large trees are cut into blocks that meet in tiles, and
+   a tile reports a spanning forest of the pairs that survive (`masses`).
+5. What survives connects masses of likely near copies.  Their links are confirmed on the full sets, and the
+   components of the confirmed links are the result.
+
+No set is compared with a set that it is known to be connected to, and no list of pairs leaves a task, so a group of
+copies costs no square of its size in rows; no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -31,21 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import components, join_groups, small
+from ..operators.components import join_groups
 from ..session import Workspace
 from .common import col
+from .masses import connected, cross_tiles, edge_batch, equal_sets, mass_links, tile_numbers, whole_tiles
 from .shingles import mix, shingle_sets
 
 HOT_SHINGLES = 1 << 17
 WINDOW_SHINGLES = 1 << 21
 WINDOW_REPEATS = 3
 PIVOTS = 4
-TILE = 1024
 BITS = 1024
-FOLLOWERS = 256
-FOREST_ROWS = 20_000
 PAIR_CHUNK = 1 << 16
-BROADCAST_ROUTES = 2_000_000  # rows of two numbers, about 100 MB in memory
+KEYS = ("key", "i", "j")
+LEADER_SALTS = 64
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -121,8 +121,9 @@ def _bitmap(own: np.ndarray, width: int = BITS) -> bytes:
 
 
 def _wide(own: np.ndarray) -> bytes:
-    """A bitmap of two bits or more for each shingle."""
-    return _bitmap(own, max(BITS, 1 << (2 * len(own) - 1).bit_length()))
+    """A bitmap of two bits or more for each shingle; empty where the bitmap of BITS is that large."""
+    width = 1 << (2 * len(own) - 1).bit_length()
+    return _bitmap(own, width) if width > BITS else b""
 
 
 def _folded(bits: np.ndarray, size: int) -> np.ndarray:
@@ -165,71 +166,45 @@ def describe_sets(texts: DataFrame, n: int, percent: int) -> DataFrame:
     return texts.mapInArrow(describe, schema)
 
 
-def bounded(pairs: DataFrame, sets: DataFrame, percent: int, space: Workspace) -> DataFrame:
-    """The pairs (a, b) that sizes and wide bitmaps do not exclude; long texts are told apart without being sent."""
-    pairs = space.materialize(pairs.distinct(), "asked-pairs")
-    one = sets.select(F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("wide").alias("a_bits"))
-    two = sets.select(F.col("id").alias("b"), F.col("size").alias("b_size"), F.col("wide").alias("b_bits"))
-    leaders = one.join(small(pairs.select("a").distinct()), "a", "left_semi")
-    asked = two.join(small(pairs), "b")
+def likely(bits: tuple[list[bytes], list[bytes]], sizes: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs (bitmap by bitmap, size by size) can link by the most shingles they can have in common."""
+    m, n = sizes
+    ok = (m * 100 >= percent * n) & (n * 100 >= percent * m)
+    widths = [np.array([len(x) for x in side], dtype=np.int64) for side in bits]
+    least = np.minimum(*widths)
+    for width in np.unique(least[ok]).tolist():
+        at = np.flatnonzero(ok & (least == width))
+        for start in range(0, len(at), max(1, (1 << 22) // width)):
+            part = at[start : start + max(1, (1 << 22) // width)]
+            p, q = (np.stack([_folded(np.frombuffer(side[k], dtype=np.uint8), width) for k in part.tolist()]).view(np.uint64) for side in bits)
+            most = np.bitwise_count(p & q).sum(axis=1, dtype=np.int64)
+            hidden = [own[part] - np.bitwise_count(x).sum(axis=1, dtype=np.int64) for own, x in ((m, p), (n, q))]
+            ok[part] = (most + np.minimum(*hidden)) * (100 + percent) >= percent * (m + n)[part]
+    return ok
+
+
+def pivot_edges(reps: DataFrame, percent: int, space: Workspace) -> DataFrame:
+    """Edges (a, b) from sets b to the smallest id a of those with an equal minimum, where they can link."""
+    ways = reps.select("id", F.posexplode("pivots").alias("way", "pivot")).select("id", F.xxhash64("way", "pivot").alias("key"))
+    groups = ways.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("__size")).filter("__size > 1")
+    groups = space.materialize(groups, "pivot-groups")
+    total = groups.agg(F.sum("__size").alias("n")).first()["n"] or 0
+    led = join_groups(ways, groups, "key", total).filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    led = space.materialize(led, "led")
+    side = lambda k: reps.select(F.col("id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("size", "bits", "wide")])
+    # Leaders of many sets: a row each, found again by (id, salt), so that no task holds all of a leader's followers.
+    salted = led.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(LEADER_SALTS)))
+    leaders = salted.select("a", "salt").distinct().join(side("a"), "a")
+    asked = salted.join(side("b"), "b").join(leaders, ["a", "salt"])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("a", "b", "a_size", "b_size", "a_bits", "b_bits")]
-            found = []
-            for a, b, m, n, x, y in zip(*columns, strict=True):
-                if m * 100 < percent * n or n * 100 < percent * m:
-                    continue
-                width = min(len(x), len(y))
-                p, q = (_folded(np.frombuffer(z, dtype=np.uint8), width).view(np.uint64) for z in (x, y))
-                most = int(np.bitwise_count(p & q).sum())
-                most += min(m - int(np.bitwise_count(p).sum()), n - int(np.bitwise_count(q).sum()))
-                if most * (100 + percent) >= percent * (m + n):
-                    found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    return asked.join(leaders, "a").mapInArrow(keep, "a long, b long")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, space: Workspace) -> DataFrame:
-    """The pairs (a, b) whose full sets link.  The texts of followers b stream past the set of their a.
-
-    An a with many followers is copied for groups of about FOLLOWERS of them, so no task holds them all.
-    """
-    pairs = space.materialize(pairs.distinct(), "pairs")
-    degrees = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("__size"))
-    counted = join_groups(pairs, degrees, "a", pairs.count())
-    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("__size") / FOLLOWERS))
-    salted = counted.select("a", "b", salt.alias("salt"))
-    leaders = salted.select("a", "salt").distinct().select(F.col("a").alias("id"), "a", "salt", F.lit(0).alias("role"))
-    followers = salted.select(F.col("b").alias("id"), "a", "salt", F.lit(1).alias("role"))
-    roles = space.materialize(leaders.unionByName(followers), "roles")
-    streams = texts.join(small(roles), "id")
-    streams = streams.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, leading = None, []
-        for batch in batches:
-            found = []
-            columns = [batch.column(c).to_pylist() for c in ("a", "salt", "role", "id")]
-            sets = shingle_sets(batch.column("text"), n)
-            for own, a, s, role, own_id in zip(sets, *columns, strict=True):
-                if (a, s) != group:
-                    group, leading = (a, s), []
-                if role == 0:
-                    leading.append(own)
-                    continue
-                for other in leading:
-                    both = len(own) + len(other)
-                    common = both - len(np.union1d(own, other))
-                    if common * 100 >= percent * (both - common):
-                        found.append((a, own_id))
-                        break
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"]
-            )
+            column = {c: batch.column(c).to_pylist() for c in ("a_bits", "b_bits", "a_wide", "b_wide")}
+            bits = tuple([w or x for w, x in zip(column[f"{k}_wide"], column[f"{k}_bits"], strict=True)] for k in "ab")
+            sizes = tuple(batch.column(f"{k}_size").to_numpy() for k in "ab")
+            yield batch.select(["a", "b"]).filter(pa.array(likely(bits, sizes, percent)))
 
-    return space.materialize(streams.mapInArrow(check, "a long, b long").distinct(), "links")
+    return space.materialize(asked.mapInArrow(keep, "a long, b long"), "pivot-edges")
 
 
 def _levels(tree: np.ndarray, bits: np.ndarray, size: np.ndarray, comp: np.ndarray) -> list[dict[str, np.ndarray]]:
@@ -311,44 +286,26 @@ def forest_pairs(
     return order[p], order[q]
 
 
-def tree_pairs(routed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that survive in the trees of (token, i, j); routed has token, i, j, block, id, comp, size, bits."""
-    sent = routed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+def tree_edges(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest (a, b) of the pairs that survive in the trees of each tile (key, i, j, block, id, comp)."""
+    sent = tiles.select(*KEYS, "block", "id", "comp").join(sets.select("id", "size", "bits", "wide"), "id")
+    sent = sent.repartition(*KEYS).sortWithinPartitions(*KEYS)
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows: pa.Table) -> pa.RecordBatch:
-            number = {c: rows.column(c).to_numpy() for c in ("token", "i", "j", "block", "id", "comp", "size")}
-            new = np.zeros(len(rows), dtype=bool)
-            for c in ("token", "i", "j"):
-                new[1:] |= number[c][1:] != number[c][:-1]
+        for rows in whole_tiles(batches, KEYS):
+            block, ids, comp, size = (rows.column(c).to_numpy() for c in ("block", "id", "comp", "size"))
             raw = b"".join(rows.column("bits").to_pylist())
             bits = np.frombuffer(raw, dtype=np.uint64).reshape(len(rows), BITS // 64)
-            p, q = forest_pairs(np.cumsum(new), number["block"], number["size"], number["comp"], bits, percent)
-            a, b = number["id"][p], number["id"][q]
-            found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+            p, q = forest_pairs(tile_numbers(rows, KEYS), block, size, comp, bits, percent)
+            wide = rows.column("wide").to_pylist()
+            has = np.array([bool(w) for w in wide])
+            keep = np.ones(len(p), dtype=bool)
+            both = np.flatnonzero(has[p] & has[q])
+            pair = ([wide[k] for k in side[both].tolist()] for side in (p, q))
+            keep[both] = likely(tuple(pair), (size[p[both]], size[q[both]]), percent)
+            yield edge_batch(ids[p[keep]], ids[q[keep]])
 
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            held.append(batch)
-            size += len(batch)
-            if size < FOREST_ROWS:
-                continue
-            rows = pa.Table.from_batches(held).combine_chunks()
-            keys = [rows.column(c).to_numpy() for c in ("token", "i", "j")]
-            last = np.ones(len(rows), dtype=bool)
-            for key in keys:
-                last &= key == key[-1]
-            cut = int(last.argmax())  # the last tile may go on in the next batch
-            if cut:
-                yield flush(rows.slice(0, cut).combine_chunks())
-            held = rows.slice(cut).to_batches()
-            size = len(rows) - cut
-        if size:
-            yield flush(pa.Table.from_batches(held).combine_chunks())
-
-    return sent.mapInArrow(traverse, "a long, b long").filter("a <> b").distinct()
+    return sent.mapInArrow(traverse, "a long, b long").filter("a <> b")
 
 
 def similar_components(
@@ -366,55 +323,22 @@ def similar_components(
     linked = sets.filter("size > 0 AND id IS NOT NULL")
     texts = texts.filter("id IS NOT NULL")
 
-    # 1. Equal sets.
-    keys = ["size", "key1", "key2"]
-    classes = linked.groupBy(*keys).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("__size"))
-    classes = space.materialize(classes.filter("__size > 1").withColumn("key", F.xxhash64(*keys)), "classes")
-    keyed = linked.select("id", F.xxhash64(*keys).alias("key"))
-    total = classes.agg(F.sum("__size").alias("n")).first()["n"] or 0
-    equal = join_groups(keyed, classes.select("key", "rep", "__size"), "key", total).filter("id <> rep")
-    equal = space.materialize(equal.select(F.col("rep").alias("a"), F.col("id").alias("b"), "key"), "equal")
-    # Of an id that repeats with other texts only the rows of this set go.
-    gone = small(equal.select(F.col("b").alias("id"), "key").distinct())
-    reps = linked.withColumn("key", F.xxhash64(*keys)).join(gone, ["id", "key"], "left_anti").drop("key")
-    equal = equal.select("a", "b").distinct()
-
-    # 3. Pivots.
-    ways = reps.select("id", F.posexplode("pivots").alias("way", "pivot")).select("id", F.xxhash64("way", "pivot").alias("key"))
-    groups = ways.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("__size")).filter("__size > 1")
-    groups = space.materialize(groups, "pivot-groups")
-    total = groups.agg(F.sum("__size").alias("n")).first()["n"] or 0
-    led = join_groups(ways, groups, "key", total).filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    pivoted = verified(bounded(led, reps, percent, space), texts, n, percent, space)
-    first = space.materialize(components(pivoted, space), "pivot-components")
-    tied = reps.join(small(first.select(F.col("node").alias("id"), "component")), "id", "left")
-    tied = tied.select("id", "size", "prefix", "bits", F.coalesce("component", "id").alias("comp"))
-
-    # 4. Trees.
-    routes = tied.select(F.explode("prefix").alias("token"), "id", "comp", "size")
-    mixed = routes.groupBy("token").agg(
+    equal, reps = equal_sets(sets.filter("size > 0 AND id IS NOT NULL"), space)
+    edges = pivot_edges(reps, percent, space)
+    tied = connected(edges, space).select(F.col("node").alias("id"), "component")
+    tied = reps.select("id", "size", "prefix").join(tied, "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    routes = tied.select(F.explode("prefix").alias("key"), "id", "comp", "size")
+    mixed = routes.groupBy("key").agg(
         F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("__size"),
-        F.min("size").alias("least"), F.max("size").alias("most"),
+        F.lit(0).cast("long").alias("__weight"), F.min("size").alias("least"), F.max("size").alias("most"),
     )
     # Two sets alone on a route must at least have sizes that can link.
     apart = (F.col("__size") == 2) & (F.col("least") * 100 < F.col("most") * percent)
-    mixed = space.materialize(mixed.filter((F.col("low") != F.col("high")) & ~apart).select("token", "__size"), "mixed-routes")
-    if mixed.count() <= BROADCAST_ROUTES:
-        routed = tied.select(F.explode("prefix").alias("token"), "id", "comp", "size", "bits").join(F.broadcast(mixed), "token")
-    else:  # narrow rows first, bitmaps for those that stay
-        total = mixed.agg(F.sum("__size").alias("n")).first()["n"]
-        routed = join_groups(routes, mixed, "token", total).join(tied.select("id", "bits"), "id")
-    blocks = F.ceil(F.col("__size") / TILE)
-    routed = routed.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id"), blocks)})
-    routed = routed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    routed = routed.select(
-        "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "id", "comp", "size", "bits",
-    )
-    links = verified(bounded(tree_pairs(routed, percent), reps, percent, space), texts, n, percent, space)
-
-    # 5. Components of all links.
-    found = components(equal.unionByName(pivoted).unionByName(links), space)
+    mixed = space.materialize(mixed.filter((F.col("low") != F.col("high")) & ~apart).drop("least", "most"), "mixed-routes")
+    tiles = cross_tiles(routes.select("key", "id", "comp"), mixed, space)
+    edges = edges.unionByName(space.materialize(tree_edges(tiles, reps, percent), "tree-edges"))
+    links = mass_links(edges, reps, texts, n, percent, space)
+    found = connected(equal.unionByName(links), space)
     return sets.join(found, F.col("id") == F.col("node"), "left").select(
         F.col("id").alias("doc_id"),
         F.col("size").alias("n_shingles"),

@@ -5,7 +5,7 @@ import random
 import pytest
 from contracts import jaccard_components
 
-from millrace.llm import signature_join
+from millrace.llm import masses
 from millrace.llm.common import prepare
 from millrace.llm.signature_join import similar_components
 
@@ -36,7 +36,7 @@ def run(spark, rows, n, percent):
 
 @pytest.mark.parametrize("n,percent,tile", [(4, 85, 1024), (5, 80, 3), (1, 60, 8)])
 def test_like_all_pairs(spark, monkeypatch, n, percent, tile):
-    monkeypatch.setattr(signature_join, "TILE", tile)
+    monkeypatch.setattr(masses, "TILE", tile)
     rows = near_copies(n, 25, 12)
     assert run(spark, rows, n, percent) == jaccard_components(rows, n, percent)
 
