@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import documents, prepare
 from millrace.llm.exact_dedup import ExactDedup
-from millrace.operators.components import small
 from millrace.llm.line_rules import apply_line_rules
 from millrace.llm.mixing import poisson_mix
 from millrace.llm.packing import pack
@@ -39,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id."""
     prepare(spark)
     found = similar_components(docs, n=5, percent=80).filter("component_id <> doc_id")
-    return docs.join(small(found.select("doc_id").distinct()), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
