@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import components, join_groups
+from ..operators.components import components, join_groups, small
 from ..session import Workspace
 from .shingles import shingle_sets
 
@@ -201,9 +201,9 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.n
 
 
 def met_links(tiles: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Spanning links (a, b) of the full sets of each tile (key, i, j, id)."""
+    """Spanning links (a, b) of the full sets of each tile (key, i, j, id); tiles should be a written table."""
     keys = ("key", "i", "j")
-    sent = texts.join(tiles.select(*keys, "id"), "id").repartition(*keys).sortWithinPartitions(*keys)
+    sent = texts.join(small(tiles.select(*keys, "id")), "id").repartition(*keys).sortWithinPartitions(*keys)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
@@ -241,7 +241,7 @@ def mass_links(edges: DataFrame, sets: DataFrame, texts: DataFrame, n: int, perc
     members = masses.select(F.col("component").alias("key"), F.col("node").alias("id")).join(weights, "id")
     members = space.materialize(members.withColumn("comp", F.col("id")), "masses")
     groups = space.materialize(group_sizes(members, "size"), "mass-sizes")
-    first = space.materialize(met_links(diagonal_tiles(members, groups), texts, n, percent), "links")
+    first = space.materialize(met_links(space.materialize(diagonal_tiles(members, groups), "mass-tiles"), texts, n, percent), "links")
     large = groups.filter(_blocks(F.col("__size"), F.col("__weight")) > 1)
     if large.isEmpty():
         return first
@@ -250,5 +250,5 @@ def mass_links(edges: DataFrame, sets: DataFrame, texts: DataFrame, n: int, perc
     members = space.materialize(members, "tied-masses")
     groups = group_sizes(members, "size").filter("low <> high")
     groups = space.materialize(groups.filter(_blocks(F.col("__size"), F.col("__weight")) > 1), "open-masses")
-    crossed = cross_tiles(members, groups, space, "size")
+    crossed = space.materialize(cross_tiles(members, groups, space, "size"), "crossed-masses")
     return first.unionByName(space.materialize(met_links(crossed, texts, n, percent), "cross-links"))

@@ -11,6 +11,7 @@ from millrace.llm import masses, minhash
 from millrace.llm.common import prepare
 from millrace.llm.queries import minhash_dedup
 from millrace.llm.shingles import mix
+from millrace.llm.signature_join import similar_components
 
 
 def run(spark, rows, n, percent):
@@ -83,17 +84,34 @@ def test_repeated_ids_and_long_texts(spark):
     assert {i: c for i, (_, c) in run(spark, rows, 3, 85).items()} == {3: 3, 5: 3, 7: 3, 9: 9, 10: 9}
 
 
-def test_mass_of_near_copies(spark):
-    """2,000 near copies of a text that is not the smallest id, at many similarities."""
+def all_pairs(texts, percent):
+    """Smallest member of each text's component, over all pairs."""
+    sets = [set(zip(w, w[1:], w[2:], strict=False)) for w in (t.split() for t in texts)]
+    least = list(range(len(sets)))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            common = len(s & sets[j])
+            if least[i] != least[j] and 100 * common >= percent * (len(s) + len(sets[j]) - common):
+                old, new = max(least[i], least[j]), min(least[i], least[j])
+                least = [new if x == old else x for x in least]
+    return least
+
+
+@pytest.mark.parametrize("operator", [minhash.near_copies, similar_components])
+def test_mass_of_near_copies(spark, operator):
+    """Near copies of a text that is not the smallest id, at many similarities, in more than one block."""
+    prepare(spark)
     rng = random.Random(7)
     base = [f"w{i}" for i in range(150)]
-    rows = []
-    for i in range(2000):
+    texts = []
+    for _ in range(1200):
         copy = list(base)
         for _ in range(rng.randint(0, 14)):
             copy[rng.randrange(150)] = f"n{rng.randrange(10**6)}"
-        rows.append((i, " ".join(copy)))
-    assert run(spark, rows, 3, 85) == jaccard_components(rows, 3, 85)
+        texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in operator(df, 3, 85).collect()}
+    assert [got[i] for i in range(len(texts))] == all_pairs(texts, 85)
 
 
 def test_query_like_its_contract(spark):
