@@ -19,7 +19,7 @@ def _ref():
 
 def _parsed(df, key: str, raw: str, ref=None):
     """Key, value in microseconds, confidence and reason of a raw date expression."""
-    parsed = df.select(key, d.normalize_date(F.expr(raw), _ref() if ref is None else ref).alias("p"))
+    parsed = d.with_dates(df, "p", F.expr(raw), _ref() if ref is None else ref)
     return parsed.select(key, F.unix_micros("p.value").alias("value_us"), "p.confidence", "p.reason")
 
 

@@ -1,6 +1,7 @@
 """Truth table of date strings, and agreement with the general parser on mixed input."""
 
 import random
+import re
 import warnings
 from datetime import datetime, timedelta, timezone
 
@@ -82,6 +83,8 @@ def test_agrees_with_general_parser(spark, ref):
                 f"{y:04d}-{m:02d}-{day:02d}", f"{y:04d}-{m:02d}-{day:02d}T{h:02d}:{mi:02d}:{s:02d}{zone}",
                 f"{y:04d}-{m:02d}-{day:02d} {h:02d}:{mi:02d}{zone}", f"{y:04d}-{m:02d}-{day:02d}T{h:02d}:{mi:02d}:{s:02d}.{rng.randint(0, 10**8)}{zone}",
                 f"{rng.choice(months)} {day}", f"{rng.choice(months)} {day}, {y:04d}", f"{day} {rng.choice(months)} {y:04d}", f"{day} {rng.choice(months)}",
+                f"{y:04d}{m:02d}{day:02d}", f"{y:04d}-{m}-{day}", f"{y:04d}/{m:02d}/{day:02d}", f"{h}:{mi:02d}", f"{h:02d}:{mi:02d}:{s:02d}.{rng.randint(0, 9999)}{zone}",
+                f"{rng.choice(months)} {day}, {y:04d} at {h}:{mi:02d}{zone}", f"{day} {rng.choice(months)} {y:04d} {h:02d}:{mi:02d}:{s:02d}{zone}",
                 f"{m}/{day}/{y:04d}", f"{day}/{m}/{y:04d}", f"Tue, {day:02d} {rng.choice(months)} {y:04d} {h:02d}:{mi:02d}:{s:02d}{rng.choice([' GMT', ' +0200', ''])}",
             ]
         )
@@ -97,8 +100,29 @@ def test_agrees_with_general_parser(spark, ref):
                 expected.append(moment.astimezone(timezone.utc))
             except (ValueError, OverflowError):
                 expected.append(None)
-    got = [v for v, _, _, _ in parse(spark, raws, ref)]
-    assert [(r, g, e) for r, g, e in zip(raws, got, expected) if g != e] == []
+    found = parse(spark, raws, ref)
+    assert [(r, g, e) for r, (g, *_), e in zip(raws, found, expected) if g != e] == []
+    for raw, (value, confidence, reason, _) in zip(raws, found):
+        year = bool(re.search(r"\b\d{4}\b", raw))
+        assert confidence == ("unknown" if value is None else "exact" if year else "heuristic"), raw
+        assert value is not None or reason == f"unparseable:{raw!r}"
+
+
+def test_known_shapes_need_no_general_parser(spark):
+    raws = ["10:30", "9:05:07", "20230930", "2023-1-9", "2023/11/09", "Sep 5 2023 at 10:00", "5 September 2023 10:00:01Z", "3 days ago", "12/31/2023"]
+    df = spark.createDataFrame([(r,) for r in raws], "raw string")
+    value = d.normalize_date(F.col("raw"), REF, general=False)["value"]
+    assert df.filter(value.isNull()).count() == 0
+
+
+def test_table_form_equals_column_form(spark):
+    raws = [None, "", "Today", "yesterday", "3 hours ago", "٣ hours ago", "5 months ago", "it's long ago", "10:30 AGO", "Monday", "2023-02-30", "20230930", "a~b", "1~day ago"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string")
+    column = df.select("i", d.normalize_date(F.col("raw"), REF).alias("p")).orderBy("i").collect()
+    table = d.with_dates(df, "p", F.col("raw"), REF)
+    assert table.columns == ["i", "raw", "p"]
+    assert table.select("i", "p").orderBy("i").collect() == column
+    assert column[6].p.reason == "unparseable:'5 months ago'" and column[7].p.reason == "unparseable:\"it's long ago\""
 
 
 def test_window_reaches_the_scan(spark):
