@@ -15,6 +15,7 @@ ORACLES: dict[str, str] = {}
 
 # Character class of the blanks that separate words.
 BLANK = r"\x20\x09-\x0D"
+BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,4 +60,5 @@ def lower_ascii(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Runs of characters other than blanks; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{BLANK}]+"), lambda w: w != "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{BLANK}]+"))

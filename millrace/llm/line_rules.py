@@ -17,10 +17,14 @@ Of equal lines the first stays.  A document is rejected when the lines that stay
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, col, words
+from ..functions.patterns import let
+from .common import BLANK, BLANKS, col, words
 
 SYMBOLS = "#*$%&|<>"
 SHORT_LINE = 6
@@ -38,44 +42,62 @@ BOILERPLATE = (
 
 
 def count_of(text: Column, characters: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
+    return F.regexp_count(text, F.lit(f"[{characters}]"))
 
 
 def lines_with_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(f"[^{BLANK}]"))
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line that has to go; the line must have a word."""
-    own = words(line)
-    n = F.size(own)
-    length = F.char_length(line)
-    bare = F.regexp_replace(line, f"[{BLANK}]+$", "")
-    upper, letters = F.regexp_replace(line, "[^A-Z]", ""), F.regexp_replace(line, "[^A-Za-z]", "")
-    separators = count_of(line, SEPARATORS)
-    return (
-        (count_of(line, SYMBOLS) * 20 > length)
-        | ((n < SHORT_LINE) & ~bare.rlike(CLOSING))
-        | ((n >= 5) & (F.char_length(upper) * 2 > F.char_length(letters)))
-        | ((separators >= 3) & (separators * 6 >= n))
-        | ((n <= BOILERPLATE_WORDS) & F.lower(line).rlike("|".join(BOILERPLATE)))
-        | ((n >= 10) & (F.size(F.array_distinct(own)) * 5 < n))
-    )
+def has_phrase(text: Column) -> Column:
+    """Whether a text holds one of BOILERPLATE's phrases in any case."""
+    return let(F.lower(text), lambda lowered: reduce(or_, [F.contains(lowered, F.lit(phrase)) for phrase in BOILERPLATE]))
+
+
+def mostly_upper(line: Column) -> Column:
+    """More than half of the A-Z letters are upper case.  Few capitals among four letters or more need no full count."""
+    upper = F.char_length(F.regexp_replace(line, "[^A-Z]+", ""))
+    few = (upper <= 2) & line.rlike("[A-Za-z](?:[^A-Za-z]*[A-Za-z]){3}")
+    return ~few & (upper * 2 > F.char_length(F.regexp_replace(line, "[^A-Za-z]+", "")))
+
+
+def line_fails(line: Column, symbols: Column, separators: Column, phrases: Column) -> Column:
+    """True for a line that has to go; the line must have a word.
+
+    The flags tell whether the whole text holds any symbol, separator or phrase; without one no line needs a look.
+    """
+
+    def judge(own: Column) -> Column:
+        n = F.size(own)
+        bare = F.btrim(line, F.lit(BLANKS))
+        parts = count_of(line, SEPARATORS)
+        return (
+            ((n < SHORT_LINE) & ~bare.rlike(CLOSING))
+            | (symbols & (count_of(line, SYMBOLS) * 20 > F.char_length(line)))
+            | (separators & (parts >= 3) & (parts * 6 >= n))
+            | (phrases & (n <= BOILERPLATE_WORDS) & has_phrase(line))
+            | ((n >= 5) & mostly_upper(line))
+            | ((n >= 10) & (F.size(F.array_distinct(own)) * 5 < n))
+        )
+
+    return let(words(line), judge)
 
 
 def repeated_window_words(own: str, window: int = WINDOW) -> tuple[list[dict[str, Column]], Column]:
     """Words covered by windows that occur twice or more in the array of words.
 
-    Returns the helper columns, level by level, and the count.  Windows are compared by a 64-bit hash over
-    the hashes of their words.  Only rows with an equal pair sort their windows.
+    Returns the helper columns, level by level, and the count.  The window is a power of two; windows are compared by
+    64-bit hashes, built from the hashes of their halves.  Only rows with an equal pair sort their windows.
     """
     hashes, wins, pairs, starts = "__hashes", "__windows", "__pairs", "__starts"
     one_hash = F.transform(F.col(own), lambda w: F.xxhash64(w))
     many = F.size(own) >= window
-    rolled = F.transform(
-        F.sequence(F.lit(0), F.size(own) - window),
-        lambda i: F.xxhash64(*[F.get(F.col(hashes), i + k) for k in range(window)]),
-    )
+
+    def doubled(name: str, width: int) -> Column:
+        """Hashes of twice the width from hashes of windows of one width."""
+        n = F.size(name) - width
+        return F.zip_with(F.slice(name, F.lit(1), n), F.slice(name, F.lit(width + 1), n), lambda a, b: F.xxhash64(a, b))
+
     repeats = F.size(F.array_distinct(F.col(wins))) < F.size(wins)
     sorted_pairs = F.array_sort(F.transform(F.col(wins), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
@@ -91,7 +113,7 @@ def repeated_window_words(own: str, window: int = WINDOW) -> tuple[list[dict[str
     total = F.aggregate(gap, F.lit(0).cast("long"), lambda a, b: a + b)
     levels = [
         {hashes: F.when(many, one_hash)},
-        {wins: F.when(many, rolled)},
+        *[{wins: F.when(many, doubled(wins if k else hashes, 1 << k))} for k in range(window.bit_length() - 1)],
         {pairs: F.when(many & repeats, sorted_pairs)},
         {starts: F.when(F.col(pairs).isNotNull(), places)},
     ]
@@ -114,15 +136,18 @@ def apply_line_rules(docs: DataFrame, text_col: str = "text", max_loss: float =
     own = own.withColumns(
         {
             "n_words": F.size("__words").cast("long"),
-            "word_chars": F.char_length(F.regexp_replace("__text", f"[{BLANK}]", "")).cast("long"),
+            "word_chars": F.char_length(F.array_join("__words", "")).cast("long"),
             "n_symbols": count_of(F.col("__text"), SYMBOLS).cast("long"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "n_repeat_words": repeated,
             "n_lines": F.size("__lines").cast("long"),
-            "__good": F.array_distinct(F.filter("__lines", lambda x: ~line_fails(x))),
+            "__phrases": has_phrase(F.col("__text")),
+            "__separators": F.col("__text").rlike(f"[{SEPARATORS}]"),
             "__all_chars": length(F.col("__lines")),
         }
     )
+    flags = (F.col("n_symbols") > 0, F.col("__separators"), F.col("__phrases"))
+    own = own.withColumn("__good", F.array_distinct(F.filter("__lines", lambda x: ~line_fails(x, *flags))))
     failed = F.col("n_lines") - F.size("__good")
     lost = F.col("__all_chars") - length(F.col("__good"))
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
@@ -136,5 +161,5 @@ def apply_line_rules(docs: DataFrame, text_col: str = "text", max_loss: float =
     # A generator keeps the optimizer from copying all of the above into a filter on the verdict.
     own = own.withColumn("__verdict", F.explode(F.array(F.struct(*[c.alias(name) for name, c in verdict.items()]))))
     own = own.withColumns({name: F.col(f"__verdict.{name}") for name in verdict})
-    helpers = ("__text", "__words", "__lines", "__hashes", "__windows", "__pairs", "__starts", "__good", "__all_chars")
+    helpers = ("__text", "__words", "__lines", "__hashes", "__windows", "__pairs", "__starts", "__good", "__all_chars", "__phrases", "__separators")
     return own.drop(*helpers, "__verdict")
