@@ -1,10 +1,11 @@
 """Token counts that follow edits: only what an edit touches is encoded again.
 
 A document is cut into pre-token segments (see `encoding`), and a segment tree holds their token
-counts.  An edit replaces a range of characters.  The segments it touches and one on either side are encoded
-again: the cuts before and behind that stretch keep their neighbouring characters, so they stay cuts, and what
-lies beyond them keeps its tokens.  The stretch's new count goes to its first leaf, its other leaves become
-zero, and the sums above them are updated; the root is the document's count.
+counts.  `build_trees` writes both down once, as a table.  `apply_edits` reads that table: an edit replaces a range of
+characters; the segments it touches and one on either side are encoded again, as the cuts before and behind
+that stretch keep their neighbouring characters, so they stay cuts, and what lies beyond them keeps its tokens.  The
+stretch's new count goes to its first leaf, its other leaves become zero, and the sums above them are updated; the root
+is the document's count.  All trees of a batch are built and updated together, level by level.
 """
 
 from __future__ import annotations
@@ -16,59 +17,123 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from ..session import Workspace
+from .common import BLANK, col
 from .encoding import Encoder, joined
 
 EDITS = "array<struct<start:int,stop:int,text:string>>"
+OUTPUT = ("n_tokens_before", "n_tokens", "n_edits", "n_segments", "n_encoded_again")
 
 
-class SegmentTree:
-    """Sums over the leaves of a binary tree."""
+class Forest:
+    """Binary sum trees over the leaves of many documents; a tree lies in `nodes` level by level, its root last."""
 
     def __init__(self, leaves: np.ndarray):
-        self.levels = [np.asarray(leaves, dtype=np.int64)]
-        while len(self.levels[-1]) > 1:
-            below = self.levels[-1]
-            self.levels.append(np.add.reduceat(below, np.arange(0, len(below), 2)))
+        """The number of leaves of each document, at least one."""
+        self.sizes = [leaves]
+        while (self.sizes[-1] > 1).any():
+            below = self.sizes[-1]
+            self.sizes.append(np.where(below > 1, (below + 1) // 2, 0))
+        totals = np.sum(self.sizes, axis=0, dtype=np.int64)
+        self.bounds = np.r_[0, np.cumsum(totals)]
+        self.starts = self.bounds[:-1] + np.r_[np.zeros((1, len(leaves)), np.int64), np.cumsum(self.sizes, axis=0)[:-1]]
+        self.nodes = np.zeros(int(self.bounds[-1]), dtype=np.int64)
 
     @property
-    def total(self) -> int:
-        return int(self.levels[-1][0]) if len(self.levels[-1]) else 0
-
-    def update(self, at: np.ndarray, values: np.ndarray) -> None:
-        """Sets leaves and renews the sums above them, and no others."""
-        self.levels[0][at] = values
-        for below, above in zip(self.levels[:-1], self.levels[1:], strict=True):
-            at = np.unique(at // 2)
-            right = 2 * at + 1
-            above[at] = below[2 * at] + np.where(right < len(below), below[np.minimum(right, len(below) - 1)], 0)
-
-    def before(self, leaf: int) -> int:
-        """The sum of all leaves before this one."""
-        total = 0
-        for level in self.levels:
-            if leaf % 2:
-                total += int(level[leaf - 1])
-            leaf //= 2
-        return total
-
-
-def stretches(ends: np.ndarray, edits: list[tuple[int, int, str]]) -> list[tuple[int, int, list[tuple[int, int, str]]]]:
-    """First and last segment to encode again, with the edits inside; ends are the segments' last positions plus one.
-
-    Edits come by start and do not overlap.
+    def roots(self) -> np.ndarray:
+        return self.nodes[self.bounds[1:] - 1]
+
+    def fill(self, values: np.ndarray) -> Forest:
+        """Sets all leaves, document by document, and all sums."""
+        docs = np.repeat(np.arange(len(self.sizes[0])), self.sizes[0])
+        places = np.arange(len(docs)) - np.repeat(np.cumsum(self.sizes[0]) - self.sizes[0], self.sizes[0])
+        return self.update(docs, places, values)
+
+    def update(self, docs: np.ndarray, places: np.ndarray, values: np.ndarray) -> Forest:
+        """Sets leaves, which come by document and place, and renews the sums above them, and no others."""
+        self.nodes[self.starts[0][docs] + places] = values
+        for level in range(len(self.sizes) - 1):
+            up = self.sizes[level + 1][docs] > 0
+            docs, places = docs[up], places[up] // 2
+            if len(docs) == 0:
+                break
+            first = np.r_[True, (docs[1:] != docs[:-1]) | (places[1:] != places[:-1])]
+            docs, places = docs[first], places[first]
+            left = self.starts[level][docs] + 2 * places
+            paired = 2 * places + 1 < self.sizes[level][docs]
+            sums = self.nodes[left]
+            sums[paired] += self.nodes[left[paired] + 1]
+            self.nodes[self.starts[level + 1][docs] + places] = sums
+        return self
+
+
+def _lists(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))
+
+
+def build_trees(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
+    """doc_id, text, sizes (code points of each segment), tree (token counts of segments, then sums level by level, the
+    root last), and edits if a column of them is named."""
+    edits = [col(edits_col).cast(EDITS).alias("edits")] if edits_col else []
+    rows = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"), *edits)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.of(tokenizer)
+        for batch in joined(batches, "text"):
+            offsets, sizes, counts = encoder.counts(batch.column("text"))
+            empty = np.flatnonzero(np.diff(offsets) == 0)  # one segment without tokens
+            sizes, counts = (np.insert(x, offsets[empty], 0) for x in (sizes, counts))
+            leaves = np.maximum(np.diff(offsets), 1)
+            forest = Forest(leaves).fill(counts)
+            lists = [_lists(sizes, np.r_[0, np.cumsum(leaves)]), _lists(forest.nodes, forest.bounds)]
+            own = [batch.column(c) for c in batch.schema.names]
+            yield pa.RecordBatch.from_arrays([*own, *lists], [*batch.schema.names, "sizes", "tree"])
+
+    kind = dict(rows.dtypes)["doc_id"]
+    more = f", edits {EDITS}" if edits_col else ""
+    return rows.mapInArrow(build, f"doc_id {kind}, text string{more}, sizes array<int>, tree array<int>")
+
+
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All items of list cells and where each cell begins; null is an empty list."""
+    sizes = np.where(lists.is_valid(), lists.value_lengths().fill_null(0).to_numpy(), 0)
+    return lists.flatten(), np.r_[0, np.cumsum(sizes)].astype(np.int64)
+
+
+def clean_edits(
+    edits: pa.Array, ends: np.ndarray, relative: bool
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Document, start, stop and row in the replacements of the edits that count, by document and start.
+
+    Edits without a start or stop are left out, the others are cut to the text (of ends[i] code points); one that
+    overlaps an earlier one is left out.  Relative edits count from the stop of the edit before, and their stop from
+    their start.
     """
-    last = len(ends) - 1
-    spans: list[tuple[int, int, list[tuple[int, int, str]]]] = []
-    starts = np.searchsorted(ends, [max(0, e[0] - 1) for e in edits], side="right")
-    stops = np.searchsorted(ends, [e[1] for e in edits], side="right")
-    for edit, i, j in zip(edits, starts.tolist(), stops.tolist(), strict=True):
-        i, j = max(0, min(i, last) - 1), min(last, j + 1)
-        if spans and i <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], max(j, spans[-1][1]), [*spans[-1][2], edit])
-        else:
-            spans.append((i, j, [edit]))
-    return spans
+    flat, bounds = _flat(edits)
+    docs = np.repeat(np.arange(len(ends)), np.diff(bounds))
+    known = np.array(flat.is_valid()) if len(flat) else np.zeros(0, dtype=bool)
+    start, stop = (flat.field(c).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "stop"))
+    for c in ("start", "stop"):
+        known &= np.array(flat.field(c).is_valid(), dtype=bool)
+    new = flat.field("text")
+    if relative:
+        moved = np.r_[0, np.cumsum(start + stop)]
+        stop = moved[1:] - moved[bounds[docs]]
+        start = start + moved[:-1] - moved[bounds[docs]]
+    rows = np.flatnonzero(known)
+    docs, start, stop = docs[rows], start[rows], stop[rows]
+    start, stop = np.clip(start, 0, ends[docs]), np.minimum(stop, ends[docs])
+    order = np.lexsort((stop, start, docs))
+    order = order[stop[order] >= start[order]]
+    docs, start, stop, rows = docs[order], start[order], stop[order], rows[order]
+    clash = (docs[1:] == docs[:-1]) & (start[1:] < stop[:-1])
+    if clash.any():
+        keep, last = np.ones(len(docs), dtype=bool), (-1, 0)
+        for k, (doc, a, b) in enumerate(zip(docs.tolist(), start.tolist(), stop.tolist(), strict=True)):
+            keep[k] = doc != last[0] or a >= last[1]
+            last = (doc, b) if keep[k] else last
+        docs, start, stop, rows = docs[keep], start[keep], stop[keep], rows[keep]
+    return docs, start, stop, rows, new
 
 
 def edited(text: str, edits: list[tuple[int, int, str]], offset: int = 0) -> str:
@@ -79,15 +144,53 @@ def edited(text: str, edits: list[tuple[int, int, str]], offset: int = 0) -> str
     return "".join([*out, text[at:]])
 
 
-def clean_edits(edits: list[dict] | None, size: int) -> list[tuple[int, int, str]]:
-    """By start; cut to the text; an edit that overlaps an earlier one is left out."""
-    known = [(e["start"], e["stop"], e["text"]) for e in edits or () if e and e["start"] is not None and e["stop"] is not None]
-    found: list[tuple[int, int, str]] = []
-    for start, stop, text in sorted(known, key=lambda e: e[:2]):
-        start, stop = max(0, min(start, size)), min(stop, size)
-        if stop >= start and (not found or start >= found[-1][1]):
-            found.append((start, stop, text or ""))
-    return found
+def apply_edits(trees: DataFrame, tokenizer: str, relative: bool = False) -> DataFrame:
+    """doc_id and OUTPUT for every row of a table of trees with edits; see `edit_counts`."""
+    rows = trees.select("doc_id", "text", F.col("edits").cast(EDITS).alias("edits"), "sizes", "tree")
+
+    def renew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.of(tokenizer)
+        for batch in joined(batches, "text"):
+            sizes, bounds = _flat(batch.column("sizes"))
+            first, last = bounds[:-1], bounds[1:] - 1
+            ends = np.cumsum(sizes.to_numpy(), dtype=np.int64)  # of segments, in code points of the whole batch
+            base = np.r_[0, ends][first]
+            forest = Forest(np.diff(bounds))
+            forest.nodes[:] = _flat(batch.column("tree"))[0].to_numpy()
+            before = forest.roots
+            docs, start, stop, places, new = clean_edits(batch.column("edits"), ends[last] - base, relative)
+            i = np.searchsorted(ends, base[docs] + np.maximum(start - 1, 0), side="right")
+            j = np.searchsorted(ends, base[docs] + stop, side="right")
+            i = np.maximum(np.clip(i, first[docs], last[docs]) - 1, first[docs])
+            j = np.minimum(np.clip(j, first[docs], last[docs]) + 1, last[docs])
+            reach = np.maximum.accumulate(j) if len(j) else j
+            opens = np.flatnonzero(np.r_[True, i[1:] > reach[:-1]]) if len(i) else i  # stretches that touch are one
+            closes = np.r_[opens[1:], len(docs)].astype(np.int64)
+            low, high, owner = i[opens], reach[closes - 1], docs[opens]
+            redo, texts = [], batch.column("text")
+            from_, to = np.r_[0, ends][low] - base[owner], ends[high] - base[owner]
+            items = list(zip(start.tolist(), stop.tolist(), new.take(pa.array(places)).fill_null("").to_pylist(), strict=True))
+            held, text = -1, ""
+            for doc, a, b, x, y in zip(*(v.tolist() for v in (owner, from_, to, opens, closes)), strict=True):
+                if doc != held:
+                    held, text = doc, texts[doc].as_py()
+                redo.append(edited(text[a:b], items[x:y], a))
+            pieces, _, counts = encoder.counts(pa.array(redo, pa.large_string()))
+            totals = np.diff(np.r_[0, np.cumsum(counts)][pieces])
+            widths = high - low + 1
+            heads = np.cumsum(widths) - widths
+            values = np.zeros(int(widths.sum()), dtype=np.int64)
+            values[heads] = totals
+            leaf = np.arange(len(values)) + np.repeat(low - heads, widths)
+            of = np.repeat(owner, widths)
+            forest.update(of, leaf - first[of], values)
+            n = len(batch)
+            again = np.bincount(owner, widths, minlength=n).astype(np.int64)
+            columns = [before, forest.roots, np.bincount(docs, minlength=n), np.diff(bounds), again]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns]], ["doc_id", *OUTPUT])
+
+    kind = dict(rows.dtypes)["doc_id"]
+    return rows.mapInArrow(renew, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in OUTPUT))
 
 
 def edit_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
@@ -95,62 +198,26 @@ def edit_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
 
     Edits are an array of (start, stop, text) over the code points of the old text; they are taken by start and
     cut to the text, and one that overlaps an earlier one is left out.  Null text is empty, null edits are none, a
-    null replacement is empty.  Rows are independent of
-    each other; an empty table gives no rows.  Other columns are not read.
+    null replacement is empty.  Rows are independent of each other, also where ids repeat or are null; an empty table
+    gives no rows.  Other columns are not read.  The trees are written down before the edits are applied.
     """
-    rows = docs.select(
-        col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"), col(edits_col).cast(EDITS).alias("edits")
-    )
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer)
-        for batch in joined(batches, "text"):
-            texts = batch.column("text").cast(pa.large_string()).fill_null("")
-            offsets, sizes, counts = encoder.counts(texts)
-            before, segments, again, n_edits, trees = [], [], [], [], []
-            redo: list[str] = []  # the stretches of the batch, each from its first segment on
-            where: list[tuple[int, int, int]] = []
-            for row, edits in enumerate(batch.column("edits").to_pylist()):
-                part = slice(offsets[row], offsets[row + 1])
-                tree = SegmentTree(counts[part].copy() if offsets[row] < offsets[row + 1] else np.zeros(1))
-                before.append(tree.total)
-                segments.append(len(tree.levels[0]))
-                trees.append(tree)
-                text = texts[row].as_py() if edits else ""
-                own = clean_edits(edits, len(text)) if edits else []
-                ends = np.cumsum(sizes[part]) if text else np.zeros(1, dtype=np.int64)
-                spans = stretches(ends, own) if own else []
-                n_edits.append(len(own))
-                again.append(sum(j - i + 1 for i, j, _ in spans))
-                for i, j, inside in spans:
-                    start = int(ends[i - 1]) if i else 0
-                    redo.append(edited(text[start : int(ends[j])], inside, start))
-                    where.append((row, i, j))
-            pieces, _, new = encoder.counts(pa.array(redo, pa.large_string()))
-            totals = np.diff(np.r_[0, np.cumsum(new)][pieces]).tolist()
-            for (row, i, j), n in zip(where, totals, strict=True):
-                trees[row].update(np.arange(i, j + 1), np.r_[n, np.zeros(j - i, dtype=np.int64)])
-            columns = [before, [t.total for t in trees], n_edits, segments, again]
-            names = ["doc_id", "n_tokens_before", "n_tokens", "n_edits", "n_segments", "n_encoded_again"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns]], names)
-
-    kind = dict(rows.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_tokens_before long, n_tokens long, n_edits long, n_segments long, n_encoded_again long"
-    return rows.mapInArrow(count, schema)
+    trees = build_trees(docs, tokenizer, id_col, text_col, edits_col)
+    return apply_edits(Workspace(docs.sparkSession).materialize(trees, "token-trees"), tokenizer)
 
 
 def match_edits(text: Column, pattern: str, replacement: dict[str, str], other: str) -> Column:
-    """Edits that replace each match of a pattern: by its own entry, or by the other text."""
+    """Relative edits that replace each match of a pattern: by its own entry, or by the other text."""
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g))
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     new = lambda m: F.coalesce(*[F.when(m == k, F.lit(v)) for k, v in replacement.items()], F.lit(other))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(EDITS).alias("edits"))
+    matches = F.transform(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda m: F.struct(F.char_length(m).alias("size"), new(m).alias("text")),
+    )
+    return F.zip_with(
+        F.slice(gaps, F.lit(1), F.size(matches)), matches,
+        lambda g, m: F.struct(g.alias("start"), m["size"].alias("stop"), m["text"].alias("text")),
+    )
 
-    def add(state: Column, pair: Column) -> Column:
-        start = state["at"] + pair["gap"]
-        stop = start + F.char_length(pair["match"])
-        edit = F.struct(start.alias("start"), stop.alias("stop"), new(pair["match"]).alias("text"))
-        return F.struct(stop.alias("at"), F.concat(state["edits"], F.array(edit)).alias("edits"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.aggregate(pairs, empty, add, lambda state: state["edits"])
+# A word with a digit, or a line break; a word is tried from its first character only.
+NUMBERS_AND_BREAKS = rf"\n|(?<![^{BLANK}])[^{BLANK}0-9]*+[0-9][^{BLANK}]*+"

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Workspace
-from .common import BLANK, documents, query, words
-from .edit_counts import edit_counts, match_edits
+from .common import documents, query, words
+from .edit_counts import NUMBERS_AND_BREAKS, apply_edits, build_trees, match_edits
 from .exact_dedup import ExactDedup
 from .feistel import shuffle_shards
 from .grammar_files import read_token_files, write_token_files
@@ -105,10 +105,9 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 @query("op1_edit_counts")
 def edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words with a digit are masked and line breaks doubled; the counts follow without a second encoding."""
-    docs = documents(spark, sf_dir)
-    pattern = rf"\n|[^{BLANK}]*[0-9][^{BLANK}]*"
-    edits = match_edits(F.coalesce("text", F.lit("")), pattern, {"\n": "\n\n"}, "<num>")
-    return edit_counts(docs.select("doc_id", "text", edits.alias("edits")), tokenizer_path())
+    trees = Workspace(spark).materialize(build_trees(documents(spark, sf_dir), tokenizer_path()), "token-trees")
+    edits = match_edits(F.col("text"), NUMBERS_AND_BREAKS, {"\n": "\n\n"}, "<num>")
+    return apply_edits(trees.withColumn("edits", edits), tokenizer_path(), relative=True)
 
 
 @query("op2_grammar_files")

@@ -1,6 +1,8 @@
 """Token files and edit-aware counts against plain encoding."""
 
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -10,11 +12,13 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm import grammar_files
+from millrace.llm import encoding, grammar_files
 from millrace.llm.common import prepare
-from millrace.llm.edit_counts import SegmentTree, edit_counts, edited
+from millrace.llm.edit_counts import NUMBERS_AND_BREAKS, Forest, apply_edits, build_trees, edit_counts, edited, match_edits
 from millrace.llm.encoding import Encoder
 from millrace.llm.grammar_files import Block, build_grammar, expansions, read_token_files, write_token_files
+from millrace.llm.shingles import word_hashes
+from millrace.session import Workspace
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(PATH)
@@ -86,13 +90,56 @@ def test_files_round_trip(spark, tmp_path, monkeypatch):
     assert read_token_files(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_segment_tree():
-    values = np.arange(13)
-    tree = SegmentTree(values.copy())
-    tree.update(np.array([0, 5, 12]), np.array([7, 7, 7]))
-    values[[0, 5, 12]] = 7
-    assert tree.total == values.sum() and [tree.before(i) for i in range(13)] == [values[:i].sum() for i in range(13)]
-    assert SegmentTree(np.zeros(0)).total == 0
+def complements(n):
+    """Two words of n letters, each a Thue-Morse word and its complement in either order."""
+    word = "a"
+    while len(word) < n // 2:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    return word + other, other + word
+
+
+def test_words_that_meet_polynomial_hashes(monkeypatch):
+    one, two = complements(2048)
+    batch = [one, two, f"x {two} {one}", "z" * 1_000_000, "z" * 999_999 + "y"]
+    want = [ids_of(t) for t in batch]
+    assert want[0] != want[1]
+    ids, bounds = Encoder(PATH).encode(pa.array(batch, pa.string()))
+    assert [ids[s:e].tolist() for s, e in zip(bounds[:-1], bounds[1:])] == want
+    hashes, _ = word_hashes(pa.array(batch))
+    assert len(set(hashes.tolist())) == 5
+    # Whatever the hash is, pieces are compared byte by byte.
+    real = encoding.piece_hashes
+    monkeypatch.setattr(encoding, "piece_hashes", lambda data, starts: (real(data, starts) >> np.uint64(60)) + np.uint64(1))
+    batch = batch[:3] + ODD + texts(3)
+    ids, bounds = Encoder(PATH).encode(pa.array(batch, pa.string()))
+    assert [ids[s:e].tolist() for s, e in zip(bounds[:-1], bounds[1:])] == [ids_of(t) for t in batch]
+
+
+def test_forest():
+    rng = np.random.default_rng(2)
+    sizes = np.array([1, 13, 2, 8, 1, 100])
+    values = rng.integers(0, 9, sizes.sum())
+    forest = Forest(sizes).fill(values)
+    docs, heads = np.repeat(np.arange(6), sizes), np.r_[0, np.cumsum(sizes)]
+    assert forest.roots.tolist() == [values[a:b].sum() for a, b in zip(heads[:-1], heads[1:])]
+    some = np.sort(rng.choice(len(values), 40, replace=False))
+    values[some] = rng.integers(0, 9, 40)
+    forest.update(docs[some], some - heads[docs[some]], values[some])
+    assert (forest.nodes == Forest(sizes).fill(values).nodes).all()
+
+
+def test_many_edits_of_a_long_text(spark):
+    prepare(spark)
+    text = "".join(f"line {i} of text\n" for i in range(60_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    started = time.time()
+    trees = Workspace(spark).materialize(build_trees(df, PATH), "trees").withColumn(
+        "edits", match_edits(F.col("text"), NUMBERS_AND_BREAKS, {"\n": "\n\n"}, "<num>")
+    )
+    (row,) = apply_edits(trees, PATH, relative=True).collect()
+    assert time.time() - started < 60
+    assert row.n_edits == 120_000 and row.n_tokens == len(ids_of(re.sub("[0-9]+", "<num>", text).replace("\n", "\n\n")))
 
 
 def test_edited_counts(spark):
@@ -103,12 +150,12 @@ def test_edited_counts(spark):
         cuts = sorted(rng.choices(range(len(text) + 1), k=2 * rng.randint(0, 3)))
         edits = [(a, b, rng.choice(["", " ", "x", " new words here ", "\n"])) for a, b in zip(cuts[::2], cuts[1::2])]
         rows.append((i, text, edits))
-    rows += [(900, None, None), (901, "a b", [(5, 9, "c"), (None, 2, "d")]), (902, "abc", [(0, 2, None), (1, 3, "x")])]
+    rows += [(899, "", [(0, 0, "x y")]), (900, None, None), (901, "a b", [(5, 9, "c"), (None, 2, "d")]), (902, "abc", [(0, 2, None), (1, 3, "x")])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:int,stop:int,text:string>>")
     got = {r["doc_id"]: r for r in edit_counts(docs, PATH).collect()}
-    for i, text, edits in rows[:-3]:
+    for i, text, edits in rows[:-4]:
         assert (got[i]["n_tokens_before"], got[i]["n_tokens"]) == (len(ids_of(text)), len(ids_of(edited(text, edits)))), (text, edits)
-    assert got[900]["n_tokens"] == 0 and got[901]["n_tokens"] == len(ids_of("a bc")) and got[902]["n_tokens"] == len(ids_of("c"))
+    assert got[899]["n_tokens"] == 2 and got[900]["n_tokens"] == 0 and got[901]["n_tokens"] == len(ids_of("a bc")) and got[902]["n_tokens"] == len(ids_of("c"))
 
 
 def test_query_edits(spark):
@@ -116,8 +163,6 @@ def test_query_edits(spark):
 
     sf = "/root/testdata/sf0.001"
     got = {r["doc_id"]: r for r in entry.queries()["op1_edit_counts"](spark, sf).collect()}
-    import re
-
     for doc_id, text in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("text")).collect():
         new = re.sub(r"\n|[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", lambda m: "\n\n" if m[0] == "\n" else "<num>", text or "")
         assert (got[doc_id]["n_tokens_before"], got[doc_id]["n_tokens"]) == (len(ids_of(text)), len(ids_of(new)))
