@@ -5,6 +5,9 @@ shingles, is dealt to blocks.  First each block meets itself, which costs no mor
 most of what belongs together.  Then blocks meet in pairs, but members that are known to be connected
 to the group's smallest component meet only the others, never each other.  A tile reports the edges of a spanning forest,
 so what leaves it is never more than what came in, however many pairs it holds.
+
+Members are joined with one row per group; a group with very many members makes such a join uneven, not large, and
+adaptive execution splits it.
 """
 
 from __future__ import annotations
@@ -126,7 +129,7 @@ def _total(groups: DataFrame) -> int:
 
 def diagonal_tiles(members: DataFrame, groups: DataFrame) -> DataFrame:
     """The members' columns with i and j: every block of every group, to meet itself."""
-    joined = join_groups(members, groups.select("key", "__size", "__weight"), "key", _total(groups))
+    joined = members.join(groups.select("key", "__size", "__weight"), "key")
     block = F.pmod(F.xxhash64("key", "id"), _blocks(F.col("__size"), F.col("__weight")))
     return joined.withColumns({"i": block, "j": block}).drop("__size", "__weight")
 
@@ -137,9 +140,8 @@ def cross_tiles(members: DataFrame, groups: DataFrame, space: Workspace, weight:
     groups must hold more than one component each.  Members of the smallest one do not meet each other in groups of
     more than one block.
     """
-    total = _total(groups)
-    large = groups.filter(_blocks(F.col("__size"), F.col("__weight")) > 1)
-    inside = join_groups(members, large.select("key", "__size", "low"), "key", total).filter(F.col("comp") == F.col("low"))
+    large = space.materialize(groups.filter(_blocks(F.col("__size"), F.col("__weight")) > 1), "large-groups")
+    inside = members.join(large.select("key", "low"), "key").filter(F.col("comp") == F.col("low"))
     mass = F.sum(weight) if weight else F.lit(0).cast("long")
     mains = inside.groupBy("key").agg(F.count(F.lit(1)).alias("mains"), mass.alias("main_weight"))
     mains = space.materialize(mains, "main-parts")
@@ -149,7 +151,7 @@ def cross_tiles(members: DataFrame, groups: DataFrame, space: Workspace, weight:
         "key", "__size", "low", F.greatest(rest, F.lit(1)).alias("others"),
         F.coalesce(_blocks(F.col("mains"), F.col("main_weight")), F.lit(0).cast("long")).alias("main_blocks"),
     )
-    joined = join_groups(members, space.materialize(own, "block-counts"), "key", total)
+    joined = members.join(own, "key")
     main = (F.col("main_blocks") > 0) & (F.col("comp") == F.col("low"))
     others, every = F.col("others"), F.col("others") + F.col("main_blocks")
     spot = F.xxhash64("key", "id")

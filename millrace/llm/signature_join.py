@@ -330,8 +330,9 @@ def similar_components(
     routes = tied.select(F.explode("prefix").alias("key"), "id", "comp", "size")
     mixed = routes.groupBy("key").agg(
         F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("__size"),
-        F.lit(0).cast("long").alias("__weight"), F.min("size").alias("least"), F.max("size").alias("most"),
+        F.min("size").alias("least"), F.max("size").alias("most"),
     )
+    mixed = mixed.withColumn("__weight", F.lit(0).cast("long"))
     # Two sets alone on a route must at least have sizes that can link.
     apart = (F.col("__size") == 2) & (F.col("least") * 100 < F.col("most") * percent)
     mixed = space.materialize(mixed.filter((F.col("low") != F.col("high")) & ~apart).drop("least", "most"), "mixed-routes")
