@@ -1,7 +1,8 @@
 """Record extraction through a chain of providers.
 
 The per-chunk state machine (retry, next provider, halve and start over) runs as waves
-over a DataFrame.  A wave calls each open chunk's current provider in Arrow batches,
+over a DataFrame.  A wave calls each open chunk's current provider in Arrow batches (at most `concurrency` calls in
+the job at once, and a chunk that waits for a retry holds none of them),
 validates the replies natively and writes the outcome down, so a lost executor never
 repeats the paid calls of an earlier wave.  There are at most
 ``providers * (max_splits + 1)`` waves, and later ones hold the failed chunks only.
@@ -10,7 +11,6 @@ repeats the paid calls of an earlier wave.  There are at most
 from __future__ import annotations
 
 import time
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from random import uniform
@@ -26,6 +26,7 @@ from ..functions.text import midpoint_halves
 from ..schemas import RECORD_TYPES
 from ..session import Workspace
 from ..sources.providers import PayloadTooLarge, Provider, RateLimited, TransportError, Unavailable
+from .calls import CallTimeout, Steps, run_by_due_time, task_permits
 from .chunking import chunk_documents
 
 REPLY, EXHAUSTED, TOO_LARGE = "reply", "exhausted", "too_large"
@@ -56,12 +57,14 @@ class ExtractionConfig:
     base_backoff_seconds: float = 1.5
     max_backoff_seconds: float = 30.0
     max_chunk_splits: int = 3
-    concurrency: int = 8
-    partitions: int | None = None
+    concurrency: int = 8  # calls in flight in the whole job
+    call_timeout_seconds: float | None = 60.0
+    partitions: int | None = None  # tasks of a wave; never more than there are permits
     sleep: Callable[[float], None] = time.sleep
 
 
-def _call_with_retry(provider: Provider, prompt: str, config: ExtractionConfig) -> dict:
+def _call_with_retry(provider: Provider, prompt: str, config: ExtractionConfig) -> Steps:
+    """The steps of one chunk with one provider."""
     attempts: list[dict] = []
 
     def log(outcome: str, wait: float = 0.0) -> None:
@@ -73,7 +76,7 @@ def _call_with_retry(provider: Provider, prompt: str, config: ExtractionConfig)
     for attempt in range(1, config.max_retries_per_provider + 1):
         last = attempt == config.max_retries_per_provider
         try:
-            reply = provider.complete(prompt)
+            reply = yield lambda: provider.complete(prompt)
             log("ok")
             status = REPLY
             break
@@ -88,23 +91,24 @@ def _call_with_retry(provider: Provider, prompt: str, config: ExtractionConfig)
             delay = min(config.base_backoff_seconds * 2 ** (attempt - 1), config.max_backoff_seconds)
             wait = 0.0 if last else delay + uniform(0, delay / 2)
             log("rate_limited", wait)
-        except TransportError:
+        except (TransportError, CallTimeout) as error:
             wait = 0.0 if last else config.base_backoff_seconds
-            log("http_error", wait)
+            log("timeout" if isinstance(error, CallTimeout) else "http_error", wait)
         except Exception as error:  # one bad row must not end the job
             log(f"error:{type(error).__name__}")
             break
         if wait:
-            config.sleep(wait)
+            yield wait
     return {"status": status, "reply": reply, "attempts": attempts}
 
 
-def _caller(providers: list[Provider], config: ExtractionConfig):
+def _caller(providers: list[Provider], config: ExtractionConfig, tasks: int):
     def call(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(config.concurrency) as pool:
-            for tiers, prompts in batches:
-                jobs = pool.map(lambda t, p: _call_with_retry(providers[t], p, config), tiers, prompts)
-                yield pd.DataFrame(list(jobs), columns=["status", "reply", "attempts"])
+        permits = task_permits(config.concurrency, tasks)
+        for tiers, prompts in batches:
+            rows = [_call_with_retry(providers[t], p, config) for t, p in zip(tiers, prompts, strict=True)]
+            found = run_by_due_time(rows, permits, config.sleep, config.call_timeout_seconds)
+            yield pd.DataFrame(found, columns=["status", "reply", "attempts"])
 
     # Calls have side effects: the optimizer must neither repeat nor move them.
     return F.pandas_udf(call, _CALL).asNondeterministic()
@@ -181,9 +185,9 @@ def extract(
 
 
 def _waves(work, chunks, carried, active, config, record_types, leaf) -> tuple[list[DataFrame], list[DataFrame]]:
-    call = _caller(active, config)
+    width = min(config.concurrency, config.partitions or int(work.spark.conf.get("spark.sql.shuffle.partitions")))
+    call = _caller(active, config, width)
     name_of = F.array(*[F.lit(p.name) for p in active])
-    width = config.partitions or int(work.spark.conf.get("spark.sql.shuffle.partitions"))
     leaves: list[DataFrame] = []
     tried: list[DataFrame] = []
     frontier = chunks

@@ -23,7 +23,7 @@ from ..functions.names import exact_key, normalized_key, token_sorted
 from ..functions.patterns import is_blank, strip
 from ..session import Workspace
 from .components import components
-from .similarity import CHECKS_PER_TASK, frequent_grams, hot_cells, signature, similar_pairs
+from .similarity import CHECKS_PER_TASK, CellGuard, frequent_grams, hot_cells, signature, similar_pairs
 
 DEFAULT_THRESHOLD = 90.0
 EXACT, NORMALIZED, FUZZY, NEW_ENTITY, SKIPPED = "exact", "normalized", "fuzzy", "new_entity", "skipped_empty"
@@ -182,7 +182,7 @@ def _slice_end(remaining: DataFrame, rows: int, wanted: int, budget: float, limi
 
 
 def elect_leaders(
-    candidates: DataFrame, threshold: float, work: Workspace, limits: ElectionLimits = ElectionLimits()
+    candidates: DataFrame, threshold: float, work: Workspace, limits: ElectionLimits, cells: CellGuard
 ) -> DataFrame:
     """Keys ``(ts, ord, sig, ...)`` that a sequential pass would register as new entities."""
     remaining, wanted, leaders = candidates, limits.first_slice, []
@@ -194,7 +194,7 @@ def elect_leaders(
             break
         end = _slice_end(remaining, rows, wanted, budget, limits)
         taken = remaining if end is None else remaining.filter(F.col("ord") <= end)
-        hot = hot_cells(taken, taken, threshold, work, limits.checks_per_task)
+        hot = cells.between(taken, taken)
         pairs = similar_pairs(taken, taken.select("ts", "ord", "sig"), threshold, ordered=True, hot=hot)
         edges = work.materialize(pairs.select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b")), "edges")
         losers = _independent_set_losers(edges, work, limits)
@@ -205,7 +205,7 @@ def elect_leaders(
         if end is None:
             break
         rest = remaining.filter(F.col("ord") > end)
-        hot = hot_cells(rest, chosen, threshold, work, limits.checks_per_task)
+        hot = cells.between(rest, chosen)
         absorbed = similar_pairs(rest, chosen.select("ts", "ord", "sig"), threshold, hot=hot).select(F.col("a").alias("ts")).distinct()
         remaining = work.materialize(rest.join(absorbed, "ts", "left_anti"), "remaining")
         wanted *= limits.growth
@@ -293,19 +293,19 @@ def resolve(
 
     seed_places = seed_keys.select("ts", F.col("ord").alias("place"), "canonical")
     equal = keys.select("ts").join(seed_places, "ts").withColumn("score", F.lit(100.0))
-    hot = hot_cells(keys, seed_keys, threshold, work, limits.checks_per_task)
-    similar = similar_pairs(keys, seed_keys, threshold, hot=hot)
+    signed = keys.select("ts", "ord", "sig").unionByName(seed_keys.select("ts", "ord", "sig"))
+    cells = CellGuard(signed, threshold, work, limits.checks_per_task)
+    similar = similar_pairs(keys, seed_keys, threshold, hot=cells.between(keys, seed_keys))
     similar = similar.select(F.col("a").alias("ts"), F.col("b_ord").alias("place"), F.col("b_canonical").alias("canonical"), "score")
     # One row per key and score: near copies among the seeds do not multiply.
     seed_matches = work.materialize(_earliest(equal.unionByName(similar).withColumn("tier", F.lit(0))), "seed-matches")
 
     candidates = work.materialize(keys.join(seed_matches.select("ts").distinct(), "ts", "left_anti"), "candidates")
-    leaders = work.materialize(elect_leaders(candidates, threshold, work, limits), "all-leaders")
+    leaders = work.materialize(elect_leaders(candidates, threshold, work, limits, cells), "all-leaders")
 
     followers = keys.join(leaders.select("ts"), "ts", "left_anti")
     heads = leaders.select("ts", "ord", "sig", "head.canonical")
-    hot = hot_cells(followers, heads, threshold, work, limits.checks_per_task)
-    leader_matches = similar_pairs(followers, heads, threshold, hot=hot).select(
+    leader_matches = similar_pairs(followers, heads, threshold, hot=cells.between(followers, heads)).select(
         F.col("a").alias("ts"), "score", F.lit(1).alias("tier"), F.col("b_ord").alias("place"), F.col("b_canonical").alias("canonical")
     )
     rivals = _rivals(seed_matches, leader_matches)

@@ -195,6 +195,17 @@ def hot_cells(left: DataFrame, right: DataFrame, threshold: float, work: Workspa
     return None if hot.isEmpty() else hot
 
 
+class CellGuard:
+    """Looks for hot cells only where the whole set of keys has any: parts of it have no more in a cell."""
+
+    def __init__(self, keys: DataFrame, threshold: float, work: Workspace, limit: int = CHECKS_PER_TASK):
+        self.threshold, self.work, self.limit = threshold, work, limit
+        self.any = hot_cells(keys, keys, threshold, work, limit) is not None
+
+    def between(self, left: DataFrame, right: DataFrame) -> DataFrame | None:
+        return hot_cells(left, right, self.threshold, self.work, self.limit) if self.any else None
+
+
 def grid(limit: int) -> tuple[Column, Column]:
     """Blocks of either side for counts ``n_left`` and ``n_right``: copies stay near the larger side's size."""
     side = float(limit) ** 0.5
@@ -224,8 +235,8 @@ def similar_pairs(
 
     Both sides bring distinct keys ``(ts, ord, sig)``; the right side's further columns are carried along as
     ``b_<name>``.  ``ordered`` keeps pairs whose left ordinal is the smaller one (self-join).  The join key is
-    (gram, length band, position bucket); candidates are checked for position, characters and edit distance inside
-    the join, so what leaves it is close to the result.  Cells in ``hot`` are dealt to a grid of tasks.  Whether a
+    (gram, length band, position bucket); candidates are checked for position and characters inside
+    the join and for edit distance once a pair.  Cells in ``hot`` are dealt to a grid of tasks.  Whether a
     side is broadcast is left to the engine, which knows the sizes.
     """
     one = _routes(left.select("ts", "ord", "sig"), "a", threshold, reach=False)
@@ -243,14 +254,16 @@ def similar_pairs(
     near = F.abs(shift) + F.abs(F.col("b_len") - F.col("a_len") - shift) <= edits
     alike = F.bit_count(F.col("a_bag").bitwiseXOR(F.col("b_bag"))) <= edits
     condition = near & alike & (F.col("a") != F.col("b"))
+    carried = ["a", "b", "a_ord", "b_ord", *[f"b_{c}" for c in _payload(right)]]
     for key in keys:
         condition = condition & (F.col(f"x.{key}") == F.col(f"y.{key}"))
     if ordered:
         condition = condition & (F.col("a_ord") < F.col("b_ord"))
+    # A pair comes up once for each gram it shares.  The edit distance is asked once a pair: its limit is an
+    # aggregate, so the test stays above the grouping.
+    met = one.alias("x").join(two.alias("y"), condition).groupBy(*carried).agg(F.max(edits).alias("_edits"))
     # Substitutions count once there and twice here: a lossless lower bound.
-    close = F.expr(f"levenshtein(a, b, cast(floor((a_len + b_len) * {rate!r}D + 1e-9D) as int)) >= 0")
-    out = ["a", "b", "a_ord", "b_ord", *[f"b_{c}" for c in _payload(right)]]
-    candidates = one.alias("x").join(two.alias("y"), condition & close).select(*out).dropDuplicates(["a", "b"])
+    candidates = met.filter(F.expr("levenshtein(a, b, _edits) >= 0")).drop("_edits")
     # Marked as such, the score is computed once per pair: its filter would else be pushed
     # below the distinct, where pairs still repeat, and the score computed again above.
     once = F.pandas_udf(_scores, T.DoubleType()).asNondeterministic()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import http as h
-from ..operators.fetch import FetchConfig, fetch_log, fetch_pages
+from ..operators.fetch import FetchConfig, fetch_log, fetch_pages, with_lane
 from .catalog import query, table
 
 _STATUS = "CASE page_id % 9 WHEN 0 THEN 403 WHEN 1 THEN 503 WHEN 2 THEN 429 WHEN 3 THEN 0 WHEN 4 THEN 404 ELSE 200 END"
@@ -77,19 +77,25 @@ def reply_text(spark, sf):
     )
 
 
-def _stub_http(url: str) -> tuple[int, str]:
-    """Offline stand-in for a plain request: the outcome depends on the length of the address."""
+def _stub_http(url: str, html: str) -> tuple[int, str]:
+    """Offline stand-in for a plain request: serves the stored page; the outcome depends on the length of the address."""
     kind = len(url) % 7
     if kind == 0:
         raise OSError("unreachable")
     status = {1: 429, 2: 403, 3: 404}.get(kind, 200)
-    return status, f"<p>{url}</p>" + ("<i>DataDome</i>" if kind == 4 else "")
+    return status, html + ("<i>DataDome</i>" if kind == 4 else "")
 
 
-def _stub_browser(url: str) -> tuple[int, str]:
+def _stub_browser(url: str, html: str) -> tuple[int, str]:
     if len(url) % 7 == 3:
         raise RuntimeError("crashed")
-    return 200, f"<main>{url}</main>"
+    return 200, f"<main>{html}</main>"
+
+
+# What the stand-ins give: kind 5 and 6 succeed at once, unless the page itself holds a marker of a challenge.
+_SERVED = """WITH t AS (SELECT page_id, url, html, length(url) % 7 AS kind,
+         regexp_matches(lower(html), 'cf-browser-verification|datadome|checking your browser|cf-chl') AS marked FROM pages),
+       served AS (SELECT *, kind IN (5, 6) AND NOT marked AS plain FROM t)"""
 
 
 def _no_wait(_: float) -> None:
@@ -98,28 +104,42 @@ def _no_wait(_: float) -> None:
 
 @query(
     "fetch_adaptive",
-    """WITH t AS (SELECT page_id, url, length(url) % 7 AS kind FROM pages)
-       SELECT page_id, url, CASE WHEN kind = 3 THEN 404 ELSE 200 END::INTEGER AS status,
-         CASE WHEN kind IN (3, 5, 6) THEN '<p>' || url || '</p>' ELSE '<main>' || url || '</main>' END AS html,
-         CASE WHEN kind IN (3, 5, 6) THEN 'http' ELSE 'browser' END AS strategy, kind <> 3 AS success,
-         CASE WHEN kind IN (0, 1) THEN 3 ELSE 1 END::INTEGER AS http_attempts FROM t""",
+    f"""{_SERVED} SELECT page_id, url, CASE WHEN kind = 3 THEN 404 ELSE 200 END::INTEGER AS status,
+         CASE WHEN plain OR kind = 3 THEN html ELSE '<main>' || html || '</main>' END AS html,
+         CASE WHEN plain OR kind = 3 THEN 'http' ELSE 'browser' END AS strategy, kind <> 3 AS success,
+         CASE WHEN kind IN (0, 1) THEN 3 ELSE 1 END::INTEGER AS http_attempts FROM served""",
 )
 def fetch_adaptive(spark, sf):
-    pages = table(spark, sf, "pages", "page_id url")
-    return fetch_pages(pages, _stub_http, _stub_browser, FetchConfig(sleep=_no_wait)).drop("elapsed_ms", "attempts")
+    """Stored pages served through the fetch path; what is written down is the stored page."""
+    return _fetched(spark, sf).drop("elapsed_ms", "attempts")
+
+
+def _fetched(spark, sf):
+    pages = table(spark, sf, "pages", "page_id url html").withColumnRenamed("html", "stored")
+    return fetch_pages(pages, _stub_http, _stub_browser, FetchConfig(sleep=_no_wait), more=("stored",)).drop("stored")
 
 
 @query(
     "fetch_attempts",
-    """WITH t AS (SELECT page_id, url, length(url) % 7 AS kind FROM pages),
-       tries AS (SELECT page_id, url, kind, unnest(range(1, CASE WHEN kind IN (0, 1) THEN 4 ELSE 2 END)) AS n FROM t),
+    f"""{_SERVED}, tries AS (SELECT page_id, kind, unnest(range(1, CASE WHEN kind IN (0, 1) THEN 4 ELSE 2 END)) AS n FROM served),
        steps AS (SELECT page_id, n::INTEGER AS attempt, 'http' AS strategy,
            CASE kind WHEN 0 THEN 0 WHEN 1 THEN 429 WHEN 2 THEN 403 WHEN 3 THEN 404 ELSE 200 END::INTEGER AS status FROM tries
          UNION ALL SELECT page_id, CASE WHEN kind IN (0, 1) THEN 4 ELSE 2 END::INTEGER, 'browser',
-           CASE WHEN kind = 3 THEN 0 ELSE 200 END::INTEGER FROM t WHERE kind NOT IN (5, 6))
+           CASE WHEN kind = 3 THEN 0 ELSE 200 END::INTEGER FROM served WHERE NOT plain)
        SELECT * FROM steps""",
 )
 def fetch_attempts(spark, sf):
-    pages = table(spark, sf, "pages", "page_id url")
-    fetched = fetch_pages(pages, _stub_http, _stub_browser, FetchConfig(sleep=_no_wait))
-    return fetch_log(fetched, "page_id").drop("elapsed_ms")
+    return fetch_log(_fetched(spark, sf), "page_id").drop("elapsed_ms")
+
+
+@query(
+    "lane_bounds",
+    """WITH d AS (SELECT regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS domain, count(*) AS pages FROM pages GROUP BY 1)
+       SELECT domain, pages, true AS within_bound FROM d""",
+)
+def lane_bounds(spark, sf):
+    """Pages per domain, and whether they lie in no more lanes than the domain may have requests at once."""
+    config = FetchConfig()
+    placed = with_lane(table(spark, sf, "pages", "page_id url"), config).withColumn("domain", netloc(F.col("url")))
+    lanes = F.count_distinct("_lane")
+    return placed.groupBy("domain").agg(F.count("*").alias("pages"), (lanes <= config.per_domain).alias("within_bound"))

@@ -2,12 +2,17 @@
 
 import json
 import sys
+import time
+import uuid
+import zlib
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark import cloudpickle
 
 from millrace.functions.prompts import TEXT_CLOSE, TEXT_OPEN
+from millrace.operators.calls import CallTimeout, run_by_due_time
 from millrace.operators.extract import ALL_FAILED, STILL_TOO_LARGE, ExtractionConfig, extract
 from millrace.sources.providers import PayloadTooLarge, Provider, RateLimited, TransportError, Unavailable
 
@@ -105,3 +110,60 @@ def test_skip_empty_and_unconfigured(spark):
     assert [(r.doc_id, r.status, r.reason, r.detail) for r in skip.outcomes.collect()] == [(0, "failure", ALL_FAILED, "no_entity")]
     none, attempts = run(spark, "PRODUCT", ["text"], [Provider("one", lambda p: "{}", "MILLRACE_NO_SUCH_KEY")])
     assert [(r.status, r.reason) for r in none.outcomes.collect()] == [("failure", ALL_FAILED)] and attempts == []
+
+
+def busy_counter(folder):
+    """Every call notes how many calls are in flight; the first try of each text is turned away."""
+
+    def complete(prompt):
+        own, text = Path(folder, f"call-{uuid.uuid4().hex}"), body(prompt).strip()
+        own.touch()
+        Path(folder, f"seen-{own.name}").write_text(str(len(list(Path(folder).glob("call-*")))))
+        time.sleep(0.02)
+        own.unlink()
+        tried = Path(folder, f"tried-{zlib.crc32(text.encode())}")
+        if not tried.exists():
+            tried.touch()
+            raise RateLimited("mock")
+        return PAPER
+
+    return complete
+
+
+def test_calls_in_flight_over_the_job(spark, tmp_path):
+    texts = [f"paper {i}" for i in range(40)]
+    config = ExtractionConfig(concurrency=3, partitions=8, base_backoff_seconds=0.01)
+    result = extract(docs(spark, "RESEARCH_PAPER", *texts), [Provider("one", busy_counter(str(tmp_path)))], config, ("RESEARCH_PAPER",))
+    assert result.entities("RESEARCH_PAPER").count() == 40
+    seen = [int(p.read_text()) for p in tmp_path.glob("seen-*")]
+    assert len(seen) == 80 and max(seen) <= 3
+
+
+def test_waiting_rows_hold_no_permit():
+    order = []
+
+    def row(name, pause):
+        yield lambda: order.append(f"{name} asks")
+        yield pause
+        yield lambda: order.append(f"{name} again")
+        return name
+
+    started = time.monotonic()
+    assert run_by_due_time([row("a", 0.3), row("b", 0.1), row("c", 0.2)], 1, time.sleep) == ["a", "b", "c"]
+    assert order == ["a asks", "b asks", "c asks", "b again", "c again", "a again"]
+    assert time.monotonic() - started < 0.55
+    order.clear()
+    started = time.monotonic()
+    assert run_by_due_time([row("a", 1000.0), row("b", 10.0)], 2, no_wait) == ["a", "b"]
+    assert order[-2:] == ["b again", "a again"] and time.monotonic() - started < 5
+
+
+def test_call_time_limit():
+    def row(seconds):
+        try:
+            yield lambda: time.sleep(seconds)
+        except CallTimeout:
+            return "late"
+        return "in time"
+
+    assert run_by_due_time([row(0.6), row(0.0), row(0.0)], 2, time.sleep, limit=0.2) == ["late", "in time", "in time"]

@@ -1,11 +1,14 @@
 import sys
+import time
+import uuid
+from pathlib import Path
 
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from millrace.functions import http as h
 from millrace.functions.urls import arxiv_month_start, netloc, owner_repo
-from millrace.operators.fetch import FetchConfig, enrich_stars, fetch_pages, look_up_stars
+from millrace.operators.fetch import FetchConfig, assign_lanes, enrich_stars, fetch_pages, look_up_stars, with_lane
 
 
 # Workers cannot import a test module, so its functions travel by value.
@@ -70,3 +73,54 @@ def test_urls_and_stars(spark):
     assert [r.github_stars for r in rows] == [None, 7, 7, None, None, None, None]
     one = spark.createDataFrame([("https://u:p@E.x:81/p?q#f", "https://arxiv.org/abs/1907.04321")], "u string, p string")
     assert tuple(one.select(netloc(F.col("u")), arxiv_month_start(F.col("p"))).first()) == ("u:p@E.x:81", "2019-07-01T00:00:00")
+
+
+def counting(folder, seconds):
+    """A request that notes how many others are in flight, of its domain and of the job."""
+
+    def get(url):
+        domain, ident = url.split("/")[2], uuid.uuid4().hex
+        own = Path(folder, f"{domain}~{ident}")
+        own.touch()
+        names = [p.name for p in Path(folder).glob("*~*")]
+        Path(folder, f"seen-{ident}").write_text(f"{len(names)} {sum(n.startswith(domain + '~') for n in names)}")
+        time.sleep(seconds)
+        own.unlink()
+        return 200, "page"
+
+    return get
+
+
+def test_requests_in_flight(spark, tmp_path):
+    rows = [(f"https://{d}.x/{i}",) for d, n in (("one", 60), ("two", 20), ("three", 4)) for i in range(n)]
+    urls = spark.createDataFrame(rows, "url string")
+    config = FetchConfig(concurrency=6, per_domain=2)
+    assert fetch_pages(urls, counting(str(tmp_path), 0.02), config=config).filter("success").count() == 84
+    seen = [tuple(map(int, p.read_text().split())) for p in tmp_path.glob("seen-*")]
+    assert len(seen) == 84 and max(a for a, _ in seen) <= 6 and max(d for _, d in seen) <= 2
+
+
+def test_lanes_are_even_and_domains_bounded(spark):
+    rows = [(f"https://{'hot' if i % 10 == 0 else f'site{i % 997}'}.x/{i}",) for i in range(20_000)]
+    placed = with_lane(spark.createDataFrame(rows, "url string"), FetchConfig(concurrency=8, per_domain=4)).cache()
+    loads = [r["count"] for r in placed.groupBy("_lane").count().collect()]
+    assert len(loads) == 8 and max(loads) - min(loads) <= 0.1 * 2500
+    lanes = placed.withColumn("d", netloc(F.col("url"))).groupBy("d").agg(F.count_distinct("_lane").alias("n"))
+    assert lanes.agg(F.max("n")).first()[0] <= 4
+    assert assign_lanes([("a", 0, 5), ("b", 0, 4), ("c", 0, 3), ("d", 0, 3)], 2) == [0, 1, 1, 0]
+    assert with_lane(spark.createDataFrame([], "url string"), FetchConfig()).count() == 0
+
+
+def slow(url):
+    time.sleep(2 if "slow" in url else 0)
+    return 200, "page"
+
+
+def test_time_limit_and_resume(spark, tmp_path):
+    urls = spark.createDataFrame([("https://e.x/slow", 1), ("https://e.x/fast", 2)], "url string, n int")
+    config = FetchConfig(concurrency=2, max_retries=1, timeout_seconds=0.5, sleep=no_wait)
+    first = fetch_pages(urls, slow, config=config)
+    assert {r.url[12:]: (r.status, r.success) for r in first.collect()} == {"slow": (0, False), "fast": (200, True)}
+    again = fetch_pages(urls, counting(str(tmp_path), 0), config=config, done=first)
+    assert again.columns == first.columns and again.filter("success").count() == 2
+    assert len(list(tmp_path.glob("seen-*"))) == 1
