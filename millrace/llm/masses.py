@@ -6,8 +6,8 @@ most of what belongs together.  Then blocks meet in pairs, but members that are
 to the group's smallest component meet only the others, never each other.  A tile reports the edges of a spanning forest,
 so what leaves it is never more than what came in, however many pairs it holds.
 
-Members are joined with one row per group; a group with very many members makes such a join uneven, not large, and
-adaptive execution splits it.
+Members are joined with one row per group by a sort-merge join at every size of the table; a group with very many members
+makes such a join uneven, not large, and adaptive execution splits it.
 """
 
 from __future__ import annotations
@@ -129,7 +129,7 @@ def _total(groups: DataFrame) -> int:
 
 def diagonal_tiles(members: DataFrame, groups: DataFrame) -> DataFrame:
     """The members' columns with i and j: every block of every group, to meet itself."""
-    joined = members.join(groups.select("key", "__size", "__weight"), "key")
+    joined = members.join(groups.select("key", "__size", "__weight").hint("merge"), "key")
     block = F.pmod(F.xxhash64("key", "id"), _blocks(F.col("__size"), F.col("__weight")))
     return joined.withColumns({"i": block, "j": block}).drop("__size", "__weight")
 
@@ -151,7 +151,7 @@ def cross_tiles(members: DataFrame, groups: DataFrame, space: Workspace, weight:
         "key", "__size", "low", F.greatest(rest, F.lit(1)).alias("others"),
         F.coalesce(_blocks(F.col("mains"), F.col("main_weight")), F.lit(0).cast("long")).alias("main_blocks"),
     )
-    joined = members.join(own, "key")
+    joined = members.join(own.hint("merge"), "key")
     main = (F.col("main_blocks") > 0) & (F.col("comp") == F.col("low"))
     others, every = F.col("others"), F.col("others") + F.col("main_blocks")
     spot = F.xxhash64("key", "id")

@@ -183,17 +183,13 @@ def likely(bits: tuple[list[bytes], list[bytes]], sizes: tuple[np.ndarray, np.nd
     return ok
 
 
-def pivot_edges(reps: DataFrame, percent: int, space: Workspace) -> DataFrame:
-    """Edges (a, b) from sets b to the smallest id a of those with an equal minimum, where they can link."""
-    ways = reps.select("id", F.posexplode("pivots").alias("way", "pivot")).select("id", F.xxhash64("way", "pivot").alias("key"))
-    groups = ways.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("__size")).filter("__size > 1")
-    groups = space.materialize(groups, "pivot-groups")
-    total = groups.agg(F.sum("__size").alias("n")).first()["n"] or 0
-    led = join_groups(ways, groups, "key", total).filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    led = space.materialize(led, "led")
-    side = lambda k: reps.select(F.col("id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("size", "bits", "wide")])
-    # Leaders of many sets: a row each, found again by (id, salt), so that no task holds all of a leader's followers.
-    salted = led.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(LEADER_SALTS)))
+def likely_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) that can link, by sizes and bitmaps.
+
+    An a may have many partners; its row is found again by (a, salt), so that no task holds all of them.
+    """
+    side = lambda k: sets.select(F.col("id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("size", "bits", "wide")])
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(LEADER_SALTS)))
     leaders = salted.select("a", "salt").distinct().join(side("a"), "a")
     asked = salted.join(side("b"), "b").join(leaders, ["a", "salt"])
 
@@ -204,7 +200,16 @@ def pivot_edges(reps: DataFrame, percent: int, space: Workspace) -> DataFrame:
             sizes = tuple(batch.column(f"{k}_size").to_numpy() for k in "ab")
             yield batch.select(["a", "b"]).filter(pa.array(likely(bits, sizes, percent)))
 
-    return space.materialize(asked.mapInArrow(keep, "a long, b long"), "pivot-edges")
+    return asked.mapInArrow(keep, "a long, b long")
+
+
+def pivot_pairs(reps: DataFrame, space: Workspace) -> DataFrame:
+    """Pairs (a, b) of sets b and the smallest id a of those with an equal minimum."""
+    ways = reps.select("id", F.posexplode("pivots").alias("way", "pivot")).select("id", F.xxhash64("way", "pivot").alias("key"))
+    groups = ways.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("__size")).filter("__size > 1")
+    groups = space.materialize(groups, "pivot-groups")
+    total = groups.agg(F.sum("__size").alias("n")).first()["n"] or 0
+    return join_groups(ways, groups, "key", total).filter("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
 def _levels(tree: np.ndarray, bits: np.ndarray, size: np.ndarray, comp: np.ndarray) -> list[dict[str, np.ndarray]]:
@@ -324,19 +329,23 @@ def similar_components(
     texts = texts.filter("id IS NOT NULL")
 
     equal, reps = equal_sets(sets.filter("size > 0 AND id IS NOT NULL"), space)
-    edges = pivot_edges(reps, percent, space)
+    pivots = space.materialize(pivot_pairs(reps, space), "led")
+    edges = space.materialize(likely_pairs(pivots, reps, percent), "pivot-edges")
     tied = connected(edges, space).select(F.col("node").alias("id"), "component")
     tied = reps.select("id", "size", "prefix").join(tied, "id", "left").withColumn("comp", F.coalesce("component", "id"))
     routes = tied.select(F.explode("prefix").alias("key"), "id", "comp", "size")
     mixed = routes.groupBy("key").agg(
         F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("__size"),
-        F.min("size").alias("least"), F.max("size").alias("most"),
+        F.min("size").alias("least"), F.max("size").alias("most"), F.min("id").alias("a"), F.max("id").alias("b"),
     )
     mixed = mixed.withColumn("__weight", F.lit(0).cast("long"))
     # Two sets alone on a route must at least have sizes that can link.
     apart = (F.col("__size") == 2) & (F.col("least") * 100 < F.col("most") * percent)
     mixed = space.materialize(mixed.filter((F.col("low") != F.col("high")) & ~apart).drop("least", "most"), "mixed-routes")
-    tiles = cross_tiles(routes.select("key", "id", "comp"), mixed, space)
+    # A tree of two leaves is one pair, which the aggregate names; it is looked at once for all routes it shares.
+    pairs = space.materialize(mixed.filter("__size = 2 AND a <> b").select("a", "b").distinct(), "route-pairs")
+    edges = edges.unionByName(space.materialize(likely_pairs(pairs, reps, percent), "pair-edges"))
+    tiles = cross_tiles(routes.select("key", "id", "comp"), mixed.filter("__size > 2").drop("a", "b"), space)
     edges = edges.unionByName(space.materialize(tree_edges(tiles, reps, percent), "tree-edges"))
     links = mass_links(edges, reps, texts, n, percent, space)
     found = connected(equal.unionByName(links), space)
