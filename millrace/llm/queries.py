@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import Workspace
 from .common import documents, query, words
-from .edit_counts import NUMBERS_AND_BREAKS, apply_edits, build_trees, match_edits
+from .edit_counts import apply_edits, build_trees, numbers_and_breaks
 from .exact_dedup import ExactDedup
 from .feistel import shuffle_shards
 from .grammar_files import read_token_files, write_token_files
@@ -106,8 +106,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words with a digit are masked and line breaks doubled; the counts follow without a second encoding."""
     trees = Workspace(spark).materialize(build_trees(documents(spark, sf_dir), tokenizer_path()), "token-trees")
-    edits = match_edits(F.col("text"), NUMBERS_AND_BREAKS, {"\n": "\n\n"}, "<num>")
-    return apply_edits(trees.withColumn("edits", edits), tokenizer_path(), relative=True)
+    return apply_edits(trees, tokenizer_path(), numbers_and_breaks)
 
 
 @query("op2_grammar_files")

@@ -19,8 +19,8 @@ BLOCK = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 PLACES = 256
 
-_BLANKS = np.zeros(256, dtype=bool)
-_BLANKS[[9, 10, 11, 12, 13, 32]] = True
+BLANK_BYTES = np.zeros(256, dtype=bool)
+BLANK_BYTES[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,7 +58,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
 
 def _block_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of each word; a word also ends where a text does (cuts)."""
-    inside = ~_BLANKS[data]
+    inside = ~BLANK_BYTES[data]
     before = np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
     before[cuts[cuts < len(data)]] = False
@@ -83,7 +83,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     while at < len(data):
         end = min(len(data), at + BLOCK)
         while end < len(data):  # go on to the next blank or end of text
-            step = _BLANKS[data[end : end + 4096]]
+            step = BLANK_BYTES[data[end : end + 4096]]
             stop = end + (int(step.argmax()) if step.any() else len(step))
             cut = int(bounds[np.searchsorted(bounds, end)])
             if cut <= stop:

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from millrace.llm import encoding, grammar_files
 from millrace.llm.common import prepare
-from millrace.llm.edit_counts import NUMBERS_AND_BREAKS, Forest, apply_edits, build_trees, edit_counts, edited, match_edits
+from millrace.llm.edit_counts import Forest, apply_edits, build_trees, edit_counts, edited, numbers_and_breaks
 from millrace.llm.encoding import Encoder
 from millrace.llm.grammar_files import Block, build_grammar, expansions, read_token_files, write_token_files
 from millrace.llm.shingles import word_hashes
@@ -134,10 +134,8 @@ def test_many_edits_of_a_long_text(spark):
     text = "".join(f"line {i} of text\n" for i in range(60_000))
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     started = time.time()
-    trees = Workspace(spark).materialize(build_trees(df, PATH), "trees").withColumn(
-        "edits", match_edits(F.col("text"), NUMBERS_AND_BREAKS, {"\n": "\n\n"}, "<num>")
-    )
-    (row,) = apply_edits(trees, PATH, relative=True).collect()
+    trees = Workspace(spark).materialize(build_trees(df, PATH), "trees")
+    (row,) = apply_edits(trees, PATH, numbers_and_breaks).collect()
     assert time.time() - started < 60
     assert row.n_edits == 120_000 and row.n_tokens == len(ids_of(re.sub("[0-9]+", "<num>", text).replace("\n", "\n\n")))
 
