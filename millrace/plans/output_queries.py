@@ -11,6 +11,7 @@ from ..functions.urls import netloc
 from ..operators import graph, observe
 from ..session import Workspace
 from ..sinks import files
+from ..sinks.commit import TableSet
 from ..streaming import gates
 from . import outputs as out
 from .catalog import query, table
@@ -183,6 +184,15 @@ def csv_round_trip(spark, sf):
     return files.read_table(spark, path)
 
 
+@query("published_papers", _PAPERS_SQL)
+def published_papers(spark, sf):
+    """Papers and news published as one version, and once more; the papers of the version in force."""
+    store = TableSet(spark, Workspace(spark).path("published"))
+    for _ in range(2):
+        store.publish({"research_papers": papers_table(spark, sf), "news": news_table(spark, sf)})
+    return store.read()["research_papers"]
+
+
 @query(
     "rows_per_file",
     "SELECT count(*)::BIGINT AS n_rows FROM documents",

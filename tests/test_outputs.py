@@ -7,6 +7,7 @@ from millrace.operators import graph, observe
 from millrace.plans import outputs as out
 from millrace.schemas import OUTPUT_COLUMNS, RECORD_TYPES, content_struct, entity_struct, json_schema
 from millrace.sinks import files
+from millrace.sinks.commit import TableSet
 from millrace.sources.seeds import read_seed_file, seed_aliases
 
 REF = datetime(2026, 9, 12, 12, 30, 5, 250000)
@@ -57,6 +58,25 @@ def test_csv_and_parquet(spark, tables, tmp_path):
     assert all(len(r.preview) <= 40 for r in files.json_preview(tables["jobs"], 40).collect())
 
 
+def test_tables_are_published_as_one(spark, tables, tmp_path):
+    store = TableSet(spark, str(tmp_path / "store"), keep=1)
+    assert store.read() == {} and store.manifest().count() == 0
+    first = store.publish(tables)
+    assert {k: v.count() for k, v in store.read().items()} == {k: v.count() for k, v in tables.items()}
+
+    broken = tables["news"].withColumn("content.title", F.raise_error(F.lit("killed")).cast("string"))
+    order = {k: tables[k] for k in tables if k != "news"} | {"news": broken}
+    with pytest.raises(Exception, match="killed"):
+        store.publish({"jobs": tables["jobs"].limit(0), **{k: order[k] for k in ("news", "products")}})
+    # The six tables of the version before are still the ones in force.
+    assert set(store.read()) == set(OUTPUT_COLUMNS) and store.read()["jobs"].count() == 2
+    assert {r.version for r in store.manifest().collect()} == {first}
+
+    second = store.publish({k: tables[k] for k in ("jobs", "news")})
+    assert set(store.read()) == {"jobs", "news"} and second != first
+    assert not (tmp_path / "store" / "data" / first).exists() and (tmp_path / "store" / "data" / second).exists()
+
+
 def test_seed_file(spark, tmp_path):
     (tmp_path / "s.jsonl").write_text('{"entity_order": 1, "canonical": "A", "aliases": ["a1", "a2"]}\n{"entity_order": 0, "canonical": "B"}\n')
     rows = read_seed_file(spark, str(tmp_path / "s.jsonl")).orderBy("position").collect()
