@@ -18,7 +18,7 @@ Of equal lines the first stays.  A document is rejected when the lines that stay
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,11 +61,18 @@ def mostly_upper(line: Column) -> Column:
     return ~few & (upper * 2 > F.char_length(F.regexp_replace(line, "[^A-Za-z]+", "")))
 
 
-def line_fails(line: Column, symbols: Column, separators: Column, phrases: Column) -> Column:
-    """True for a line that has to go; the line must have a word.
+def text_flags(text: Column) -> Column:
+    """Whether a whole text holds any symbol (1), separator (2) or phrase (4); without one no line needs a look.
 
-    The flags tell whether the whole text holds any symbol, separator or phrase; without one no line needs a look.
+    One number, used several times: the optimizer would else copy the tests to every line.
     """
+    found = (text.rlike(f"[{SYMBOLS}]"), text.rlike(f"[{SEPARATORS}]"), has_phrase(text))
+    return reduce(add, [F.when(f, F.lit(1 << k)).otherwise(F.lit(0)) for k, f in enumerate(found)])
+
+
+def line_fails(line: Column, flags: Column) -> Column:
+    """True for a line that has to go; the line must have a word."""
+    symbols, separators, phrases = (flags.bitwiseAND(F.lit(1 << k)) > 0 for k in range(3))
 
     def judge(own: Column) -> Column:
         n = F.size(own)
@@ -141,13 +148,11 @@ def apply_line_rules(docs: DataFrame, text_col: str = "text", max_loss: float =
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "n_repeat_words": repeated,
             "n_lines": F.size("__lines").cast("long"),
-            "__phrases": has_phrase(F.col("__text")),
-            "__separators": F.col("__text").rlike(f"[{SEPARATORS}]"),
+            "__flags": text_flags(F.col("__text")),
             "__all_chars": length(F.col("__lines")),
         }
     )
-    flags = (F.col("n_symbols") > 0, F.col("__separators"), F.col("__phrases"))
-    own = own.withColumn("__good", F.array_distinct(F.filter("__lines", lambda x: ~line_fails(x, *flags))))
+    own = own.withColumn("__good", F.array_distinct(F.filter("__lines", lambda x: ~line_fails(x, F.col("__flags")))))
     failed = F.col("n_lines") - F.size("__good")
     lost = F.col("__all_chars") - length(F.col("__good"))
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
@@ -161,5 +166,5 @@ def apply_line_rules(docs: DataFrame, text_col: str = "text", max_loss: float =
     # A generator keeps the optimizer from copying all of the above into a filter on the verdict.
     own = own.withColumn("__verdict", F.explode(F.array(F.struct(*[c.alias(name) for name, c in verdict.items()]))))
     own = own.withColumns({name: F.col(f"__verdict.{name}") for name in verdict})
-    helpers = ("__text", "__words", "__lines", "__hashes", "__windows", "__pairs", "__starts", "__good", "__all_chars", "__phrases", "__separators")
+    helpers = ("__text", "__words", "__lines", "__hashes", "__windows", "__pairs", "__starts", "__good", "__all_chars", "__flags")
     return own.drop(*helpers, "__verdict")
