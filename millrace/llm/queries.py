@@ -82,7 +82,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 MIX_SQL = """
 WITH stats AS (SELECT source, sum(strlen(coalesce(text, '')) + 1)::DOUBLE AS mass FROM documents GROUP BY source),
 rates AS (SELECT source, (SELECT sum(mass) FROM stats) / (SELECT sum(sqrt(mass)) FROM stats) * sqrt(mass) / mass AS rate FROM stats),
-ks AS (SELECT source, rate, unnest(range(0, 60)) AS k FROM rates),
+ks AS (SELECT source, rate, unnest(range(0, (rate + 12 * sqrt(rate) + 40)::BIGINT)) AS k FROM rates),
 cdf AS (
   SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS f FROM ks),
 drawn AS (
@@ -104,13 +104,20 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 @query("op1_edit_counts")
 def edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words with a digit are masked and line breaks doubled; the counts follow without a second encoding."""
+    """Words with a digit are masked and line breaks doubled; the counts follow without a second encoding.
+
+    Null and empty texts have one segment without tokens; rows with equal or null ids count each for itself.
+    """
     trees = Workspace(spark).materialize(build_trees(documents(spark, sf_dir), tokenizer_path()), "token-trees")
     return apply_edits(trees, tokenizer_path(), numbers_and_breaks)
 
 
 @query("op2_grammar_files")
 def grammar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids written in the file format and read back, per document.
+
+    Null text is empty and gives the end id alone; equal ids keep an order of their own; an empty table gives no rows.
+    """
     path = Workspace(spark).path("token-files")
     write_token_files(documents(spark, sf_dir), path, tokenizer_path(), END_ID)
     return read_token_files(spark, path)
@@ -118,6 +125,10 @@ def grammar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_feistel_shards")
 def feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of near equal row counts by a permutation of global row numbers (law `rows`).
+
+    Null text has a size of 16 and the crc32 of no bytes; equal texts and equal ids are rows of their own.
+    """
     placed = shuffle_shards(documents(spark, sf_dir), SHARDS, SHUFFLE_KEY)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -127,7 +138,10 @@ def feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_poisson_mix", MIX_SQL)
 def poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every copy, with its whole text shuffled; the digest leaves the text out."""
+    """Every copy, with its whole text shuffled; the digest leaves the text out.
+
+    Null text counts one byte of mass; a null source is a source; rows that repeat an id draw the same count.
+    """
     mixed = poisson_mix(documents(spark, sf_dir))
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     return mixed.select("doc_id", "source", n_bytes.alias("n_bytes"), "mix_copies", "mix_copy")
@@ -135,6 +149,10 @@ def poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_line_rules", LINE_RULES_SQL)
 def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document.
+
+    Null and empty texts have no words and fail the base rules; of equal lines the first stays; rows are independent.
+    """
     return apply_line_rules(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_lines", "n_failed_lines", "lost_chars",
@@ -143,28 +161,47 @@ def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_secret_scan")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every document, those of the rules and those of the network.
+
+    Null text is empty and has no spans; at one start the kinds come in the order of the rules; rows are independent.
+    """
     return scan_secrets(documents(spark, sf_dir))
 
 
 @query("op7_signature_join")
 def signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of four-word shingle sets of 85 percent similarity or more.
+
+    Texts without words stay alone; rows that repeat an id are one document; a null id has a null component.
+    """
     return similar_components(documents(spark, sf_dir), n=4, percent=85)
 
 
 @query("op8_role_repair")
 def role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired and rendered turns of every conversation.
+
+    Null roles and texts, repeated turns and clashing columns are as `repair_roles` says.
+    """
     return repair_roles(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("place")
 
 
 @query("op9_best_fit")
 def best_fit_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters are the groups of equal texts."""
+    """Bins of all pieces; clusters are the groups of equal texts, null as empty.
+
+    A row of length zero has one piece without a bin; rows that repeat an id are packed each (see `pack`).
+    """
     docs = documents(spark, sf_dir)
     return pack(docs, cluster=F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 @query("op10_exact_dedup", EXACT_SQL)
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays of each group of equal texts; null is empty.
+
+    Of rows that repeat the largest id and the text all are flagged as kept.
+    """
     return ExactDedup(documents(spark, sf_dir)).decisions()
 
 
@@ -210,5 +247,8 @@ def variant_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op13_minhash_dedup")
 def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of three-word shingle sets of 85 percent similarity or more."""
+    """Components of three-word shingle sets of 85 percent similarity or more; the smallest id of each is kept.
+
+    Texts without words stay alone; rows that repeat an id are one document; a null id has null component and verdict.
+    """
     return near_copies(documents(spark, sf_dir), n=3, percent=85)
