@@ -22,33 +22,48 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their failing lines; rejected documents go."""
+    """Documents without their failing lines; rejected documents go.
+
+    Null and empty texts fail the base rules and go; rows that repeat an id are judged each; further columns go.
+    """
     prepare(spark)
     kept = apply_line_rules(docs).filter("kept").withColumn("text", F.col("cleaned_text"))
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id."""
+    """Of equal texts the row with the largest id.
+
+    A null text is an empty one, a null id ranks lowest; of rows that repeat id and text one stays.
+    """
     prepare(spark)
     return ExactDedup(docs).survivors().select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id."""
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id.
+
+    Texts without words and rows without an id stay; rows that repeat an id stay or go together.
+    """
     prepare(spark)
     found = similar_components(docs, n=5, percent=80).filter("component_id <> doc_id")
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources nearer to equal mass; a document can go or come several times."""
+    """Sources nearer to equal mass; a document can go or come several times.
+
+    A null source is a source of its own; rows that repeat an id draw the same count; an empty table stays empty.
+    """
     prepare(spark)
     return poisson_mix(docs).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place of every piece of every row; copies of a document never share a bin."""
+    """Place of every piece of every row; copies of a document never share a bin.
+
+    A null text is an empty one, without pieces that take room; ties go to the first bin; repeated rows are packed each.
+    """
     prepare(spark)
     return pack(docs)
 
