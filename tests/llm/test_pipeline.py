@@ -96,3 +96,24 @@ def test_run_is_registered(spark):
     import __spark_entry__ as entry
 
     assert entry.queries()["pipeline"] is pipeline.run and pipeline.ORACLE_SQL is None
+
+
+def test_empty_table_and_clashing_columns(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+    # Further columns, some with names that the operators use themselves, and nulls in any column.
+    text = " ".join(f"word{i}" for i in range(40)) + "."
+    rows = [(1, text, "en", "a", 240, 7, "k", 1.0, True), (2, text, None, None, None, None, None, None, None), (None, None, None, None, None, 3, "", 0.0, False)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, size double, kept boolean"
+    clashing = spark.createDataFrame(rows, schema)
+    kept = {}
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, clashing, SF)
+        kept[name] = out.collect()
+        if name != "best-fit packing":
+            assert out.columns == COLUMNS
+    assert {r.doc_id for r in kept["quality rules"]} == {1, 2}
+    assert {r.doc_id for r in kept["exact dedup"]} == {2, None}
+    assert {r.doc_id for r in kept["n-gram Jaccard join"]} == {1, None}
+    assert len(kept["best-fit packing"]) == 3
