@@ -14,6 +14,7 @@ from millrace.llm.line_rules import apply_line_rules
 from millrace.llm.mixing import poisson_mix
 from millrace.llm.packing import pack
 from millrace.llm.signature_join import similar_components
+from millrace.operators.components import small
 from millrace.session import Workspace
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -46,8 +47,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words and rows without an id stay; rows that repeat an id stay or go together.
     """
     prepare(spark)
-    found = similar_components(docs, n=5, percent=80).filter("component_id <> doc_id")
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    found = similar_components(docs, n=5, percent=80).filter("component_id <> doc_id").select("doc_id").distinct()
+    # Written down first, so that the join is planned by its real size.
+    gone = Workspace(spark).materialize(found, "near-copies")
+    return docs.join(small(gone), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
