@@ -25,6 +25,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     # Whole texts ride in Arrow batches next to a worker of a few hundred megabytes.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 * 1024 * 1024))
+    # Step tables hold whole texts and packed numbers.
+    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
     ship_package(spark)
     return spark
 
