@@ -9,8 +9,9 @@ Two documents link when 100 * |A and B| >= percent * |A or B| over their distinc
    sent out.  The list steers cost only.
 3. Pivots.  Sets with an equal minimum of a random order are compared, by sizes and bitmaps, with the smallest id
    among them.  That ties masses of near copies together in linear time.
-4. Trees.  Routing shingles whose sets are all tied already are dropped by a combined (min, max) aggregate.
-   The others get a signature tree each: leaves are sets by size, a node holds the OR of the bitmaps below and
+4. Trees.  Routing shingles whose sets are all tied already are dropped by a combined (min, max) aggregate; a Bloom filter
+   of the others keeps the routes of all other keys from being shuffled again.  Shingles with different
+   sets get a signature tree each: leaves are sets by size, a node holds the OR of the bitmaps below and
    their range of sizes.  A tree is traversed against itself level by level, all trees of a batch at once; a pair
    of nodes goes when its sizes exclude a link, when the largest possible overlap, common bits plus the
    fewest tokens hidden behind shared bits, is too small, or when both hold one component only.  Pairs of leaves are
@@ -46,6 +47,8 @@ BITS = 1024
 PAIR_CHUNK = 1 << 16
 KEYS = ("key", "i", "j")
 LEADER_SALTS = 64
+FILTER_BITS = 1 << 28
+FILTER_HASHES = 3
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -291,6 +294,53 @@ def forest_pairs(
     return order[p], order[q]
 
 
+def _spots(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Places of keys in a filter of that many bits (a power of two)."""
+    return [(mix(keys ^ salt) & np.uint64(bits - 1)).astype(np.int64) for salt in mix(np.arange(11, 11 + FILTER_HASHES, dtype=np.uint64))]
+
+
+class KeyFilter:
+    """A Bloom filter of the keys of a table, sent to all tasks; 16 bits a key, but FILTER_BITS at most.
+
+    What it lets through holds all the keys.  For more keys than FILTER_BITS / 16 it is fuller, which costs rows, never links.
+    """
+
+    def __init__(self, keys: DataFrame):
+        bits = self.bits = min(FILTER_BITS, 1 << max(10, (16 * keys.count()).bit_length()))
+
+        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                spots = np.unique(np.concatenate(_spots(batch.column("key").to_numpy().view(np.uint64), bits)))
+                word, first = np.unique(spots >> 6, return_index=True)
+                if len(word):
+                    own = np.bitwise_or.reduceat(np.uint64(1) << (spots & 63).astype(np.uint64), first)
+                    yield pa.RecordBatch.from_arrays([pa.array(word), _signed(own)], ["word", "bits"])
+
+        found = keys.select("key").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        rows = found.toArrow()  # at most FILTER_BITS / 64
+        table = np.zeros(bits // 64, dtype=np.uint64)
+        table[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+        self.table = keys.sparkSession.sparkContext.broadcast(table)
+
+
+def listed_routes(sets: DataFrame, keys: KeyFilter) -> DataFrame:
+    """key, id, comp, size of the routes (prefix) of each set whose keys the filter lets through."""
+    table, bits = keys.table, keys.bits
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column("prefix")
+            flat = prefix.flatten().to_numpy()
+            rows = np.repeat(np.arange(len(batch)), prefix.value_lengths().to_numpy())
+            known = np.ones(len(flat), dtype=bool)
+            for spot in _spots(flat.view(np.uint64), bits):
+                known &= (table.value[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) == 1
+            own = batch.select(["id", "comp", "size"]).take(pa.array(rows[known]))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[known]), *own.columns], ["key", "id", "comp", "size"])
+
+    return sets.select("prefix", "id", "comp", "size").mapInArrow(keep, "key long, id long, comp long, size long")
+
+
 def tree_edges(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """A spanning forest (a, b) of the pairs that survive in the trees of each tile (key, i, j, block, id, comp)."""
     sent = tiles.select(*KEYS, "block", "id", "comp").join(sets.select("id", "size", "bits", "wide"), "id")
@@ -333,19 +383,26 @@ def similar_components(
     edges = space.materialize(likely_pairs(pivots, reps, percent), "pivot-edges")
     tied = connected(edges, space).select(F.col("node").alias("id"), "component")
     tied = reps.select("id", "size", "prefix").join(tied, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    routes = tied.select(F.explode("prefix").alias("key"), "id", "comp", "size")
-    mixed = routes.groupBy("key").agg(
+    # Most routes hold one set.  Keys of the others are found with narrow rows; only their routes are dealt with further.
+    mixed = tied.select(F.explode("prefix").alias("key"), "comp").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    mixed = space.materialize(mixed.filter("low <> high"), "mixed-routes")
+    routes = space.materialize(listed_routes(tied, KeyFilter(mixed)), "listed-routes")
+    route_groups = routes.groupBy("key").agg(
         F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("__size"),
         F.min("size").alias("least"), F.max("size").alias("most"), F.min("id").alias("a"), F.max("id").alias("b"),
+        *[F.sum(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 31))).alias(f"sum{k}") for k in (1, 2)],
     )
-    mixed = mixed.withColumn("__weight", F.lit(0).cast("long"))
     # Two sets alone on a route must at least have sizes that can link.
     apart = (F.col("__size") == 2) & (F.col("least") * 100 < F.col("most") * percent)
-    mixed = space.materialize(mixed.filter((F.col("low") != F.col("high")) & ~apart).drop("least", "most"), "mixed-routes")
+    route_groups = route_groups.filter((F.col("low") != F.col("high")) & ~apart).drop("least", "most")
+    route_groups = space.materialize(route_groups.withColumn("__weight", F.lit(0).cast("long")), "route-groups")
     # A tree of two leaves is one pair, which the aggregate names; it is looked at once for all routes it shares.
-    pairs = space.materialize(mixed.filter("__size = 2 AND a <> b").select("a", "b").distinct(), "route-pairs")
+    pairs = space.materialize(route_groups.filter("__size = 2 AND a <> b").select("a", "b").distinct(), "route-pairs")
     edges = edges.unionByName(space.materialize(likely_pairs(pairs, reps, percent), "pair-edges"))
-    tiles = cross_tiles(routes.select("key", "id", "comp"), mixed.filter("__size > 2").drop("a", "b"), space)
+    # Routes with the same sets, as a shared passage makes them, have the same tree; one of them is enough.
+    row = F.min(F.struct("key", "low", "high", "__weight")).alias("row")
+    trees = route_groups.filter("__size > 2").groupBy("__size", "a", "b", "sum1", "sum2").agg(row).select("__size", "row.*")
+    tiles = cross_tiles(routes.select("key", "id", "comp"), space.materialize(trees, "trees"), space)
     edges = edges.unionByName(space.materialize(tree_edges(tiles, reps, percent), "tree-edges"))
     links = mass_links(edges, reps, texts, n, percent, space)
     found = connected(equal.unionByName(links), space)
