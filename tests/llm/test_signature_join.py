@@ -5,7 +5,7 @@ import random
 import pytest
 from contracts import jaccard_components
 
-from millrace.llm import masses
+from millrace.llm import masses, signature_join
 from millrace.llm.common import prepare
 from millrace.llm.signature_join import similar_components
 
@@ -41,6 +41,12 @@ def test_like_all_pairs(spark, monkeypatch, n, percent, tile):
     assert run(spark, rows, n, percent) == jaccard_components(rows, n, percent)
 
 
+def test_a_full_filter_of_routes_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(signature_join, "FILTER_BITS", 1 << 10)
+    rows = near_copies(11, 25, 12)
+    assert run(spark, rows, 4, 85) == jaccard_components(rows, 4, 85)
+
+
 def test_edges_of_the_input(spark):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "ONE"), (6, "one two three"), (7, "One two three"), (8, "é É"), (9, "É é")]
     want = {1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6), 8: (1, 8), 9: (1, 9)}
