@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
-from .patterns import SPACE, strip
+from .patterns import SPACE, let, strip
 
 CHARS_PER_TOKEN = 4
 DEFAULT_MAX_TOKENS = 6000
 HARD_CHAR_CEILING = 40_000
 
 
+def _where(text: Column, can: Column, change: Callable[[Column], Column]) -> Column:
+    return F.when(can, change(text)).otherwise(text)
+
+
 def strip_boilerplate(raw: Column) -> Column:
     """Blank out scripts, styles and comments, then squeeze blanks and empty lines."""
-    text = raw
-    for pattern in (r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"(?s)<!--.*?-->"):
-        text = F.regexp_replace(text, pattern, " ")
-    text = F.regexp_replace(text, r"[ \t]+", " ")
-    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
+
+    def untagged(text: Column) -> Column:
+        for pattern in (r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"(?s)<!--.*?-->"):
+            text = F.regexp_replace(text, pattern, " ")
+        return text
+
+    # A pattern is searched only where a plain look says that it can occur.
+    text = _where(raw, F.contains(raw, F.lit("<")), untagged)
+    text = let(text, lambda t: _where(t, F.contains(t, F.lit("  ")) | F.contains(t, F.lit("\t")), lambda x: F.regexp_replace(x, r"[ \t]+", " ")))
+    text = let(text, lambda t: _where(t, F.contains(t, F.lit("\n\n\n")), lambda x: F.regexp_replace(x, r"\n{3,}", "\n\n")))
     return strip(text)
 
 

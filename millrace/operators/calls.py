@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import heapq
+import threading
 import time
 from collections.abc import Callable, Generator
-from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from typing import Any
 
 from pyspark import TaskContext
@@ -34,52 +34,129 @@ def run_by_due_time(
     its row with CallTimeout, but keeps its permit until it comes back.  An error of a call is thrown into its row.
     `sleep` may return early; the time it was asked for then counts as passed.
     """
-    results: list[Any] = [None] * len(rows)
-    due = [(0.0, k) for k in range(len(rows))]
-    running: dict[Future, tuple[int, float]] = {}
-    late: set[Future] = set()
-    ahead = 0.0
+    line = _Line(rows, sleep)
+    workers = [threading.Thread(target=line.work, daemon=True) for _ in range(min(permits, len(rows)))]
+    for worker in workers:
+        worker.start()
+    line.watch(limit)
+    for worker in workers:
+        worker.join()
+    if line.broken is not None:
+        raise line.broken
+    return line.results
 
-    def now() -> float:
-        return time.monotonic() + ahead
 
-    def advance(k: int, pool: ThreadPoolExecutor, value: Any = None, error: BaseException | None = None) -> None:
+class _Line:
+    """Rows in a heap by due time, and workers that take them: a worker is a permit and makes its calls itself.
+
+    Handing single calls to a pool would cost many times what a quick call takes.
+    """
+
+    def __init__(self, rows: list[Steps], sleep: Callable[[float], None]):
+        self.rows, self.sleep = rows, sleep
+        self.results: list[Any] = [None] * len(rows)
+        self.due = [(0.0, k) for k in range(len(rows))]
+        self.asked: dict[int, Callable[[], Any]] = {}  # calls of rows in the heap that ended late and ask again
+        self.calls: dict[object, tuple[int, float]] = {}  # row and start of each call that is not late
+        self.open, self.busy, self.ahead = len(rows), 0, 0.0
+        self.lock = threading.Lock()
+        self.changed, self.over = threading.Condition(self.lock), threading.Condition(self.lock)
+        self.broken: BaseException | None = None
+
+    def work(self) -> None:
+        with self.lock:
+            try:
+                while (k := self._next()) is not None:
+                    asked = self.asked.pop(k, None) or self._advance(k)
+                    while asked is not None:
+                        asked = self._call(k, asked)
+            except BaseException as error:  # the caller raises it
+                self._break(error)
+
+    def watch(self, limit: float | None) -> None:
+        """Ends calls over the limit for their rows, until all rows are done."""
+        with self.lock:
+            while self.open and self.broken is None:
+                rest = None
+                if limit is not None:
+                    now = time.monotonic()
+                    for call in [c for c, (_, start) in self.calls.items() if now - start >= limit]:
+                        self._end_late(self.calls.pop(call)[0], limit)
+                    rest = min((start for _, start in self.calls.values()), default=now) + limit - now
+                if self.open and self.broken is None:
+                    self.over.wait(rest)
+
+    def _now(self) -> float:
+        return time.monotonic() + self.ahead
+
+    def _break(self, error: BaseException) -> None:
+        self.broken = self.broken or error
+        self.changed.notify_all()
+        self.over.notify_all()
+
+    def _next(self) -> int | None:
+        """A row that is due, as soon as there is one; None at the end."""
+        while self.open and self.broken is None:
+            pause = self.due[0][0] - self._now() if self.due else None
+            if pause is not None and pause <= 0:
+                return heapq.heappop(self.due)[1]
+            if pause is None or self.busy:
+                self.changed.wait(pause)
+                continue
+            self.busy += 1
+            start = time.monotonic()
+            self.lock.release()
+            try:
+                self.sleep(pause)
+            finally:
+                self.lock.acquire()
+                self.busy -= 1
+            self.ahead += max(0.0, pause - (time.monotonic() - start))
+            self.changed.notify_all()
+        return None
+
+    def _advance(self, k: int, value: Any = None, error: BaseException | None = None) -> Callable[[], Any] | None:
+        """The call that a row asks for, None when it pauses or ends."""
         try:
-            asked = rows[k].throw(error) if error else rows[k].send(value)
+            asked = self.rows[k].throw(error) if error else self.rows[k].send(value)
         except StopIteration as end:
-            results[k] = end.value
-            return
+            self.results[k] = end.value
+            self.open -= 1
+            if not self.open:
+                self.changed.notify_all()
+                self.over.notify_all()
+            return None
         if callable(asked):
-            running[pool.submit(asked)] = (k, time.monotonic())
-        else:
-            heapq.heappush(due, (now() + asked, k))
-
-    with ThreadPoolExecutor(permits) as pool:
-        while due or running:
-            while due and due[0][0] <= now() and len(running) + len(late) < permits:
-                advance(heapq.heappop(due)[1], pool)
-            busy = set(running) | late
-            pause = max(0.0, due[0][0] - now()) if due and len(busy) < permits else None
-            if not busy:
-                if due and pause:
-                    start = time.monotonic()
-                    sleep(pause)
-                    ahead += max(0.0, pause - (time.monotonic() - start))
-                continue
-            if running and limit is not None:
-                rest = min(start for _, start in running.values()) + limit - time.monotonic()
-                pause = max(0.0, rest if pause is None else min(rest, pause))
-            done, _ = wait(busy, timeout=pause, return_when=FIRST_COMPLETED)
-            late -= done
-            for call in done & running.keys():
-                k, _ = running.pop(call)
-                error = call.exception()
-                if error is not None and not isinstance(error, Exception):
-                    raise error
-                advance(k, pool, None if error else call.result(), error)
-            if limit is not None:
-                for call in [c for c, (_, start) in running.items() if time.monotonic() - start >= limit]:
-                    k, _ = running.pop(call)
-                    late.add(call)
-                    advance(k, pool, error=CallTimeout(f"{limit} s"))
-    return results
+            return asked
+        heapq.heappush(self.due, (self._now() + asked, k))
+        self.changed.notify()
+        return None
+
+    def _call(self, k: int, asked: Callable[[], Any]) -> Callable[[], Any] | None:
+        """Makes a call and goes on with its row; of a late one nothing is looked at."""
+        call, value, error = object(), None, None
+        self.calls[call] = (k, time.monotonic())
+        self.busy += 1
+        self.lock.release()
+        try:
+            value = asked()
+        except Exception as raised:
+            error = raised
+        finally:
+            self.lock.acquire()
+            self.busy -= 1
+        if self.calls.pop(call, None) is None:
+            self.changed.notify_all()
+            return None
+        return self._advance(k, value, error)
+
+    def _end_late(self, k: int, limit: float) -> None:
+        try:
+            asked = self._advance(k, error=CallTimeout(f"{limit} s"))
+        except BaseException as error:
+            self._break(error)
+            return
+        if asked is not None:
+            self.asked[k] = asked
+            heapq.heappush(self.due, (self._now(), k))
+            self.changed.notify()

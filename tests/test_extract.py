@@ -167,3 +167,35 @@ def test_call_time_limit():
         return "in time"
 
     assert run_by_due_time([row(0.6), row(0.0), row(0.0)], 2, time.sleep, limit=0.2) == ["late", "in time", "in time"]
+
+
+def test_a_late_row_asks_again_and_errors_of_calls_reach_the_caller():
+    order = []
+
+    def row():
+        try:
+            yield lambda: time.sleep(0.4) or order.append("back")
+        except CallTimeout:
+            yield lambda: order.append("again")
+        return "done"
+
+    # The late call keeps the only permit until it is back.
+    assert run_by_due_time([row()], 1, time.sleep, limit=0.1) == ["done"] and order == ["back", "again"]
+
+    def stopped():
+        yield lambda: sys.exit(3)
+
+    with pytest.raises(SystemExit):
+        run_by_due_time([stopped(), stopped()], 2, time.sleep)
+
+
+def test_a_wave_writes_one_table_without_texts_that_led_to_entities(spark):
+    texts = ["good " * 30, "bad " * 30]
+    first = Provider("one", lambda p: STARTUP if "good" in body(p) else "{broken")
+    result, attempts = run(spark, "STARTUP", texts, [first, Provider("two", lambda p: STARTUP)])
+    assert {r.doc_id: r.provider for r in result.outcomes.collect()} == {0: "one", 1: "two"} and len(attempts) == 3
+    tables = {f.rsplit("/", 1)[0] for f in result.outcomes.inputFiles()}
+    folder = Path(next(iter(tables)).removeprefix("file://").removeprefix("file:")).parent
+    assert len(tables) == len(list(folder.iterdir())) == 2
+    for table in tables:
+        assert {(r.content is None, r.text is None) for r in spark.read.parquet(table).collect()} <= {(True, False), (False, True)}

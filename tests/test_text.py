@@ -63,3 +63,16 @@ def test_strip_and_halves(spark):
     texts = ["", "a", "ab", "abc", "😀é漢"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
     assert [r[0] for r in df.select(tx.midpoint_halves(F.col("t"))).collect()] == [[t[: len(t) // 2], t[len(t) // 2 :]] for t in texts]
+
+
+def test_boilerplate_patterns_run_only_where_they_can_occur(spark):
+    texts = ["a b\nc", "a\tb", "\t", "a  b", "a \t b\n\n\n\nc", "x<SCRIPT>1</script>y<style>\n</STYLE>z<!-- c\n-->", "<script>  ", "a < b\n\n\nc  ", "\n\n\n", "", None]
+
+    def plain(text):
+        for pattern, put in ((r"(?is)<script.*?</script>", " "), (r"(?is)<style.*?</style>", " "), (r"(?s)<!--.*?-->", " "), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")):
+            text = re.sub(pattern, put, text)
+        return text.strip()
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    got = {r.id: r.c for r in rows.select("id", tx.strip_boilerplate(F.col("t")).alias("c")).collect()}
+    assert got == {i: None if t is None else plain(t) for i, t in enumerate(texts)}
