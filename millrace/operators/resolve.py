@@ -23,7 +23,7 @@ from ..functions.names import exact_key, normalized_key, token_sorted
 from ..functions.patterns import is_blank, strip
 from ..session import Workspace
 from .components import components
-from .similarity import CHECKS_PER_TASK, CellGuard, frequent_grams, hot_cells, signature, similar_pairs
+from .similarity import CHECKS_PER_TASK, CellGuard, Shortened, expected_pairs, frequent_grams, hot_cells, signature, similar_pairs
 
 DEFAULT_THRESHOLD = 90.0
 EXACT, NORMALIZED, FUZZY, NEW_ENTITY, SKIPPED = "exact", "normalized", "fuzzy", "new_entity", "skipped_empty"
@@ -159,13 +159,9 @@ def _cuts(owned: DataFrame, large: DataFrame, limits: ElectionLimits) -> DataFra
     return found.select("component", F.element_at("at", place).alias("cut"))
 
 
-def _expected_pairs(slice_: DataFrame) -> float:
-    counts = slice_.select(F.explode("sig.grams.gram").alias("gram")).groupBy("gram").count()
-    n = F.col("count").cast("double")
-    return counts.agg(F.sum(n * (n - 1) / 2)).first()[0] or 0.0
-
-
-def _slice_end(remaining: DataFrame, rows: int, wanted: int, budget: float, limits: ElectionLimits) -> int | None:
+def _slice_end(
+    remaining: DataFrame, rows: int, wanted: int, budget: float, limits: ElectionLimits, plan: Shortened | None
+) -> int | None:
     """Last ordinal of the next slice, None for all that remains."""
     while True:
         end = None
@@ -175,7 +171,7 @@ def _slice_end(remaining: DataFrame, rows: int, wanted: int, budget: float, limi
         size = min(wanted, rows)
         if size <= limits.smallest_slice:
             return end
-        pairs = _expected_pairs(taken)
+        pairs = expected_pairs(taken, plan)
         if pairs <= budget:
             return end
         wanted = max(limits.smallest_slice, int(size * min((budget / pairs) ** 0.5, 0.5)))
@@ -188,14 +184,14 @@ def elect_leaders(
     remaining, wanted, leaders = candidates, limits.first_slice, []
     cores = work.spark.sparkContext.defaultParallelism
     budget = float(limits.first_pairs_per_key * limits.first_slice)
+    plan = (cells.plans(candidates, candidates) or (None,))[0]
     while True:
         rows = remaining.count()
         if rows == 0:
             break
-        end = _slice_end(remaining, rows, wanted, budget, limits)
+        end = _slice_end(remaining, rows, wanted, budget, limits, plan)
         taken = remaining if end is None else remaining.filter(F.col("ord") <= end)
-        hot = cells.between(taken, taken)
-        pairs = similar_pairs(taken, taken.select("ts", "ord", "sig"), threshold, ordered=True, hot=hot)
+        pairs = similar_pairs(taken, taken.select("ts", "ord", "sig"), threshold, ordered=True, **cells.between(taken, taken))
         edges = work.materialize(pairs.select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b")), "edges")
         losers = _independent_set_losers(edges, work, limits)
         if losers is not None:
@@ -205,8 +201,7 @@ def elect_leaders(
         if end is None:
             break
         rest = remaining.filter(F.col("ord") > end)
-        hot = cells.between(rest, chosen)
-        absorbed = similar_pairs(rest, chosen.select("ts", "ord", "sig"), threshold, hot=hot).select(F.col("a").alias("ts")).distinct()
+        absorbed = similar_pairs(rest, chosen.select("ts", "ord", "sig"), threshold, **cells.between(rest, chosen)).select(F.col("a").alias("ts")).distinct()
         remaining = work.materialize(rest.join(absorbed, "ts", "left_anti"), "remaining")
         wanted *= limits.growth
         budget = float(limits.pairs_per_core * cores)
@@ -295,7 +290,7 @@ def resolve(
     equal = keys.select("ts").join(seed_places, "ts").withColumn("score", F.lit(100.0))
     signed = keys.select("ts", "ord", "sig").unionByName(seed_keys.select("ts", "ord", "sig"))
     cells = CellGuard(signed, threshold, work, limits.checks_per_task)
-    similar = similar_pairs(keys, seed_keys, threshold, hot=cells.between(keys, seed_keys))
+    similar = similar_pairs(keys, seed_keys, threshold, **cells.between(keys, seed_keys))
     similar = similar.select(F.col("a").alias("ts"), F.col("b_ord").alias("place"), F.col("b_canonical").alias("canonical"), "score")
     # One row per key and score: near copies among the seeds do not multiply.
     seed_matches = work.materialize(_earliest(equal.unionByName(similar).withColumn("tier", F.lit(0))), "seed-matches")
@@ -305,7 +300,7 @@ def resolve(
 
     followers = keys.join(leaders.select("ts"), "ts", "left_anti")
     heads = leaders.select("ts", "ord", "sig", "head.canonical")
-    leader_matches = similar_pairs(followers, heads, threshold, hot=cells.between(followers, heads)).select(
+    leader_matches = similar_pairs(followers, heads, threshold, **cells.between(followers, heads)).select(
         F.col("a").alias("ts"), "score", F.lit(1).alias("tier"), F.col("b_ord").alias("place"), F.col("b_canonical").alias("canonical")
     )
     rivals = _rivals(seed_matches, leader_matches)

@@ -6,11 +6,15 @@ without comparing everything with everything: a pair of that score must share a
 q-gram among the rarest few of either side, at nearly the same position (the prefix
 filter of set-similarity joins).  So the join is an equi-join on single q-grams, and
 the filters below lose no pair.
+
+Where very many keys share their rare q-grams too (names that differ in a number only), short keys meet by what is
+left of them without a few characters instead (`Shortened`); that loses no pair either.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -26,6 +30,8 @@ FREQUENT_GRAMS = 4096
 POSITION_BUCKET = 16
 # Candidate checks that one task may do for one gram: some seconds of work.
 CHECKS_PER_TASK = 4_000_000
+# Shortened forms that a key may have for one number of left-out characters.
+MOST_FORMS = 256
 GRAM = T.StructType([T.StructField("gram", T.StringType()), T.StructField("pos", T.IntegerType())])
 SIGNATURE = T.StructType([T.StructField("bag", T.LongType()), T.StructField("grams", T.ArrayType(GRAM))])
 _BAG_BITS = 63
@@ -150,12 +156,80 @@ def _spans(threshold: float) -> tuple[float, int]:
     return (1 + rate) / (1 - rate) * (1 + 1e-6), POSITION_BUCKET
 
 
-def _routes(side: DataFrame, key: str, threshold: float, reach: bool) -> DataFrame:
+@dataclass(frozen=True)
+class Shortened:
+    """How keys of one side meet by shortened forms, for each key length.
+
+    ``left_out`` has the numbers of characters to leave out, ``alone`` the lengths that need no grams.
+    """
+
+    left_out: dict[int, tuple[int, ...]]
+    alone: frozenset[int]
+
+
+def shortened(left: dict[int, int], right: dict[int, int], threshold: float, limit: int) -> tuple[Shortened, Shortened] | None:
+    """Plans of both sides from the number of keys of each length; None where it doesn't pay.
+
+    Keys of lengths m and n pass if they have a common subsequence of (m + n - edits) / 2 characters or more, that is
+    if they agree once each has lost the rest.  A key has one form for each way to lose characters, so the work
+    is linear in the keys, whatever they share.  It pays where keys of two lengths make more than ``limit`` pairs.
+    """
+    ways: dict[tuple[int, int], tuple[int, int]] = {}
+    for m in left:
+        for n in right:
+            edits = allowed_edits(m + n, threshold)
+            if (lost := (edits + m - n) // 2) >= 0 and (other := (edits + n - m) // 2) >= 0 and (lost or other):
+                ways[m, n] = (lost, other)
+    can = {p for p, (lost, other) in ways.items() if math.comb(p[0], lost) <= MOST_FORMS and math.comb(p[1], other) <= MOST_FORMS}
+    if not any(left[m] * right[n] > limit for m, n in can):
+        return None
+    alone = [frozenset(x for x in side if all(p in can for p in ways if p[k] == x)) for k, side in enumerate((left, right))]
+    used = [p for p in can if p[0] in alone[0] or p[1] in alone[1]]
+    return tuple(
+        Shortened({x: tuple(sorted({ways[p][k] for p in used if p[k] == x})) for x in side}, alone[k])
+        for k, side in enumerate((left, right))
+    )
+
+
+def _forms(plan: Shortened):
+    """Shortened forms of keys, each once."""
+    left_out = plan.left_out
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def forms(keys: pd.Series) -> pd.Series:
+        out = []
+        for text in keys:
+            found: set[str] = set()
+            now, lost = {text}, 0
+            for wanted in left_out.get(len(text), ()):
+                for _ in range(wanted - lost):
+                    now = {t[:i] + t[i + 1 :] for t in now for i in range(len(t))}
+                lost = wanted
+                found |= now
+            out.append(sorted(found))
+        return pd.Series(out, dtype="object")
+
+    return forms
+
+
+def length_counts(keys: DataFrame) -> dict[int, int]:
+    """Keys of each length: a row a length for the driver."""
+    return {r["n"]: r["count"] for r in keys.groupBy(F.length("ts").alias("n")).count().collect()}
+
+
+def _routes(side: DataFrame, key: str, threshold: float, reach: bool, plan: Shortened | None = None) -> DataFrame:
     """Grams of one side with their join cell: (gram, length band, position bucket).
 
     A passing pair's lengths differ by one band at most and its gram positions by no more than the edits
     that its lengths allow, so the reaching side is copied to the neighbouring cells and no pair is lost.
+    With a plan, shortened forms are routes as well, marked so that none is taken for a gram.
     """
+    if plan is not None:
+        by_gram = _routes(side.filter(~F.length("ts").isin(*plan.alone)) if plan.alone else side, key, threshold, reach)
+        rows = side.withColumn("_form", F.explode(_forms(plan)(F.col("ts"))))
+        zero = F.lit(0).cast("bigint")
+        rows = rows.withColumns({"gram": F.concat(F.lit("\u0000"), "_form"), "band": zero, "cell": zero, "pos": F.lit(0), "_len": F.length("ts")})
+        return by_gram.unionByName(_named(rows, side, key))
     factor, bucket = _spans(threshold)
     rate = (100.0 - threshold) / 100.0
     length = F.length("ts")
@@ -171,6 +245,10 @@ def _routes(side: DataFrame, key: str, threshold: float, reach: bool) -> DataFra
         rows = rows.withColumn("cell", F.explode(F.sequence(low, F.floor((F.col("pos") + edits) / bucket))))
     else:
         rows = rows.withColumns({"band": F.col("_band"), "cell": place})
+    return _named(rows, side, key)
+
+
+def _named(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
     return rows.select("gram", "band", "cell", *[F.col(c).alias(f"{key}_{c}") for c in ("ts", "ord", "pos", *_payload(side))], F.col("_len").alias(f"{key}_len"), F.col("sig.bag").alias(f"{key}_bag"))
 
 
@@ -181,15 +259,19 @@ def _payload(side: DataFrame) -> list[str]:
 _CELL = ("gram", "band", "cell")
 
 
-def hot_cells(left: DataFrame, right: DataFrame, threshold: float, work: Workspace, limit: int = CHECKS_PER_TASK) -> DataFrame | None:
+def hot_cells(
+    left: DataFrame, right: DataFrame, threshold: float, work: Workspace, limit: int = CHECKS_PER_TASK,
+    plans: tuple[Shortened, Shortened] | None = None,
+) -> DataFrame | None:
     """``(gram, band, cell, rows, cols)`` of join cells with more than ``limit`` candidate checks.
 
     Such a cell becomes a grid: each side is dealt to blocks of about the root of the limit and copied along
     the other side's blocks only.  It can be small in bytes, so the engine's own skew handling would miss it.
     None when there is no such cell.
     """
-    n_left = _routes(left, "a", threshold, reach=False).groupBy(*_CELL).agg(F.count("*").alias("n_left"))
-    n_right = _routes(right, "b", threshold, reach=True).groupBy(*_CELL).agg(F.count("*").alias("n_right"))
+    own, other = plans or (None, None)
+    n_left = _routes(left, "a", threshold, reach=False, plan=own).groupBy(*_CELL).agg(F.count("*").alias("n_left"))
+    n_right = _routes(right, "b", threshold, reach=True, plan=other).groupBy(*_CELL).agg(F.count("*").alias("n_right"))
     counts = n_left.join(n_right, list(_CELL)).filter(F.col("n_left").cast("double") * F.col("n_right") > limit)
     hot = work.materialize(counts.select(*_CELL, *grid(limit)), "hot-cells")
     return None if hot.isEmpty() else hot
@@ -202,8 +284,24 @@ class CellGuard:
         self.threshold, self.work, self.limit = threshold, work, limit
         self.any = hot_cells(keys, keys, threshold, work, limit) is not None
 
-    def between(self, left: DataFrame, right: DataFrame) -> DataFrame | None:
-        return hot_cells(left, right, self.threshold, self.work, self.limit) if self.any else None
+    def plans(self, left: DataFrame, right: DataFrame) -> tuple[Shortened, Shortened] | None:
+        return shortened(length_counts(left), length_counts(right), self.threshold, self.limit) if self.any else None
+
+    def between(self, left: DataFrame, right: DataFrame) -> dict:
+        """How two sides meet: arguments of `similar_pairs`."""
+        plans = self.plans(left, right)
+        hot = hot_cells(left, right, self.threshold, self.work, self.limit, plans) if self.any else None
+        return {"hot": hot, "plans": plans}
+
+
+def expected_pairs(keys: DataFrame, plan: Shortened | None) -> float:
+    """Pairs that meet on a route, counted once a route."""
+    grams = keys.filter(~F.length("ts").isin(*plan.alone)) if plan and plan.alone else keys
+    routes = grams.select(F.explode("sig.grams.gram").alias("gram"))
+    if plan:
+        routes = routes.unionByName(keys.select(F.explode(_forms(plan)(F.col("ts"))).alias("gram")).select(F.concat(F.lit("\u0000"), "gram").alias("gram")))
+    n = F.col("count").cast("double")
+    return routes.groupBy("gram").count().agg(F.sum(n * (n - 1) / 2)).first()[0] or 0.0
 
 
 def grid(limit: int) -> tuple[Column, Column]:
@@ -229,18 +327,21 @@ def _dealt(side: DataFrame, key: str, hot: DataFrame) -> DataFrame:
 
 
 def similar_pairs(
-    left: DataFrame, right: DataFrame, threshold: float, ordered: bool = False, hot: DataFrame | None = None
-) -> DataFrame:
+    left: DataFrame, right: DataFrame, threshold: float, ordered: bool = False, hot: DataFrame | None = None,
+    plans: tuple[Shortened, Shortened] | None = None,
+) -> DataFrame:
     """Unequal pairs ``(a, b, a_ord, b_ord, score)`` with a score of at least ``threshold``.
 
     Both sides bring distinct keys ``(ts, ord, sig)``; the right side's further columns are carried along as
     ``b_<name>``.  ``ordered`` keeps pairs whose left ordinal is the smaller one (self-join).  The join key is
     (gram, length band, position bucket); candidates are checked for position and characters inside
-    the join and for edit distance once a pair.  Cells in ``hot`` are dealt to a grid of tasks.  Whether a
+    the join and for edit distance once a pair.  Cells in ``hot`` are dealt to a grid of tasks; with ``plans`` some keys
+    meet by shortened forms.  Whether a
     side is broadcast is left to the engine, which knows the sizes.
     """
-    one = _routes(left.select("ts", "ord", "sig"), "a", threshold, reach=False)
-    two = _routes(right, "b", threshold, reach=True)
+    own, other = plans or (None, None)
+    one = _routes(left.select("ts", "ord", "sig"), "a", threshold, reach=False, plan=own)
+    two = _routes(right, "b", threshold, reach=True, plan=other)
     keys = list(_CELL)
     if hot is not None:
         one, two = _dealt(one, "a", hot), _dealt(two, "b", hot)

@@ -4,9 +4,12 @@ import random
 
 import pytest
 from brute import normalize, ratio, sequential
+from pyspark.sql import functions as F
 
 from millrace.operators import resolve as rs
+from millrace.operators import similarity as sim
 from millrace.operators.similarity import _common_subsequence, _lost_grams, gram_size
+from millrace.session import Workspace
 
 WORDS = ["acme", "north", "star", "data", "robot", "vision", "labs", "inc", "über", "quantum", "deep", "grid"]
 
@@ -149,3 +152,26 @@ def test_large_components_are_settled_in_bounded_parts(spark, monkeypatch):
     df = spark.createDataFrame(sorted(edges), "a bigint, b bigint")
     got = R._independent_set_losers(df, R.Workspace(spark), limits)
     assert {r["b"] for r in got.collect()} == lost
+
+
+def test_near_copies_meet_by_shortened_forms(spark):
+    """Names that differ in digits share nearly all grams; their pairs are found without meeting all others."""
+    rng = random.Random(5)
+    names = {f"supplier#{i:09d}" for i in range(500)}
+    for text in sorted(names)[:120]:  # other lengths as well
+        spot = rng.randrange(len(text))
+        names |= {text[:spot] + text[spot + 1 :], text[:spot] + rng.choice("0az ") + text[spot:]}
+    names = sorted({" ".join(sorted(n.split())) for n in names})
+    keys = spark.createDataFrame(list(zip(names, range(len(names)))), "ts string, ord long")
+    work = Workspace(spark)
+    keys = work.materialize(keys.withColumn("sig", sim.signature(F.col("ts"), 90.0, sim.frequent_grams(keys, "ts", 90.0))), "keys")
+    guard = sim.CellGuard(keys, 90.0, work, 1000)
+    met = guard.between(keys, keys)
+    found = {(r.a, r.b, round(r.score, 6)) for r in sim.similar_pairs(keys, keys, 90.0, ordered=True, **met).collect()}
+    assert found == {(a, b, round(s, 6)) for i, a in enumerate(names) for b in names[i + 1 :] if (s := ratio_of(a, b)) >= 90.0}
+    assert sim.expected_pairs(keys, met["plans"][0]) < len(names) ** 2 / 8 < sim.expected_pairs(keys, None)
+
+
+def ratio_of(a, b):
+    total = len(a) + len(b)
+    return (1.0 - (total - 2 * _common_subsequence(a, b)) / total) * 100.0
