@@ -114,6 +114,16 @@ def fresh_only(df: DataFrame, date_col: str, reference_time: Column | datetime,
     return df.filter(is_fresh(parsed["value"], reference_time, window_hours))
 
 
+def fresh_by_date(
+    df: DataFrame, date_col: str, reference_time: datetime, work: Workspace, window_hours: int = 24
+) -> DataFrame:
+    """`fresh_only` for dates that repeat: each is read once, and rows are joined with the fresh ones."""
+    # Written down: the gate would else be pushed below the distinct and read every row's date.
+    dates = work.materialize(df.select(F.col(date_col).alias("_date")).distinct(), "dates")
+    fresh = work.materialize(fresh_only(dates, "_date", reference_time, window_hours), "fresh-dates")
+    return df.join(fresh, F.col(date_col) == F.col("_date"), "left_semi")
+
+
 def freshness_counts(df: DataFrame, date_col: str, reference_time: Column | datetime, window_hours: int = 24) -> DataFrame:
     """Rows kept and skipped by the gate, in one pass."""
     fresh = is_fresh(normalize_date(F.col(date_col), reference_time)["value"], reference_time, window_hours)
@@ -141,7 +151,7 @@ def build_tables(
     """
     work = Workspace(startups.sparkSession)
     at = utc_moment(reference_time).cast("timestamp")
-    fresh_jobs = work.materialize(fresh_only(jobs, "date", reference_time, window_hours), "fresh-jobs")
+    fresh_jobs = work.materialize(fresh_by_date(jobs, "date", reference_time, work, window_hours), "fresh-jobs")
 
     def named(df: DataFrame, rank: int, name: str) -> DataFrame:
         return df.select((F.col("ordinal") + rank * _TABLE_STRIDE).alias("_ordinal"), F.col(name).alias("_raw"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from millrace.operators import graph, observe
 from millrace.plans import outputs as out
 from millrace.schemas import OUTPUT_COLUMNS, RECORD_TYPES, content_struct, entity_struct, json_schema
+from millrace.session import Workspace
 from millrace.sinks import files
 from millrace.sinks.commit import TableSet
 from millrace.sources.seeds import read_seed_file, seed_aliases
@@ -108,3 +109,15 @@ def test_hops(spark, tables):
     starts = spark.createDataFrame([("j/1",)], "node string")
     got = graph.follow(back, starts, ["EMPLOYS_VIA_OF", "BUILDS"]).collect()
     assert [(r.start, r.node) for r in got] == [("j/1", "https://e.x/kestrel")]
+
+
+def test_repeated_dates_are_read_once(spark):
+    ref = datetime(2026, 9, 12, 12)
+    dates = ["3 hours ago", " 3 hours ago ", "2026-09-12", "2026-09-10", "30 hours ago", "", "nonsense", "today", None] * 7
+    rows = spark.createDataFrame(list(enumerate(dates)), "id int, date string")
+    work = Workspace(spark)
+    gated = out.fresh_by_date(rows, "date", ref, work)
+    assert sorted(gated.collect()) == sorted(out.fresh_only(rows, "date", ref).collect())
+    plan = gated._jdf.queryExecution().optimizedPlan().toString()
+    assert gated.count() == 28 and "LeftSemi" in plan and "general_parse" not in plan
+    assert spark.read.parquet(f"{work.root}/0001-dates").count() == 9
