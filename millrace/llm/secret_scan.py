@@ -4,12 +4,13 @@ Candidates are what the rules' spans leave of runs of LEAST_VALUE or more of CAN
 such a piece, the parts between its / and =.  Windows of characters that slide over each (any STEP characters in a row
 are whole in one) are scored by a small network in numpy, and the highest score counts: character features, one
 convolution, a maximum over the inside and one over the whole window, a logistic unit.  A piece that passes is a span;
-of a piece that does not, the parts that pass are.  The network is trained on labelled windows: findings made by rule,
-with look-alikes that are none (`secret_examples`); values that the rules confirm in the table; and pieces of
-the table, at most TRAIN_ROWS of each, taken by hash.  Half of the confirmed ones are shown without what stands before
-them, so that the shape of a value counts by itself.  On a part held out, scores are calibrated (Platt), and the
-threshold is the highest whose recall is at least RECALL by the lower end of its Wilson interval.  The rules' own spans
-always stay.
+of a piece that does not, the parts that pass are.  The convolution is trained on findings made by rule, with look-alikes
+that are none (`secret_examples`).  The logistic unit is fitted on these and on every window of the table, those of values
+that the rules confirm against those of all other pieces, by ROUNDS Newton steps: a step is one pass whose tasks add up
+gradient and curvature.  Confirmed values are shown with and without what stands before them, half a weight each, so that
+the shape of a value counts by itself.  The threshold is the highest whose recall is at least RECALL by the lower end of its
+Wilson interval, both of the made findings held out and of all confirmed values, each scored without what stands before
+it by a unit fitted on the other half of the texts.  The rules' own spans always stay.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, fields, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +43,9 @@ KINDS = ("assign", "access", "hex", "cnn")
 CANDIDATE, CUTS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-", "/="
 BEFORE, INSIDE, BEHIND, STEP = 32, 48, 16, 24
 WIDTH = BEFORE + INSIDE + BEHIND
-TRAIN_ROWS = 4096
 RECALL = 0.98
+FOLDS, ROUNDS, RIDGE = 2, 2, 0.0025
+BIN, LEAST_BIN, BINS = 256, -8192, 16385  # logits are counted in steps of 1 / BIN from -32 to 32
 FILTERS, REACH, EPOCHS, BATCH, RATE = 16, 5, 12, 128, 0.01
 
 _ASSIGN, _ACCESS, _HEX = re.compile(ASSIGN, re.ASCII), re.compile(ACCESS), re.compile(rf"[0-9a-f]{{{LEAST_HEX},}}")
@@ -112,15 +116,6 @@ def slides(codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.n
     return out, first
 
 
-def hashes(windows: np.ndarray) -> np.ndarray:
-    """64-bit hashes of windows."""
-    words = np.ascontiguousarray(windows).view(np.uint64)
-    odd = np.random.default_rng(11).integers(0, 1 << 63, words.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    h = ((words ^ (words >> np.uint64(29))) * odd).sum(axis=1, dtype=np.uint64)
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h ^ (h >> np.uint64(32))).view(np.int64)
-
-
 def _table() -> np.ndarray:
     """Features of the first 256 code points (255 stands for all others)."""
     names = np.zeros((256, 12), dtype=np.float32)
@@ -166,6 +161,8 @@ class Network:
     calibrated: bool = False
     recall: float = 0.0
     false_rate: float = 0.0
+    confirmed: int = 0  # windows of the table that it was fitted on
+    others: int = 0
 
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = np.maximum(x @ self.kernel + self.bias, 0)
@@ -181,22 +178,39 @@ class Network:
         logits = np.concatenate(parts) if parts else np.zeros(0)
         return 1 / (1 + np.exp(-(self.slope * logits + self.intercept)))
 
-    def of_codes(self, windows: np.ndarray) -> np.ndarray:
-        """Calibrated probabilities of windows given as codes; what a character adds at each reach is looked up."""
+    def __getstate__(self) -> dict:
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What the first two, the next two and the last character under the kernel add, and what a place adds."""
         kernel = self.kernel.reshape(REACH, -1, FILTERS)
-        tables = (_FEATURES @ kernel[:, :-1]).astype(np.float32)
+        one = (_FEATURES @ kernel[:, :-1]).astype(np.float32)
+        two = [(one[k][:, None] + one[k + 1][None]).reshape(-1, FILTERS) for k in (0, 2)]
         places = WIDTH - REACH + 1
-        fixed = (self.bias + sum(_MASK[k : k + places] * kernel[k, -1] for k in range(REACH))).astype(np.float32)[:, None]
-        logits = np.empty(len(windows))
-        for i in range(0, len(windows), 256):
-            codes = windows[i : i + 256].T.astype(np.intp)
-            h = tables[0].take(codes[:places], axis=0)
-            for k in range(1, REACH):
-                h += tables[k].take(codes[k : k + places], axis=0)
+        return *two, one[4], (self.bias + sum(_MASK[k : k + places] * kernel[k, -1] for k in range(REACH))).astype(np.float32)[:, None]
+
+    def pooled(self, windows: np.ndarray) -> np.ndarray:
+        """What the logistic unit sees of windows given as codes."""
+        first, second, last, fixed = self.tables
+        out = np.empty((len(windows), 2 * FILTERS), dtype=np.float32)
+        room = np.empty((2, WIDTH - REACH + 1, 64, FILTERS), dtype=np.float32)
+        for i in range(0, len(windows), 64):
+            codes = windows[i : i + 64].T.astype(np.intp)
+            pairs = codes[:-1] * 256 + codes[1:]
+            h, more = room if codes.shape[1] == 64 else np.empty((2, room.shape[1], codes.shape[1], FILTERS), dtype=np.float32)
+            first.take(pairs[:-3], axis=0, out=h, mode="clip")
+            h += second.take(pairs[2:-1], axis=0, out=more, mode="clip")
+            h += last.take(codes[4:], axis=0, out=more, mode="clip")
             h += fixed
-            inner = h[_INNER].max(axis=0)
-            outer = np.maximum(h.max(axis=0), 0)
-            logits[i : i + 256] = np.concatenate([np.maximum(inner, 0), outer], axis=1) @ self.out + self.shift
+            inner = np.maximum(h[_INNER].max(axis=0), 0)
+            outer = np.maximum(h[: _INNER.start].max(axis=0), h[_INNER.stop :].max(axis=0))
+            out[i : i + 64] = np.concatenate([inner, np.maximum(inner, outer)], axis=1)
+        return out
+
+    def of_codes(self, windows: np.ndarray) -> np.ndarray:
+        """Calibrated probabilities of windows given as codes; what characters add at each reach is looked up."""
+        logits = self.pooled(windows) @ self.out + self.shift
         return 1 / (1 + np.exp(-(self.slope * logits + self.intercept)))
 
 
@@ -232,20 +246,26 @@ def train(windows: list[str], labels: np.ndarray, seed: int = 0) -> Network:
     return net
 
 
-def calibrate(net: Network, windows: list[str], labels: np.ndarray) -> None:
-    """Platt scaling by Newton steps, then the highest threshold that keeps RECALL of the true ones."""
-    logits = np.concatenate([net.forward(inputs(windows[i : i + 512]))[0] for i in range(0, len(windows), 512)])
-    yes, no = labels.sum(), (~labels).sum()
-    target = np.where(labels, (yes + 1) / (yes + 2), 1 / (no + 2))
+def platt(logits: np.ndarray, yes: np.ndarray, no: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of Platt scaling by Newton steps; `yes` true ones and `no` others have each logit."""
+    n = yes + no
+    target = (yes * ((yes.sum() + 1) / (yes.sum() + 2)) + no / (no.sum() + 2)) / np.maximum(n, 1)
     design = np.stack([logits, np.ones_like(logits)], axis=1)
     line = np.array([1.0, 0.0])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(design @ line, -30, 30)))
-        hessian = design.T @ (design * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
-        line = line - np.clip(np.linalg.solve(hessian, design.T @ (p - target) + 1e-3 * (line - [1, 0])), -1, 1)
-    net.calibrated = bool(line[0] > 0)
+        hessian = design.T @ (design * (n * p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
+        line = line - np.clip(np.linalg.solve(hessian, design.T @ (n * (p - target)) + 1e-3 * (line - [1, 0])), -1, 1)
+    return float(line[0]), float(line[1])
+
+
+def calibrate(net: Network, windows: list[str], labels: np.ndarray) -> None:
+    """Platt scaling, then the highest threshold that keeps RECALL of the true ones."""
+    logits = np.concatenate([net.forward(inputs(windows[i : i + 512]))[0] for i in range(0, len(windows), 512)])
+    slope, intercept = platt(logits, labels.astype(float), (~labels).astype(float))
+    net.calibrated = slope > 0
     if net.calibrated:
-        net.slope, net.intercept = float(line[0]), float(line[1])
+        net.slope, net.intercept = slope, intercept
     # Without calibration the scores are the network's own; the threshold keeps RECALL of the true ones all the same.
     net.threshold = keeps_recall(net.scores([w for w, y in zip(windows, labels, strict=True) if y]))
 
@@ -258,10 +278,15 @@ def wilson(hits: int, n: int, z: float = 1.645) -> float:
 
 def keeps_recall(true: np.ndarray) -> float:
     """The highest threshold whose recall of these scores is surely RECALL; the least score where they are too few."""
-    n, lost = len(true), 0
+    return float(np.sort(true)[may_lose(len(true))])
+
+
+def may_lose(n: int) -> int:
+    """How many of n true ones can go so that the recall is still surely RECALL."""
+    lost = 0
     while lost + 1 < n and wilson(n - lost - 1, n) >= RECALL:
         lost += 1
-    return float(np.sort(true)[lost])
+    return lost
 
 
 def measure(net: Network, true: np.ndarray, false: np.ndarray) -> None:
@@ -290,15 +315,24 @@ def bundled() -> list[tuple[str, bool]]:
     return rows
 
 
-def fit(rows: list[tuple[str, bool]]) -> Network:
-    """A network from the findings made by rule and the labelled windows of a table; a third of either is held out."""
+def made_findings() -> tuple[list[tuple[str, bool]], list[tuple[str, bool]]]:
+    """Labelled windows of the findings made by rule: two thirds to learn from, one held out."""
     learn: list[tuple[str, bool]] = []
     held: list[tuple[str, bool]] = []
-    for own, made in ((bundled(), True), (rows, False)):
-        for y in (True, False):
-            part = [w for w, label in own if label == y]
-            learn += [(without_context(w) if y and not made and i % 2 else w, y) for i, w in enumerate(part) if i % 3]
-            held += [(without_context(w) if y and not made else w, y) for w in part[::3]]
+    for y in (True, False):
+        part = [w for w, label in bundled() if label == y]
+        learn += [(w, y) for i, w in enumerate(part) if i % 3]
+        held += [(w, y) for w in part[::3]]
+    return learn, held
+
+
+def fit(rows: list[tuple[str, bool]]) -> Network:
+    """A network from the findings made by rule and labelled windows; a third of either is held out."""
+    learn, held = made_findings()
+    for y in (True, False):
+        part = [w for w, label in rows if label == y]
+        learn += [(without_context(w) if y and i % 2 else w, y) for i, w in enumerate(part) if i % 3]
+        held += [(without_context(w) if y else w, y) for w in part[::3]]
     net = train([w for w, _ in learn], np.array([y for _, y in learn]))
     calibrate(net, [w for w, _ in held], np.array([y for _, y in held]))
     # As the scan computes scores, to the last bit.
@@ -316,6 +350,7 @@ class Batch:
         texts = column.to_pylist()
         hits = {k: pc.match_substring_regex(column, p).to_numpy(zero_copy_only=False) for k, p in HINTS.items()}
         self.bases: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        self.texts = texts
         self.codes, self.begin = laid_out(texts)
         covered, values = [], []
         for i in np.flatnonzero(np.logical_or.reduce(list(hits.values()))).tolist():
@@ -327,26 +362,30 @@ class Batch:
         self.values = np.array(values, dtype=np.int64).reshape(-1, 2)
         self.start, self.stop, self.part_start, self.part_stop, self.piece = candidates(self.codes, covered)
 
-    def labelled(self) -> Iterator[tuple[bool, np.ndarray]]:
-        yield True, slides(self.codes, self.values[:, 0], self.values[:, 1])[0]
-        yield False, slides(self.codes, self.start, self.stop)[0]
+    def labelled(self) -> Iterator[tuple[int, bool, np.ndarray]]:
+        """Fold, whether the rules confirm them, and the windows of all values and pieces; equal texts share a fold."""
+        folds = np.array([zlib.crc32(t.encode()) % FOLDS for t in self.texts])
+        for confirmed, start, stop in ((True, self.values[:, 0], self.values[:, 1]), (False, self.start, self.stop)):
+            own = folds[self.owners(start)] if len(start) else np.zeros(0, dtype=np.int64)
+            for fold in range(FOLDS):
+                yield fold, confirmed, slides(self.codes, start[own == fold], stop[own == fold])[0]
 
     def owners(self, at: np.ndarray) -> np.ndarray:
         """The text that each place is in."""
         return np.searchsorted(self.begin, at, side="right") - 1
 
     def added(self, net: Network) -> list[list[tuple[int, int, int]]]:
-        """Spans of each text that the network finds."""
+        """Spans of each text that the network finds; the pieces' scores are kept in `best`."""
 
-        def passed(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        def scored(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
             windows, first = slides(self.codes, start, stop)
-            best = np.maximum.reduceat(net.of_codes(windows), first) if len(first) else np.zeros(0)
-            return best >= net.threshold
+            return np.maximum.reduceat(net.of_codes(windows), first) if len(first) else np.zeros(0)
 
-        whole = passed(self.start, self.stop)
+        self.best = scored(self.start, self.stop)
+        whole = self.best >= net.threshold
         parts = ~whole[self.piece]
         start, stop = self.part_start[parts], self.part_stop[parts]
-        part = passed(start, stop)
+        part = scored(start, stop) >= net.threshold
         start, stop = np.r_[self.start[whole], start[part]], np.r_[self.stop[whole], stop[part]]
         spans: list[list[tuple[int, int, int]]] = [[] for _ in self.bases]
         owner = self.owners(start)
@@ -356,20 +395,108 @@ class Batch:
         return spans
 
 
-def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct labelled windows of a task with the smallest hashes, TRAIN_ROWS of each class."""
-    kept = {y: (np.zeros(0, dtype=np.int64), np.zeros((0, WIDTH), dtype=np.uint8)) for y in (True, False)}
-    for batch in batches:
-        for y, windows in Batch(batch).labelled():
-            h = hashes(windows)
-            if len(kept[y][0]) == TRAIN_ROWS:
-                low = h < kept[y][0][-1]
-                h, windows = h[low], windows[low]
-            h, at = np.unique(np.r_[kept[y][0], h], return_index=True)
-            kept[y] = h[:TRAIN_ROWS], np.concatenate([kept[y][1], windows])[at[:TRAIN_ROWS]]
-    for y, (h, windows) in kept.items():
-        columns = [pa.array([y] * len(h), pa.bool_()), pa.array(h, pa.int64()), pa.array([w.tobytes() for w in windows], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["confirmed", "h", "window"])
+def seen(net: Network, windows: np.ndarray) -> np.ndarray:
+    """Inputs of the logistic unit, a one last."""
+    return np.concatenate([net.pooled(windows), np.ones((len(windows), 1))], axis=1, dtype=np.float64)
+
+
+def slopes(x: np.ndarray, confirmed: bool, head: np.ndarray) -> np.ndarray:
+    """Number of rows, gradient and curvature of their logistic loss under a head."""
+    p = 1 / (1 + np.exp(-np.clip(x @ head, -30, 30)))
+    return np.r_[len(x), x.T @ (p - confirmed), (x.T @ (x * (p * (1 - p))[:, None])).ravel()]
+
+
+def adding(net: Network, heads: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums of a task's windows for each head, the one of their fold and the last, which learns from all; and what the unit
+    sees of each confirmed value without what stands before it."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = heads.shape[1]
+        sums = np.zeros((FOLDS + 1, 2, 1 + size + size * size))
+        for batch in batches:
+            for fold, confirmed, windows in Batch(batch).labelled():
+                for i in range(0, len(windows), 8192):
+                    views = [seen(net, windows[i : i + 8192])]
+                    if confirmed:
+                        bare = windows[i : i + 8192].copy()
+                        bare[:, :BEFORE] = 0
+                        views.append(seen(net, bare))
+                        yield _sums([fold] * len(bare), [True] * len(bare), [None] * len(bare), list(views[1][:, :-1]))
+                    for x in views:
+                        for k in (fold, FOLDS):
+                            sums[k, int(confirmed)] += slopes(x, confirmed, heads[k]) / len(views)
+        places = [(k, y) for k in range(FOLDS + 1) for y in (0, 1)]
+        yield _sums([k for k, _ in places], [bool(y) for _, y in places], [sums[p] for p in places], [None] * len(places))
+
+    return add
+
+
+def _sums(heads: list[int], confirmed: list[bool], sums: list, inputs_: list) -> pa.RecordBatch:
+    columns = [pa.array(heads, pa.int32()), pa.array(confirmed, pa.bool_())]
+    columns += [pa.array(sums, pa.list_(pa.float64())), pa.array(inputs_, pa.list_(pa.float64()))]
+    return pa.RecordBatch.from_arrays(columns, ["head", "confirmed", "sums", "inputs"])
+
+
+def newton(start: np.ndarray, head: np.ndarray, made: list[np.ndarray], own: list[np.ndarray]) -> np.ndarray:
+    """A step from sums over made findings and the table, others first: both classes weigh the same, and the table's windows
+    of a class as much as the made ones where they are as many.  Rounded, so that the order of summing is not seen."""
+    size = len(head)
+    gradient, curve = RIDGE * (head - start), RIDGE * np.eye(size)
+    for of_made, of_table in zip(made, own, strict=True):
+        share = min(of_made[0], of_table[0])
+        for sums, weight in ((of_made, of_made[0]), (of_table, share)):
+            each = weight / (of_made[0] + share) / max(sums[0], 1) / 2
+            gradient = gradient + each * sums[1 : size + 1]
+            curve = curve + each * sums[size + 1 :].reshape(size, size)
+    return np.round(head - np.linalg.solve(curve, gradient), 6)
+
+
+def binned(logits: np.ndarray) -> np.ndarray:
+    """How many logits each step holds."""
+    return np.bincount(np.floor(np.clip(logits, -32, 32) * BIN).astype(np.int64) - LEAST_BIN, minlength=BINS)
+
+
+def least_bin(*counts: np.ndarray) -> int:
+    """The highest step from which on each of these counts of true ones keeps RECALL."""
+    return min(int(np.searchsorted(np.cumsum(c), may_lose(int(c.sum())), side="right")) for c in counts if c.any())
+
+
+def learned(rows: DataFrame, space: Workspace) -> tuple[Network, np.ndarray, np.ndarray, int]:
+    """The network fitted on every row; counts of the true ones' and the made look-alikes' logits; the threshold's step."""
+    net = fit([])
+    learn, held = ([coded([w for w, y in part if y == label]) for label in (False, True)] for part in made_findings())
+    start = np.round(np.r_[net.out, net.shift], 6)
+    heads = np.tile(start, (FOLDS + 1, 1))
+    made = [seen(net, windows) for windows in learn]
+    for _ in range(ROUNDS):
+        added = rows.select("text").mapInArrow(adding(net, heads), "head int, confirmed boolean, sums array<double>, inputs array<double>")
+        table = space.materialize(added, "sums")
+        each = table.filter("sums IS NOT NULL").select("head", "confirmed", F.posexplode("sums").alias("place", "value"))
+        totals = np.zeros((FOLDS + 1, 2, 1 + len(start) + len(start) ** 2))
+        for r in each.groupBy("head", "confirmed", "place").agg(F.sum("value").alias("value")).collect():
+            totals[r["head"], int(r["confirmed"]), r["place"]] = r["value"]
+        steps = [[slopes(x, bool(y), head) for y, x in enumerate(made)] for head in heads]
+        heads = np.array([newton(start, h, m, t) for h, m, t in zip(heads, steps, totals, strict=True)])
+    net.others, net.confirmed = (round(n) for n in totals[FOLDS, :, 0])
+
+    def logit(head: np.ndarray):
+        terms = F.zip_with("inputs", F.array(*[F.lit(float(v)) for v in head[:-1]]), lambda a, b: a * b)
+        return F.aggregate(terms, F.lit(float(head[-1])), lambda total, term: total + term)
+
+    # A confirmed value is scored by the head of the other fold.
+    crosswise = F.when(F.col("head") == 0, logit(heads[1])).otherwise(logit(heads[0]))
+    step = F.floor(F.least(F.greatest(crosswise, F.lit(-32.0)), F.lit(32.0)) * BIN) - LEAST_BIN
+    true = np.zeros((FOLDS, BINS), dtype=np.int64)
+    for r in table.filter("inputs IS NOT NULL").groupBy("head", step.alias("step")).count().collect():
+        true[r["head"], r["step"]] = r["count"]
+    of_made = [seen(net, windows) @ heads[FOLDS] for windows in held]
+    halves = [binned(of_made[1][k::2]) for k in range(2)]
+    least = least_bin(sum(halves), sum(true))
+    crossed = [least_bin(halves[1 - k], true[1 - k]) for k in range(2)]
+    all_true = sum(halves) + sum(true)
+    net.recall = sum(int((halves[k] + true[k])[crossed[k] :].sum()) for k in range(2)) / int(all_true.sum())
+    threshold = 1 / (1 + math.exp(-(least + LEAST_BIN) / BIN))
+    return replace(net, out=heads[FOLDS][:-1], shift=float(heads[FOLDS][-1]), slope=1.0, intercept=0.0, threshold=threshold), all_true, binned(of_made[0]), least
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -377,40 +504,49 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     false_positive_rate for every row.
 
     Spans are kind:start:end over code points, by start and then kind; base_sha256 is taken over the rules' spans only
-    (of an empty string where there are none).  n_candidates counts the pieces of runs that no rule's span covers.  Null text is empty.  The network is trained at any size of the table, an empty one included; recall and
-    false_positive_rate are those of findings held out, half of them under the threshold of the other half.  Rows are independent of each other once the network is trained; an empty table gives no
-    rows.  Other columns are not read.
+    (of an empty string where there are none).  n_candidates counts the pieces of runs that no rule's span covers.  Null
+    text is empty.  The network is fitted on every row at any size of the table, an empty one included; recall is that of
+    made findings held out and of all confirmed values, half of them under the threshold of the other half;
+    false_positive_rate is the share that passes of all unconfirmed pieces and of made look-alikes held out; calibrated
+    says whether Platt's line over all these scores rises.  Rows are independent of each other once the network is fitted;
+    an empty table gives no rows.  Other columns are not read.
     """
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
-    sampled = Workspace(docs.sparkSession).materialize(
-        rows.select("text").mapInArrow(sample, "confirmed boolean, h long, window binary"), "windows"
-    )
-    labelled = []
-    for confirmed in (True, False):
-        own = sampled.filter(F.col("confirmed") == confirmed).groupBy("h").agg(F.min("window").alias("window"))
-        labelled += [(bytes(r["window"]).decode("latin-1"), confirmed) for r in own.orderBy("h").limit(TRAIN_ROWS).collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(fit(labelled))
+    space = Workspace(docs.sparkSession)
+    net, true, false, least = learned(rows, space)
+    shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
         for batch in batches:
             own = Batch(batch)
-            counts = np.bincount(own.owners(own.start), minlength=len(batch)).tolist()
-            added = own.added(net)
-            columns = [[] for _ in range(10)]
-            reached = [net.calibrated, net.recall, net.false_rate]
-            for spans, count, more in zip(own.bases, counts, added, strict=True):
+            counts = np.bincount(own.owners(own.start), minlength=len(batch))
+            added = own.added(shared.value)
+            columns = [[] for _ in range(6)]
+            for spans, more in zip(own.bases, added, strict=True):
                 said = [f"{KINDS[k]}:{s}:{e}" for k, s, e in spans]
                 every = [f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(spans + more, key=lambda x: (x[1], x[0]))]
                 values = [sum(k == kind for k, _, _ in spans) for kind in range(3)]
-                values += [hashlib.sha256(",".join(said).encode()).hexdigest(), ",".join(every), len(more), count, *reached]
+                values += [hashlib.sha256(",".join(said).encode()).hexdigest(), ",".join(every), len(more)]
                 for column, value in zip(columns, values, strict=True):
                     column.append(value)
-            names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_cnn", "n_candidates", "calibrated", "recall", "false_positive_rate"]
-            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 2 + [pa.bool_(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", *names])
+            with np.errstate(divide="ignore"):
+                logits = np.clip(np.log(own.best) - np.log1p(-own.best), -32, 32)
+            # The last bits of a score that passes may lie below the step.
+            steps = np.floor(logits * BIN).astype(np.int64) - LEAST_BIN
+            steps = np.where(own.best >= shared.value.threshold, np.maximum(steps, least), np.minimum(steps, least - 1)).astype(np.int16)
+            names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_cnn"]
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
+            scores = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(steps))
+            arrays = [batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], scores]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *names, "steps"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_cnn long, n_candidates long"
-    schema += ", calibrated boolean, recall double, false_positive_rate double"
-    return rows.mapInArrow(score, schema)
+    schema = f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_cnn long, steps array<short>"
+    scanned = space.materialize(rows.mapInArrow(score, schema), "scanned")
+    for r in scanned.select(F.explode("steps").alias("step")).groupBy("step").count().collect():
+        false[r["step"]] += r["count"]
+    slope, _ = platt((np.arange(BINS) + LEAST_BIN) / BIN, true.astype(float), false.astype(float))
+    return scanned.select(
+        *scanned.columns[:-1], F.size("steps").cast("long").alias("n_candidates"), F.lit(slope > 0).alias("calibrated"),
+        F.lit(net.recall).alias("recall"), F.lit(float(false[least:].sum() / false.sum())).alias("false_positive_rate"),
+    )
