@@ -4,8 +4,10 @@ A byte-level pre-tokenizer always cuts before a space whose neighbours are no wh
 break whose neighbours are none, and before a full stop or comma between a letter or digit and such a space, break
 or end.  So a text is the sequence of its pieces between these cuts (white space of any other kind stays inside a
 piece), and the tokens of a piece depend on the piece alone.  Pieces are found, hashed and looked up in
-numpy; the cache is an open table of 64-bit hashes with the ids of all pieces in one pool and their bytes in
-another.  A hit counts only if the bytes are the same; a piece whose hash belongs to another piece is encoded by itself.
+numpy, a chunk of texts that the processor's own caches hold at a time; the cache is an open table of 64-bit hashes with
+the ids of all pieces in one pool and their bytes in another.  A hit counts only if the bytes are the same; a piece whose hash
+belongs to another piece is encoded by itself.  New pieces that begin with a space and have no other white space go
+to the library as one text, whose ids are dealt out by the bytes that they stand for.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .shingles import span_hashes
+from .shingles import BASE, mix, span_hashes
 
 SLOTS = 1 << 21  # of the cache; about 30 MB, emptied when half full
 HELD_BYTES = 1 << 25  # of the cached pieces
 BATCH_BYTES = 5 << 20
+CHUNK_BYTES = 1 << 19
 _ENCODERS: dict[str, Encoder] = {}
 
 _WHITE, _ALNUM, _LEAD, _MARK = np.zeros((4, 256), dtype=bool)
@@ -30,6 +33,7 @@ _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True  # first bytes of all white space beyond ASCII
 _MARK[[ord("."), ord(",")]] = True
 _CLEAN = re.compile(r" ?\S+")
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)  # the first n bytes of eight
 
 
 def flat_lists(lists: list[np.ndarray], dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +63,20 @@ def joined(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
         yield pa.concat_batches(held)
 
 
+def slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Texts in runs of about `size` bytes."""
+    rows = max(1, int(len(texts) * size / max(1, texts.nbytes)))
+    for i in range(0, max(1, len(texts)), rows):
+        yield texts.slice(i, rows)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; 16 bytes behind `data` count as 0."""
+    padded = np.zeros(len(data) + 24, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 17,), dtype="<u8", buffer=padded, strides=(1,))
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of all texts and where each text begins (one more than texts); null counts as empty."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
@@ -97,8 +115,16 @@ def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def piece_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the pieces, never 0."""
-    return np.maximum(span_hashes(data, starts, np.diff(np.r_[starts, len(data)])), np.uint64(1))
+    """64-bit hashes of the pieces, never 0; those of up to 16 bytes are read as two numbers."""
+    sizes = np.diff(np.r_[starts, len(data)])
+    words = eights(data)
+    out = mix((words[starts] & _LOW[np.minimum(sizes, 8)]) ^ (sizes.astype(np.uint64) * np.uint64(BASE)))
+    more = np.flatnonzero(sizes > 8)
+    out[more] = mix(out[more] + (words[starts[more] + 8] & _LOW[np.minimum(sizes[more] - 8, 8)]))
+    long = np.flatnonzero(sizes > 16)
+    if len(long):
+        out[long] = span_hashes(data, starts[long], sizes[long])
+    return np.maximum(out, np.uint64(1))
 
 
 class Encoder:
@@ -113,6 +139,14 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
         newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self._newline = newline[0] if len(newline) == 1 else None
+        # Bytes that each id stands for: a byte-level vocabulary has a character for each.
+        self._bytes_of = np.zeros(self.vocabulary, dtype=np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            if i < self.vocabulary:
+                self._bytes_of[i] = len(token)
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            if i < self.vocabulary:
+                self._bytes_of[i] = len(token.content.encode())
         self._clear()
 
     def _clear(self) -> None:
@@ -157,6 +191,31 @@ class Encoder:
         flat, bounds = flat_lists(parts, self.dtype)
         return flat, np.diff(bounds)
 
+    def _encode_spans(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and the count of each of the pieces that lie one after the other in `raw`."""
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        white = np.add.reduceat((_WHITE[raw] | _LEAD[raw]).astype(np.int64), starts) if len(starts) else starts
+        led = (raw[starts] == 32) & (white == 1) & (sizes > 1)
+        one, rest = np.flatnonzero(led), np.flatnonzero(~led)
+        ids, counts = np.zeros(0, dtype=self.dtype), np.zeros(len(sizes), dtype=np.int64)
+        if len(one):
+            text = gather(raw, starts[one], sizes[one]).tobytes().decode()
+            (coded,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+            ids = np.array(coded.ids, dtype=self.dtype)
+            own, reached = np.cumsum(sizes[one]), np.cumsum(self._bytes_of[ids])
+            last = np.searchsorted(reached, own)
+            if len(reached) and reached[-1] == own[-1] and np.array_equal(reached[last], own):
+                counts[one] = np.diff(np.r_[-1, last])
+            else:  # the vocabulary is not one of bytes
+                ids, one, rest = ids[:0], one[:0], np.arange(len(sizes))
+        if len(rest) == 0:
+            return ids, counts
+        other, counts[rest] = self._encode_pieces([raw[s:e].tobytes().decode() for s, e in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)])
+        both, at = np.r_[one, rest], np.empty(len(sizes), dtype=np.int64)
+        at[both] = np.cumsum(counts[both]) - counts[both]
+        return gather(np.concatenate([ids, other]), at, counts), counts
+
     def _slots(self, hashes: np.ndarray) -> np.ndarray:
         """The slot of each hash, or -1."""
         slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
@@ -180,13 +239,11 @@ class Encoder:
         self._used += len(ids)
         return at
 
-    def _insert(self, hashes: np.ndarray, spans: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
-        """Distinct new hashes with their pieces and ids."""
+    def _insert(self, hashes: np.ndarray, raw: np.ndarray, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Distinct new hashes with their pieces, one after the other in `raw`, and ids."""
         at = self._append(ids, counts)
-        raw = np.frombuffer(b"".join(spans), dtype=np.uint8)
-        sizes = np.array([len(s) for s in spans], dtype=np.int64)
-        if self._held + len(raw) > len(self._bytes):
-            self._bytes = np.concatenate([self._bytes[: self._held], np.zeros(self._held + 2 * len(raw), dtype=np.uint8)])
+        if self._held + len(raw) + 24 > len(self._bytes):
+            self._bytes = np.concatenate([self._bytes[: self._held], np.zeros(self._held + 2 * len(raw) + 24, dtype=np.uint8)])
         self._bytes[self._held : self._held + len(raw)] = raw
         spots = self._held + np.cumsum(sizes) - sizes
         self._held += len(raw)
@@ -209,10 +266,6 @@ class Encoder:
         slots = self._slots(hashes)
         lost = np.flatnonzero(slots < 0)
         sizes = np.diff(np.r_[starts, len(data)])
-
-        def spans(places: np.ndarray) -> list[bytes]:
-            return [raw[s : s + n] for s, n in zip(starts[places].tolist(), sizes[places].tolist(), strict=True)]
-
         if len(lost):
             if self._entries + len(lost) > SLOTS // 2 or self._held > HELD_BYTES:
                 self._clear()
@@ -221,27 +274,31 @@ class Encoder:
             if len(new) > SLOTS // 2:  # more than the cache holds: encode this batch by halves
                 half = len(starts) // 2
                 return self._halves(data, starts, half)
-            raw = data.tobytes()
-            own = spans(lost[where])
-            self._insert(new, own, *self._encode_pieces([p.decode() for p in own]))
+            own = lost[where]
+            raw = gather(data, starts[own], sizes[own])
+            self._insert(new, raw, sizes[own], *self._encode_spans(raw, sizes[own]))
             slots[lost] = self._slots(hashes[lost])
         at, length = self._at[slots], self._length[slots].astype(np.int64)
         other = self._strangers(data, starts, sizes, slots)
         if len(other):
-            raw = data.tobytes()
-            ids, counts = self._encode_pieces([p.decode() for p in spans(other)])
+            ids, counts = self._encode_spans(gather(data, starts[other], sizes[other]), sizes[other])
             at[other], length[other] = self._append(ids, counts), counts
         return at, length
 
     def _strangers(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, slots: np.ndarray) -> np.ndarray:
         """Pieces that differ from the piece that holds their slot."""
         differ = self._size[slots] != sizes
-        same = np.flatnonzero(~differ)
+        spots, words = self._spot[slots], eights(data)
+        held = np.ndarray((len(self._bytes) - 7,), dtype="<u8", buffer=self._bytes, strides=(1,))
+        differ |= ((words[starts] ^ held[spots]) & _LOW[np.minimum(sizes, 8)]) != 0
+        more = np.flatnonzero(sizes > 8)
+        differ[more] |= ((words[starts[more] + 8] ^ held[np.minimum(spots[more] + 8, len(held) - 1)]) & _LOW[np.minimum(sizes[more] - 8, 8)]) != 0
+        same = np.flatnonzero(~differ & (sizes > 16))
         ends, i = np.cumsum(sizes[same]), 0
         while i < len(same):
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BATCH_BYTES, side="right")))
             own = same[i:j]
-            ours, held = gather(data, starts[own], sizes[own]), gather(self._bytes, self._spot[slots[own]], sizes[own])
+            ours, held = gather(data, starts[own], sizes[own]), gather(self._bytes, spots[own], sizes[own])
             if not np.array_equal(ours, held):
                 wrong = np.flatnonzero(ours != held)
                 first = ends[i - 1] if i else 0
@@ -264,6 +321,12 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in order, and where each text's ids begin; null counts as empty."""
+        parts = [self._encode_chunk(part) for part in slices(texts, CHUNK_BYTES)]
+        before = np.cumsum([0, *[len(ids) for ids, _ in parts]])
+        bounds = [b[:-1] + n for (_, b), n in zip(parts, before, strict=False)]
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([*bounds, before[-1:]])
+
+    def _encode_chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, bounds = text_bytes(texts)
         starts = piece_starts(data, bounds)
         at, counts = self.pieces(data, starts)

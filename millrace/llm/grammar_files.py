@@ -79,9 +79,12 @@ def build_grammar(
         even = (np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)]))) % 2 == 0
         at = at[even]
         # Pairs of which others took every occurrence get no rule, so there are no more rules than symbols replaced.
-        used, numbers = np.unique(rule[at], return_inverse=True)
+        taken = rule[at]
+        used = np.flatnonzero(np.bincount(taken, minlength=len(distinct)))
+        numbers = np.zeros(len(distinct), dtype=np.uint32)
+        numbers[used] = np.arange(first_rule + rules, first_rule + rules + len(used))
         left, right = left[used], right[used]
-        symbols[at] = numbers.astype(np.uint32) + np.uint32(first_rule + rules)
+        symbols[at] = numbers[taken]
         stay = np.ones(len(symbols), dtype=bool)
         stay[at + 1] = False
         symbols = symbols[stay]

@@ -116,6 +116,30 @@ def test_words_that_meet_polynomial_hashes(monkeypatch):
     assert [ids[s:e].tolist() for s, e in zip(bounds[:-1], bounds[1:])] == [ids_of(t) for t in batch]
 
 
+def test_new_pieces_go_to_the_library_as_one_text(monkeypatch):
+    """Words after a space take no line break each; ids are the library's, whatever the pieces hold and the chunks are."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgßé🙂1,.", k=rng.randint(1, 30))) for _ in range(4000)]
+    odd = ["x <|endoftext|> y <|endoftext|>z<|endoftext|>", "a\u2028b \u00a0c \u3000 d\u0085e", " 's 'll don't 12 ...", "a\x1cb \x1f c", "eight888 sixteen16sixteen1 seventeen17seventeen1"]
+    batch = [" ".join(rng.choices(words, k=300)) for _ in range(40)] + odd + ODD + [None]
+    want = [ids_of(t) for t in batch]
+    alone = []
+    real = Encoder._encode_pieces
+    monkeypatch.setattr(Encoder, "_encode_pieces", lambda self, pieces: alone.extend(pieces) or real(self, pieces))
+    for chunk in (encoding.CHUNK_BYTES, 500):
+        monkeypatch.setattr(encoding, "CHUNK_BYTES", chunk)
+        encoder = Encoder(PATH)
+        for _ in range(2):
+            ids, bounds = encoder.encode(pa.array(batch, pa.string()))
+            assert [ids[s:e].tolist() for s, e in zip(bounds[:-1], bounds[1:])] == want
+    assert len(set(alone)) < 200 and not any(re.fullmatch(" [a-g1]+", p) for p in alone)
+    # A vocabulary that is not one of bytes: pieces go by the old way.
+    encoder = Encoder(PATH)
+    encoder._bytes_of[:] = 1
+    ids, bounds = encoder.encode(pa.array(batch, pa.string()))
+    assert [ids[s:e].tolist() for s, e in zip(bounds[:-1], bounds[1:])] == want and len(set(alone)) > 2000
+
+
 def test_forest():
     rng = np.random.default_rng(2)
     sizes = np.array([1, 13, 2, 8, 1, 100])
