@@ -21,7 +21,7 @@ import pyarrow as pa
 
 from .shingles import BASE, mix, span_hashes
 
-SLOTS = 1 << 21  # of the cache; about 30 MB, emptied when half full
+SLOTS = 1 << 21  # of the cache; about 70 MB; when half full, only pieces that were met again stay
 HELD_BYTES = 1 << 25  # of the cached pieces
 BATCH_BYTES = 5 << 20
 CHUNK_BYTES = 1 << 19
@@ -156,9 +156,20 @@ class Encoder:
         self._pool = np.zeros(1 << 20, dtype=self.dtype)
         self._spot = np.zeros(SLOTS, dtype=np.int64)
         self._size = np.zeros(SLOTS, dtype=np.int32)
+        self._again = np.zeros(SLOTS, dtype=bool)
         self._bytes = np.zeros(1 << 20, dtype=np.uint8)
         self._used = self._entries = self._held = 0
 
+    def _renew(self) -> None:
+        """Empties the cache but for the pieces that were met again since it was last emptied, if they leave room."""
+        kept = np.flatnonzero(self._again)
+        sizes, counts = self._size[kept].astype(np.int64), self._length[kept].astype(np.int64)
+        room = len(kept) <= SLOTS // 4 and sizes.sum() <= HELD_BYTES // 2
+        held = self._keys[kept], gather(self._bytes, self._spot[kept], sizes), sizes, gather(self._pool, self._at[kept], counts), counts
+        self._clear()
+        if room:
+            self._insert(*held)
+
     @classmethod
     def of(cls, path: str) -> Encoder:
         """One encoder per process and file."""
@@ -265,12 +276,18 @@ class Encoder:
         hashes = piece_hashes(data, starts)
         slots = self._slots(hashes)
         lost = np.flatnonzero(slots < 0)
+        self._again[slots[slots >= 0]] = True
         sizes = np.diff(np.r_[starts, len(data)])
         if len(lost):
             if self._entries + len(lost) > SLOTS // 2 or self._held > HELD_BYTES:
+                self._renew()
+                slots = self._slots(hashes)
+                lost = np.flatnonzero(slots < 0)
+            new, where = np.unique(hashes[lost], return_index=True)
+            if self._entries + len(new) > SLOTS // 2:
                 self._clear()
                 lost = np.arange(len(hashes))
-            new, where = np.unique(hashes[lost], return_index=True)
+                new, where = np.unique(hashes, return_index=True)
             if len(new) > SLOTS // 2:  # more than the cache holds: encode this batch by halves
                 half = len(starts) // 2
                 return self._halves(data, starts, half)

@@ -46,21 +46,24 @@ def build_grammar(
     kind, shift = (np.uint32, np.uint32(16)) if narrow else (np.uint64, np.uint64(32))
     none = kind(np.iinfo(kind).max)  # no pair: it reaches over an end
     lefts, rights, rules = [], [], 0
-    code_of_left, code_of_right = np.zeros((2, first_rule + most_rules), dtype=np.int32)
+    code_of_left, code_of_right = np.zeros((2, first_rule + most_rules), dtype=np.int16)
     while True:
         room = min(RULES_A_ROUND, most_rules - rules)
-        if len(symbols) < 2 or room <= 0:
+        if len(symbols) <= LEAST_COUNT or room <= 0:
             break
         pairs = (symbols[:-1].astype(kind) << shift) | symbols[1:].astype(kind)
         closed = ends[ends < len(pairs)]
         pairs[closed] = none
         pairs.sort()
-        heads = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
-        counts = np.diff(np.r_[heads, len(pairs)])
-        often = (counts >= LEAST_COUNT) & (pairs[heads] != none)
-        if not often.any():
+        # Where a pair's LEAST_COUNT-th occurrence from here is the same: one stretch for each frequent pair.
+        again = np.zeros(len(pairs) - LEAST_COUNT + 3, dtype=bool)
+        np.equal(pairs[LEAST_COUNT - 1 :], pairs[: len(pairs) - LEAST_COUNT + 1], out=again[1:-1])
+        edges = np.flatnonzero(again[1:] != again[:-1])
+        distinct, counts = pairs[edges[::2]], edges[1::2] - edges[::2] + LEAST_COUNT - 1
+        if len(distinct) and distinct[-1] == none:
+            distinct, counts = distinct[:-1], counts[:-1]
+        if len(distinct) == 0:
             break
-        distinct, counts = pairs[heads[often]], counts[often]
         if len(distinct) > room:
             distinct = np.sort(distinct[np.argpartition(-counts, room - 1)[:room]])
         left, right = (distinct >> shift).astype(np.uint32), (distinct & kind((1 << int(shift)) - 1)).astype(np.uint32)
@@ -70,16 +73,19 @@ def build_grammar(
         width = np.int32(len(own_right) + 1)
         table = np.full((len(own_left) + 1) * int(width), -1, dtype=np.int16)
         table[(rows + 1) * width + cols + 1] = np.arange(len(distinct))
-        rule = table[code_of_left[symbols[:-1]] * width + code_of_right[symbols[1:]]]
-        rule[closed] = -1
+        spots = symbols.astype(np.intp)
+        first, second = code_of_left.take(spots[:-1], mode="clip"), code_of_right.take(spots[1:], mode="clip")
+        first[closed] = 0
+        at = np.flatnonzero((first != 0) & (second != 0))
+        rule = table.take(first[at].astype(np.intp) * width + second[at], mode="clip")
+        known = rule >= 0
+        at, rule = at[known], rule[known]
         code_of_left[own_left] = code_of_right[own_right] = 0
-        at = np.flatnonzero(rule >= 0)
         # Of occurrences that overlap in a run, every second one is taken.
-        starts = np.flatnonzero(np.r_[True, np.diff(at) != 1])
-        even = (np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)]))) % 2 == 0
-        at = at[even]
+        place = np.arange(len(at), dtype=np.int32)
+        even = (place - np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, place, 0))) & 1 == 0
+        at, taken = at[even], rule[even]
         # Pairs of which others took every occurrence get no rule, so there are no more rules than symbols replaced.
-        taken = rule[at]
         used = np.flatnonzero(np.bincount(taken, minlength=len(distinct)))
         numbers = np.zeros(len(distinct), dtype=np.uint32)
         numbers[used] = np.arange(first_rule + rules, first_rule + rules + len(used))

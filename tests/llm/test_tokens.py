@@ -140,6 +140,22 @@ def test_new_pieces_go_to_the_library_as_one_text(monkeypatch):
     assert [ids[s:e].tolist() for s, e in zip(bounds[:-1], bounds[1:])] == want and len(set(alone)) > 2000
 
 
+@pytest.mark.parametrize("slots", [1 << 4, 1 << 8, 1 << 11])
+def test_full_cache_keeps_pieces_met_again(monkeypatch, slots):
+    monkeypatch.setattr(encoding, "SLOTS", slots)
+    monkeypatch.setattr(encoding, "CHUNK_BYTES", 1000)
+    rng = random.Random(6)
+    often = [f"often{i}" for i in range(60)]
+    batch = [" ".join(rng.choices(often, k=60) + [f"rare{rng.random()}" for _ in range(40)]) for _ in range(200)]
+    encoder, sent = Encoder(PATH), []
+    real = Encoder._encode_spans
+    monkeypatch.setattr(Encoder, "_encode_spans", lambda self, raw, sizes: sent.append(raw.tobytes()) or real(self, raw, sizes))
+    ids, bounds = encoder.encode(pa.array(batch, pa.string()))
+    assert [ids[s:e].tolist() for s, e in zip(bounds[:-1], bounds[1:])] == [ids_of(t) for t in batch]
+    # Three thousand rare pieces and more fill the largest of these caches several times; the frequent ones stay.
+    assert slots < 1 << 11 or b"".join(sent).count(b" often7") <= 2 * b"".join(sent[:40]).count(b" often7")
+
+
 def test_forest():
     rng = np.random.default_rng(2)
     sizes = np.array([1, 13, 2, 8, 1, 100])
