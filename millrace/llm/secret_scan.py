@@ -6,11 +6,11 @@ are whole in one) are scored by a small network in numpy, and the highest score
 convolution, a maximum over the inside and one over the whole window, a logistic unit.  A piece that passes is a span;
 of a piece that does not, the parts that pass are.  The convolution is trained on findings made by rule, with look-alikes
 that are none (`secret_examples`).  The logistic unit is fitted on these and on every window of the table, those of values
-that the rules confirm against those of all other pieces, by ROUNDS Newton steps: a step is one pass whose tasks add up
-gradient and curvature.  Confirmed values are shown with and without what stands before them, half a weight each, so that
+that the rules confirm against those of all other pieces, by ROUNDS steps down a quadratic bound of the logistic loss: a step
+is one pass whose tasks add up gradient and curvature.  Confirmed values are shown with and without what stands before them, half a weight each, so that
 the shape of a value counts by itself.  The threshold is the highest whose recall is at least RECALL by the lower end of its
-Wilson interval, both of the made findings held out and of all confirmed values, each scored without what stands before
-it by a unit fitted on the other half of the texts.  The rules' own spans always stay.
+Wilson interval, of the made findings held out and of these together with all distinct confirmed values, each scored without
+what stands before it by a unit fitted on the other half of the windows.  The rules' own spans always stay.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields, replace
 from functools import cached_property
@@ -45,6 +44,7 @@ BEFORE, INSIDE, BEHIND, STEP = 32, 48, 16, 24
 WIDTH = BEFORE + INSIDE + BEHIND
 RECALL = 0.98
 FOLDS, ROUNDS, RIDGE = 2, 2, 0.0025
+SUMS_SCHEMA = "head int, confirmed boolean, sums array<double>, inputs array<double>, hash long"
 BIN, LEAST_BIN, BINS = 256, -8192, 16385  # logits are counted in steps of 1 / BIN from -32 to 32
 FILTERS, REACH, EPOCHS, BATCH, RATE = 16, 5, 12, 128, 0.01
 
@@ -116,6 +116,15 @@ def slides(codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.n
     return out, first
 
 
+def hashes(windows: np.ndarray) -> np.ndarray:
+    """64-bit hashes of windows by what they hold from the value on."""
+    words = np.ascontiguousarray(windows[:, BEFORE:]).view(np.uint64)
+    odd = np.random.default_rng(11).integers(0, 1 << 63, words.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    h = ((words ^ (words >> np.uint64(29))) * odd).sum(axis=1, dtype=np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
 def _table() -> np.ndarray:
     """Features of the first 256 code points (255 stands for all others)."""
     names = np.zeros((256, 12), dtype=np.float32)
@@ -350,7 +359,6 @@ class Batch:
         texts = column.to_pylist()
         hits = {k: pc.match_substring_regex(column, p).to_numpy(zero_copy_only=False) for k, p in HINTS.items()}
         self.bases: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        self.texts = texts
         self.codes, self.begin = laid_out(texts)
         covered, values = [], []
         for i in np.flatnonzero(np.logical_or.reduce(list(hits.values()))).tolist():
@@ -362,13 +370,11 @@ class Batch:
         self.values = np.array(values, dtype=np.int64).reshape(-1, 2)
         self.start, self.stop, self.part_start, self.part_stop, self.piece = candidates(self.codes, covered)
 
-    def labelled(self) -> Iterator[tuple[int, bool, np.ndarray]]:
-        """Fold, whether the rules confirm them, and the windows of all values and pieces; equal texts share a fold."""
-        folds = np.array([zlib.crc32(t.encode()) % FOLDS for t in self.texts])
+    def labelled(self) -> Iterator[tuple[np.ndarray, bool, np.ndarray]]:
+        """Hashes, whether the rules confirm them, and the windows of all values and pieces."""
         for confirmed, start, stop in ((True, self.values[:, 0], self.values[:, 1]), (False, self.start, self.stop)):
-            own = folds[self.owners(start)] if len(start) else np.zeros(0, dtype=np.int64)
-            for fold in range(FOLDS):
-                yield fold, confirmed, slides(self.codes, start[own == fold], stop[own == fold])[0]
+            windows = slides(self.codes, start, stop)[0]
+            yield hashes(windows), confirmed, windows
 
     def owners(self, at: np.ndarray) -> np.ndarray:
         """The text that each place is in."""
@@ -401,9 +407,11 @@ def seen(net: Network, windows: np.ndarray) -> np.ndarray:
 
 
 def slopes(x: np.ndarray, confirmed: bool, head: np.ndarray) -> np.ndarray:
-    """Number of rows, gradient and curvature of their logistic loss under a head."""
-    p = 1 / (1 + np.exp(-np.clip(x @ head, -30, 30)))
-    return np.r_[len(x), x.T @ (p - confirmed), (x.T @ (x * (p * (1 - p))[:, None])).ravel()]
+    """Number of rows, and gradient and curvature of the parabola that touches their logistic loss at a head from above."""
+    logits = np.clip(x @ head, -30, 30)
+    p = 1 / (1 + np.exp(-logits))
+    bend = np.where(np.abs(logits) > 1e-3, (p - 0.5) / np.where(logits == 0, 1, logits), 0.25)
+    return np.r_[len(x), x.T @ (p - confirmed), (x.T @ (x * bend[:, None])).ravel()]
 
 
 def adding(net: Network, heads: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -414,32 +422,34 @@ def adding(net: Network, heads: np.ndarray) -> Callable[[Iterator[pa.RecordBatch
         size = heads.shape[1]
         sums = np.zeros((FOLDS + 1, 2, 1 + size + size * size))
         for batch in batches:
-            for fold, confirmed, windows in Batch(batch).labelled():
+            for own, confirmed, windows in Batch(batch).labelled():
                 for i in range(0, len(windows), 8192):
-                    views = [seen(net, windows[i : i + 8192])]
+                    views, h = [seen(net, windows[i : i + 8192])], own[i : i + 8192]
                     if confirmed:
                         bare = windows[i : i + 8192].copy()
                         bare[:, :BEFORE] = 0
                         views.append(seen(net, bare))
-                        yield _sums([fold] * len(bare), [True] * len(bare), [None] * len(bare), list(views[1][:, :-1]))
+                        yield _sums((h % FOLDS).tolist(), [True] * len(bare), [None] * len(bare), list(views[1][:, :-1]), h.tolist())
                     for x in views:
-                        for k in (fold, FOLDS):
-                            sums[k, int(confirmed)] += slopes(x, confirmed, heads[k]) / len(views)
+                        for k in range(FOLDS):
+                            sums[k, int(confirmed)] += slopes(x[h % FOLDS == k], confirmed, heads[k]) / len(views)
+                        sums[FOLDS, int(confirmed)] += slopes(x, confirmed, heads[FOLDS]) / len(views)
         places = [(k, y) for k in range(FOLDS + 1) for y in (0, 1)]
-        yield _sums([k for k, _ in places], [bool(y) for _, y in places], [sums[p] for p in places], [None] * len(places))
+        yield _sums([k for k, _ in places], [bool(y) for _, y in places], [sums[p] for p in places], [None] * len(places), [None] * len(places))
 
     return add
 
 
-def _sums(heads: list[int], confirmed: list[bool], sums: list, inputs_: list) -> pa.RecordBatch:
+def _sums(heads: list[int], confirmed: list[bool], sums: list, inputs_: list, own: list) -> pa.RecordBatch:
     columns = [pa.array(heads, pa.int32()), pa.array(confirmed, pa.bool_())]
-    columns += [pa.array(sums, pa.list_(pa.float64())), pa.array(inputs_, pa.list_(pa.float64()))]
-    return pa.RecordBatch.from_arrays(columns, ["head", "confirmed", "sums", "inputs"])
+    columns += [pa.array(sums, pa.list_(pa.float64())), pa.array(inputs_, pa.list_(pa.float64())), pa.array(own, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["head", "confirmed", "sums", "inputs", "hash"])
 
 
-def newton(start: np.ndarray, head: np.ndarray, made: list[np.ndarray], own: list[np.ndarray]) -> np.ndarray:
-    """A step from sums over made findings and the table, others first: both classes weigh the same, and the table's windows
-    of a class as much as the made ones where they are as many.  Rounded, so that the order of summing is not seen."""
+def step(start: np.ndarray, head: np.ndarray, made: list[np.ndarray], own: list[np.ndarray]) -> np.ndarray:
+    """The lowest point of the bound from sums over made findings and the table, others first, so the loss never rises: both
+    classes weigh the same, and the table's windows of a class as much as the made ones where they are as many.  Rounded, so
+    that the order of summing is not seen."""
     size = len(head)
     gradient, curve = RIDGE * (head - start), RIDGE * np.eye(size)
     for of_made, of_table in zip(made, own, strict=True):
@@ -456,9 +466,9 @@ def binned(logits: np.ndarray) -> np.ndarray:
     return np.bincount(np.floor(np.clip(logits, -32, 32) * BIN).astype(np.int64) - LEAST_BIN, minlength=BINS)
 
 
-def least_bin(*counts: np.ndarray) -> int:
-    """The highest step from which on each of these counts of true ones keeps RECALL."""
-    return min(int(np.searchsorted(np.cumsum(c), may_lose(int(c.sum())), side="right")) for c in counts if c.any())
+def least_bin(made: np.ndarray, table: np.ndarray) -> int:
+    """The highest step from which on the made true ones, and these and the table's, keep RECALL."""
+    return min(int(np.searchsorted(np.cumsum(c), may_lose(int(c.sum())), side="right")) for c in (made, made + table))
 
 
 def learned(rows: DataFrame, space: Workspace) -> tuple[Network, np.ndarray, np.ndarray, int]:
@@ -469,14 +479,14 @@ def learned(rows: DataFrame, space: Workspace) -> tuple[Network, np.ndarray, np.
     heads = np.tile(start, (FOLDS + 1, 1))
     made = [seen(net, windows) for windows in learn]
     for _ in range(ROUNDS):
-        added = rows.select("text").mapInArrow(adding(net, heads), "head int, confirmed boolean, sums array<double>, inputs array<double>")
+        added = rows.select("text").mapInArrow(adding(net, heads), SUMS_SCHEMA)
         table = space.materialize(added, "sums")
         each = table.filter("sums IS NOT NULL").select("head", "confirmed", F.posexplode("sums").alias("place", "value"))
         totals = np.zeros((FOLDS + 1, 2, 1 + len(start) + len(start) ** 2))
         for r in each.groupBy("head", "confirmed", "place").agg(F.sum("value").alias("value")).collect():
             totals[r["head"], int(r["confirmed"]), r["place"]] = r["value"]
         steps = [[slopes(x, bool(y), head) for y, x in enumerate(made)] for head in heads]
-        heads = np.array([newton(start, h, m, t) for h, m, t in zip(heads, steps, totals, strict=True)])
+        heads = np.array([step(start, h, m, t) for h, m, t in zip(heads, steps, totals, strict=True)])
     net.others, net.confirmed = (round(n) for n in totals[FOLDS, :, 0])
 
     def logit(head: np.ndarray):
@@ -485,9 +495,9 @@ def learned(rows: DataFrame, space: Workspace) -> tuple[Network, np.ndarray, np.
 
     # A confirmed value is scored by the head of the other fold.
     crosswise = F.when(F.col("head") == 0, logit(heads[1])).otherwise(logit(heads[0]))
-    step = F.floor(F.least(F.greatest(crosswise, F.lit(-32.0)), F.lit(32.0)) * BIN) - LEAST_BIN
+    number = F.floor(F.least(F.greatest(crosswise, F.lit(-32.0)), F.lit(32.0)) * BIN) - LEAST_BIN
     true = np.zeros((FOLDS, BINS), dtype=np.int64)
-    for r in table.filter("inputs IS NOT NULL").groupBy("head", step.alias("step")).count().collect():
+    for r in table.filter("inputs IS NOT NULL").dropDuplicates(["hash"]).groupBy("head", number.alias("step")).count().collect():
         true[r["head"], r["step"]] = r["count"]
     of_made = [seen(net, windows) @ heads[FOLDS] for windows in held]
     halves = [binned(of_made[1][k::2]) for k in range(2)]
@@ -506,7 +516,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Spans are kind:start:end over code points, by start and then kind; base_sha256 is taken over the rules' spans only
     (of an empty string where there are none).  n_candidates counts the pieces of runs that no rule's span covers.  Null
     text is empty.  The network is fitted on every row at any size of the table, an empty one included; recall is that of
-    made findings held out and of all confirmed values, half of them under the threshold of the other half;
+    made findings held out and of all distinct confirmed values, half of them under the threshold of the other half;
     false_positive_rate is the share that passes of all unconfirmed pieces and of made look-alikes held out; calibrated
     says whether Platt's line over all these scores rises.  Rows are independent of each other once the network is fitted;
     an empty table gives no rows.  Other columns are not read.

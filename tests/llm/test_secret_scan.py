@@ -203,6 +203,15 @@ def test_network_is_fitted_on_every_row(spark):
             of_made = [S.slopes(x, bool(y), head) for y, x in enumerate(made)]
             of_table = [S.slopes(x, bool(y), head) for y, x in enumerate(own)]
             of_table[1] = (of_table[1] + S.slopes(S.seen(first, bare), True, head)) / 2
-            head = S.newton(start, head, of_made, of_table)
+            head = S.step(start, head, of_made, of_table)
         assert np.allclose(np.r_[net.out, net.shift], head, atol=1e-5) and not np.allclose(head, start, atol=1e-2)
     assert np.array_equal(found[0][0].out, found[1][0].out) and found[0][3] == found[1][3]
+
+
+def test_copies_of_one_odd_value_do_not_let_everything_pass(spark):
+    """Values that the rules confirm and that look like no secret: the threshold stays where look-alikes fail."""
+    prepare(spark)
+    rows = [(i, "token=abcdefgh12345") for i in range(2000)] + [(2000, "the weather report-of-music/2024-05-01/index.html 4500001234567890")]
+    got = scan_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == 2001 and all(r["false_positive_rate"] <= 0.02 and r["recall"] >= 0.98 and r["calibrated"] for r in got)
+    assert all(r["n_cnn"] == 0 for r in got)
